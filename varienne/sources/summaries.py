@@ -60,9 +60,11 @@ def locate_summaries(summaries: DataFrame, variants: DataFrame) -> DataFrame:
     files = with_locations(summaries.select("file_path").distinct())
     fallback = files.groupBy("preset").agg(F.min("file_path").alias("any_path"))
     own = files.groupBy("preset", F.col("variant").alias("wanted_variant")).agg(F.min("file_path").alias("own_path"))
-    wanted = variants.select("wanted_variant").join(F.broadcast(fallback))
+    presets = F.array(*[F.lit(p) for p in SUMMARY_FILES])
+    wanted = variants.select("wanted_variant", F.explode(presets).alias("preset"))
     return (
-        wanted.join(own, ["preset", "wanted_variant"], "left")
+        wanted.join(F.broadcast(fallback), "preset")  # one row per preset
+        .join(own, ["preset", "wanted_variant"], "left")
         .select(
             "wanted_variant", "preset",
             F.coalesce("own_path", "any_path").alias("file_path"),
