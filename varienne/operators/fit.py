@@ -16,6 +16,7 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.functions import pandas_udf
 
 from varienne.functions.basis import PolynomialBasis
@@ -27,6 +28,7 @@ EIGEN_CUTOFF = 1e-11
 CONDITION_LIMIT = 1e12
 USED_COEFFICIENT = 1e-10
 DEFAULT_TOLERANCE = 1e-3
+FITS_PER_SLICE = 20_000
 
 
 def sum_vectors(c: Column) -> Column:
@@ -80,7 +82,7 @@ def _generated_sums(df, basis, germ, outputs, groups):
 def _block_sums(df, basis, germ, outputs, groups):
     d, m, p = len(germ), len(outputs), basis.n_terms
     inputs = df.select(*groups, *[g.alias(f"_g{i}") for i, g in enumerate(germ)], *[F.col(o).cast("double").alias(f"_y{j}") for j, o in enumerate(outputs)])
-    schema = inputs.select(*groups).schema.add("n", "long").add("sums", "array<double>")
+    schema = inputs.select(*groups).schema.add("n", T.LongType()).add("sums", T.ArrayType(T.DoubleType()))
     lower = np.tril_indices(p)
 
     def block(frame: pd.DataFrame) -> np.ndarray:
@@ -284,9 +286,28 @@ def dot_terms(phi: Column, coef: Column, n_terms: int) -> Column:
     return total
 
 
-def predict(points: DataFrame, coefs: DataFrame, groups: Sequence[str] = (), phi: str = "phi") -> DataFrame:
+def every_fit(points: DataFrame, coefs: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """Every point with every fit, for the operators whose result is exactly that product.
+
+    Fits are model parameters, not data: they are gathered into one array of bounded size
+    and unrolled in the row, slice by slice when there are very many of them.
+    """
+    fits = coefs.select(F.struct(*columns).alias("f"), F.pmod(F.xxhash64("output_id"), F.lit(2**31)).alias("h")).persist()
+    slices = -(-fits.count() // FITS_PER_SLICE) or 1
+    out = None
+    for k in range(slices):
+        part = fits.where(F.pmod("h", F.lit(slices)) == k).agg(F.array_sort(F.collect_list("f")).alias("fits"))
+        rows = points.select("*", F.inline(part.select("fits").scalar()))
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
+def predict(points: DataFrame, coefs: DataFrame, groups: Sequence[str] = (), phi: str = "phi", keep: Sequence[str] = ("output_id", "coef")) -> DataFrame:
     """ŷ for points that carry ``phi``: joined to the fits on the shared group columns."""
-    joined = points.join(coefs, list(groups)) if groups else points.crossJoin(coefs)
+    if groups:
+        joined = points.join(coefs.select(*groups, *keep), list(groups))
+    else:
+        joined = every_fit(points, coefs, list(keep))
     return joined.withColumn("yhat", dot(F.col(phi), F.col("coef")))
 
 

@@ -76,7 +76,10 @@ def variance_weighting(indices: DataFrame, variances: DataFrame, groups: Sequenc
     window, and the inputs are one row per fit and input.
     """
     totals = variances.groupBy(*groups).agg(F.sum("output_variance").alias("_sum"), F.count(F.lit(1)).alias("_k"))
-    weights = variances.join(totals, list(groups)) if groups else variances.crossJoin(F.broadcast(totals))  # one row
+    if groups:
+        weights = variances.join(totals, list(groups))
+    else:
+        weights = variances.withColumns({c: totals.select(c).scalar() for c in ("_sum", "_k")})
     weight = F.when(F.col("_sum") > 0, F.col("output_variance") / F.col("_sum")).otherwise(1.0 / F.col("_k"))
     weights = weights.select(*groups, "output_id", weight.alias("_weight"))
     joined = indices.join(weights, [*groups, "output_id"])
@@ -146,7 +149,6 @@ def sobol_mc(evaluated: DataFrame, inputs: Sequence[str], outputs: Sequence[str]
     The blocks of a sample meet in one grouped row of fixed width, then everything is a sum.
     """
     pick = lambda block, y: F.max(F.when(F.col("block") == block, F.col(y)))
-    out = None
     aggs = []
     for j, y in enumerate(outputs):
         aggs += [pick("A", y).alias(f"a{j}"), pick("B", y).alias(f"b{j}")]

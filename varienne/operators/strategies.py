@@ -108,25 +108,49 @@ def stage_means(df: DataFrame, columns: Sequence[str], n_bins: int, empty: str =
     return densify_stages(means, columns, n_bins, empty)
 
 
+STRATEGY_KEYS = {"uniform": None, "by_generation": "generation", "by_lineage_seed": "lineage_seed", "growth_stage": "stage"}
+
+
 def strategy_outputs(df: DataFrame, columns: Sequence[str], n_bins: int, empty: str = "zero") -> DataFrame:
     """Outputs of all four strategies as one long table.
 
     (strategy, group_value, sample_id, output_id, y) from rows with sample_id, generation,
-    lineage_seed and theta.  The history is read and aggregated once to the finest grain;
-    the persisted sums feed the four views.
+    lineage_seed and theta.  The history is read once and summed to the finest grain; the
+    four views are grouping sets over those sums, in one shuffle.  The persisted means are
+    one row per (strategy, group, sample).
     """
     staged = df.withColumn("stage", stage_bin(F.col("theta"), n_bins))
-    fine = fine_sums(staged, columns, ["sample_id", "generation", "lineage_seed", "stage"]).persist()
-
-    def shape(part: DataFrame, strategy: str, group) -> DataFrame:
-        return part.select(F.lit(strategy).alias("strategy"), group.cast("bigint").alias("group_value"), "sample_id", "output_id", "y")
-
-    out = shape(rollup_means(fine, columns, ["sample_id"]), "uniform", F.lit(0))
-    for strategy, key in (("by_generation", "generation"), ("by_lineage_seed", "lineage_seed")):
-        means = rollup_means(fine, columns, ["sample_id", key]).join(common_groups(fine, key), key, "left_semi")
-        out = out.unionByName(shape(means, strategy, F.col(key)))
-    stages = densify_stages(rollup_means(fine, columns, ["sample_id", "stage"]), columns, n_bins, empty)
-    return out.unionByName(shape(stages, "growth_stage", F.col("stage")))
+    keys = [k for k in STRATEGY_KEYS.values() if k]
+    fine = fine_sums(staged, columns, ["sample_id", *keys])
+    sets = [["sample_id"] if k is None else ["sample_id", k] for k in STRATEGY_KEYS.values()]
+    sums = fine.groupingSets(sets, "sample_id", *keys).agg(
+        *[F.grouping(k).alias(f"_no_{k}") for k in keys], F.sum("n").alias("_n"), *[F.sum(c).alias(c) for c in columns])
+    strategy, group = F, F.lit(0).cast("bigint")
+    for name, k in STRATEGY_KEYS.items():
+        if k:
+            strategy = strategy.when(F.col(f"_no_{k}") == 0, name)
+            group = F.when(F.col(f"_no_{k}") == 0, F.col(k).cast("bigint")).otherwise(group)
+    means = sums.select(
+        strategy.otherwise("uniform").alias("strategy"), group.alias("group_value"), "sample_id",
+        *[(F.col(c) / F.col("_n")).alias(c) for c in columns],
+    ).persist()
+
+    # Generations and seeds count only where every sample has them.
+    samples = means.where("strategy = 'uniform'")
+    total = samples.agg(F.count(F.lit(1)).alias("t")).select("t").scalar()
+    shared = ["by_generation", "by_lineage_seed"]
+    seen = means.where(F.col("strategy").isin(shared)).groupBy("strategy", "group_value").agg(F.count(F.lit(1)).alias("_seen"))
+    common = means.join(seen.where(F.col("_seen") == total).select("strategy", "group_value"), ["strategy", "group_value"], "left_semi")
+
+    stages = means.where("strategy = 'growth_stage'")
+    if empty == "zero":
+        grid = samples.select(
+            F.lit("growth_stage").alias("strategy"), "sample_id",
+            F.explode(F.sequence(F.lit(0), F.lit(n_bins - 1))).cast("bigint").alias("group_value"))
+        stages = grid.join(stages, ["strategy", "group_value", "sample_id"], "left").withColumns({c: F.coalesce(c, F.lit(0.0)) for c in columns})
+    wide = samples.unionByName(common).unionByName(stages)
+    pairs = F.array(*[F.struct(F.lit(c).alias("output_id"), F.col(c).alias("y")) for c in columns])
+    return wide.select("strategy", "group_value", "sample_id", F.inline(pairs))
 
 
 def train_test(train: DataFrame, test: DataFrame) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("scans", "aggregates")
+MODULES = ("scans", "aggregates", "sensitivity")
 
 
 def load_all() -> None:
