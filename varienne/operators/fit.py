@@ -20,6 +20,7 @@ from pyspark.sql import types as T
 from pyspark.sql.functions import pandas_udf
 
 from varienne.functions.basis import PolynomialBasis
+from varienne.session import materialize
 
 METHODS = ("lsq", "anl", "bcs")
 #: Up to this many terms the Gram products are generated code; beyond, numpy blocks in Arrow tasks.
@@ -292,7 +293,7 @@ def every_fit(points: DataFrame, coefs: DataFrame, columns: Sequence[str]) -> Da
     Fits are model parameters, not data: they are gathered into one array of bounded size
     and unrolled in the row, slice by slice when there are very many of them.
     """
-    fits = coefs.select(F.struct(*columns).alias("f"), F.pmod(F.xxhash64("output_id"), F.lit(2**31)).alias("h")).persist()
+    fits = materialize(coefs.select(F.struct(*columns).alias("f"), F.pmod(F.xxhash64("output_id"), F.lit(2**31)).alias("h")), "fits")
     slices = -(-fits.count() // FITS_PER_SLICE) or 1
     out = None
     for k in range(slices):

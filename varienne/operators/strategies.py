@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from varienne.functions.numeric import stage_bin
-from varienne.session import checked_broadcast
+from varienne.session import checked_broadcast, materialize
 
 BASELINE_VARIANT = 0
 
@@ -116,8 +116,8 @@ def strategy_outputs(df: DataFrame, columns: Sequence[str], n_bins: int, empty:
 
     (strategy, group_value, sample_id, output_id, y) from rows with sample_id, generation,
     lineage_seed and theta.  The history is read once and summed to the finest grain; the
-    four views are grouping sets over those sums, in one shuffle.  The persisted means are
-    one row per (strategy, group, sample).
+    four views are grouping sets over those sums, in one shuffle.  The means, one row per
+    (strategy, group, sample), are written out so that nothing later leads back to the history.
     """
     staged = df.withColumn("stage", stage_bin(F.col("theta"), n_bins))
     keys = [k for k in STRATEGY_KEYS.values() if k]
@@ -130,10 +130,10 @@ def strategy_outputs(df: DataFrame, columns: Sequence[str], n_bins: int, empty:
         if k:
             strategy = strategy.when(F.col(f"_no_{k}") == 0, name)
             group = F.when(F.col(f"_no_{k}") == 0, F.col(k).cast("bigint")).otherwise(group)
-    means = sums.select(
+    means = materialize(sums.select(
         strategy.otherwise("uniform").alias("strategy"), group.alias("group_value"), "sample_id",
         *[(F.col(c) / F.col("_n")).alias(c) for c in columns],
-    ).persist()
+    ), "means")
 
     # Generations and seeds count only where every sample has them.
     samples = means.where("strategy = 'uniform'")
@@ -146,7 +146,7 @@ def strategy_outputs(df: DataFrame, columns: Sequence[str], n_bins: int, empty:
     if empty == "zero":
         grid = samples.select(
             F.lit("growth_stage").alias("strategy"), "sample_id",
-            F.explode(F.sequence(F.lit(0), F.lit(n_bins - 1))).cast("bigint").alias("group_value"))
+            F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(n_bins - 1).cast("bigint"))).alias("group_value"))
         stages = grid.join(stages, ["strategy", "group_value", "sample_id"], "left").withColumns({c: F.coalesce(c, F.lit(0.0)) for c in columns})
     wide = samples.unionByName(common).unionByName(stages)
     pairs = F.array(*[F.struct(F.lit(c).alias("output_id"), F.col(c).alias("y")) for c in columns])

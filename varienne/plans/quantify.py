@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from varienne.functions.basis import PolynomialBasis
 from varienne.operators import fit, sobol
 from varienne.operators.design import Bounds, germ_columns
-from varienne.session import checked_broadcast
+from varienne.session import checked_broadcast, materialize
 
 STRATEGY_KEYS = ["strategy", "group_value"]
 
@@ -45,7 +45,7 @@ def fit_strategies(
     groups = STRATEGY_KEYS if groups is None else groups
     basis = PolynomialBasis(tuple(bounds), order, family)
     statistics = fit.long_statistics(outputs, design_phi(design, basis, bounds), basis, groups)
-    coefs = fit.fit(statistics, groups, method, tolerance).persist()
+    coefs = materialize(fit.fit(statistics, groups, method, tolerance), "coefs")
     indices = sobol.sobol_indices(coefs, basis, groups)
     joint = sobol.sobol_joint(coefs, basis, groups)
     weighted = sobol.variance_weighting(indices, sobol.output_variances(coefs, groups), groups)

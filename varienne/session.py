@@ -66,8 +66,9 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
 def checked_broadcast(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
     """Hint a broadcast only after counting the side; otherwise leave the join to AQE.
 
-    The side is persisted (spilling to disk) so that counting it and joining it
-    cost one evaluation.  Meant for narrow aggregates such as one row per sample.
+    The side is written to the shared folder first: counting it then reads footers only,
+    and a lost executor does not lead back to the history it was aggregated from.  Meant
+    for narrow aggregates such as one row per sample.
     """
-    df = df.persist()
-    return F.broadcast(df) if df.count() <= max_rows else df
+    small = materialize(df, "side")
+    return F.broadcast(small) if small.count() <= max_rows else small

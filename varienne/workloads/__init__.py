@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("scans", "aggregates", "sensitivity")
+MODULES = ("scans", "aggregates", "sensitivity", "surrogates")
 
 
 def load_all() -> None:

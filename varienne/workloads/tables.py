@@ -94,8 +94,10 @@ class Tables:
 
     @cached_property
     def growth(self) -> DataFrame:
-        """History with a mass that grows along each agent's life."""
-        return ordered(self.history, ["agent_id"], "time", ties=["event_id"], running_sums={"mass": DRY_MASS})
+        """History with a mass that grows along each agent's life, derived once per directory."""
+        path = self.written("growth", lambda p: ordered(
+            self.history, ["agent_id"], "time", ties=["event_id"], running_sums={"mass": DRY_MASS}).write.parquet(p))
+        return self.spark.read.parquet(path)
 
     @cached_property
     def samples(self) -> DataFrame:
