@@ -6,9 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-PARAM_SCHEMA = T.StructType.fromDDL(
-    "name string, attr_path string, bounds array<double>, index int, description string"
-)
+PARAM_SCHEMA = "name string, attr_path string, bounds array<double>, index int, description string"
 
 # The default inputs as (name, attribute path, low, high).
 DEFAULT_PARAMETERS = (

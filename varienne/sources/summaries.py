@@ -17,7 +17,7 @@ SUMMARY_FILES = {
 SUMMARY_PATH = r"analyses/variant=(\d+)/plots/analysis=([^/]+)/([^/]+)$"
 
 
-def scan_summary_tsv(spark: SparkSession, path: str, recursive: bool = True) -> DataFrame:
+def scan_summary_tsv(spark: SparkSession, path: str, recursive: bool = True, glob: str = "*.tsv") -> DataFrame:
     """Rows of every summary file below a path, with the file they came from.
 
     Rows with fewer than three fields or a blank identifier are skipped.
@@ -29,7 +29,7 @@ def scan_summary_tsv(spark: SparkSession, path: str, recursive: bool = True) ->
         .option("enforceSchema", "true")
         .option("mode", "PERMISSIVE")
         .option("recursiveFileLookup", str(recursive).lower())
-        .option("pathGlobFilter", "*.tsv")
+        .option("pathGlobFilter", glob)
         .csv(path)
         .select("*", F.col("_metadata.file_path").alias("file_path"))
     )

@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("scans", "aggregates", "sensitivity", "surrogates")
+MODULES = ("scans", "aggregates", "sensitivity", "surrogates", "screening", "storage")
 
 
 def load_all() -> None:
