@@ -8,6 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from varienne.functions import rng
 from varienne.functions.numeric import add_all
@@ -125,9 +126,7 @@ def evaluate_design(
     The model maps a frame of inputs to one column per output; with ``series`` it returns
     an array (row, time, output) whose time mean is the output.
     """
-    schema = design.schema
-    for name in outputs:
-        schema = schema.add(name, "double")
+    schema = T.StructType([*design.schema.fields, *[T.StructField(name, T.DoubleType()) for name in outputs]])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:

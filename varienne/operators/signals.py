@@ -12,6 +12,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.functions import pandas_udf
 
 from varienne.operators.ordered import with_group_stats
@@ -22,6 +23,7 @@ DB_EPSILON = 1e-10
 TRANSFER_EPSILON = 1e-10
 DEFAULT_BLOCK = 4096
 MAX_SEGMENT = 256
+_DOUBLES = T.ArrayType(T.DoubleType())
 
 # Sample rate of the frequency axis and the band limits in Hz.
 SAMPLE_RATE = 44100.0
@@ -36,7 +38,7 @@ def normalize_series(series: DataFrame) -> DataFrame:
     return df.withColumn("value", (F.col("value") - F.col("_m")) / (F.col("_s") + STD_EPSILON)).drop("_m", "_s")
 
 
-@pandas_udf("array<double>")
+@pandas_udf(_DOUBLES)
 def _block_correlation(x: pd.Series, y: pd.Series, block: pd.Series) -> pd.Series:
     """Full correlation of two sparse blocks given as (offset, value) entries."""
 
@@ -116,7 +118,7 @@ def _near_root_divisor(n: int) -> int:
     return d
 
 
-@pandas_udf("bigint")
+@pandas_udf(T.LongType())
 def _stride_count(n: pd.Series) -> pd.Series:
     lengths, position = np.unique(n.to_numpy(), return_inverse=True)
     return pd.Series(np.array([_near_root_divisor(int(v)) for v in lengths])[position])
@@ -195,7 +197,7 @@ def inverse_spectrum(spectra: DataFrame) -> DataFrame:
 # --- coherence ---------------------------------------------------------------------------
 
 
-@pandas_udf("struct<re:array<double>,im:array<double>>")
+@pandas_udf(T.StructType([T.StructField("re", _DOUBLES), T.StructField("im", _DOUBLES)]))
 def _segment_fft(values: pd.Series) -> pd.DataFrame:
     """Windowed, mean-free spectrum of one segment given as (offset, value) entries."""
     re, im = [], []

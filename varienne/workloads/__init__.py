@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("scans", "aggregates", "sensitivity", "surrogates", "screening", "storage")
+MODULES = ("scans", "aggregates", "sensitivity", "surrogates", "screening", "storage", "waves")
 
 
 def load_all() -> None:
