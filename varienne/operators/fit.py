@@ -23,7 +23,9 @@ from varienne.functions.basis import PolynomialBasis
 from varienne.session import materialize
 
 METHODS = ("lsq", "anl", "bcs")
-#: Up to this many terms the Gram products are generated code; beyond, numpy blocks in Arrow tasks.
+#: Up to this many sums per row generated code is faster; beyond, numpy blocks in Arrow tasks (measured).
+GENERATED_SUMS = 32
+#: Up to this many terms a basis row is multiplied out in generated code.
 GENERATED_TERMS = 16
 EIGEN_CUTOFF = 1e-11
 CONDITION_LIMIT = 1e12
@@ -44,7 +46,7 @@ def with_phi(df: DataFrame, basis: PolynomialBasis, germ: Sequence[Column]) -> D
     return df.withColumn("phi", basis.phi([F.col(n) for n in names])).drop(*names)
 
 
-def gram_entries(phi: Column, n_terms: int) -> list[Column]:
+def gram_entries(phi: Column | Sequence[Column], n_terms: int) -> list[Column]:
     """Lower triangle of φφᵀ in row order."""
     return [phi[i] * phi[j] for i in range(n_terms) for j in range(i + 1)]
 
@@ -61,23 +63,27 @@ def wide_statistics(df: DataFrame, basis: PolynomialBasis, germ: Sequence[Column
     Result: one row per (group, output) with gram, rhs, yy, sy and n.  Each task sends one
     vector of sums per group, whatever the number of samples or the skew of the groups.
     """
-    df = df.where(F.coalesce(*[F.col(o) for o in outputs]).isNotNull() if len(outputs) == 1 else F.expr(" AND ".join(f"`{o}` IS NOT NULL" for o in outputs)))
-    if basis.n_terms <= GENERATED_TERMS:
+    for o in outputs:
+        df = df.where(F.col(o).isNotNull())
+    p = basis.n_terms
+    if p * (p + 1) // 2 + len(outputs) * (p + 2) <= GENERATED_SUMS:
         partial = _generated_sums(df, basis, germ, outputs, groups)
     else:
         partial = _block_sums(df, basis, germ, outputs, groups)
-    return _split_sums(partial, basis.n_terms, outputs, groups)
+    return _split_sums(partial, p, outputs, groups)
 
 
 def _generated_sums(df, basis, germ, outputs, groups):
+    """Plain sums in generated code, the fastest way while there are few products."""
     p = basis.n_terms
     rows = with_phi(df, basis, germ).select(*groups, *outputs, *[F.col("phi")[t].alias(f"_p{t}") for t in range(p)])
     phi = [F.col(f"_p{t}") for t in range(p)]
-    entries = [phi[i] * phi[j] for i in range(p) for j in range(i + 1)]
+    entries = gram_entries(phi, p)
     for o in outputs:
         y = F.col(o).cast("double")
         entries += [f * y for f in phi] + [y * y, y]
-    return rows.groupBy(*groups).agg(F.count(F.lit(1)).alias("n"), sum_vectors(F.array(*entries)).alias("sums"))
+    sums = rows.groupBy(*groups).agg(F.count(F.lit(1)).alias("n"), *[F.sum(e).alias(f"_e{k}") for k, e in enumerate(entries)])
+    return sums.select(*groups, "n", F.array(*[F.col(f"_e{k}") for k in range(len(entries))]).alias("sums"))
 
 
 def _block_sums(df, basis, germ, outputs, groups):
@@ -303,13 +309,16 @@ def every_fit(points: DataFrame, coefs: DataFrame, columns: Sequence[str]) -> Da
     return out
 
 
-def predict(points: DataFrame, coefs: DataFrame, groups: Sequence[str] = (), phi: str = "phi", keep: Sequence[str] = ("output_id", "coef")) -> DataFrame:
-    """ŷ for points that carry ``phi``: joined to the fits on the shared group columns."""
+def predict(points: DataFrame, coefs: DataFrame, groups: Sequence[str] = (), phi: str = "phi", keep: Sequence[str] = ("output_id", "coef"), n_terms: int = 0) -> DataFrame:
+    """ŷ for points that carry ``phi``: joined to the fits on the shared group columns.
+
+    With the number of terms given, a short product stays in generated code.
+    """
     if groups:
         joined = points.join(coefs.select(*groups, *keep), list(groups))
     else:
         joined = every_fit(points, coefs, list(keep))
-    return joined.withColumn("yhat", dot(F.col(phi), F.col("coef")))
+    return joined.withColumn("yhat", dot_terms(F.col(phi), F.col("coef"), n_terms) if n_terms else dot(F.col(phi), F.col("coef")))
 
 
 def predict_variance(phi: Column, ginv: Column, sigma2: Column, n_terms: int, noise: bool = False) -> Column:

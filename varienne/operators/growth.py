@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -11,11 +11,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from varienne.functions.numeric import clip
-from varienne.operators.ordered import even_spacing, group_stats
+from varienne.operators.ordered import even_spacing, group_stats, with_group_stats
 
 MASS_FLOOR_FIRST_LAST = 1e-10
 MASS_FLOOR_MIN_MAX = 1e-30
 MIN_LOG_SPAN = 1e-15
+CUSTOM_EPSILON = 1e-10
 
 # Limits of the replication phases on the DNA fraction.
 PHASE_B_BELOW = 0.2
@@ -126,21 +127,28 @@ def theta_angle(df: DataFrame, mass: str, rate: str, keys: Sequence[str]) -> Dat
 @register_theta("custom")
 def theta_custom(
     df: DataFrame, expression: Column | str | None = None, function: Callable[[pd.DataFrame], pd.Series] | None = None,
-    keys: Sequence[str] = (), inputs: Sequence[str] = (),
+    inputs: Sequence[str] = (), keys: Sequence[str] | None = None,
 ) -> DataFrame:
-    """θ from a column expression, or from a pandas function applied per cell.
+    """θ from a column expression, or from a pandas function of the named inputs.
 
-    The pandas form groups whole cells and suits cells that fit a task; it receives only
-    the named inputs.
+    The function sees Arrow batches of rows, never a whole cell.  What it needs to know
+    about the cell is computed by Spark: with ``keys`` the raw value is scaled to 0..1
+    between its smallest and largest value per key group.
     """
     if expression is not None:
-        value = F.expr(expression) if isinstance(expression, str) else expression
-        return df.withColumn("theta", value.cast("double"))
-    if function is None:
-        raise ValueError("theta_custom needs an expression or a function")
-    schema = T.StructType([*df.schema.fields, T.StructField("theta", T.DoubleType())])
+        raw = df.withColumn("theta", (F.expr(expression) if isinstance(expression, str) else expression).cast("double"))
+    elif function is not None:
+        schema = T.StructType([*df.schema.fields, T.StructField("theta", T.DoubleType())])
 
-    def per_cell(cell: pd.DataFrame) -> pd.DataFrame:
-        return cell.assign(theta=pd.Series(function(cell[list(inputs)] if inputs else cell), dtype="float64").to_numpy())
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for batch in batches:
+                values = function(batch[list(inputs)] if inputs else batch)
+                yield batch.assign(theta=pd.Series(values, dtype="float64").to_numpy())
 
-    return df.groupBy(*keys).applyInPandas(per_cell, schema)
+        raw = df.mapInPandas(run, schema)
+    else:
+        raise ValueError("theta_custom needs an expression or a function")
+    if keys is None:
+        return raw
+    joined = with_group_stats(raw, keys, [F.min("theta").alias("_lo"), F.max("theta").alias("_hi")])
+    return joined.withColumn("theta", (F.col("theta") - F.col("_lo")) / (F.col("_hi") - F.col("_lo") + CUSTOM_EPSILON)).drop("_lo", "_hi")

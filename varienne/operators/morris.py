@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from varienne.functions.numeric import slider_step
 from varienne.operators.design import Bounds
 
 SCREEN_FRACTION = 0.1
@@ -58,3 +59,12 @@ def classify(indices: DataFrame) -> DataFrame:
     sigma = F.col("sigma") / (F.col("_max_sigma") + NORM_EPSILON)
     label = F.when(mu < NEGLIGIBLE_BELOW, "negligible").when(sigma < LINEAR_BELOW, "linear").otherwise("nonlinear")
     return df.withColumn("category", label).drop("_max_mu", "_max_sigma")
+
+
+def parameter_config(screened: DataFrame, params: DataFrame, n_steps: int = 50) -> DataFrame:
+    """Slider settings of the screened inputs: bounds, middle as default and a round step."""
+    bounds = params.select(F.col("name").alias("param"), "lo", "hi")
+    return screened.join(F.broadcast(bounds), "param").withColumns({  # dozens of rows
+        "default": (F.col("lo") + F.col("hi")) / 2.0,
+        "step": F.when(F.col("hi") > F.col("lo"), slider_step(F.col("lo"), F.col("hi"), n_steps)).otherwise(0.0),
+    })

@@ -26,7 +26,7 @@ def points_phi(points: DataFrame, basis: PolynomialBasis, bounds: Bounds) -> Dat
 
 
 def predict_at(points: DataFrame, coefs: DataFrame, basis: PolynomialBasis, bounds: Bounds, groups: Sequence[str] = ()) -> DataFrame:
-    return predict(points_phi(points, basis, bounds), coefs, groups).drop("phi", "coef")
+    return predict(points_phi(points, basis, bounds), coefs, groups, n_terms=basis.n_terms).drop("phi", "coef")
 
 
 def sweep_points(base: DataFrame, bounds: Bounds, n_points: int = DEFAULT_CURVE_POINTS) -> DataFrame:
@@ -64,7 +64,7 @@ def local_sensitivity(points: DataFrame, coefs: DataFrame, basis: PolynomialBasi
     rows = with_phi(rows, basis, germ("_l_"))
     diff = F.zip_with("_phi_u", "phi", lambda a, b: a - b)
     rows = rows.withColumn("phi", diff)
-    out = predict(rows, coefs, groups)
+    out = predict(rows, coefs, groups, n_terms=basis.n_terms)
     slope = F.abs(F.col("yhat")) / (2.0 * F.col("_d") + SENSITIVITY_EPSILON)
     return out.select(*keep, *[g for g in groups if g not in keep], "output_id", "param_id", "param", slope.alias("sensitivity"))
 
@@ -84,7 +84,7 @@ def baseline_value(coef: Column, basis: PolynomialBasis) -> Column:
 def baseline_delta(points: DataFrame, coefs: DataFrame, basis: PolynomialBasis, bounds: Bounds, groups: Sequence[str] = ()) -> DataFrame:
     """Prediction beside the mid-box baseline and the change in percent (0 baseline gives 0)."""
     fits = coefs.withColumn("baseline", baseline_value(F.col("coef"), basis))
-    out = predict(points_phi(points, basis, bounds), fits, groups, keep=("output_id", "coef", "baseline")).drop("phi", "coef")
+    out = predict(points_phi(points, basis, bounds), fits, groups, keep=("output_id", "coef", "baseline"), n_terms=basis.n_terms).drop("phi", "coef")
     change = F.when(F.col("baseline") != 0, (F.col("yhat") - F.col("baseline")) / F.abs("baseline") * 100.0).otherwise(0.0)
     return out.withColumn("change_percent", change)
 
@@ -103,7 +103,7 @@ def suggest_point(candidates: DataFrame, coefs: DataFrame, basis: PolynomialBasi
     """
     names = list(bounds)
     fits = coefs.withColumn("baseline", baseline_value(F.col("coef"), basis))
-    scanned = predict(points_phi(candidates, basis, bounds), fits, keep=("output_id", "coef", "baseline"))
+    scanned = predict(points_phi(candidates, basis, bounds), fits, keep=("output_id", "coef", "baseline"), n_terms=basis.n_terms)
     gap = F.col("yhat") - F.col("baseline")
     rank = F.struct((gap * gap).alias("deviation"), (-F.col(key)).alias("k"))
     best = scanned.groupBy("output_id").agg(F.max_by(F.struct(key, *names), rank).alias("b"), F.max(gap * gap).alias("deviation"))

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from varienne.functions.numeric import stage_bin, stage_bin_raw, stage_label, stage_range
 from varienne.operators import aggregate, growth, replicates, strategies
-from varienne.operators.observables import CELL_MASS, DNA_MASS, DRY_MASS, VOLUME, attach_feature_ids, convert_fluxes
+from varienne.operators.observables import CELL_MASS, DNA_MASS, DRY_MASS, RNA_MASS, VOLUME, attach_feature_ids, convert_fluxes
 from varienne.operators.ordered import even_spacing, first_last, growth_rate
 from varienne.session import checked_broadcast
 from varienne.sources import runs
@@ -234,6 +234,18 @@ def _theta_custom(t):
     return df.select("event_id", rnd("theta", 9).alias("theta"), stage_bin(F.col("theta"), 5).alias("stage"))
 
 
+@query("theta_custom_scaled", H + f"""
+SELECT event_id, {sr('(r - min(r) OVER w) / (max(r) OVER w - min(r) OVER w + 1e-10)', 8)} AS theta FROM (
+  SELECT event_id, variant, coalesce(rna_mass, 0.0) / greatest(volume, 1e-10) * (1 + event_id % 5) AS r FROM h) WINDOW w AS (PARTITION BY variant)""")
+def _theta_custom_scaled(t):
+    def ratio(batch):
+        return batch[RNA_MASS].fillna(0.0) / batch[VOLUME].clip(lower=1e-10) * (1 + batch["event_id"] % 5)
+
+    df = t.history.select("event_id", "variant", RNA_MASS, VOLUME)
+    out = growth.theta("custom", df, function=ratio, inputs=[RNA_MASS, VOLUME, "event_id"], keys=["variant"])
+    return out.select("event_id", rnd("theta", 8).alias("theta"))
+
+
 @query("growth_rate", G + f"""
 SELECT event_id, {sr('coalesce((mass - lag(mass) OVER (PARTITION BY agent_id, generation ORDER BY time, event_id)) / mass, 0)', 9)} AS growth_rate FROM g""")
 def _growth_rate(t):

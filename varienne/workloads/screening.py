@@ -113,6 +113,19 @@ def _morris_screen(t):
     return morris.screen(labelled).select("param", "category", "rank")
 
 
+@query("parameter_config", f"""
+WITH i AS ({INDICES_SQL}), p AS (SELECT 'l_discount' AS param, 0.0::DOUBLE AS lo, max(l_discount) AS hi FROM lineitem
+  UNION ALL SELECT 'l_tax', 0.0, max(l_tax) FROM lineitem UNION ALL SELECT 'l_quantity', 0.0, max(l_quantity) FROM lineitem)
+SELECT param, lo, hi, {sr('hi / 2')} AS "default", {sr("CASE WHEN s < 1.5 THEN 1 WHEN s < 3.5 THEN 2 WHEN s < 7.5 THEN 5 ELSE 10 END * m", 9)} AS step FROM (
+  SELECT *, power(10, floor(log10(hi / 50))) AS m, hi / 50 / power(10, floor(log10(hi / 50))) AS s FROM p) WHERE param IN (SELECT param FROM i ORDER BY mu_star DESC LIMIT 2)""")
+def _parameter_config(t):
+    bounds = t.lineitem.agg(*[F.max(n).alias(n) for n in NAMES])
+    bounds = bounds.select(F.inline(F.array(*[F.struct(F.lit(n).alias("name"), F.lit(0.0).alias("lo"), F.col(n).alias("hi")) for n in NAMES])))
+    top = morris.screen(morris.morris_indices(effects(t)), top_n=2)
+    out = morris.parameter_config(top.select("param"), bounds)
+    return rounded(out, 6, step=9)
+
+
 @query("saltelli_design", " UNION ALL ".join(
     f"SELECT sample_id, '{b}' AS block, " + ", ".join(
         sr(f"{lo!r}::DOUBLE + {uniform_sql(9, repr('B' if (b == 'B' or b == 'AB_' + n or (b[:3] == 'BA_' and b != 'BA_' + n)) else 'A'), repr(n), 'sample_id')} * {hi - lo!r}::DOUBLE", 8) + f" AS {n}"

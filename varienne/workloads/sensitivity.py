@@ -166,7 +166,7 @@ SELECT l.l_orderkey, l.l_linenumber, l.output_id, {sr('yhat', 3)} AS yhat, {sr('
   SELECT l.l_orderkey, l.l_linenumber, l.output_id, l.y, {predict_sql(BASIS2, GERM)} AS yhat FROM ({LONG_SQL}) l JOIN ({FIT2_SQL}) f USING (l_returnflag, output_id)) l""")
 def _predict(t):
     rows = fit.with_phi(t.design, BASIS2, design.germ_columns(LINEITEM_BOUNDS))
-    out = fit.predict(rows, fitted(t), FLAG)
+    out = fit.predict(rows, fitted(t), FLAG, n_terms=BASIS2.n_terms)
     y = F.when(F.col("output_id") == "y0", F.col("y0")).otherwise(F.col("y1"))
     return out.select("l_orderkey", "l_linenumber", "output_id", rnd("yhat", 3).alias("yhat"), rnd(y, 7).alias("y"))
 
@@ -204,7 +204,7 @@ def _relative_error(t):
     split = F.when(F.col("l_orderkey") % 5 == 0, "test").otherwise("train")
     d = t.design.withColumn("split", split)
     fits = fit.fit(fit.wide_statistics(d.where("split = 'train'"), BASIS2, germ, OUTPUTS, FLAG), FLAG)
-    out = fit.predict(fit.with_phi(d, BASIS2, germ), fits, FLAG)
+    out = fit.predict(fit.with_phi(d, BASIS2, germ), fits, FLAG, n_terms=BASIS2.n_terms)
     out = out.withColumn("y", F.when(F.col("output_id") == "y0", F.col("y0")).otherwise(F.col("y1")))
     return rounded(fit.relative_error(out, ["l_returnflag", "output_id", "split"]), 8)
 
