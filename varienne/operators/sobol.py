@@ -127,11 +127,16 @@ def top_table(indices: DataFrame, strategies: Sequence[str], by: str, k: int) ->
 
 def correlation_proxy(df: DataFrame, inputs: Sequence[str], outputs: Sequence[str], groups: Sequence[str] = ()) -> DataFrame:
     """Mean absolute input-output correlation, normalised over inputs; constant inputs get 0."""
-    aggs = []
+    aggs = [F.stddev_pop(y).alias(f"o{j}") for j, y in enumerate(outputs)]
     for i, x in enumerate(inputs):
         aggs.append(F.stddev_pop(x).alias(f"s{i}"))
-        aggs += [F.corr(x, y).alias(f"c{i}_{j}") for j, y in enumerate(outputs)]
+        aggs += [F.covar_pop(x, y).alias(f"c{i}_{j}") for j, y in enumerate(outputs)]
     wide = df.groupBy(*groups).agg(*aggs)
+    # Correlations from the moments: the built-in one fails on a constant column under ANSI.
+    wide = wide.withColumns({
+        f"c{i}_{j}": guarded_divide(F.col(f"c{i}_{j}"), F.col(f"s{i}") * F.col(f"o{j}"))
+        for i in range(len(inputs)) for j in range(len(outputs))
+    })
     score = []
     for i in range(len(inputs)):
         total = sum((F.abs(F.coalesce(F.col(f"c{i}_{j}"), F.lit(0.0))) for j in range(len(outputs))), F.lit(0.0)) / len(outputs)

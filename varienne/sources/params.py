@@ -130,10 +130,7 @@ def label_lookup(df: DataFrame, labels: DataFrame, on: str) -> DataFrame:
 def read_run_configs(spark: SparkSession, root: str) -> DataFrame:
     """Every run's configuration document with the name of its directory."""
     return (
-        spark.read.option("wholetext", "true")
-        .option("recursiveFileLookup", "true")
-        .option("pathGlobFilter", "config.json")
-        .text(root)
+        spark.read.text(root, wholetext=True, recursiveFileLookup=True, pathGlobFilter="config.json")
         .select(
             F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+)/config\.json$", 1).alias("run_id"),
             F.col("value").alias("config"),

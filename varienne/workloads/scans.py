@@ -18,12 +18,12 @@ A = f"WITH a AS ({ARRAYS_SQL}) "
 
 
 @query("scan_history", H + f"""
-SELECT experiment_id, generation, count(*) AS n, count(DISTINCT agent_id) AS agents, {sr('avg(dry_mass)')} AS mean_mass,
+SELECT experiment_id, generation, count(*) AS n, count(DISTINCT agent_id) AS agents, {sr('sum(dry_mass)', 4)} AS total_mass,
   min(time) AS first_time, max(time) AS last_time FROM h GROUP BY ALL""")
 def _scan_history(t):
     df = src.scan_history(t.spark, t.history_tree())
     return df.groupBy("experiment_id", "generation").agg(
-        F.count(F.lit(1)).alias("n"), F.count_distinct("agent_id").alias("agents"), rnd(F.avg(DRY_MASS)).alias("mean_mass"),
+        F.count(F.lit(1)).alias("n"), F.count_distinct("agent_id").alias("agents"), rnd(F.sum(DRY_MASS), 4).alias("total_mass"),
         F.min("time").alias("first_time"), F.max("time").alias("last_time"),
     )
 

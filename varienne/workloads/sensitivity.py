@@ -87,11 +87,11 @@ def _hermite_basis(t):
 
 
 @query("multi_indices", " UNION ALL ".join(
-    f"SELECT CAST({i} AS INTEGER) AS term_id, '{','.join(map(str, a))}' AS alpha, {float(BASIS2.norms[i])!r}::DOUBLE AS norm2, {sr(f'avg({term_sql(BASIS2, i, GERM)})', 8)} AS mean_phi FROM ({DESIGN_SQL})"
+    f"SELECT CAST({i} AS INTEGER) AS term_id, '{','.join(map(str, a))}' AS alpha, {float(BASIS2.norms[i])!r}::DOUBLE AS norm2, {sr(f'avg({term_sql(BASIS2, i, GERM)})', 11)} AS mean_phi FROM ({DESIGN_SQL})"
     for i, a in enumerate(BASIS2.indices)))
 def _multi_indices(t):
     rows = fit.with_phi(t.design, BASIS2, design.germ_columns(LINEITEM_BOUNDS))
-    means = rows.agg((F.array(*[rnd(F.avg(F.col("phi")[i]), 8) for i in range(BASIS2.n_terms)])).alias("m"))
+    means = rows.agg((F.array(*[rnd(F.avg(F.col("phi")[i]), 11) for i in range(BASIS2.n_terms)])).alias("m"))
     means = means.select(F.posexplode("m").alias("term_id", "mean_phi"))
     terms = BASIS2.terms(t.spark).withColumn("alpha", F.concat_ws(",", F.col("alpha").cast("array<string>")))
     return terms.join(means, "term_id")

@@ -289,7 +289,7 @@ SELECT output_id, y, 2 * sample_id / 19.0 - 1 AS g0, 2 * ((sample_id * 7) % 20)
   UNION ALL SELECT variant, '{VOLUME}', avg(volume) FROM ({HISTORY_SQL}) GROUP BY 1)""", PRELIM_BASIS, ["g0", "g1"], ["output_id"]), PRELIM_BASIS, ["output_id"])
 
 
-@query("stream_preliminary_sobol", f"SELECT output_id, param, {sr('s1')} AS s1, {sr('st')} AS st, 20 AS n_completed FROM ({PRELIM_SQL})")
+@query("stream_preliminary_sobol", f"SELECT output_id, param, {sr('s1')} AS s1, {sr('st')} AS st, (SELECT CAST(count(DISTINCT user_id % 20) AS INTEGER) FROM events) AS n_completed FROM ({PRELIM_SQL})")
 def _stream_preliminary_sobol(t):
     from varienne.workloads.sensitivity import sample_design
 
