@@ -64,12 +64,17 @@ def compare(spark_df, con, sql):
 def main() -> int:
     parser = argparse.ArgumentParser()
     parser.add_argument("--dir", default="/root/testdata/sf0.01")
+    parser.add_argument("--plain", action="store_true", help="use a session with default settings")
     parser.add_argument("names", nargs="*")
     args = parser.parse_args()
     import __spark_entry__ as entry
     from varienne.session import build_session
 
-    spark = build_session("oracle-check", "local[8]", **{
+    if args.plain:
+        from pyspark.sql import SparkSession
+
+        SparkSession.builder.master("local[8]").config("spark.ui.enabled", "false").config("spark.ui.showConsoleProgress", "false").getOrCreate()
+    spark = SparkSession.getActiveSession() if args.plain else build_session("oracle-check", "local[8]", **{
         "spark.ui.enabled": "false", "spark.sql.shuffle.partitions": "8", "spark.driver.memory": "8g",
         "spark.ui.showConsoleProgress": "false",
     })

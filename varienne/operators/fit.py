@@ -27,6 +27,10 @@ METHODS = ("lsq", "anl", "bcs")
 GENERATED_SUMS = 32
 #: Up to this many terms a basis row is multiplied out in generated code.
 GENERATED_TERMS = 16
+#: Up to this many terms the right-hand sides of long outputs are plain sums.
+PLAIN_RHS_TERMS = 64
+#: Numbers a task may hold in partial sums before it hands them on.
+BUFFERED_VALUES = 4_000_000
 EIGEN_CUTOFF = 1e-11
 CONDITION_LIMIT = 1e12
 USED_COEFFICIENT = 1e-10
@@ -86,39 +90,67 @@ def _generated_sums(df, basis, germ, outputs, groups):
     return sums.select(*groups, "n", F.array(*[F.col(f"_e{k}") for k in range(len(entries))]).alias("sums"))
 
 
-def _block_sums(df, basis, germ, outputs, groups):
-    d, m, p = len(germ), len(outputs), basis.n_terms
-    inputs = df.select(*groups, *[g.alias(f"_g{i}") for i, g in enumerate(germ)], *[F.col(o).cast("double").alias(f"_y{j}") for j, o in enumerate(outputs)])
-    schema = inputs.select(*groups).schema.add("n", T.LongType()).add("sums", T.ArrayType(T.DoubleType()))
-    lower = np.tril_indices(p)
+def _sum_blocks(df: DataFrame, groups: Sequence[str], block: Callable[[pd.DataFrame], np.ndarray], width: int) -> DataFrame:
+    """Sum a vector per group: numpy inside Arrow batches, one partial row per (task, group).
 
-    def block(frame: pd.DataFrame) -> np.ndarray:
-        germ_block = frame[[f"_g{i}" for i in range(d)]].to_numpy(dtype=float)
-        y = frame[[f"_y{j}" for j in range(m)]].to_numpy(dtype=float)
-        phi = basis.matrix(germ_block)
-        rhs, yy, sy = phi.T @ y, (y * y).sum(axis=0), y.sum(axis=0)
-        return np.concatenate([(phi.T @ phi)[lower], *[np.append(rhs[:, j], [yy[j], sy[j]]) for j in range(m)]])
+    A task holds at most ``BUFFERED_VALUES`` numbers; with very many groups it hands its
+    partial sums on early and the final aggregation adds them up all the same.
+    """
+    schema = df.select(*groups).schema.add("n", T.LongType()).add("sums", T.ArrayType(T.DoubleType()))
+    limit = max(1, BUFFERED_VALUES // width)
+
+    def rows(totals: dict) -> pd.DataFrame:
+        return pd.DataFrame([(*key, n, sums.tolist()) for key, (n, sums) in totals.items()], columns=[*groups, "n", "sums"])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         totals: dict[tuple, list] = {}
         for batch in batches:
-            parts = batch.groupby(list(groups), dropna=False, sort=False) if groups else [((), batch)]
-            for key, frame in parts:
-                key = key if isinstance(key, tuple) else (key,)
-                sums, count = block(frame), len(frame)
+            for key, frame in batch.groupby(list(groups), dropna=False, sort=False) if groups else [((), batch)]:
+                sums = block(frame)
                 if key in totals:
-                    totals[key][0] += count
+                    totals[key][0] += len(frame)
                     totals[key][1] += sums
                 else:
-                    totals[key] = [count, sums]
+                    totals[key] = [len(frame), sums]
+                if len(totals) > limit:
+                    yield rows(totals)
+                    totals = {}
         if totals:
-            rows = [(*key, n, sums.tolist()) for key, (n, sums) in totals.items()]
-            yield pd.DataFrame(rows, columns=[*groups, "n", "sums"])
+            yield rows(totals)
 
-    partial = inputs.mapInPandas(run, schema)
+    partial = df.mapInPandas(run, schema)
     return partial.groupBy(*groups).agg(F.sum("n").alias("n"), sum_vectors(F.col("sums")).alias("sums"))
 
 
+def _block_sums(df, basis, germ, outputs, groups):
+    d, m, p = len(germ), len(outputs), basis.n_terms
+    inputs = df.select(*groups, *[g.alias(f"_g{i}") for i, g in enumerate(germ)], *[F.col(o).cast("double").alias(f"_y{j}") for j, o in enumerate(outputs)])
+    lower = np.tril_indices(p)
+
+    def block(frame: pd.DataFrame) -> np.ndarray:
+        phi = basis.matrix(frame[[f"_g{i}" for i in range(d)]].to_numpy(dtype=float))
+        y = frame[[f"_y{j}" for j in range(m)]].to_numpy(dtype=float)
+        rhs, yy, sy = phi.T @ y, (y * y).sum(axis=0), y.sum(axis=0)
+        return np.concatenate([(phi.T @ phi)[lower], *[np.append(rhs[:, j], [yy[j], sy[j]]) for j in range(m)]])
+
+    return _sum_blocks(inputs, groups, block, len(lower[0]) + m * (p + 2))
+
+
+def _gram_sums(samples: DataFrame, p: int, groups: Sequence[str]) -> DataFrame:
+    """Gram matrix per group from rows that carry ``phi``."""
+    if p * (p + 1) // 2 <= GENERATED_SUMS:
+        entries = gram_entries(F.col("phi"), p)
+        sums = samples.groupBy(*groups).agg(*[F.sum(e).alias(f"_e{k}") for k, e in enumerate(entries)])
+        return sums.select(*groups, F.array(*[F.col(f"_e{k}") for k in range(len(entries))]).alias("gram"))
+    lower = np.tril_indices(p)
+
+    def block(frame: pd.DataFrame) -> np.ndarray:
+        phi = np.stack(frame["phi"].to_numpy())
+        return (phi.T @ phi)[lower]
+
+    return _sum_blocks(samples.select(*groups, "phi"), groups, block, len(lower[0])).select(*groups, F.col("sums").alias("gram"))
+
+
 def _split_sums(partial: DataFrame, p: int, outputs: Sequence[str], groups: Sequence[str]) -> DataFrame:
     g = p * (p + 1) // 2
     part = lambda start, size: F.slice("sums", start + 1, size)
@@ -140,23 +172,24 @@ def long_statistics(y: DataFrame, phi: DataFrame, basis: PolynomialBasis, groups
     expected for every sample, which the strategy tables guarantee.
     """
     p = basis.n_terms
-    samples = y.select(*groups, key).distinct().join(phi, key)
-    gram = samples.groupBy(*groups).agg(sum_vectors(_triangle(F.col("phi"), p)).alias("gram"))
+    gram = _gram_sums(y.select(*groups, key).distinct().join(phi, key), p, groups)
     rows = y.where(F.col("y").isNotNull()).join(phi, key)
-    products = F.concat(F.transform("phi", lambda f: f * F.col("y")), F.array(F.col("y") * F.col("y"), F.col("y")))
-    rhs = rows.groupBy(*groups, "output_id").agg(F.count(F.lit(1)).alias("n"), sum_vectors(products).alias("sums"))
-    rhs = rhs.select(
-        *groups, "output_id", "n", F.slice("sums", 1, p).alias("rhs"), F.col("sums")[p].alias("yy"), F.col("sums")[p + 1].alias("sy"),
-    )
+    value = F.col("y")
+    by_output = rows.groupBy(*groups, "output_id")
+    if p <= PLAIN_RHS_TERMS:
+        # Very many (group, output) keys: plain sums use the hash aggregate with its compact rows.
+        sums = by_output.agg(
+            F.count(F.lit(1)).alias("n"), *[F.sum(F.col("phi")[t] * value).alias(f"_r{t}") for t in range(p)],
+            F.sum(value * value).alias("yy"), F.sum(value).alias("sy"))
+        rhs = sums.select(*groups, "output_id", "n", F.array(*[F.col(f"_r{t}") for t in range(p)]).alias("rhs"), "yy", "sy")
+    else:
+        sums = by_output.agg(
+            F.count(F.lit(1)).alias("n"), sum_vectors(F.transform("phi", lambda f: f * value)).alias("rhs"),
+            F.sum(value * value).alias("yy"), F.sum(value).alias("sy"))
+        rhs = sums.select(*groups, "output_id", "n", "rhs", "yy", "sy")
     return rhs.join(gram, list(groups)) if groups else rhs.withColumn("gram", gram.select("gram").scalar())
 
 
-def _triangle(phi: Column, p: int) -> Column:
-    if p <= GENERATED_TERMS:
-        return F.array(*gram_entries(phi, p))
-    return F.flatten(F.transform(F.sequence(F.lit(1), F.lit(p)), lambda i: F.transform(F.slice(phi, F.lit(1), i), lambda f: f * F.element_at(phi, i))))
-
-
 # --- solvers on P-sized systems -----------------------------------------------------
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from varienne.operators.ordered import TARGET_ROWS, ordered
-from varienne.session import checked_broadcast
+from varienne.session import checked_broadcast, materialize
 
 DEFAULT_TARGET_CV = 0.05
 MIN_REPLICATES = 3
@@ -23,6 +23,7 @@ def replicate_median(df: DataFrame, keys: Sequence[str], value: str, target_rows
     of the distinct values, so no sample has to fit a task.
     """
     counts = df.where(F.col(value).isNotNull()).groupBy(*keys, F.col(value).alias("_v")).agg(F.count(F.lit(1)).alias("_w"))
+    counts = materialize(counts, "counts")  # read several times below
     totals = counts.groupBy(*keys).agg(F.sum("_w").alias("_n"))
     ranked = ordered(counts, keys, "_v", running_sums={"_cum": "_w"}, target_rows=target_rows)
     ranked = ranked.join(checked_broadcast(totals), list(keys))

@@ -149,8 +149,11 @@ def _suggest_point(t):
 @query("find_target")
 def _find_target(t):
     """Inputs that reach the mean price of each part type."""
-    targets = t.lineitem.join(t.part, F.col("l_partkey") == F.col("p_partkey")).groupBy("p_type").agg(F.avg("l_extendedprice").alias("target"))
-    targets = targets.select(F.lit("y0").alias("output_id"), "target").distinct()
+    price = F.col("l_extendedprice")
+    priced = t.lineitem.select("l_partkey", price.alias("y0"), (price * (1 - F.col("l_discount")) * (1 + F.col("l_tax"))).alias("y1"))
+    means = priced.join(t.part, F.col("l_partkey") == F.col("p_partkey")).groupBy("p_type").agg(F.avg("y0").alias("y0"), F.avg("y1").alias("y1"))
+    pairs = F.array(*[F.struct(F.lit(o).alias("output_id"), F.col(o).alias("target")) for o in ("y0", "y1")])
+    targets = means.select(F.inline(pairs)).distinct()
     return surrogate.search_targets(global_fit(t), targets, BASIS2, BOUNDS, seed=7, n_candidates=256)
 
 
