@@ -40,6 +40,12 @@ def choose_order(n_params: int, n_samples: int) -> int:
     return order
 
 
+def choose_order_column(n_params: int, n_samples: Column, max_order: int = 64) -> Column:
+    """The same choice for a column of sample counts, up to a highest order."""
+    needed = F.array(*[F.lit(minimum_samples(n_params, p)) for p in range(1, max_order + 1)])
+    return F.greatest(F.size(F.filter(needed, lambda m: m <= n_samples)), F.lit(1))
+
+
 def poly_coefficients(family: str, degree: int) -> np.ndarray:
     """Monomial coefficients (lowest power first) of one basis polynomial."""
     unit = np.eye(degree + 1)[degree]

@@ -64,8 +64,10 @@ def array_stats(df: DataFrame, array: str, groups: Sequence[str] = (), method: s
     """Mean, sample deviation and count per array position (1-based) and group.
 
     ``explode`` takes ragged arrays and null elements.  ``vector`` needs dense arrays of
-    one width: whole vectors are accumulated map-side, so no element becomes a row and
-    only one vector of statistics per (task, group) is shuffled.
+    one width: whole vectors are accumulated map-side in the JVM, so no element becomes a
+    row and only one vector of statistics per (task, group) is shuffled.  Measured on
+    60,000 vectors of 1,024 numbers it adds about a third to the bare scan, numpy blocks
+    in Arrow tasks about the same, exploding twice as much.
     """
     if method == "explode":
         value = F.col("value").cast("double")

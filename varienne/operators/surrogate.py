@@ -96,6 +96,13 @@ def predicted_profile(points: DataFrame, coefs: DataFrame, basis: PolynomialBasi
     return out.withColumns({"stage": F.floor(index / n_obs).cast("int"), "obs": index % n_obs})
 
 
+def argmax_point(scanned: DataFrame, value: str, columns: Sequence[str], key: str, groups: Sequence[str] = ("output_id",)) -> DataFrame:
+    """Row with the largest value per group, the smallest key on ties; combined map-side."""
+    rank = F.struct(value, (-F.col(key)).alias("k"))
+    best = scanned.groupBy(*groups).agg(F.max_by(F.struct(*columns), rank).alias("b"), F.max(value).alias(value))
+    return best.select(*groups, "b.*", value)
+
+
 def suggest_point(candidates: DataFrame, coefs: DataFrame, basis: PolynomialBasis, bounds: Bounds, key: str = "sample_id") -> DataFrame:
     """Per output the candidate farthest from the mid-box prediction, and its most sensitive input.
 
@@ -105,9 +112,7 @@ def suggest_point(candidates: DataFrame, coefs: DataFrame, basis: PolynomialBasi
     fits = coefs.withColumn("baseline", baseline_value(F.col("coef"), basis))
     scanned = predict(points_phi(candidates, basis, bounds), fits, keep=("output_id", "coef", "baseline"), n_terms=basis.n_terms)
     gap = F.col("yhat") - F.col("baseline")
-    rank = F.struct((gap * gap).alias("deviation"), (-F.col(key)).alias("k"))
-    best = scanned.groupBy("output_id").agg(F.max_by(F.struct(key, *names), rank).alias("b"), F.max(gap * gap).alias("deviation"))
-    best = best.select("output_id", "b.*", "deviation")
+    best = argmax_point(scanned.withColumn("deviation", gap * gap), "deviation", [key, *names], key)
     slopes = _slopes_at(best, coefs, basis, bounds)
     top = slopes.groupBy("output_id").agg(F.max_by("param", F.struct("sensitivity", -F.col("param_id"))).alias("top_param"))
     return best.join(top, "output_id")

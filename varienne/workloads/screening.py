@@ -6,9 +6,11 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from varienne.functions import rng
+from varienne.functions.basis import PolynomialBasis
 from varienne.operators import design, morris, sobol
 from varienne.plans import sampling
 from varienne.sources import synthetic
+from varienne.workloads.fit_sql import fit_sql
 from varienne.workloads.registry import query, rnd, rounded, sr
 from varienne.workloads.surrogates import drawn_sql, uniform_sql
 from varienne.workloads.tables import LINEITEM_BOUNDS
@@ -31,13 +33,14 @@ def _sample_uniform(t):
     return rounded(design.sample_uniform(order_ids(t), BOUNDS, 42), 9, l_quantity=7)
 
 
-LHS_SQL = " UNION ALL ".join(f"""
+def lhs_sql(seed: int, bounds) -> str:
+    return " UNION ALL ".join(f"""
 SELECT sample_id, '{n}' AS name, {lo!r}::DOUBLE + (row_number() OVER (ORDER BY h, sample_id) - 1 + j) / (SELECT count(*) FROM orders) * {hi - lo!r}::DOUBLE AS x
-FROM (SELECT sample_id, {uniform_sql(3, "'stratum'", repr(n), 'sample_id')} AS h, {uniform_sql(3, "'jitter'", repr(n), 'sample_id')} AS j FROM ({ORDER_IDS}))"""
-    for n, (lo, hi) in BOUNDS.items())
+FROM (SELECT sample_id, {uniform_sql(seed, "'stratum'", repr(n), 'sample_id')} AS h, {uniform_sql(seed, "'jitter'", repr(n), 'sample_id')} AS j FROM ({ORDER_IDS}))"""
+        for n, (lo, hi) in bounds.items())
 
 
-@query("sample_lhs", f"SELECT sample_id, name, {sr('x', 8)} AS x FROM ({LHS_SQL})")
+@query("sample_lhs", f"SELECT sample_id, name, {sr('x', 8)} AS x FROM ({lhs_sql(3, BOUNDS)})")
 def _sample_lhs(t):
     return rounded(design.sample_lhs(order_ids(t), BOUNDS, 3), 8)
 
@@ -201,17 +204,41 @@ def _synthetic_history(t):
         rnd("listeners__mass__dna_mass", 9).alias("dna_mass"), rnd("listeners__fba_results__growth", 9).alias("growth"))
 
 
-@query("screened_surrogate")
+KEPT = {n: BOUNDS[n] for n in ("l_tax", "l_quantity")}
+KEPT_BASIS = PolynomialBasis(tuple(KEPT), 2)
+KEPT_SQL = "SELECT sample_id, " + ", ".join(
+    f"max(CASE WHEN name = '{n}' THEN 2 * (x - {lo!r}::DOUBLE) / {hi - lo!r}::DOUBLE - 1 END) AS g{i}, max(CASE WHEN name = '{n}' THEN x END) AS {n}" for i, (n, (lo, hi)) in enumerate(KEPT.items())
+) + f" FROM ({lhs_sql(42, KEPT)}) GROUP BY sample_id"
+SCREENED_SQL = fit_sql(
+    f"SELECT g0, g1, 0.02::DOUBLE * l_quantity * l_quantity + 400 * l_tax + 30 * l_tax * l_quantity + 0.5::DOUBLE * 0.05 AS y FROM ({KEPT_SQL})", KEPT_BASIS, ["g0", "g1"], [])
+
+
+@query("screened_surrogate", f"""
+SELECT 'y' AS output_id, CAST(t AS INTEGER) AS term_id, {sr('c')} AS coef, n FROM (
+  SELECT n, unnest(range({KEPT_BASIS.n_terms})) AS t, unnest([{', '.join(f'c{i}' for i in range(KEPT_BASIS.n_terms))}]) AS c FROM ({SCREENED_SQL}))""")
 def _screened_surrogate(t):
-    noise = lambda sample, rep: 0.01 * rng.normal(17, sample, rep)
-    out = sampling.screened_surrogate(trajectories(t), order_ids(t), BOUNDS, model_column, keep=2, order=2, noise=noise)
-    return out.fits.select("output_id", F.posexplode("coef").alias("term_id", "coef"), "n")
+    out = sampling.screened_surrogate(trajectories(t), order_ids(t), BOUNDS, model_column, keep=2, order=2, n_replicates=3)
+    return out.fits.select("output_id", F.posexplode("coef").alias("term_id", "coef"), "n").withColumn("coef", rnd("coef"))
+
+
+#: The error never gets this small, so the rounds follow from the budget alone.
+UNREACHED = 1e-9
+BUDGET_SQL = "(SELECT count(*) FROM orders)"
+FIRST_SQL = f"CAST(floor({BUDGET_SQL} * 0.33) AS BIGINT)"
+STEP_SQL = f"(({BUDGET_SQL} - {FIRST_SQL}) // 4)"
+ROUNDS_SQL = f"SELECT CAST(r AS INTEGER) AS round, least({FIRST_SQL} + r * {STEP_SQL}, {BUDGET_SQL}) AS n_samples FROM range(6) t(r) WHERE r <= 4 OR {FIRST_SQL} + 4 * {STEP_SQL} < {BUDGET_SQL}"
+ADAPTIVE_BASIS = PolynomialBasis(tuple(BOUNDS), 2)
+ADAPTIVE_SQL = fit_sql(f"""
+SELECT round, n_samples, {', '.join(f'2 * ({n} - {lo!r}::DOUBLE) / {hi - lo!r}::DOUBLE - 1 AS g{i}' for i, (n, (lo, hi)) in enumerate(BOUNDS.items()))},
+  exp(l_quantity / 20) + 0.02::DOUBLE * l_quantity * l_quantity + 400 * l_tax + 30 * l_tax * l_quantity + 0.5::DOUBLE * l_discount AS y
+FROM ({drawn_sql(f'SELECT unnest(range({BUDGET_SQL})) AS sample_id', 'sample_id', 42)}) JOIN ({ROUNDS_SQL}) ON sample_id < n_samples""",
+    ADAPTIVE_BASIS, ["g0", "g1", "g2"], ["round", "n_samples"])
 
 
-@query("adaptive_sampling")
+@query("adaptive_sampling", f"SELECT round, n_samples, {sr('sqrt(e2 * n / yy)', 8)} AS mean_error FROM ({ADAPTIVE_SQL})")
 def _adaptive_sampling(t):
-    """Budget grows with the orders table."""
+    """The budget grows with the orders table."""
     model = lambda df: df.withColumn("y", F.exp(F.col("l_quantity") / 20.0) + model_column())
     budget = t.orders.count()
-    _, rounds = sampling.adaptive_sampling(t.spark, BOUNDS, model, ["y"], budget, order=2, tolerance=1e-3)
-    return rounds
+    _, rounds = sampling.adaptive_sampling(t.spark, BOUNDS, model, ["y"], budget, order=2, tolerance=UNREACHED)
+    return rounded(rounds, 8)

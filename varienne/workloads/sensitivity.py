@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from varienne.functions.basis import PolynomialBasis, choose_order, minimum_samples
+from varienne.functions.basis import PolynomialBasis, choose_order_column
 from varienne.operators import design, fit, sobol, strategies
 from varienne.operators.observables import DRY_MASS, VOLUME
 from varienne.plans import quantify
@@ -98,11 +98,11 @@ def _multi_indices(t):
 
 
 @query("choose_order", """
-SELECT l_returnflag, count(*) AS n, CASE WHEN 2 * 2300 <= count(*) THEN 20 ELSE 0 END > 0 AS enough_for_20, 20 AS terms_order3 FROM lineitem GROUP BY 1""")
+SELECT l_suppkey, l_returnflag, count(*) AS n, CAST(greatest((SELECT count(*) FROM range(1, 65) r(p) WHERE 2 * ((p + 1) * (p + 2) * (p + 3) // 6) <= g.n), 1) AS INTEGER) AS polynomial_order
+FROM (SELECT l_suppkey, l_returnflag, count(*) OVER (PARTITION BY l_suppkey, l_returnflag) AS n FROM lineitem) g GROUP BY l_suppkey, l_returnflag, g.n""")
 def _choose_order(t):
-    counts = t.lineitem.groupBy("l_returnflag").agg(F.count(F.lit(1)).alias("n"))
-    return counts.select(
-        "l_returnflag", "n", (F.col("n") >= 2 * 2300).alias("enough_for_20"), F.lit(minimum_samples(3, 3) // 2).alias("terms_order3"))
+    counts = t.lineitem.groupBy("l_suppkey", "l_returnflag").agg(F.count(F.lit(1)).alias("n"))
+    return counts.withColumn("polynomial_order", choose_order_column(len(PARAMS), F.col("n")))
 
 
 # --- statistics and fits -------------------------------------------------------------

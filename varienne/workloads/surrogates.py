@@ -146,6 +146,13 @@ def _suggest_point(t):
     return rounded(out.withColumn("deviation", F.sqrt("deviation")), 8, l_quantity=6, deviation=3)
 
 
+@query("argmax_point", """
+SELECT l_returnflag AS output_id, l_orderkey, l_extendedprice FROM (
+  SELECT *, row_number() OVER (PARTITION BY l_returnflag ORDER BY l_extendedprice DESC, l_orderkey) AS rn FROM lineitem) WHERE rn = 1""")
+def _argmax_point(t):
+    return surrogate.argmax_point(t.lineitem.withColumnRenamed("l_returnflag", "output_id"), "l_extendedprice", ["l_orderkey"], "l_orderkey")
+
+
 @query("find_target")
 def _find_target(t):
     """Inputs that reach the mean price of each part type."""
