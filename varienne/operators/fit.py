@@ -164,15 +164,16 @@ def _split_sums(partial: DataFrame, p: int, outputs: Sequence[str], groups: Sequ
     return partial.select(*groups, "n", part(0, g).alias("gram"), F.inline(F.array(*entries)))
 
 
-def long_statistics(y: DataFrame, phi: DataFrame, basis: PolynomialBasis, groups: Sequence[str], key: str = "sample_id") -> DataFrame:
-    """Statistics of a long output table (groups..., key, output_id, y) and (key, phi).
+def long_statistics(y: DataFrame, phi: DataFrame, basis: PolynomialBasis, groups: Sequence[str], key: Sequence[str] = ("sample_id",)) -> DataFrame:
+    """Statistics of a long output table (groups..., key..., output_id, y) and (key..., phi).
 
     The Gram matrix is summed over the distinct samples of a group, the right-hand sides
     over the rows; both are vector sums combined map-side.  Every output of a group is
     expected for every sample, which the strategy tables guarantee.
     """
     p = basis.n_terms
-    gram = _gram_sums(y.select(*groups, key).distinct().join(phi, key), p, groups)
+    key, columns = list(key), list(dict.fromkeys([*groups, *key]))
+    gram = _gram_sums(y.select(*columns).distinct().join(phi, key), p, groups)
     rows = y.where(F.col("y").isNotNull()).join(phi, key)
     value = F.col("y")
     by_output = rows.groupBy(*groups, "output_id")

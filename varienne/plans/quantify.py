@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
@@ -27,24 +28,27 @@ class Sensitivity:
     weighted: DataFrame
 
 
-def design_phi(design: DataFrame, basis: PolynomialBasis, bounds: Bounds, key: str = "sample_id") -> DataFrame:
+def design_phi(design: DataFrame, basis: PolynomialBasis, bounds: Bounds, key: Sequence[str] = ("sample_id",)) -> DataFrame:
     """Basis row per sample; broadcast only when the samples are few enough for their width."""
-    phi = fit.with_phi(design, basis, germ_columns(bounds)).select(key, "phi")
+    phi = fit.with_phi(design, basis, germ_columns(bounds)).select(*key, "phi")
     return checked_broadcast(phi, max_rows=max(1, 8_000_000 // basis.n_terms))
 
 
 def fit_strategies(
     design: DataFrame, bounds: Bounds, outputs: DataFrame, order: int, method: str = "lsq",
     tolerance: float = fit.DEFAULT_TOLERANCE, groups: list[str] | None = None, family: str = "legendre",
+    key: Sequence[str] = ("sample_id",),
 ) -> Sensitivity:
     """Fit every (strategy, group, output) at once and derive its indices.
 
     ``design`` has (sample_id, inputs...), ``outputs`` the long strategy table.  Group labels
     stay key columns, so the number of strategies and groups does not change the plan.
+    Several conditions, each with its own design, are fitted together by adding
+    ``condition`` to both the groups and the key.
     """
     groups = STRATEGY_KEYS if groups is None else groups
     basis = PolynomialBasis(tuple(bounds), order, family)
-    statistics = fit.long_statistics(outputs, design_phi(design, basis, bounds), basis, groups)
+    statistics = fit.long_statistics(outputs, design_phi(design, basis, bounds, key), basis, groups, key)
     coefs = materialize(fit.fit(statistics, groups, method, tolerance), "coefs")
     indices = sobol.sobol_indices(coefs, basis, groups)
     joint = sobol.sobol_joint(coefs, basis, groups)

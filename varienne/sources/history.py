@@ -7,7 +7,6 @@ from fnmatch import fnmatchcase
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 # Id levels of a history tree and their types.
 ID_TYPES = {
@@ -113,10 +112,6 @@ def order_history(df: DataFrame) -> DataFrame:
     return df.orderBy(*[c for c in ("variant", "lineage_seed", "generation", "time") if c in df.columns])
 
 
-def flat_scalar_fields(schema: T.StructType) -> list[str]:
-    return [f.name for f in schema if isinstance(f.dataType, T.NumericType)]
-
-
 def parse_json_arrays(df: DataFrame, *columns: str) -> DataFrame:
     """Turn columns holding JSON array text into ARRAY<DOUBLE>."""
     return df.withColumns({c: F.from_json(F.col(c), "array<double>") for c in columns})

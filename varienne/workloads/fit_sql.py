@@ -27,8 +27,7 @@ def fit_sql(source: str, basis: PolynomialBasis, germ: Sequence[str], keys: Sequ
     covs = ", ".join(f"covar_pop(f{i}, f{j}) AS a{i}_{j}" for i in range(1, k + 1) for j in range(i, k + 1))
     rhs = ", ".join(f"covar_pop(f{i}, y) AS r{i}, avg(f{i}) AS m{i}" for i in range(1, k + 1))
     sql = f"SELECT {head}count(*) AS n, avg(y) AS my, var_pop(y) AS vy, sum(y * y) AS yy, sum(y) AS sy, {covs}, {rhs} FROM (SELECT {head}y, {terms} FROM ({source})) {group}"
-    carried = [*keys, "n", "my", "vy", "yy", "sy", *[f"m{i}" for i in range(1, k + 1)], *[f"r{i} AS b{i}" for i in range(1, k + 1)]]
-    # b<i> keeps the original right-hand side for the residual
+    # b<i> keeps the right-hand side for the residual
     sql = f"SELECT *, {', '.join(f'r{i} AS b{i}' for i in range(1, k + 1))} FROM ({sql})"
     for p in range(1, k + 1):
         updated = [f"r{i} - a{p}_{i} / a{p}_{p} * r{p} AS r{i}" for i in range(p + 1, k + 1)]
@@ -41,7 +40,6 @@ def fit_sql(source: str, basis: PolynomialBasis, germ: Sequence[str], keys: Sequ
     c0 = "my " + " ".join(f"- c{i} * m{i}" for i in range(1, k + 1))
     e2 = "vy " + " ".join(f"- c{i} * b{i}" for i in range(1, k + 1))
     coefs = ", ".join(f"c{i}" for i in range(1, k + 1))
-    del carried
     return f"SELECT {head}n, yy, sy, my, vy, {c0} AS c0{', ' if k else ''}{coefs}, {e2} AS e2 FROM ({sql})"
 
 

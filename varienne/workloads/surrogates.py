@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from varienne.functions.basis import PolynomialBasis
 from varienne.operators import conditions, design, fit, sobol, surrogate
+from varienne.plans import quantify
 from varienne.workloads.fit_sql import fit_sql, predict_sql, sobol_sql
 from varienne.workloads.registry import query, rnd, rounded, sr
 from varienne.workloads.sensitivity import (
@@ -213,6 +214,25 @@ def _condition_sobol(t):
     return rounded(condition_indices(t).select("condition", "param", "s1", "st"), 7)
 
 
+#: Suppliers are samples, priorities are conditions with their own designs.
+CONDITION_MEANS_SQL = """
+SELECT o_orderpriority AS condition, l_suppkey AS sample_id, avg(l_discount) AS x0, avg(l_tax) AS x1, avg(l_quantity) AS x2, avg(l_extendedprice) AS y
+FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY 1, 2"""
+MULTI_SQL = sobol_sql(fit_sql(
+    f"SELECT condition, 'price' AS output_id, y, {germ_sql(['x0', 'x1', 'x2'])} FROM ({CONDITION_MEANS_SQL})", BASIS1, GERM, ["condition", "output_id"]), BASIS1, ["condition", "output_id"])
+
+
+@query("multi_condition_fit", f"SELECT condition, output_id, param, {sr('s1', 7)} AS s1, {sr('st', 7)} AS st FROM ({MULTI_SQL})")
+def _multi_condition_fit(t):
+    joined = t.lineitem.join(t.orders, F.col("l_orderkey") == F.col("o_orderkey"))
+    means = joined.groupBy(F.col("o_orderpriority").alias("condition"), F.col("l_suppkey").alias("sample_id")).agg(
+        *[F.avg(p).alias(p) for p in PARAMS], F.avg("l_extendedprice").alias("y"))
+    key = ["condition", "sample_id"]
+    outputs = means.select(*key, F.lit("price").alias("output_id"), "y")
+    result = quantify.fit_strategies(means.select(*key, *PARAMS), BOUNDS, outputs, order=1, groups=["condition"], key=key)
+    return rounded(result.indices.select("condition", "output_id", "param", "s1", "st"), 7)
+
+
 @query("union_conditions", f"SELECT condition, param, {sr('st', 7)} AS st FROM ({CONDITION_SQL}) WHERE condition IN ('1-URGENT', '5-LOW')")
 def _union_conditions(t):
     idx = condition_indices(t)
