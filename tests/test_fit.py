@@ -59,7 +59,7 @@ def test_blocks_and_generated_sums_agree(spark):
 
 def test_lsq_matches_numpy(spark):
     pdf = frame(80, CUBE, lambda x, r: np.exp(x.x0) + x.x1 * x.x2 + 0.1 * r.standard_normal(80))
-    _, basis, _, fits = fitted(spark, pdf, CUBE, 2)
+    _, basis, _, fits = fitted(spark, pdf, CUBE, 2, covariance=True)
     a = basis.matrix(2 * pdf[list(CUBE)].to_numpy() - 1)
     coef, res = np.linalg.lstsq(a, pdf["y"].to_numpy(), rcond=None)[:2]
     row = fits.first()

@@ -44,6 +44,22 @@ def test_only_hot_groups_are_cut(spark, skewed):
     assert counts[0] > 1 and all(c == 1 for k, c in counts.items() if k)
 
 
+def test_uneven_times_give_even_chunks(spark):
+    """Nearly all rows sit in a sliver of the time range."""
+    t = np.concatenate([np.linspace(0, 1, 2000), np.linspace(1, 1000, 20)])
+    df = spark.createDataFrame(pd.DataFrame({"k": 1, "t": t, "v": 1.0}))
+    sizes = add_chunks(df, ["k"], "t", 100).groupBy("_chunk").count().toPandas()["count"]
+    assert sizes.max() <= 100
+    got = ordered(df, ["k"], "t", row_number="rn", target_rows=100).orderBy("t").toPandas()["rn"].tolist()
+    assert sorted(got) == list(range(1, 2021))
+
+
+def test_global_order(spark, skewed):
+    got = ordered(spark.createDataFrame(skewed), [], "t", ties=["id"], row_number="rn", target_rows=30).toPandas()
+    want = skewed.sort_values(["t", "id"]).reset_index(drop=True)
+    assert got.sort_values("rn")["id"].tolist() == want["id"].tolist() and "_all" not in got
+
+
 def test_growth_rate_divides_by_current_mass(spark):
     df = spark.createDataFrame([(1, 0.0, 2.0), (1, 1.0, 4.0), (1, 2.0, 0.0), (2, 0.0, 5.0)], "c int, time double, m double")
     got = growth_rate(df, "m", ["c"]).orderBy("c", "time").toPandas()["growth_rate"].tolist()

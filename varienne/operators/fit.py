@@ -265,11 +265,11 @@ def sparse_bayes(gram: np.ndarray, rhs: np.ndarray, yy: float, n: int, sy: float
     return coef, used, residual / max(n - used.sum(), 1)
 
 
-FIT_TYPE = "coef array<double>, used array<boolean>, sigma2 double, ginv array<double>"
+FIT_TYPE = "coef array<double>, used array<boolean>, sigma2 double"
 
 
-def _solver(method: str, tolerance: float, underdetermined: str) -> Callable:
-    @pandas_udf(FIT_TYPE)
+def _solver(method: str, tolerance: float, underdetermined: str, covariance: bool) -> Callable:
+    @pandas_udf(FIT_TYPE + (", ginv array<double>" if covariance else ""))
     def solve(gram: pd.Series, rhs: pd.Series, yy: pd.Series, sy: pd.Series, n: pd.Series) -> pd.DataFrame:
         inverses: dict[bytes, tuple[np.ndarray, np.ndarray]] = {}
         rows = []
@@ -289,14 +289,17 @@ def _solver(method: str, tolerance: float, underdetermined: str) -> Callable:
                 sse = max(y2 - coef @ b, 0.0)
                 freedom = count - p - (2 if method == "anl" else 0)
                 sigma2 = sse / freedom if freedom > 0 else 0.0
-            rows.append((coef.tolist(), used.tolist(), float(sigma2), inverse[np.tril_indices(p)].tolist()))
-        return pd.DataFrame(rows, columns=["coef", "used", "sigma2", "ginv"])
+            row = (coef.tolist(), used.tolist(), float(sigma2))
+            rows.append((*row, inverse[np.tril_indices(p)].tolist()) if covariance else row)
+        return pd.DataFrame(rows, columns=["coef", "used", "sigma2", *(["ginv"] if covariance else [])])
 
     return solve
 
 
-def fit(statistics: DataFrame, groups: Sequence[str], method: str = "lsq", tolerance: float = DEFAULT_TOLERANCE, underdetermined: str = "min_norm") -> DataFrame:
-    """Coefficients per (group, output): coef, used, sigma2, ginv beside the statistics.
+def fit(statistics: DataFrame, groups: Sequence[str], method: str = "lsq", tolerance: float = DEFAULT_TOLERANCE, underdetermined: str = "min_norm", covariance: bool = False) -> DataFrame:
+    """Coefficients per (group, output): coef, used and sigma2 beside the sums.
+
+    ``covariance`` adds the lower triangle of the inverse Gram matrix for prediction variances.
 
     ``lsq`` and ``anl`` share the coefficients; ``anl`` takes the noise variance as the
     posterior mean SSE/(n-P-2).  ``bcs`` keeps a sparse set of terms.  With fewer samples
@@ -306,7 +309,7 @@ def fit(statistics: DataFrame, groups: Sequence[str], method: str = "lsq", toler
         raise ValueError(f"unknown regression {method!r}, expected one of {METHODS}")
     if underdetermined not in ("min_norm", "error"):
         raise ValueError(f"unknown choice {underdetermined!r}, expected 'min_norm' or 'error'")
-    solved = _solver(method, tolerance, underdetermined)("gram", "rhs", "yy", "sy", "n")
+    solved = _solver(method, tolerance, underdetermined, covariance)("gram", "rhs", "yy", "sy", "n")
     return statistics.withColumn("_fit", solved).select(*groups, "output_id", "_fit.*", "n", "yy", "sy")
 
 

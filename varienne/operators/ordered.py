@@ -1,10 +1,10 @@
 """Ordered operators that do not put a whole group into one task.
 
 ``lag``, ``row_number`` and running sums need a window per group.  A group that holds
-a third of all rows would then sort in one task.  Here every group above
-``target_rows`` is cut into chunks along its order column; windows run per chunk and
-the value carried over a chunk border comes from a per-chunk summary.  Only hot groups
-are cut, so there are at most ``2 * rows / target_rows`` summary rows to broadcast.
+a third of all rows would then sort in one task.  Groups are counted first: when all of
+them are below ``target_rows`` a plain window is used.  Otherwise the large ones are cut
+into chunks along their order column; windows run per chunk and what a chunk hands on to
+the next comes from a per-chunk summary.
 """
 
 from __future__ import annotations
@@ -14,29 +14,43 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from varienne.session import checked_broadcast
+from varienne.session import checked_broadcast, materialize
 
 TARGET_ROWS = 2_000_000
 CHUNK = "_chunk"
+#: Quantiles of the order column along which a hot group is cut before even splits inside.
+QUANTILES = 64
 
 
-def add_chunks(df: DataFrame, keys: Sequence[str], order: str, target_rows: int = TARGET_ROWS) -> DataFrame:
+def hot_groups(df: DataFrame, keys: Sequence[str], target_rows: int = TARGET_ROWS) -> DataFrame:
+    """Groups with more rows than the target: at most rows / target_rows of them."""
+    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > target_rows)
+    return materialize(counts, "hot")
+
+
+def add_chunks(df: DataFrame, keys: Sequence[str], order: str, target_rows: int = TARGET_ROWS, hot: DataFrame | None = None) -> DataFrame:
     """Add a chunk number that grows with the order column; 0 everywhere outside hot groups.
 
-    The chunk is a pure function of the row and of exact group counts, so retried tasks agree.
+    A hot group is cut at approximate quantiles of its order column and evenly in between,
+    so uneven times still give even chunks.  The cuts are written before they are used:
+    every reader sees the same ones.
     """
-    o = F.col(order).cast("double")
-    hot = (
-        df.groupBy(*keys)
-        .agg(F.count(F.lit(1)).alias("_n"), F.min(o).alias("_lo"), F.max(o).alias("_hi"))
-        .where(F.col("_n") > target_rows)
-        .select(*keys, "_lo", (F.col("_hi") - F.col("_lo")).alias("_span"), F.ceil(F.col("_n") / target_rows).alias("_k"))
-    )
-    # At most rows/target_rows groups qualify, which bounds this broadcast.
-    joined = df.join(F.broadcast(hot), list(keys), "left")
-    part = F.floor((o - F.col("_lo")) / F.col("_span") * F.col("_k"))
-    chunk = F.when(F.col("_span") > 0, F.least(part, F.col("_k") - 1)).otherwise(0)
-    return joined.withColumn(CHUNK, chunk.cast("int")).withColumn("_hot", F.col("_k").isNotNull()).drop("_lo", "_span", "_k")
+    keys, o = list(keys), F.col(order).cast("double")
+    hot = hot_groups(df, keys, target_rows) if hot is None else hot
+    if hot.isEmpty():
+        return df.withColumn(CHUNK, F.lit(0)).withColumn("_hot", F.lit(False))
+    shares = [i / QUANTILES for i in range(1, QUANTILES)]
+    cuts = df.select(*keys, o.alias("_o")).join(F.broadcast(hot), keys).groupBy(*keys).agg(
+        F.percentile_approx("_o", shares, 10 * QUANTILES).alias("_edges"), F.min("_o").alias("_lo"), F.max("_o").alias("_hi"),
+        F.ceil(F.max("_n") / F.lit(QUANTILES * target_rows)).cast("int").alias("_k"))
+    cuts = materialize(cuts, "cuts")
+    joined = df.join(F.broadcast(cuts), keys, "left")  # one row per hot group
+    cell = F.size(F.filter("_edges", lambda e: e < o))
+    low = F.coalesce(F.get("_edges", cell - 1), F.col("_lo"))
+    high = F.coalesce(F.get("_edges", cell), F.col("_hi"))
+    inside = F.when(high > low, F.least(F.floor((o - low) / (high - low) * F.col("_k")), F.col("_k") - 1)).otherwise(0)
+    chunk = F.when(F.col("_k").isNull() | o.isNull(), 0).otherwise(cell * F.col("_k") + inside)
+    return joined.withColumn(CHUNK, chunk.cast("int")).withColumn("_hot", F.col("_k").isNotNull()).drop("_edges", "_lo", "_hi", "_k")
 
 
 def ordered(
@@ -53,18 +67,36 @@ def ordered(
 ) -> DataFrame:
     """Add lags (new name -> column), running sums and a row number per key group.
 
-    Rows of a group are ordered by (*prefix, order, *ties).  Prefix columns split a group
-    into sub-groups up front, e.g. generations inside a sample.
+    Rows of a group are ordered by (*prefix, order, *ties).  Prefix columns split a large
+    group into sub-groups before it is cut, e.g. generations inside a sample.
     """
     lags, running_sums = lags or {}, running_sums or {}
-    keys, prefix = list(keys), list(prefix)
-    chunked = add_chunks(df, [*keys, *prefix], order, target_rows)
+    keys, prefix, ties = list(keys), list(prefix), list(ties)
+    if keys:
+        hot = hot_groups(df, keys, target_rows)
+        if hot.isEmpty():
+            return _plain(df, Window.partitionBy(*keys).orderBy(*prefix, order, *ties), lags, running_sums, row_number)
+        chunked = add_chunks(df, [*keys, *prefix], order, target_rows, None if prefix else hot)
+    else:
+        df = df.withColumn("_all", F.lit(0))
+        keys = ["_all"]
+        chunked = add_chunks(df, [*keys, *prefix], order, target_rows)
+    return _chunked(chunked, keys, prefix, order, ties, lags, running_sums, row_number).drop("_all")
+
+
+def _plain(df, window, lags, running_sums, row_number) -> DataFrame:
+    upto = window.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    columns = {name: F.lag(c).over(window) for name, c in lags.items()}
+    columns |= {name: F.sum(c).over(upto) for name, c in running_sums.items()}
+    if row_number:
+        columns[row_number] = F.row_number().over(window).cast("bigint")
+    return df.withColumns(columns)
+
+
+def _chunked(chunked, keys, prefix, order, ties, lags, running_sums, row_number) -> DataFrame:
     segment = [*keys, *prefix, CHUNK]
-    in_order = Window.partitionBy(*segment).orderBy(order, *ties)
-    upto = in_order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    out = chunked.withColumn("_rn", F.row_number().over(in_order))
-    out = out.withColumns({name: F.lag(c).over(in_order) for name, c in lags.items()})
-    out = out.withColumns({name: F.sum(c).over(upto) for name, c in running_sums.items()})
+    window = Window.partitionBy(*segment).orderBy(order, *ties)
+    out = _plain(chunked, window, lags, running_sums, "_rn")
 
     # What every segment hands to the next one: its size, last values and sums.
     position = F.struct(order, *ties)
@@ -74,7 +106,7 @@ def ordered(
         *[F.max_by(c, position).alias(f"_last_{name}") for name, c in lags.items()],
         *[F.sum(c).alias(f"_sum_{name}") for name, c in running_sums.items()],
     )
-    by_segment = Window.partitionBy(*keys).orderBy(*prefix, CHUNK) if keys else Window.orderBy(*prefix, CHUNK)
+    by_segment = Window.partitionBy(*keys).orderBy(*prefix, CHUNK)
     before = by_segment.rowsBetween(Window.unboundedPreceding, -1)
     carried = carried.select(
         *segment,
@@ -82,6 +114,7 @@ def ordered(
         *[F.lag(f"_last_{name}").over(by_segment).alias(f"_l_{name}") for name in lags],
         *[F.sum(f"_sum_{name}").over(before).alias(f"_s_{name}") for name in running_sums],
     )
+    # Without a prefix only hot groups have segments: about rows / target_rows of them.
     out = out.join(carried if prefix else F.broadcast(carried), segment, "left")
     fixed = {name: F.when(F.col("_rn") == 1, F.col(f"_l_{name}")).otherwise(F.col(name)) for name in lags}
     fixed |= {

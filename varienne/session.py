@@ -28,6 +28,7 @@ def build_session(app: str = "varienne", master: str | None = None, **conf: str)
         "spark.sql.adaptive.coalescePartitions.enabled": "true",
         "spark.sql.session.timeZone": "UTC",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
+        "spark.sql.execution.arrow.maxRecordsPerBatch": "4000",  # rows may carry whole vectors
         # Vector sums keep one buffer per group; fall back to sorting only with many groups per task.
         "spark.sql.objectHashAggregate.sortBased.fallbackThreshold": "1024",
         **conf,

@@ -182,7 +182,7 @@ JOIN (SELECT l_returnflag, avg(g2) AS mg, var_pop(g2) AS vg FROM ({DESIGN_SQL})
 def _predict_std(t):
     bounds = {"l_quantity": LINEITEM_BOUNDS["l_quantity"]}
     germ = design.germ_columns(bounds)
-    fits = fit.fit(fit.wide_statistics(t.design, BASIS_Q, germ, OUTPUTS, FLAG), FLAG)
+    fits = fit.fit(fit.wide_statistics(t.design, BASIS_Q, germ, OUTPUTS, FLAG), FLAG, covariance=True)
     rows = fit.with_phi(t.design, BASIS_Q, germ)
     out = rows.join(fits, FLAG)
     std = F.sqrt(fit.predict_variance(F.col("phi"), F.col("ginv"), F.col("sigma2"), BASIS_Q.n_terms))
