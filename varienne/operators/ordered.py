@@ -14,7 +14,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from varienne.session import checked_broadcast, materialize
+from varienne.session import BROADCAST_ROWS, checked_broadcast, hint_if_small, materialize
 
 TARGET_ROWS = 2_000_000
 CHUNK = "_chunk"
@@ -40,17 +40,20 @@ def add_chunks(df: DataFrame, keys: Sequence[str], order: str, target_rows: int
     if hot.isEmpty():
         return df.withColumn(CHUNK, F.lit(0)).withColumn("_hot", F.lit(False))
     shares = [i / QUANTILES for i in range(1, QUANTILES)]
-    cuts = df.select(*keys, o.alias("_o")).join(F.broadcast(hot), keys).groupBy(*keys).agg(
+    n = F.max("_n") / F.lit(target_rows)
+    cuts = df.select(*keys, o.alias("_o")).join(hint_if_small(hot), keys).groupBy(*keys).agg(
         F.percentile_approx("_o", shares, 10 * QUANTILES).alias("_edges"), F.min("_o").alias("_lo"), F.max("_o").alias("_hi"),
-        F.ceil(F.max("_n") / F.lit(QUANTILES * target_rows)).cast("int").alias("_k"))
-    cuts = materialize(cuts, "cuts")
-    joined = df.join(F.broadcast(cuts), keys, "left")  # one row per hot group
+        F.least(F.ceil(2 * n), F.lit(QUANTILES)).cast("int").alias("_m"), F.ceil(n / F.lit(QUANTILES)).cast("int").alias("_k"))
+    # One row per hot group, each with its quantiles.
+    joined = df.join(checked_broadcast(cuts, BROADCAST_ROWS // QUANTILES), keys, "left")
     cell = F.size(F.filter("_edges", lambda e: e < o))
     low = F.coalesce(F.get("_edges", cell - 1), F.col("_lo"))
     high = F.coalesce(F.get("_edges", cell), F.col("_hi"))
     inside = F.when(high > low, F.least(F.floor((o - low) / (high - low) * F.col("_k")), F.col("_k") - 1)).otherwise(0)
-    chunk = F.when(F.col("_k").isNull() | o.isNull(), 0).otherwise(cell * F.col("_k") + inside)
-    return joined.withColumn(CHUNK, chunk.cast("int")).withColumn("_hot", F.col("_k").isNotNull()).drop("_edges", "_lo", "_hi", "_k")
+    # Moderately hot groups merge neighbouring cells, so chunks stay in proportion to rows.
+    merged = F.floor(cell * F.col("_m") / F.lit(QUANTILES))
+    chunk = F.when(F.col("_k").isNull() | o.isNull(), 0).otherwise(merged * F.col("_k") + inside)
+    return joined.withColumn(CHUNK, chunk.cast("int")).withColumn("_hot", F.col("_k").isNotNull()).drop("_edges", "_lo", "_hi", "_m", "_k")
 
 
 def ordered(
@@ -114,8 +117,8 @@ def _chunked(chunked, keys, prefix, order, ties, lags, running_sums, row_number)
         *[F.lag(f"_last_{name}").over(by_segment).alias(f"_l_{name}") for name in lags],
         *[F.sum(f"_sum_{name}").over(before).alias(f"_s_{name}") for name in running_sums],
     )
-    # Without a prefix only hot groups have segments: about rows / target_rows of them.
-    out = out.join(carried if prefix else F.broadcast(carried), segment, "left")
+    # Without a prefix only hot groups have segments, at most 3 * rows / target_rows of them.
+    out = out.join(carried if prefix else checked_broadcast(carried), segment, "left")
     fixed = {name: F.when(F.col("_rn") == 1, F.col(f"_l_{name}")).otherwise(F.col(name)) for name in lags}
     fixed |= {
         name: F.when(F.col(name).isNull(), F.col(f"_s_{name}")).otherwise(F.col(name) + F.coalesce(F.col(f"_s_{name}"), F.lit(0)))

@@ -66,6 +66,11 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def hint_if_small(written: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
+    """Broadcast hint for a written table whose counted rows stay below the limit."""
+    return F.broadcast(written) if written.count() <= max_rows else written
+
+
 def checked_broadcast(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
     """Hint a broadcast only after counting the side; otherwise leave the join to AQE.
 
@@ -73,5 +78,4 @@ def checked_broadcast(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFram
     and a lost executor does not lead back to the history it was aggregated from.  Meant
     for narrow aggregates such as one row per sample.
     """
-    small = materialize(df, "side")
-    return F.broadcast(small) if small.count() <= max_rows else small
+    return hint_if_small(materialize(df, "side"), max_rows)

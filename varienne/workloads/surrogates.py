@@ -271,7 +271,7 @@ def _condition_specific(t):
 
 @query("exists_lower", SPECIFIC_SQL.replace("0.2", "0.3"))
 def _exists_lower(t):
-    st = condition_indices(t).select("condition", "param", "st").persist()
+    st = condition_indices(t).select("condition", "param", "st")
     low = st.where(F.col("st") < 0.15).select("param", F.col("condition").alias("other"))
     match = (F.col("h.param") == F.col("l.param")) & (F.col("h.condition") != F.col("l.other"))
     return rounded(st.where(F.col("st") >= 0.3).alias("h").join(low.alias("l"), match, "left_semi"), 7)
