@@ -82,3 +82,17 @@ def test_poisson_and_exponential(spark):
     df = spark.range(4000).select(rng.poisson(5.0, rng.uniform(1, "id")).alias("p"), rng.exponential(2.0, rng.uniform(2, "id")).alias("e"))
     row = df.agg(F.avg("p").alias("p"), F.var_pop("p").alias("v"), F.avg("e").alias("e")).first()
     assert row.p == pytest.approx(5, abs=0.2) and row.v == pytest.approx(5, abs=0.5) and row.e == pytest.approx(2, abs=0.2)
+
+
+def test_task_functions_travel_by_value(tmp_path):
+    """Executors without the package can still load what runs inside tasks."""
+    import subprocess
+    import sys
+
+    from pyspark import cloudpickle
+    from varienne.operators import fit
+
+    (tmp_path / "f.pkl").write_bytes(cloudpickle.dumps(fit.pseudo_inverse))
+    code = "import pickle, numpy; print(pickle.load(open('f.pkl', 'rb'))(numpy.eye(2) * 2)[0, 0])"
+    out = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, capture_output=True, text=True, timeout=120)
+    assert float(out.stdout) == 0.5, out.stderr
