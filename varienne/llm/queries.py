@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from varienne.llm.credentials import count_of, joined, linked_secrets
 from varienne.llm.near import near_duplicates
+from varienne.llm.packing import pack_sequences
 from varienne.llm.substrings import remove_repeated_windows
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -64,3 +66,22 @@ FROM w LEFT JOIN kept USING (doc_id) LEFT JOIN (SELECT doc_id, count(*) AS n FRO
 def _op6(spark, sf_dir):
     out = remove_repeated_windows(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
+@query("op7_secret_links")
+def _op7(spark, sf_dir):
+    out = linked_secrets(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", *[count_of(F.col("base"), k).alias(f"n_{k}") for k in ("assign", "access", "hex")],
+                      F.sha2(joined(F.col("base")), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"))
+
+
+def tokenizer_path() -> str:
+    """The word tokenizer among the public vocabulary files."""
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+@query("op5_vector_packing")
+def _op5(spark, sf_dir):
+    return pack_sequences(table(spark, sf_dir, "documents"), tokenizer_path()).drop("loss_tokens")
