@@ -10,14 +10,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from varienne.llm.components import components
+from varienne.llm.keys import among
 from varienne.llm.store import materialize, renamed
 from varienne.llm.text import Words, mix, slices
 
 WORDS = 5
 BANDS = 24
 ROWS = 4
-#: Rounds in which one member of a bucket meets all others, before the remaining pairs are listed.
-STAR_ROUNDS = 2
 
 SKETCH = "id bigint, n_shingles bigint, digest binary, bands array<bigint>"
 
@@ -125,11 +124,47 @@ def overlaps(batches):
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(common, pa.int64()), pa.array(union, pa.int64())], names=["a", "b", "common", "total"])
 
 
+def differences(percent: int):
+    """Function for ``mapInArrow``: (hub, member, component, two blobs) to prefix tokens of their difference.
+
+    The difference of a member is what it adds to its hub and what it lacks, listed in one order for
+    all members of a hub: additions by hash, then lacks by hash.  If i and j have differences of sizes
+    di and dj and set sizes ni and nj, they verify only if their differences have at least
+    (di + dj - (ni + nj)) / 2 + percent * (ni + nj) / (100 + percent) tokens in common.  From that follows
+    how many of the first tokens suffice for any two such members, one of which does not verify with
+    the hub, to share one.
+    """
+    alpha = (100 - percent) / (100 + percent)
+
+    def run(batches):
+        for batch in batches:
+            out = []
+            for hub, rep, component, x, y in zip(*(c for c in batch.columns)):
+                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
+                added, lacking = y[~among(y, x)], x[~among(x, y)]
+                d, n, common = len(added) + len(lacking), len(y), len(y) - len(added)
+                linked = common * 100 >= (len(x) + len(added)) * percent
+                least = (1 - alpha) * d / 2 if linked else (d - alpha * (n + len(x))) / (1 + alpha)
+                tokens = np.concatenate([added, lacking])[:max(d - int(np.ceil(least - 1e-9)) + 1, 0)].view(np.int64)
+                out.append((hub.as_py(), rep.as_py(), component.as_py(), n, d, tokens))
+            names = ["hub", "rep", "component", "n", "d", "tokens"]
+            kinds = [pa.int64()] * 5 + [pa.list_(pa.int64())]
+            yield pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], k) for i, k in enumerate(kinds)], names=names)
+
+    return run
+
+
+DIFFERENCES = "hub bigint, rep bigint, component bigint, n bigint, d bigint, tokens array<bigint>"
+
+
+def _with_sets(pairs: DataFrame, blobs: DataFrame, *also: str) -> DataFrame:
+    joined = pairs.join(blobs.select(F.col("id").alias("a"), F.col("shingles").alias("x")), "a").join(blobs.select(F.col("id").alias("b"), F.col("shingles").alias("y")), "b")
+    return joined.select("a", "b", *also, "x", "y")
+
+
 def _verified(pairs: DataFrame, blobs: DataFrame) -> DataFrame:
     """Exact intersection and union of the full sets of every pair, written."""
-    joined = pairs.join(blobs.select(F.col("id").alias("a"), F.col("shingles").alias("x")), "a").join(blobs.select(F.col("id").alias("b"), F.col("shingles").alias("y")), "b")
-    checked = joined.select("a", "b", "x", "y").mapInArrow(overlaps, "a bigint, b bigint, common bigint, total bigint")
-    return materialize(checked, "verified")
+    return materialize(_with_sets(pairs, blobs).mapInArrow(overlaps, "a bigint, b bigint, common bigint, total bigint"), "verified")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 80, words: int = WORDS,
@@ -142,12 +177,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     1. One pass over the texts gives set size, set digest and the band hashes of the SuperMinHash signature.
     2. Documents with equal sets form a class, represented by its smallest id; only classes go on.
-    3. In each band bucket the smallest class meets every other one, and the full sets are compared.
-       Classes that verify are connected through it, so their own pairs need no comparison.  Buckets
-       that still hold several components take the next member as centre; after ``STAR_ROUNDS`` the
-       remaining pairs of different components are listed.  Jaccard distance obeys the triangle
-       inequality, so a pair whose distances to a common centre differ by more than the limit is skipped,
-       as is one whose set sizes alone exclude it.
+    3. In each band bucket the smallest class, its hub, meets every other one, and the full sets are
+       compared.  Classes that verify are connected through the hub, so pairs among them need no look.
+       For the others the differences to the hub are small sets, on which a prefix filter with positions
+       finds every pair that can still verify, without listing the pairs of a bucket; these are compared too.
     4. Components of the links by star contraction.
 
     With 24 bands of 4 rows a pair at similarity 0.8 misses every bucket with probability 3e-6.
@@ -161,45 +194,30 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     classes = materialize(sketch.where("digest is not null and id is not null").groupBy("digest").agg(
         F.min("id").alias("rep"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands")), "classes")
 
-    entries = classes.select("rep", "n", F.posexplode("bands").alias("band", "h")).select(F.xxhash64("band", "h").alias("bucket"), "rep", "n")
-    shared = entries.groupBy("bucket").agg(F.count("*").alias("members"), F.min("rep").alias("centre"), F.max("rep").alias("last")).where("members > 1 and centre < last")
-    entries = materialize(entries.join(shared.select("bucket", "members", "centre"), "bucket"), "buckets")
-
-    fits = lambda a, b: F.col(a) * 100 >= F.col(b) * percent
-    links, tested = None, None
-    blobs = None
-    state = entries
-    for round_ in range(STAR_ROUNDS + 1):
-        if round_ == 0:
-            centres = state.where("rep = centre").groupBy("bucket").agg(F.min("n").alias("cn"))
-            pairs = state.where("rep <> centre").join(centres, "bucket").where(fits("n", "cn") & fits("cn", "n")).select(F.col("rep").alias("b"), F.col("centre").alias("a")).distinct()
-        elif round_ < STAR_ROUNDS:
-            centres = state.where("rep > centre").groupBy("bucket").agg(F.min(F.struct("rep", "n", "component")).alias("c")).select("bucket", "c.*")
-            centres = centres.select("bucket", F.col("rep").alias("a"), F.col("n").alias("cn"), F.col("component").alias("cc"))
-            pairs = state.where("rep > centre").join(centres, "bucket").where("rep <> a and component <> cc").where(fits("n", "cn") & fits("cn", "n"))
-            pairs = pairs.select("a", F.col("rep").alias("b")).distinct().join(tested, ["a", "b"], "left_anti")
-        else:
-            # Distances to the first centre, exact where tested; untested members were excluded by size.
-            near = tested.select(F.col("a").alias("centre"), F.col("b").alias("rep"), (1 - F.col("common") / F.col("total")).alias("away"))
-            left = state.where("rep <> centre").join(near, ["centre", "rep"], "left")
-            other = left.select("bucket", F.col("rep").alias("b"), F.col("n").alias("bn"), F.col("component").alias("bc"), F.col("away").alias("bw"))
-            pairs = left.join(other, "bucket").where("rep < b and component <> bc").where(fits("n", "bn") & fits("bn", "n"))
-            pairs = pairs.where(F.coalesce(F.abs(F.col("away") - F.col("bw")) <= 1 - percent / 100 + 1e-9, F.lit(True)))
-            pairs = pairs.select(F.col("rep").alias("a"), "b").distinct().join(tested, ["a", "b"], "left_anti")
-        pairs = materialize(pairs, "pairs")
-        if round_ and pairs.isEmpty():
-            continue
-        if blobs is None:
-            ids = entries.select(F.col("rep").alias("id")).distinct()
-            blobs = materialize(source.join(ids, "id", "left_semi").mapInArrow(set_blobs(words), "id bigint, shingles binary"), "shingles")
-        checked = _verified(pairs, blobs)
-        tested = checked if tested is None else tested.unionByName(checked)
-        links = tested.where(F.col("common") * 100 >= F.col("total") * percent).select("a", "b")
-        grouped = components(links, "a", "b")
-        if round_ < STAR_ROUNDS:
-            labelled = entries.join(grouped, entries["rep"] == grouped["node"], "left").select("bucket", "rep", "n", "members", "centre", F.coalesce("component", "rep").alias("component"))
-            open_ = labelled.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.max("members").alias("m")).where("lo < hi and m > 2").select("bucket")
-            state = materialize(labelled.join(open_, "bucket", "left_semi"), "open")
+    entries = classes.select("rep", F.posexplode("bands").alias("band", "h")).select(F.xxhash64("band", "h").alias("bucket"), "rep")
+    shared = entries.groupBy("bucket").agg(F.min("rep").alias("centre"), F.max("rep").alias("last")).where("centre < last").select("bucket", "centre")
+    entries = entries.join(shared, "bucket")
+    pairs = materialize(entries.where("rep <> centre").select(F.col("centre").alias("a"), F.col("rep").alias("b")).distinct(), "pairs")
+    ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    blobs = materialize(source.join(ids, "id", "left_semi").mapInArrow(set_blobs(words), "id bigint, shingles binary"), "shingles")
+    tested = _verified(pairs, blobs)
+    links = tested.where(F.col("common") * 100 >= F.col("total") * percent).select("a", "b")
+    grouped = components(links, "a", "b")
+
+    # Hubs with a member that did not verify and at least one more: pairs across components are open.
+    hubs = tested.groupBy("a").agg(F.count("*").alias("members"), F.min(F.col("common") * 100 >= F.col("total") * percent).alias("all")).where("members > 1 and not all").select("a")
+    labelled = tested.join(hubs, "a", "left_semi").join(grouped, F.col("b") == F.col("node"), "left").select("a", "b", F.coalesce("component", "b").alias("component"))
+    tokens = _with_sets(labelled, blobs, "component").mapInArrow(differences(percent), DIFFERENCES)
+    tokens = materialize(tokens.select("hub", "rep", "component", "n", "d", F.posexplode("tokens").alias("pos", "token")), "differences")
+    left, right = (tokens.select("hub", "token", *[F.col(c).alias(f"{c}_{side}") for c in ("rep", "component", "n", "d", "pos")]) for side in "ab")
+    sizes = F.col("n_a") + F.col("n_b")
+    least = (F.col("d_a") + F.col("d_b") - sizes) / 2 + sizes * (percent / (100 + percent))
+    reach = F.least(F.col("d_a") - F.col("pos_a"), F.col("d_b") - F.col("pos_b"))
+    found = left.join(right, (left["hub"] == right["hub"]) & (left["token"] == right["token"]) & (F.col("rep_a") < F.col("rep_b")) & (F.col("component_a") != F.col("component_b")) & (reach >= least - 1e-6))
+    more = materialize(found.select(F.col("rep_a").alias("a"), F.col("rep_b").alias("b")).distinct(), "pairs")
+    if not more.isEmpty():
+        checked = _verified(more, blobs).where(F.col("common") * 100 >= F.col("total") * percent).select("a", "b")
+        grouped = components(links.unionByName(checked), "a", "b")
     named = classes.join(grouped, classes["rep"] == grouped["node"], "left").select("digest", F.coalesce("component", "rep").alias("component"))
     # Rows that repeat an id belong to that id's component whichever text they carry.
     result = sketch.join(named, "digest", "left").select("id", "n_shingles", F.coalesce("component", "id").alias("component"))
