@@ -11,6 +11,8 @@ from varienne.llm.credentials import count_of, joined, linked_secrets
 from varienne.llm.near import near_duplicates
 from varienne.llm.packing import pack_sequences
 from varienne.llm.substrings import remove_repeated_windows
+from varienne.llm.warc import field, round_trip
+from varienne.session import scratch_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -85,3 +87,19 @@ def tokenizer_path() -> str:
 @query("op5_vector_packing")
 def _op5(spark, sf_dir):
     return pack_sequences(table(spark, sf_dir, "documents"), tokenizer_path()).drop("loss_tokens")
+
+
+OP2_SQL = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+d AS (SELECT page_id, CAST(strlen(html) AS BIGINT) AS payload_bytes, sha1(html) AS h, max(page_id) OVER (PARTITION BY html) AS first FROM p)
+SELECT page_id, payload_bytes, translate(concat(""" + ", ".join(
+    f"lpad(to_base(CAST('0x' || substr(h, {10 * i + 1}, 10) AS BIGINT), 32), 8, '0')" for i in range(4)) + """),
+  '0123456789ABCDEFGHIJKLMNOPQRSTUV', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567') AS payload_digest,
+  CASE WHEN first = page_id THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN first <> page_id THEN first END AS refers_to FROM d"""
+
+
+@query("op2_warc_transactions", OP2_SQL)
+def _op2(spark, sf_dir):
+    captures = round_trip(table(spark, sf_dir, "pages"), scratch_path(spark, "warc"))
+    return captures.select(field(F.col("metadata"), "id").cast("bigint").alias("page_id"), "payload_bytes", "payload_digest", F.col("type").alias("record_type"),
+                           F.when(F.col("type") == "revisit", field(F.col("refers"), "id").cast("bigint")).alias("refers_to"))
