@@ -9,7 +9,6 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from varienne.llm.text import slices
 
@@ -19,6 +18,7 @@ FLUSH_KEYS = 2_000_000
 BUCKET_BYTES = 16 << 20
 
 PACKED = "bucket int, final boolean, docs binary, counts binary, keys binary"
+ROUTED = "bucket int, docs binary, counts binary, keys binary"
 
 
 def bucket_count(spark, key_bytes: int) -> int:
@@ -60,6 +60,28 @@ def _reported(docs, keys, at, owner, owners_too: bool):
     return docs[later], keys[later]
 
 
+def _routed(docs: np.ndarray, keys: np.ndarray, buckets: int):
+    """(bucket, documents, counts, keys) with a bucket per document."""
+    d, n, k = _grouped(docs, keys)
+    to = ((d.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)).astype(np.int64) % buckets
+    first = np.concatenate([[0], np.cumsum(n)])
+    order = np.argsort(to, kind="stable")
+    for part in np.split(order, _runs(to[order])[1:]) if len(d) else []:
+        yield int(to[part[0]]), d[part], n[part], np.concatenate([k[first[i]:first[i + 1]] for i in part])
+
+
+def _blobs(rows: list) -> list[pa.Array]:
+    """Arrow columns of (documents, counts, keys); ids as differences, which compress well."""
+    return [pa.array([np.diff(x[0], prepend=0).tobytes() for x in rows], pa.binary()), pa.array([x[1].astype(np.uint32).tobytes() for x in rows], pa.binary()),
+            pa.array([x[2].tobytes() for x in rows], pa.binary())]
+
+
+def _opened(docs, counts, keys) -> tuple[np.ndarray, np.ndarray]:
+    """The document of every key, and the keys."""
+    d = np.cumsum(np.frombuffer(docs.as_buffer(), np.int64))
+    return np.repeat(d, np.frombuffer(counts.as_buffer(), np.uint32)), np.frombuffer(keys.as_buffer(), np.uint64)
+
+
 def pack(key_function, buckets: int, owners_too: bool, flush: int = FLUSH_KEYS):
     """Function for ``mapInArrow``: id and text to packed keys.
 
@@ -69,17 +91,8 @@ def pack(key_function, buckets: int, owners_too: bool, flush: int = FLUSH_KEYS):
     """
 
     def rows(held):
-        docs = np.concatenate([d for d, _ in held])
-        keys = np.concatenate([k for _, k in held])
-        docs, keys, at, owner = _by_key(docs, keys)
-        out = []
-        d, n, k = _grouped(*_reported(docs, keys, at, owner, owners_too))
-        if len(d):
-            to = (d.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(32)).astype(np.int64) % buckets
-            spread = np.argsort(to, kind="stable")
-            first = np.concatenate([[0], np.cumsum(n)])
-            for part in np.split(spread, _runs(to[spread])[1:]):
-                out.append((int(to[part[0]]), True, d[part], n[part], np.concatenate([k[first[i]:first[i + 1]] for i in part])))
+        docs, keys, at, owner = _by_key(np.concatenate([d for d, _ in held]), np.concatenate([k for _, k in held]))
+        out = [(b, True, *x) for b, *x in _routed(*_reported(docs, keys, at, owner, owners_too), buckets)]
         keys = keys[at]
         bucket = bucket_of(keys, buckets)
         order = np.argsort(bucket, kind="stable")
@@ -87,12 +100,8 @@ def pack(key_function, buckets: int, owners_too: bool, flush: int = FLUSH_KEYS):
         starts = _runs(bucket)
         for lo, hi in zip(starts, np.append(starts[1:], len(bucket))):
             out.append((int(bucket[lo]), False, *_grouped(owner[lo:hi], keys[lo:hi])))
-        return pa.RecordBatch.from_arrays([
-            pa.array([x[0] for x in out], pa.int32()), pa.array([x[1] for x in out], pa.bool_()),
-            # Differences of ascending ids are small numbers, which the shuffle compresses well.
-            pa.array([np.diff(x[2], prepend=0).tobytes() for x in out], pa.binary()),
-            pa.array([x[3].astype(np.uint32).tobytes() for x in out], pa.binary()),
-            pa.array([x[4].tobytes() for x in out], pa.binary())], names=["bucket", "final", "docs", "counts", "keys"])
+        return pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int32()), pa.array([x[1] for x in out], pa.bool_()), *_blobs([x[2:] for x in out])],
+                                          names=["bucket", "final", "docs", "counts", "keys"])
 
     def run(batches):
         held, size = [], 0
@@ -112,47 +121,48 @@ def pack(key_function, buckets: int, owners_too: bool, flush: int = FLUSH_KEYS):
     return run
 
 
-def resolve(owners_too: bool):
-    """Function for ``applyInArrow`` on one bucket: packed keys to (id, keys) of keys found elsewhere."""
+def resolve(buckets: int, owners_too: bool):
+    """Function for ``applyInArrow`` on a bucket of keys: those found elsewhere, by bucket of documents."""
 
     def run(group: pa.Table) -> pa.Table:
-        ids, blobs, docs, keys = [], [], [], []
-        for final, d, n, k in zip(*(group.column(c) for c in ("final", "docs", "counts", "keys"))):
-            d, n = np.cumsum(np.frombuffer(d.as_buffer(), np.int64)), np.frombuffer(n.as_buffer(), np.uint32)
-            k = np.frombuffer(k.as_buffer(), np.uint64)
+        done, docs, keys = [], [], []
+        bucket = group.column("bucket")[0].as_py()
+        for final, *blobs in zip(*(group.column(c) for c in ("final", "docs", "counts", "keys"))):
+            d, k = _opened(*blobs)
             if final.as_py():
-                ends = np.cumsum(n)
-                ids.extend(d.tolist())
-                blobs.extend(k[e - c:e].tobytes() for e, c in zip(ends, n))
+                done.append((bucket, *_grouped(d, k)))
             else:
-                docs.append(np.repeat(d, n))
+                docs.append(d)
                 keys.append(k)
         if keys:
-            d, n, k = _grouped(*_reported(*_by_key(np.concatenate(docs), np.concatenate(keys)), owners_too))
-            ends = np.cumsum(n)
-            ids.extend(d.tolist())
-            blobs.extend(k[e - c:e].tobytes() for e, c in zip(ends, n))
-        return pa.table({"id": pa.array(ids, pa.int64()), "keys": pa.array(blobs, pa.binary())})
+            done.extend(_routed(*_reported(*_by_key(np.concatenate(docs), np.concatenate(keys)), owners_too), buckets))
+        return pa.Table.from_arrays([pa.array([x[0] for x in done], pa.int32()), *_blobs([x[1:] for x in done])], names=["bucket", "docs", "counts", "keys"])
 
     return run
 
 
+def by_document(group: pa.Table) -> pa.Table:
+    """Function for ``applyInArrow`` on a bucket of documents: (id, keys), one row per document."""
+    opened = [_opened(*x) for x in zip(*(group.column(c) for c in ("docs", "counts", "keys")))]
+    d, n, k = _grouped(np.concatenate([x[0] for x in opened]), np.concatenate([x[1] for x in opened]))
+    ends = np.cumsum(n)
+    return pa.table({"id": pa.array(d, pa.int64()), "keys": pa.array([k[e - c:e].tobytes() for e, c in zip(ends, n)], pa.binary())})
+
+
 def repeated_keys(source: DataFrame, key_function, buckets: int, owners_too: bool = False, flush: int = FLUSH_KEYS) -> DataFrame:
-    """(id, array of packed keys) of documents that hold keys which smaller ids hold too.
+    """(id, packed keys) of documents that hold keys which smaller ids hold too.
 
     With ``owners_too`` the smallest holder is reported as well.  ``source`` has id and text;
     rows without an id are left out.
     """
     packed = source.where("id is not null").mapInArrow(pack(key_function, buckets, owners_too, flush), PACKED)
-    found = packed.groupBy("bucket").applyInArrow(resolve(owners_too), "id bigint, keys binary")
-    return found.groupBy("id").agg(F.collect_list("keys").alias("keys"))
+    found = packed.groupBy("bucket").applyInArrow(resolve(buckets, owners_too), ROUTED)
+    return found.groupBy("bucket").applyInArrow(by_document, "id bigint, keys binary")
 
 
-def key_set(blobs) -> np.ndarray:
-    """Sorted distinct keys of an Arrow list of packed keys, empty for null."""
-    if blobs is None or not blobs.is_valid:
-        return np.zeros(0, np.uint64)
-    return np.unique(np.concatenate([np.frombuffer(b.as_buffer(), np.uint64) for b in blobs.values] + [np.zeros(0, np.uint64)]))
+def key_set(blob) -> np.ndarray:
+    """Sorted distinct keys of a packed Arrow value, empty for null."""
+    return np.unique(np.frombuffer(blob.as_buffer(), np.uint64)) if blob is not None and blob.is_valid else np.zeros(0, np.uint64)
 
 
 def among(keys: np.ndarray, wanted: np.ndarray) -> np.ndarray:
