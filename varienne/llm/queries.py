@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from varienne.llm.credentials import count_of, joined, linked_secrets
 from varienne.llm.near import near_duplicates
 from varienne.llm.packing import pack_sequences
+from varienne.llm.quality import quality_scores
 from varienne.llm.substrings import remove_repeated_windows
 from varienne.llm.warc import field, round_trip
 from varienne.session import scratch_path
@@ -103,3 +104,19 @@ def _op2(spark, sf_dir):
     captures = round_trip(table(spark, sf_dir, "pages"), scratch_path(spark, "warc"))
     return captures.select(field(F.col("metadata"), "id").cast("bigint").alias("page_id"), "payload_bytes", "payload_digest", F.col("type").alias("record_type"),
                            F.when(F.col("type") == "revisit", field(F.col("refers"), "id").cast("bigint")).alias("refers_to"))
+
+
+def held_out(id_col: str = "doc_id"):
+    """Documents whose labels are kept for checking."""
+    return F.crc32(F.col(id_col).cast("string")) % 3 == 1
+
+
+def trusted_ids(labels: DataFrame) -> DataFrame:
+    """Good documents whose labels may be learned from."""
+    return labels.where(~held_out() & (F.col("quality") == 1)).select("doc_id")
+
+
+@query("op1_quality_classifier")
+def _op1(spark, sf_dir):
+    scores = quality_scores(table(spark, sf_dir, "documents"), trusted_ids(table(spark, sf_dir, "labels")), unlabelled=~held_out())
+    return scores.select("doc_id", held_out().alias("held_out"), "score", F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted"))
