@@ -17,6 +17,8 @@ from varienne.llm.text import Words, mix, slices
 WORDS = 5
 BANDS = 24
 ROWS = 4
+#: 64-bit words in the print of a difference.
+PRINT = 8
 
 SKETCH = "id bigint, n_shingles bigint, digest binary, bands array<bigint>"
 
@@ -132,7 +134,8 @@ def differences(percent: int):
     di and dj and set sizes ni and nj, they verify only if their differences have at least
     (di + dj - (ni + nj)) / 2 + percent * (ni + nj) / (100 + percent) tokens in common.  From that follows
     how many of the first tokens suffice for any two such members, one of which does not verify with
-    the hub, to share one.
+    the hub, to share one.  The bits mark which hash places a whole difference touches: two differences
+    differ in at least as many tokens as their bits differ in places.
     """
     alpha = (100 - percent) / (100 + percent)
 
@@ -146,15 +149,17 @@ def differences(percent: int):
                 linked = common * 100 >= (len(x) + len(added)) * percent
                 least = (1 - alpha) * d / 2 if linked else (d - alpha * (n + len(x))) / (1 + alpha)
                 tokens = np.concatenate([added, lacking])[:max(d - int(np.ceil(least - 1e-9)) + 1, 0)].view(np.int64)
-                out.append((hub.as_py(), rep.as_py(), component.as_py(), n, d, tokens))
-            names = ["hub", "rep", "component", "n", "d", "tokens"]
-            kinds = [pa.int64()] * 5 + [pa.list_(pa.int64())]
+                bits = np.zeros(64 * PRINT, np.uint8)
+                bits[(np.concatenate([added, lacking]) >> np.uint64(40)) % np.uint64(len(bits))] = 1
+                out.append((hub.as_py(), rep.as_py(), component.as_py(), n, d, np.packbits(bits).view(np.int64), tokens))
+            names = ["hub", "rep", "component", "n", "d", "bits", "tokens"]
+            kinds = [pa.int64()] * 5 + [pa.list_(pa.int64())] * 2
             yield pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], k) for i, k in enumerate(kinds)], names=names)
 
     return run
 
 
-DIFFERENCES = "hub bigint, rep bigint, component bigint, n bigint, d bigint, tokens array<bigint>"
+DIFFERENCES = "hub bigint, rep bigint, component bigint, n bigint, d bigint, bits array<bigint>, tokens array<bigint>"
 
 
 def _with_sets(pairs: DataFrame, blobs: DataFrame, *also: str) -> DataFrame:
@@ -208,12 +213,15 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     hubs = tested.groupBy("a").agg(F.count("*").alias("members"), F.min(F.col("common") * 100 >= F.col("total") * percent).alias("all")).where("members > 1 and not all").select("a")
     labelled = tested.join(hubs, "a", "left_semi").join(grouped, F.col("b") == F.col("node"), "left").select("a", "b", F.coalesce("component", "b").alias("component"))
     tokens = _with_sets(labelled, blobs, "component").mapInArrow(differences(percent), DIFFERENCES)
-    tokens = materialize(tokens.select("hub", "rep", "component", "n", "d", F.posexplode("tokens").alias("pos", "token")), "differences")
-    left, right = (tokens.select("hub", "token", *[F.col(c).alias(f"{c}_{side}") for c in ("rep", "component", "n", "d", "pos")]) for side in "ab")
+    tokens = materialize(tokens, "differences").select("hub", "rep", "component", "n", "d", *[F.get("bits", F.lit(i)).alias(f"p{i}") for i in range(PRINT)], F.posexplode("tokens").alias("pos", "token"))
+    carried = ("rep", "component", "n", "d", "pos", *[f"p{i}" for i in range(PRINT)])
+    left, right = (tokens.select("hub", "token", *[F.col(c).alias(f"{c}_{side}") for c in carried]) for side in "ab")
     sizes = F.col("n_a") + F.col("n_b")
     least = (F.col("d_a") + F.col("d_b") - sizes) / 2 + sizes * (percent / (100 + percent))
     reach = F.least(F.col("d_a") - F.col("pos_a"), F.col("d_b") - F.col("pos_b"))
-    found = left.join(right, (left["hub"] == right["hub"]) & (left["token"] == right["token"]) & (F.col("rep_a") < F.col("rep_b")) & (F.col("component_a") != F.col("component_b")) & (reach >= least - 1e-6))
+    apart = sum(F.bit_count(F.col(f"p{i}_a").bitwiseXOR(F.col(f"p{i}_b"))) for i in range(PRINT))
+    found = left.join(right, (left["hub"] == right["hub"]) & (left["token"] == right["token"]) & (F.col("rep_a") < F.col("rep_b")) & (F.col("component_a") != F.col("component_b"))
+                      & (reach >= least - 1e-6) & (apart <= sizes * ((100 - percent) / (100 + percent)) + 1e-6))
     more = materialize(found.select(F.col("rep_a").alias("a"), F.col("rep_b").alias("b")).distinct(), "pairs")
     if not more.isEmpty():
         checked = _verified(more, blobs).where(F.col("common") * 100 >= F.col("total") * percent).select("a", "b")
