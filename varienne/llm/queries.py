@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from varienne.llm.credentials import count_of, joined, linked_secrets
 from varienne.llm.decontaminate import contaminated
+from varienne.llm.fingerprints import fingerprints
 from varienne.llm.near import near_duplicates
 from varienne.llm.packing import pack_sequences
 from varienne.llm.quality import quality_scores
@@ -140,3 +141,8 @@ QUALIFY row_number() OVER (PARTITION BY doc_id, item_id ORDER BY common * 1.0 /
 @query("op3_decontamination", OP3_SQL)
 def _op3(spark, sf_dir):
     return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query("op10_fingerprints")
+def _op10(spark, sf_dir):
+    return fingerprints(table(spark, sf_dir, "documents"))
