@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import hashlib
 import math
 import re
 from collections import Counter
@@ -72,23 +71,26 @@ def parts(text: str, kinds=KINDS) -> list[tuple[int, int, int]]:
     return sorted(others + [w for w in weak if not any(o[0] < w[2] and w[0] < o[2] for o in others)]) if weak else spans
 
 
+def text_key(text: Column) -> Column:
+    """64 bits that stand for a text."""
+    return F.xxhash64(text, F.lit(7))
+
+
 def scan(batches):
-    """Function for ``mapInArrow``: id and text to parts."""
+    """Function for ``mapInArrow``: (id, text, text key) to parts."""
     for batch in batches:
         texts = batch.column(1)
         hints = {k: pc.fill_null(pc.match_substring_regex(texts, h), False).to_numpy(zero_copy_only=False) for k, h in _HINTS.items()}
         any_ = np.logical_or.reduce(list(hints.values())) if len(texts) else np.zeros(0, bool)
-        spans, rows = [], []
+        spans = []
         for i in range(len(texts)):
             if any_[i]:
                 text = texts[i].as_py()
                 spans.append([{"start": s, "kind": k, "end": e} for s, k, e in parts(text, [k for k in KINDS if hints[k][i]])])
-                rows.append(int.from_bytes(hashlib.blake2b(text.encode(), digest_size=8).digest(), "little", signed=True))
             else:
                 spans.append([])
-                rows.append(None)
         kind = pa.list_(pa.struct([("start", pa.int64()), ("kind", pa.int32()), ("end", pa.int64())]))
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, pa.int64()), pa.array(spans, kind)], names=["id", "row", "spans"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(spans, kind)], names=["id", "row", "spans"])
 
 
 def joined(spans: Column) -> Column:
@@ -101,7 +103,7 @@ def count_of(spans: Column, kind: str) -> Column:
     return F.size(F.filter(spans, lambda x: x["kind"] == KINDS.index(kind))).cast("bigint")
 
 
-def linked_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", scope: int = SCOPE) -> DataFrame:
+def linked_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", scope: int = SCOPE, with_row: bool = False) -> DataFrame:
     """Secrets of every whole text; weak parts only where complementary ones are near.
 
     Returns id_col, base and spans, both arrays of (start, kind, end) with kind an index into
@@ -117,7 +119,7 @@ def linked_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     Null or empty text: no spans.  Null ids and repeated rows: judged by their own text.  Other columns
     are ignored.
     """
-    source = renamed(docs, id_col, text_col, to=("id", "text")).withColumn("id", F.col("id").cast("bigint"))
+    source = renamed(docs, id_col, text_col, to=("id", "text")).select(F.col("id").cast("bigint").alias("id"), "text", text_key(F.col("text")).alias("row"))
     found = materialize(source.mapInArrow(scan, FOUND), "parts")
     # Rows of one text have the same parts, whatever their ids.
     rows = found.where(F.exists("spans", lambda x: x["kind"] >= len(BASE)) & (F.size("spans") > 1)).select("row", "spans").dropDuplicates(["row"])
@@ -135,5 +137,36 @@ def linked_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     kept = weak.join(reach.alias("r"), (F.col("w.row") == F.col("r.row")) & (F.col("w.bin") == F.col("r.bin")) & near & complement, "left_semi")
     linked = kept.groupBy("row").agg(F.collect_list(F.struct("start", "kind", "end")).alias("linked"))
     base = F.filter("spans", lambda x: x["kind"] < len(BASE))
-    out = found.join(linked, "row", "left").select("id", base.alias("base"), F.array_sort(F.concat(base, F.coalesce("linked", F.array().cast("array<struct<start:bigint,kind:int,end:bigint>>")))).alias("spans"))
+    out = found.join(linked, "row", "left").select("id", *["row"] * with_row, base.alias("base"), F.array_sort(F.concat(base, F.coalesce("linked", F.array().cast("array<struct<start:bigint,kind:int,end:bigint>>")))).alias("spans"))
     return out.withColumnRenamed("id", id_col)
+
+
+def masked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", scope: int = SCOPE) -> DataFrame:
+    """The documents with every reported span replaced by its kind in brackets, other columns unchanged.
+
+    Overlapping spans become one replacement, named after the first.  Rows of one id and one text are alike.
+    """
+    found = linked_secrets(docs, id_col, text_col, scope, with_row=True).where(F.size("spans") > 0).select("row", "spans").dropDuplicates(["row"])
+    at = docs.columns.index(text_col)
+    flat = docs.withColumn(" row", text_key(F.col(f"`{text_col}`")))
+    both = flat.join(found.select(F.col("row").alias(" row"), F.col("spans").alias(" spans")), " row", "left")
+    both = both.select(*[F.col(f"`{c}`") for c in docs.columns], F.col("` spans`"))
+
+    def run(batches):
+        for batch in batches:
+            texts, spans = batch.column(at), batch.column(len(batch.columns) - 1)
+            if spans.null_count < len(batch):
+                out = texts.to_pylist()
+                for i in np.flatnonzero(spans.is_valid().to_numpy(zero_copy_only=False)):
+                    text, end, parts_ = out[i], 0, []
+                    for s in spans[i].as_py():
+                        if s["start"] >= end:
+                            parts_ += [text[end:s["start"]], f"[{KINDS[s['kind']]}]"]
+                        end = max(end, s["end"])
+                    out[i] = "".join([*parts_, text[end:]])
+                texts = pa.array(out, texts.type)
+            columns = list(batch.columns[:-1])
+            columns[at] = texts
+            yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names[:-1])
+
+    return both.mapInArrow(run, docs.schema)
