@@ -10,10 +10,12 @@ from pyspark.sql import functions as F
 from varienne.llm.credentials import count_of, joined, linked_secrets
 from varienne.llm.decontaminate import contaminated
 from varienne.llm.fingerprints import fingerprints
+from varienne.llm.licenses import find_licenses
 from varienne.llm.near import near_duplicates
 from varienne.llm.packing import pack_sequences
 from varienne.llm.quality import quality_scores
 from varienne.llm.substrings import remove_repeated_windows
+from varienne.llm.suffixes import remove_repeated_strings
 from varienne.llm.warc import field, round_trip
 from varienne.session import scratch_path
 
@@ -146,3 +148,14 @@ def _op3(spark, sf_dir):
 @query("op10_fingerprints")
 def _op10(spark, sf_dir):
     return fingerprints(table(spark, sf_dir, "documents"))
+
+
+@query("op4_license_scan")
+def _op4(spark, sf_dir):
+    return find_licenses(table(spark, sf_dir, "documents"))
+
+
+@query("op8_suffix_dedup")
+def _op8(spark, sf_dir):
+    out = remove_repeated_strings(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_bytes", "n_removed", F.size("removed").cast("bigint").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
