@@ -204,7 +204,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     entries = entries.join(shared, "bucket")
     pairs = materialize(entries.where("rep <> centre").select(F.col("centre").alias("a"), F.col("rep").alias("b")).distinct(), "pairs")
     ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    blobs = materialize(source.join(ids, "id", "left_semi").mapInArrow(set_blobs(words), "id bigint, shingles binary"), "shingles")
+    # The ids grow with the documents: no broadcast, at any size.
+    blobs = materialize(source.join(ids.hint("merge"), "id", "left_semi").mapInArrow(set_blobs(words), "id bigint, shingles binary"), "shingles")
     tested = _verified(pairs, blobs)
     links = tested.where(F.col("common") * 100 >= F.col("total") * percent).select("a", "b")
     grouped = components(links, "a", "b")
