@@ -229,5 +229,5 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         grouped = components(links.unionByName(checked), "a", "b")
     named = classes.join(grouped, classes["rep"] == grouped["node"], "left").select("digest", F.coalesce("component", "rep").alias("component"))
     # Rows that repeat an id belong to that id's component whichever text they carry.
-    result = sketch.join(named, "digest", "left").select("id", "n_shingles", F.coalesce("component", "id").alias("component"))
+    result = sketch.join(named, "digest", "left").select("id", "n_shingles", F.when(F.col("id").isNotNull(), F.coalesce("component", "id")).alias("component"))
     return result.select(F.col("id").alias(id_col), "n_shingles", F.col("component").alias("component_id"), F.coalesce(F.col("id") == F.col("component"), F.lit(True)).alias("kept"))
