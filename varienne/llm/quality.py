@@ -194,11 +194,15 @@ def fit_nnpu(features: DataFrame, mean, scale, prior: float, ridge: float = RIDG
     The risk is prior * E_p[l(f)] + max(0, E_u[l(-f)] - prior * E_p[l(-f)]).  While the second part is
     positive the whole is convex in the weights and Newton's method applies; once it turns negative,
     which a true risk cannot, the step goes up its own gradient instead, so that it is not fitted further.
+    Without convergence the weights of the least risk seen are returned.
     """
     d = len(mean) + 1
-    w = np.zeros(d)
+    w, best, least = np.zeros(d), np.zeros(d), np.inf
     for _ in range(steps):
         (p_loss, z, sz, p_h), (u_loss, _, u_sz, u_h) = Moments(_totals(features, mean, scale, w), d).parts
+        risk = prior * (p_loss - z @ w) + max(0.0, u_loss - prior * p_loss) + ridge / 2 * w @ w
+        if risk < least:
+            best, least = w, risk
         curve = u_h + ridge * np.eye(d)
         if u_loss - prior * p_loss < 0:
             step = -0.5 * np.linalg.solve(curve + prior * p_h, u_sz - prior * sz)
@@ -207,8 +211,8 @@ def fit_nnpu(features: DataFrame, mean, scale, prior: float, ridge: float = RIDG
         step *= min(1.0, 4.0 / max(np.abs(step).max(), 1e-12))
         w = w - step
         if np.abs(step).max() < 1e-3:
-            break
-    return w
+            return w
+    return best
 
 
 class Model:
