@@ -158,7 +158,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
         indexed = part.select(F.col("id").alias("item"), "size", F.col("simhash").alias("g"), keys).select("item", "size", "g", "k.i", "k.v", near)
         indexed = indexed.select("item", "size", "g", "i", F.col("v").bitwiseXOR(F.col("d")).alias("v"))
         probes = windows.select("id", "start", "size", F.col("simhash").alias("f"), keys).select("id", "start", "size", "f", "k.i", "k.v")
-        close = probes.join(indexed, ["size", "i", "v"]).where(F.bit_count(F.col("f").bitwiseXOR(F.col("g"))) <= radius).select("id", "start", "item").distinct()
+        # The index has thousands of rows per item, which no size estimate knows of: no broadcast.
+        close = probes.join(indexed.hint("merge"), ["size", "i", "v"]).where(F.bit_count(F.col("f").bitwiseXOR(F.col("g"))) <= radius).select("id", "start", "item").distinct()
         both = close.join(windows.select("id", "start", "size", F.col("shingles").alias("x")), ["id", "start"]).join(
             part.select(F.col("id").alias("item"), F.col("size").alias("item_size"), F.col("shingles").alias("y")), "item").where("size = item_size")
         checked = both.select("id", "item", "start", "size", "x", "y").mapInArrow(weighted_similarity, "id bigint, item bigint, start bigint, size int, common bigint, total bigint")
