@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from varienne.llm.keys import _blobs, _grouped, _opened, _routed, _runs, among, bucket_count, bucket_of, by_document, key_set, repeated_keys, ROUTED
 from varienne.llm.store import renamed, total_bytes
 from varienne.llm.substrings import interval_lists, runs_per_document
-from varienne.llm.text import byte_table, mix, powers, slices
+from varienne.llm.text import SLICE_BYTES, byte_table, mix, powers, slices
 
 LENGTH = 50
 #: Bytes of the substring that stands for a window: the one with the smallest hash among those it holds.
@@ -18,7 +18,7 @@ ANCHOR = 26
 #: Window starts that one string may carry; longer runs are cut.
 RUN = 4096
 #: Bytes of strings that a task gathers before it removes copies and ships them.
-FLUSH_BYTES = 24 << 20
+FLUSH_BYTES = 8 << 20
 #: Symbols that are merged at once.
 MERGE_SYMBOLS = 1 << 20
 
@@ -69,11 +69,17 @@ class Strings:
         return self.anchor[rows], self.doc[rows], self.start[rows], self.count[rows], n, self.data[at]
 
     def hashes(self) -> np.ndarray:
-        """64-bit hash of every string."""
-        forward, back = powers(len(self.data) + 1)
-        sums = np.zeros(len(self.data) + 1, np.uint64)
-        np.cumsum(byte_table(5, False)[self.data] * forward[:-1], out=sums[1:])
-        return mix((sums[self.first[1:]] - sums[self.first[:-1]]) * back[self.first[:-1]] + self.size.astype(np.uint64), 5) ^ self.anchor
+        """64-bit hash of every string, some megabytes at a time."""
+        table, out, row = byte_table(5, False), np.zeros(len(self.size), np.uint64), 0
+        while row < len(out):
+            end = max(row + 1, int(np.searchsorted(self.first, self.first[row] + SLICE_BYTES, "right")) - 1)
+            first = self.first[row:end + 1] - self.first[row]
+            forward, back = powers(int(first[-1]) + 1)
+            sums = np.zeros(int(first[-1]) + 1, np.uint64)
+            np.cumsum(table[self.data[self.first[row]:self.first[end]]] * forward[:-1], out=sums[1:])
+            out[row:end] = (sums[first[1:]] - sums[first[:-1]]) * back[first[:-1]]
+            row = end
+        return mix(out + self.size.astype(np.uint64), 5) ^ self.anchor
 
     def distinct(self) -> tuple[np.ndarray, np.ndarray]:
         """Rows of the first owner of every string, and rows of later owners, all of whose windows repeat."""
