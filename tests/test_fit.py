@@ -187,3 +187,36 @@ def test_screened_surrogate(spark):
     assert out.kept == ["x0", "x2"]
     row = out.fits.first()
     assert row.n == 40 and row.sigma2 < 1e-10
+
+
+@pytest.mark.parametrize("terms", [0, 10**6])
+def test_missing_and_shifted_outputs(spark, monkeypatch, terms):
+    monkeypatch.setattr(fit, "GENERATED_SUMS", terms)
+    pdf = frame(60, BOX, lambda x, r: {"y": 6 + x.x0, "z": 1e9 + 2 * x.x0 + 0.1 * r.standard_normal(60), "w": x.x1})
+    pdf["y"] = np.where(pdf.sample_id % 3 == 0, np.nan, pdf.y)
+    pdf["g"] = np.where(pdf.sample_id % 2 == 0, "a", None)
+    df = spark.createDataFrame(pdf).repartition(3)
+    df = df.withColumn("y", F.when(F.col("sample_id") % 6 != 0, F.col("y")))  # nulls and NaN
+    basis, germ = PolynomialBasis(tuple(BOX), 1), design.germ_columns(BOX)
+    x = np.stack([2 * pdf.x0 - 1, 2 * pdf.x1 - 1], axis=1)
+    phi = np.column_stack([np.ones(60), x])
+    phi = phi if basis.indices[1] == (1, 0) else phi[:, [0, 2, 1]]
+
+    def check(rows):
+        assert len(rows) == 6
+        for r in rows:
+            use = ((pdf.g == "a") if r.g == "a" else pdf.g.isna()).to_numpy() & ~np.isnan(pdf[r.output_id].to_numpy())
+            a, b = phi[use], pdf[r.output_id].to_numpy()[use]
+            want, _, _, _ = np.linalg.lstsq(a, b - b.mean(), rcond=None)
+            sse = ((b - b.mean() - a @ want) ** 2).sum()
+            assert r.n == use.sum() and np.allclose(np.array(r.coef) - np.array([b.mean(), 0, 0]), want, atol=1e-6)
+            assert r.sigma2 == pytest.approx(sse / (use.sum() - 3), rel=1e-3, abs=1e-12)
+            assert r.syy / r.n == pytest.approx(b.var(), rel=1e-6)
+
+    check(fit.fit(fit.wide_statistics(df, basis, germ, ["y", "z", "w"], ["g"]), ["g"]).collect())
+    long_ = df.select("g", "sample_id", F.expr("stack(3, 'y', y, 'z', z, 'w', w) as (output_id, y)"))
+    long_ = long_.withColumn("g", F.coalesce("g", F.lit("none")))
+    stats = fit.long_statistics(long_, fit.with_phi(df, basis, germ).select("sample_id", "phi"), basis, ["g"])
+    check(fit.fit(stats, ["g"]).collect())
+    quality = {(r.g, r.output_id): r.r_squared for r in fit.fit_quality(fit.fit(stats, ["g"])).collect()}
+    assert all(q > 0.9 for q in quality.values())

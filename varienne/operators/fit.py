@@ -61,37 +61,49 @@ def unpack_gram(tri: np.ndarray, n_terms: int) -> np.ndarray:
     return gram + np.tril(gram, -1).T
 
 
+def present(name: str) -> Column:
+    """Whether an output has a value: neither null nor NaN."""
+    y = F.col(name).cast("double")
+    return y.isNotNull() & ~F.isnan(y)
+
+
 def wide_statistics(df: DataFrame, basis: PolynomialBasis, germ: Sequence[Column], outputs: Sequence[str], groups: Sequence[str] = ()) -> DataFrame:
-    """Statistics of samples that carry their outputs as columns, in one pass.
+    """Statistics of samples that carry their outputs as columns.
 
-    Result: one row per (group, output) with gram, rhs, yy, sy and n.  Each task sends one
-    vector of sums per group, whatever the number of samples or the skew of the groups.
+    Result: one row per (group, output) with n, gram, rhs, syy and mean, where rhs = sum of
+    phi * (y - mean) and syy = sum of (y - mean)^2, so a large mean costs no digits.  Outputs without a
+    missing value share one pass and one Gram matrix; a null or NaN leaves the sample out for
+    that output alone, which then has a pass and a Gram matrix of its own.  Each task sends one vector of
+    sums per group, whatever the number of samples or the skew of the groups.
     """
-    for o in outputs:
-        df = df.where(F.col(o).isNotNull())
-    p = basis.n_terms
-    if p * (p + 1) // 2 + len(outputs) * (p + 2) <= GENERATED_SUMS:
-        partial = _generated_sums(df, basis, germ, outputs, groups)
-    else:
-        partial = _block_sums(df, basis, germ, outputs, groups)
-    return _split_sums(partial, p, outputs, groups)
+    missing = df.agg(*[F.sum((~present(o)).cast("bigint")).alias(f"m{j}") for j, o in enumerate(outputs)]).first()
+    whole = [o for o, m in zip(outputs, missing) if not m]
+    parts = [(whole, df)] if whole else []
+    parts += [([o], df.where(present(o))) for o, m in zip(outputs, missing) if m]
+    out = None
+    for names, rows in parts:
+        p = basis.n_terms
+        small = p * (p + 1) // 2 + len(names) * (p + 2) <= GENERATED_SUMS
+        part = _split_sums((_generated_sums if small else _block_sums)(rows, basis, germ, names, groups), p, names, groups)
+        out = part if out is None else out.unionByName(part)
+    return out
 
 
 def _generated_sums(df, basis, germ, outputs, groups):
-    """Plain sums in generated code, the fastest way while there are few products."""
+    """Plain sums and covariances in generated code, the fastest way while there are few products."""
     p = basis.n_terms
     rows = with_phi(df, basis, germ).select(*groups, *outputs, *[F.col("phi")[t].alias(f"_p{t}") for t in range(p)])
     phi = [F.col(f"_p{t}") for t in range(p)]
-    entries = gram_entries(phi, p)
+    entries = [F.sum(e) for e in gram_entries(phi, p)]
     for o in outputs:
         y = F.col(o).cast("double")
-        entries += [f * y for f in phi] + [y * y, y]
-    sums = rows.groupBy(*groups).agg(F.count(F.lit(1)).alias("n"), *[F.sum(e).alias(f"_e{k}") for k, e in enumerate(entries)])
-    return sums.select(*groups, "n", F.array(*[F.col(f"_e{k}") for k in range(len(entries))]).alias("sums"))
+        entries += [F.covar_pop(f, y) * F.count(F.lit(1)) for f in phi] + [F.var_pop(y) * F.count(F.lit(1)), F.avg(y)]
+    sums = rows.groupBy(*groups).agg(F.count(F.lit(1)).alias("n"), *[e.alias(f"_e{k}") for k, e in enumerate(entries)])
+    return sums.where("n > 0").select(*groups, "n", F.array(*[F.col(f"_e{k}") for k in range(len(entries))]).alias("sums"))
 
 
-def _sum_blocks(df: DataFrame, groups: Sequence[str], block: Callable[[pd.DataFrame], np.ndarray], width: int) -> DataFrame:
-    """Sum a vector per group: numpy inside Arrow batches, one partial row per (task, group).
+def _partial_blocks(df: DataFrame, groups: Sequence[str], block: Callable[[pd.DataFrame], np.ndarray], width: int, combine: Callable) -> DataFrame:
+    """A vector per (task, group): numpy inside Arrow batches, merged by ``combine(n, a, m, b)``.
 
     A task holds at most ``BUFFERED_VALUES`` numbers; with very many groups it hands its
     partial sums on early and the final aggregation adds them up all the same.
@@ -106,10 +118,11 @@ def _sum_blocks(df: DataFrame, groups: Sequence[str], block: Callable[[pd.DataFr
         totals: dict[tuple, list] = {}
         for batch in batches:
             for key, frame in batch.groupby(list(groups), dropna=False, sort=False) if groups else [((), batch)]:
+                if not len(frame):
+                    continue
                 sums = block(frame)
                 if key in totals:
-                    totals[key][0] += len(frame)
-                    totals[key][1] += sums
+                    totals[key] = [totals[key][0] + len(frame), combine(totals[key][0], totals[key][1], len(frame), sums)]
                 else:
                     totals[key] = [len(frame), sums]
                 if len(totals) > limit:
@@ -118,37 +131,78 @@ def _sum_blocks(df: DataFrame, groups: Sequence[str], block: Callable[[pd.DataFr
         if totals:
             yield rows(totals)
 
-    partial = df.mapInPandas(run, schema)
-    return partial.groupBy(*groups).agg(F.sum("n").alias("n"), sum_vectors(F.col("sums")).alias("sums"))
+    return df.mapInPandas(run, schema)
 
 
 def _block_sums(df, basis, germ, outputs, groups):
+    """Centred sums by numpy blocks: partial vectors about their own means, moved to the common mean, then added."""
     d, m, p = len(germ), len(outputs), basis.n_terms
     inputs = df.select(*groups, *[g.alias(f"_g{i}") for i, g in enumerate(germ)], *[F.col(o).cast("double").alias(f"_y{j}") for j, o in enumerate(outputs)])
     lower = np.tril_indices(p)
+    g = len(lower[0])
+    first = np.array([t * (t + 1) // 2 for t in range(p)])  # sums of the terms: products with the constant one
+    at = [g + j * (p + 2) for j in range(m)]
 
     def block(frame: pd.DataFrame) -> np.ndarray:
         phi = basis.matrix(frame[[f"_g{i}" for i in range(d)]].to_numpy(dtype=float))
         y = frame[[f"_y{j}" for j in range(m)]].to_numpy(dtype=float)
-        rhs, yy, sy = phi.T @ y, (y * y).sum(axis=0), y.sum(axis=0)
-        return np.concatenate([(phi.T @ phi)[lower], *[np.append(rhs[:, j], [yy[j], sy[j]]) for j in range(m)]])
+        mean = y.mean(axis=0)
+        rhs, syy = phi.T @ (y - mean), ((y - mean) ** 2).sum(axis=0)
+        return np.concatenate([(phi.T @ phi)[lower], *[np.append(rhs[:, j], [syy[j], mean[j]]) for j in range(m)]])
+
+    def moved(n: int, v: np.ndarray, means: np.ndarray) -> np.ndarray:
+        out = v.copy()
+        for j, k in enumerate(at):
+            shift = v[k + p + 1] - means[j]
+            out[k:k + p] += shift * v[first]
+            out[k + p] += n * shift * shift
+            out[k + p + 1] = means[j]
+        return out
+
+    def combine(n: int, a: np.ndarray, k: int, b: np.ndarray) -> np.ndarray:
+        places = [i + p + 1 for i in at]
+        means = a[places] + (b[places] - a[places]) * (k / (n + k))
+        out = moved(n, a, means) + moved(k, b, means)
+        out[places] = means
+        return out
+
+    partial = materialize(_partial_blocks(inputs, groups, block, g + m * (p + 2), combine), "partial")
+    means = F.array(*[F.try_divide(F.sum(F.col("sums")[i + p + 1] * F.col("n")), F.sum("n")) for i in at])
+    total = partial.groupBy(*groups).agg(means.alias("means"))
+
+    @pandas_udf(T.ArrayType(T.DoubleType()))
+    def to_common(n: pd.Series, sums: pd.Series, common: pd.Series) -> pd.Series:
+        return pd.Series([moved(k, np.asarray(v), np.asarray(c)) for k, v, c in zip(n, sums, common)])
 
-    return _sum_blocks(inputs, groups, block, len(lower[0]) + m * (p + 2))
+    if groups:
+        keys = total.select(*[F.col(c).alias(f"_k{i}") for i, c in enumerate(groups)], "means")
+        same = [F.col(c).eqNullSafe(F.col(f"_k{i}")) for i, c in enumerate(groups)]
+        condition = same[0]
+        for c in same[1:]:
+            condition = condition & c
+        both = partial.join(keys, condition)
+    else:
+        both = partial.withColumn("means", total.select("means").scalar())
+    summed = both.groupBy(*groups).agg(F.sum("n").alias("n"), sum_vectors(to_common("n", "sums", "means")).alias("sums"), F.first("means").alias("means")).where("n > 0")
+    # The means were added too: put them back.
+    tail = [F.concat(F.slice("sums", g + 1 + j * (p + 2), p + 1), F.array(F.col("means")[j])) for j in range(m)]
+    return summed.select(*groups, "n", F.concat(F.slice("sums", 1, g), *tail).alias("sums"))
 
 
 def _gram_sums(samples: DataFrame, p: int, groups: Sequence[str]) -> DataFrame:
-    """Gram matrix per group from rows that carry ``phi``."""
+    """Gram matrix and number of samples per group from rows that carry ``phi``."""
     if p * (p + 1) // 2 <= GENERATED_SUMS:
         entries = gram_entries(F.col("phi"), p)
-        sums = samples.groupBy(*groups).agg(*[F.sum(e).alias(f"_e{k}") for k, e in enumerate(entries)])
-        return sums.select(*groups, F.array(*[F.col(f"_e{k}") for k in range(len(entries))]).alias("gram"))
+        sums = samples.groupBy(*groups).agg(F.count(F.lit(1)).alias("samples"), *[F.sum(e).alias(f"_e{k}") for k, e in enumerate(entries)])
+        return sums.select(*groups, "samples", F.array(*[F.col(f"_e{k}") for k in range(len(entries))]).alias("gram"))
     lower = np.tril_indices(p)
 
     def block(frame: pd.DataFrame) -> np.ndarray:
         phi = np.stack(frame["phi"].to_numpy())
         return (phi.T @ phi)[lower]
 
-    return _sum_blocks(samples.select(*groups, "phi"), groups, block, len(lower[0])).select(*groups, F.col("sums").alias("gram"))
+    partial = _partial_blocks(samples.select(*groups, "phi"), groups, block, len(lower[0]), lambda n, a, m, b: a + b)
+    return partial.groupBy(*groups).agg(F.sum("n").alias("samples"), sum_vectors(F.col("sums")).alias("gram"))
 
 
 def _split_sums(partial: DataFrame, p: int, outputs: Sequence[str], groups: Sequence[str]) -> DataFrame:
@@ -159,36 +213,54 @@ def _split_sums(partial: DataFrame, p: int, outputs: Sequence[str], groups: Sequ
         at = g + j * (p + 2)
         entries.append(F.struct(
             F.lit(o).alias("output_id"), part(at, p).alias("rhs"),
-            F.col("sums")[at + p].alias("yy"), F.col("sums")[at + p + 1].alias("sy"),
+            F.col("sums")[at + p].alias("syy"), F.col("sums")[at + p + 1].alias("mean"),
         ))
     return partial.select(*groups, "n", part(0, g).alias("gram"), F.inline(F.array(*entries)))
 
 
+def raw_rhs(gram: Column, rhs: Column, mean: Column) -> Column:
+    """Sums of phi * y: the centred sums and the mean times the sums of the terms."""
+    return F.transform(rhs, lambda r, t: r + mean * F.get(gram, (t * (t + 1) / 2).cast("int")))
+
+
+def raw_squares(syy: Column, mean: Column, n: Column) -> Column:
+    """Sum of y * y."""
+    return syy + n * mean * mean
+
+
 def long_statistics(y: DataFrame, phi: DataFrame, basis: PolynomialBasis, groups: Sequence[str], key: Sequence[str] = ("sample_id",)) -> DataFrame:
     """Statistics of a long output table (groups..., key..., output_id, y) and (key..., phi).
 
-    The Gram matrix is summed over the distinct samples of a group, the right-hand sides
-    over the rows; both are vector sums combined map-side.  Every output of a group is
-    expected for every sample, which the strategy tables guarantee.
+    The Gram matrix is summed over the distinct samples of a group, the right-hand sides over the rows with
+    a value; null and NaN count as missing, like an absent row.  Outputs that miss samples of their group get
+    a Gram matrix over their own samples.  All are sums combined map-side, about the mean of the output.
     """
     p = basis.n_terms
     key, columns = list(key), list(dict.fromkeys([*groups, *key]))
-    gram = _gram_sums(y.select(*columns).distinct().join(phi, key), p, groups)
-    rows = y.where(F.col("y").isNotNull()).join(phi, key)
-    value = F.col("y")
-    by_output = rows.groupBy(*groups, "output_id")
+    rows = y.where(present("y")).join(phi, key)
+    value = F.col("y").cast("double")
+    by_output, count = rows.groupBy(*groups, "output_id"), F.count(F.lit(1))
     if p <= PLAIN_RHS_TERMS:
         # Very many (group, output) keys: plain sums use the hash aggregate with its compact rows.
         sums = by_output.agg(
-            F.count(F.lit(1)).alias("n"), *[F.sum(F.col("phi")[t] * value).alias(f"_r{t}") for t in range(p)],
-            F.sum(value * value).alias("yy"), F.sum(value).alias("sy"))
-        rhs = sums.select(*groups, "output_id", "n", F.array(*[F.col(f"_r{t}") for t in range(p)]).alias("rhs"), "yy", "sy")
+            count.alias("n"), *[(F.covar_pop(F.col("phi")[t], value) * count).alias(f"_r{t}") for t in range(p)],
+            (F.var_pop(value) * count).alias("syy"), F.avg(value).alias("mean"))
+        rhs = sums.select(*groups, "output_id", "n", F.array(*[F.col(f"_r{t}") for t in range(p)]).alias("rhs"), "syy", "mean")
     else:
-        sums = by_output.agg(
-            F.count(F.lit(1)).alias("n"), sum_vectors(F.transform("phi", lambda f: f * value)).alias("rhs"),
-            F.sum(value * value).alias("yy"), F.sum(value).alias("sy"))
-        rhs = sums.select(*groups, "output_id", "n", "rhs", "yy", "sy")
-    return rhs.join(gram, list(groups)) if groups else rhs.withColumn("gram", gram.select("gram").scalar())
+        means = by_output.agg(F.avg(value).alias("mean"))
+        centred = rows.join(means, [*groups, "output_id"]).withColumn("_d", value - F.col("mean"))
+        rhs = centred.groupBy(*groups, "output_id").agg(
+            count.alias("n"), sum_vectors(F.transform("phi", lambda f: f * F.col("_d"))).alias("rhs"),
+            F.sum(F.col("_d") * F.col("_d")).alias("syy"), F.first("mean").alias("mean"))
+    rhs = materialize(rhs, "rhs")
+    gram = materialize(_gram_sums(y.select(*columns).distinct().join(phi, key), p, groups), "gram")
+    both = rhs.join(gram, list(groups)) if groups else rhs.withColumns({c: gram.select(c).scalar() for c in ("samples", "gram")})
+    short = both.where("n < samples").select(*groups, "output_id")
+    if short.isEmpty():
+        return both.drop("samples")
+    own = _gram_sums(rows.join(short, [*groups, "output_id"], "left_semi"), p, [*groups, "output_id"])
+    kept = rhs.join(own, [*groups, "output_id"]).drop("samples")
+    return both.where("n >= samples").drop("samples").unionByName(kept)
 
 
 # --- solvers on P-sized systems -----------------------------------------------------
@@ -212,15 +284,16 @@ def solve_normal(gram: np.ndarray, rhs: np.ndarray, inverse: np.ndarray) -> np.n
     return coef + inverse @ (rhs - gram @ coef)
 
 
-def sparse_bayes(gram: np.ndarray, rhs: np.ndarray, yy: float, n: int, sy: float, tolerance: float) -> tuple[np.ndarray, np.ndarray, float]:
+def sparse_bayes(gram: np.ndarray, centred: np.ndarray, syy: float, n: int, mean_y: float, tolerance: float) -> tuple[np.ndarray, np.ndarray, float]:
     """Sparse Bayesian regression by sequential marginal-likelihood steps.
 
     Fast marginal likelihood maximisation (Tipping and Faul 2003, as used for Bayesian
     compressive sensing by Ji et al. 2008), written on the sufficient statistics.
     Returns coefficients, the used terms and the noise variance.
     """
+    rhs = centred + mean_y * gram[:, 0]
     p = len(rhs)
-    noise = max((yy - sy * sy / n) / n, 1e-300) * 1e-2
+    noise = max(syy / n, 1e-300) * 1e-2
     alpha = np.full(p, np.inf)
     first = int(np.argmax(rhs**2 / np.clip(np.diag(gram), 1e-300, None)))
     alpha[first] = gram[first, first] / max(rhs[first] ** 2 / gram[first, first] - noise, 1e-12)
@@ -261,7 +334,9 @@ def sparse_bayes(gram: np.ndarray, rhs: np.ndarray, yy: float, n: int, sy: float
     coef = np.zeros(p)
     coef[active] = cov @ rhs[active] / noise
     used = np.isfinite(alpha)
-    residual = max(yy - 2 * coef @ rhs + coef @ gram @ coef, 0.0)
+    about = coef.copy()
+    about[0] -= mean_y
+    residual = max(syy - 2 * about @ centred + about @ gram @ about, 0.0)
     return coef, used, residual / max(n - used.sum(), 1)
 
 
@@ -270,10 +345,10 @@ FIT_TYPE = "coef array<double>, used array<boolean>, sigma2 double"
 
 def _solver(method: str, tolerance: float, underdetermined: str, covariance: bool) -> Callable:
     @pandas_udf(FIT_TYPE + (", ginv array<double>" if covariance else ""))
-    def solve(gram: pd.Series, rhs: pd.Series, yy: pd.Series, sy: pd.Series, n: pd.Series) -> pd.DataFrame:
+    def solve(gram: pd.Series, rhs: pd.Series, syy: pd.Series, mean: pd.Series, n: pd.Series) -> pd.DataFrame:
         inverses: dict[bytes, tuple[np.ndarray, np.ndarray]] = {}
         rows = []
-        for tri, b, y2, y1, count in zip(gram, rhs, yy, sy, n):
+        for tri, b, spread, centre, count in zip(gram, rhs, syy, mean, n):
             p = len(b)
             if underdetermined == "error" and count < p:
                 raise ValueError(f"{count} samples for {p} terms")
@@ -283,10 +358,16 @@ def _solver(method: str, tolerance: float, underdetermined: str, covariance: boo
                 inverses[key] = (matrix, pseudo_inverse(matrix))
             matrix, inverse = inverses[key]
             if method == "bcs":
-                coef, used, sigma2 = sparse_bayes(matrix, b, y2, count, y1, tolerance)
+                coef, used, sigma2 = sparse_bayes(matrix, b, spread, count, centre, tolerance)
             else:
-                coef, used = solve_normal(matrix, b, inverse), np.ones(p, dtype=bool)
-                sse = max(y2 - coef @ b, 0.0)
+                used = np.ones(p, dtype=bool)
+                if count < p:  # the minimum norm counts the constant too
+                    coef = solve_normal(matrix, b + centre * matrix[:, 0], inverse)
+                    sse = 0.0
+                else:
+                    coef = solve_normal(matrix, b, inverse)
+                    sse = max(spread - coef @ b, 0.0)
+                    coef[0] += centre
                 freedom = count - p - (2 if method == "anl" else 0)
                 sigma2 = sse / freedom if freedom > 0 else 0.0
             row = (coef.tolist(), used.tolist(), float(sigma2))
@@ -309,8 +390,8 @@ def fit(statistics: DataFrame, groups: Sequence[str], method: str = "lsq", toler
         raise ValueError(f"unknown regression {method!r}, expected one of {METHODS}")
     if underdetermined not in ("min_norm", "error"):
         raise ValueError(f"unknown choice {underdetermined!r}, expected 'min_norm' or 'error'")
-    solved = _solver(method, tolerance, underdetermined, covariance)("gram", "rhs", "yy", "sy", "n")
-    return statistics.withColumn("_fit", solved).select(*groups, "output_id", "_fit.*", "n", "yy", "sy")
+    solved = _solver(method, tolerance, underdetermined, covariance)("gram", "rhs", "syy", "mean", "n")
+    return statistics.withColumn("_fit", solved).select(*groups, "output_id", "_fit.*", "n", "syy", "mean")
 
 
 # --- use and quality of a fit -------------------------------------------------------
@@ -390,7 +471,7 @@ def relative_error(df: DataFrame, groups: Sequence[str], y: str = "y", yhat: str
 def fit_quality(coefs: DataFrame, statistics: DataFrame | None = None) -> DataFrame:
     """R² and sparsity from the statistics alone, without another pass over the samples."""
     n = F.col("n")
-    ss_tot = F.col("yy") - F.col("sy") * F.col("sy") / n
+    ss_tot = F.col("syy")
     ss_res = F.when(n > F.size("coef"), F.col("sigma2") * (n - F.size("coef"))).otherwise(0.0)
     small = F.size(F.filter("coef", lambda c: F.abs(c) > USED_COEFFICIENT))
     return coefs.withColumns({

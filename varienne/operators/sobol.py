@@ -64,9 +64,8 @@ def sobol_joint(coefs: DataFrame, basis: PolynomialBasis, groups: Sequence[str]
 
 
 def output_variances(statistics: DataFrame, groups: Sequence[str] = ()) -> DataFrame:
-    """Population variance of every output from its sums."""
-    mean = F.col("sy") / F.col("n")
-    return statistics.select(*groups, "output_id", F.greatest(F.col("yy") / F.col("n") - mean * mean, F.lit(0.0)).alias("output_variance"))
+    """Population variance of every output from its centred sums."""
+    return statistics.select(*groups, "output_id", (F.col("syy") / F.col("n")).alias("output_variance"))
 
 
 def variance_weighting(indices: DataFrame, variances: DataFrame, groups: Sequence[str] = ()) -> DataFrame:

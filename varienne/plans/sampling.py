@@ -19,19 +19,26 @@ Model = Callable[[DataFrame], DataFrame]
 
 def training_error(fits: DataFrame, statistics: DataFrame) -> DataFrame:
     """Relative training error per output from the sums: sqrt(Σ(y-ŷ)²/Σy²)."""
-    df = fits.select("output_id", "coef", "n").join(statistics.select("output_id", "rhs", "yy"), "output_id")
-    sse = F.greatest(F.col("yy") - fit.dot(F.col("coef"), F.col("rhs")), F.lit(0.0))
-    return df.select("output_id", "n", F.when(F.col("yy") > 0, F.sqrt(sse / F.col("yy"))).otherwise(0.0).alias("training_error"))
+    df = fits.select("output_id", "coef", "n").join(statistics.select("output_id", "rhs", "syy", "mean"), "output_id")
+    # The centred sums of the constant are zero, so the mean in its coefficient does not matter.
+    sse = F.greatest(F.col("syy") - fit.dot(F.col("coef"), F.col("rhs")), F.lit(0.0))
+    yy = fit.raw_squares(F.col("syy"), F.col("mean"), F.col("n"))
+    return df.select("output_id", "n", F.when(yy > 0, F.sqrt(sse / yy)).otherwise(0.0).alias("training_error"))
 
 
 def merge_statistics(parts: Sequence[DataFrame]) -> DataFrame:
-    """Add statistics of disjoint sample sets."""
+    """Add statistics of disjoint sample sets about their common mean; as many rows as sets and outputs."""
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
+    n = F.sum("n")
+    means = out.groupBy("output_id").agg((F.sum(F.col("mean") * F.col("n")) / n).alias("common"))
+    out = out.join(means, "output_id").withColumn("shift", F.col("mean") - F.col("common"))
+    moved = F.transform("rhs", lambda r, t: r + F.col("shift") * F.get("gram", (t * (t + 1) / 2).cast("int")))
+    out = out.withColumn("moved", moved)
     return out.groupBy("output_id").agg(
-        F.sum("n").alias("n"), fit.sum_vectors(F.col("gram")).alias("gram"), fit.sum_vectors(F.col("rhs")).alias("rhs"),
-        F.sum("yy").alias("yy"), F.sum("sy").alias("sy"))
+        n.alias("n"), fit.sum_vectors(F.col("gram")).alias("gram"), fit.sum_vectors(F.col("moved")).alias("rhs"),
+        F.sum(F.col("syy") + F.col("n") * F.col("shift") * F.col("shift")).alias("syy"), F.first("common").alias("mean"))
 
 
 def adaptive_sampling(

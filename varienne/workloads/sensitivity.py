@@ -126,7 +126,7 @@ SELECT l_returnflag, output_id, n, CAST(e AS INTEGER) AS entry, {sr('v / n')} AS
     {', '.join(f'sum({term_sql(BASIS1, i, GERM)} * y)' for i in range(BASIS1.n_terms))}]) AS v FROM ({LONG_SQL}) GROUP BY 1, 2)""")
 def _gram_rhs(t):
     stats = statistics(t, BASIS1)
-    return stats.select("l_returnflag", "output_id", "n", F.posexplode(F.concat("gram", "rhs")).alias("entry", "value")).withColumn("value", rnd(F.col("value") / F.col("n")))
+    return stats.select("l_returnflag", "output_id", "n", F.posexplode(F.concat("gram", fit.raw_rhs(F.col("gram"), F.col("rhs"), F.col("mean")))).alias("entry", "value")).withColumn("value", rnd(F.col("value") / F.col("n")))
 
 
 def coef_rows(df, basis, digits=3):
