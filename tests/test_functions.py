@@ -3,7 +3,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from varienne.functions import numeric, rng
-from varienne.functions.basis import PolynomialBasis, choose_order, graded_indices, minimum_samples, term_count
+from varienne.functions.basis import PolynomialBasis, choose_order, choose_order_column, graded_indices, minimum_samples, term_count
 from varienne.operators import design
 
 
@@ -96,3 +96,11 @@ def test_task_functions_travel_by_value(tmp_path):
     code = "import pickle, numpy; print(pickle.load(open('f.pkl', 'rb'))(numpy.eye(2) * 2)[0, 0])"
     out = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, capture_output=True, text=True, timeout=120)
     assert float(out.stdout) == 0.5, out.stderr
+
+
+@pytest.mark.parametrize("d", [1, 2, 3, 6])
+def test_order_has_no_ceiling(spark, d):
+    counts = [0, 1, 5, 12, 100, 1000, 12345, 3_000_000]
+    counts = counts[:-1] if d == 1 else counts
+    got = spark.createDataFrame([(n,) for n in counts], "n long").select("n", choose_order_column(d, F.col("n")).alias("o")).collect()
+    assert {r.n: r.o for r in got} == {n: choose_order(d, n) for n in counts}

@@ -284,7 +284,7 @@ def test_spectrum_matches_fft(spark, n):
 @pytest.mark.parametrize("block", [8, 64, 4096])
 def test_lag_products_match_correlate(spark, block):
     values, df = waves(spark, 50)
-    out = signals.lag_products(df, block=block).toPandas().set_index("lag")["c"]
+    out = signals.lag_products(df, 50, block=block).toPandas().set_index("lag")["c"]
     want = np.correlate(values[0], values[1], mode="full")
     assert np.allclose(out.reindex(range(-49, 50)), want)
     limited = signals.lag_products(df, 5, block=block).toPandas().set_index("lag")["c"]
@@ -295,7 +295,7 @@ def test_delayed_series_leads(spark):
     x = np.random.default_rng(3).normal(size=80)
     rows = [("a", t, float(x[t])) for t in range(80)] + [("b", t, float(x[t - 4]) if t >= 4 else 0.0) for t in range(80)]
     df = spark.createDataFrame(rows, "series string, step bigint, value double")
-    peak = signals.lag_correlation(df, dt=0.5).first()
+    peak = signals.lag_correlation(df, 40, dt=0.5).first()
     assert peak.lag == -2.0 and peak.peak > 0.8
     scores = {(r.source, r.target): r.score for r in signals.lead_lag_matrix(df, 20).collect()}
     assert scores[("a", "b")] > 0 and scores[("b", "a")] == -scores[("a", "b")]

@@ -40,10 +40,23 @@ def choose_order(n_params: int, n_samples: int) -> int:
     return order
 
 
-def choose_order_column(n_params: int, n_samples: Column, max_order: int = 64) -> Column:
-    """The same choice for a column of sample counts, up to a highest order."""
-    needed = F.array(*[F.lit(minimum_samples(n_params, p)) for p in range(1, max_order + 1)])
-    return F.greatest(F.size(F.filter(needed, lambda m: m <= n_samples)), F.lit(1))
+def choose_order_column(n_params: int, n_samples: Column) -> Column:
+    """The same choice for a column of sample counts.
+
+    With r the n_params-th root of n_params! * n / 2 the order lies between r - (n_params + 1) / 2 and r
+    (arithmetic and geometric mean of the factors), so only the few orders in between are tried.
+    """
+    d = n_params
+    root = F.pow(n_samples * float(factorial(d)) / 2.0, F.lit(1.0 / d))
+    tried = F.sequence(F.greatest(F.floor(root - (d + 1) / 2) - 1, F.lit(1).cast("bigint")), F.greatest(F.floor(root) + 1, F.lit(1).cast("bigint")))
+
+    def fits(p: Column) -> Column:
+        terms = F.lit(1.0)
+        for k in range(1, d + 1):
+            terms = terms * (p + k)
+        return 2.0 * terms <= n_samples * float(factorial(d))
+
+    return F.greatest(F.coalesce(F.array_max(F.filter(tried, fits)), F.lit(1).cast("bigint")), F.lit(1).cast("bigint")).cast("int")
 
 
 def poly_coefficients(family: str, degree: int) -> np.ndarray:

@@ -63,7 +63,7 @@ def _stat_structs(columns: Sequence[str]) -> Column:
 def array_stats(df: DataFrame, array: str, groups: Sequence[str] = (), method: str = "explode") -> DataFrame:
     """Mean, sample deviation and count per array position (1-based) and group.
 
-    ``explode`` takes ragged arrays and null elements.  ``vector`` needs dense arrays of
+    ``explode`` takes ragged arrays and null elements; ``n`` counts rows, null elements included.  ``vector`` needs dense arrays of
     one width: whole vectors are accumulated map-side in the JVM, so no element becomes a
     row and only one vector of statistics per (task, group) is shuffled.  Measured on
     60,000 vectors of 1,024 numbers it adds about a third to the bare scan, numpy blocks
@@ -72,7 +72,7 @@ def array_stats(df: DataFrame, array: str, groups: Sequence[str] = (), method: s
     if method == "explode":
         value = F.col("value").cast("double")
         return explode_with_index(df, array, groups).groupBy(*groups, "idx").agg(
-            F.avg(value).alias("mean"), F.stddev_samp(value).alias("std"), F.count(value).alias("n")
+            F.avg(value).alias("mean"), F.stddev_samp(value).alias("std"), F.count(F.lit(1)).alias("n")
         )
     if method != "vector":
         raise ValueError(f"unknown method {method!r}, expected 'explode' or 'vector'")

@@ -433,7 +433,7 @@ def predict(points: DataFrame, coefs: DataFrame, groups: Sequence[str] = (), phi
     With the number of terms given, a short product stays in generated code.
     """
     if groups:
-        joined = points.join(coefs.select(*groups, *keep), list(groups))
+        joined = points.join(coefs.select(*groups, *[c for c in keep if c not in groups]), list(groups))
     else:
         joined = every_fit(points, coefs, list(keep))
     return joined.withColumn("yhat", dot_terms(F.col(phi), F.col("coef"), n_terms) if n_terms else dot(F.col(phi), F.col("coef")))

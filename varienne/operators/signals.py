@@ -22,7 +22,6 @@ STD_EPSILON = 1e-10
 DB_EPSILON = 1e-10
 TRANSFER_EPSILON = 1e-10
 DEFAULT_BLOCK = 4096
-MAX_SEGMENT = 256
 _DOUBLES = T.ArrayType(T.DoubleType())
 
 # Sample rate of the frequency axis and the band limits in Hz.
@@ -39,25 +38,24 @@ def normalize_series(series: DataFrame) -> DataFrame:
 
 
 @pandas_udf(_DOUBLES)
-def _block_correlation(x: pd.Series, y: pd.Series, block: pd.Series) -> pd.Series:
-    """Full correlation of two sparse blocks given as (offset, value) entries."""
+def _block_correlation(xo: pd.Series, xv: pd.Series, yo: pd.Series, yv: pd.Series, block: pd.Series) -> pd.Series:
+    """Full correlation of two sparse blocks given as offsets and values."""
 
-    def dense(entries, b):
+    def dense(offsets, values, b):
         out = np.zeros(b)
-        for e in entries:
-            out[e["o"]] = e["v"]
+        out[offsets] = values
         return out
 
     out = []
-    for a, c, b in zip(x, y, block):
+    for ao, av, co, cv, b in zip(xo, xv, yo, yv, block):
         size = 1 << (2 * b - 1).bit_length()
-        spectrum = np.fft.rfft(dense(a, b), size) * np.conj(np.fft.rfft(dense(c, b), size))
+        spectrum = np.fft.rfft(dense(ao, av, b), size) * np.conj(np.fft.rfft(dense(co, cv, b), size))
         raw = np.fft.irfft(spectrum, size)
         out.append(np.concatenate([raw[size - b + 1:], raw[:b]]))
     return pd.Series(out)
 
 
-def lag_products(series: DataFrame, max_lag: int | None = None, block: int = DEFAULT_BLOCK) -> DataFrame:
+def lag_products(series: DataFrame, max_lag: int, block: int = DEFAULT_BLOCK) -> DataFrame:
     """Σ_t x_i[t]·x_j[t-lag] for every pair i<j of series and every lag up to the limit.
 
     Steps are grouped into blocks of fixed length.  Pairs of blocks within reach of the lag
@@ -67,24 +65,22 @@ def lag_products(series: DataFrame, max_lag: int | None = None, block: int = DEF
     entry = F.struct((F.col("step") % block).cast("int").alias("o"), F.col("value").alias("v"))
     blocks = series.groupBy("series", F.floor(F.col("step") / block).cast("int").alias("b")).agg(F.collect_list(entry).alias("x"))
     blocks = materialize(blocks, "blocks")
-    reach = None if max_lag is None else math.ceil(max_lag / block) + 1
+    reach = math.ceil(max_lag / block) + 1
     top = blocks.agg(F.max("b").alias("m")).select("m").scalar()
     left = blocks.withColumnRenamed("series", "series_i").withColumnRenamed("x", "xi").withColumn("_top", top)
-    first = F.lit(0) if reach is None else F.greatest(F.col("b") - reach, F.lit(0))
-    last = F.col("_top") if reach is None else F.least(F.col("b") + reach, F.col("_top"))
+    first, last = F.greatest(F.col("b") - reach, F.lit(0)), F.least(F.col("b") + reach, F.col("_top"))
     left = left.withColumn("q", F.explode(F.sequence(first, last))).drop("_top")
     right = blocks.select(F.col("series").alias("series_j"), F.col("b").alias("q"), F.col("x").alias("xj"))
     pairs = left.join(right, "q").where(F.col("series_i") < F.col("series_j"))
     products = pairs.select(
         "series_i", "series_j", ((F.col("b") - F.col("q")) * block - (block - 1)).alias("_start"),
-        F.posexplode(_block_correlation("xi", "xj", F.lit(block))).alias("p", "c"))
+        F.posexplode(_block_correlation("xi.o", "xi.v", "xj.o", "xj.v", F.lit(block))).alias("p", "c"))
     lagged = products.withColumn("lag", (F.col("_start") + F.col("p")).cast("int"))
-    if max_lag is not None:
-        lagged = lagged.where(F.abs("lag") <= max_lag)
+    lagged = lagged.where(F.abs("lag") <= max_lag)
     return lagged.groupBy("series_i", "series_j", "lag").agg(F.sum("c").alias("c"))
 
 
-def lag_correlation(series: DataFrame, dt: float = 1.0, max_lag: int | None = None, block: int = DEFAULT_BLOCK) -> DataFrame:
+def lag_correlation(series: DataFrame, max_lag: int, dt: float = 1.0, block: int = DEFAULT_BLOCK) -> DataFrame:
     """Peak normalised cross-correlation of every pair and the lag where it occurs."""
     z = normalize_series(series)
     lengths = z.groupBy("series").agg(F.max("n").alias("n"))
@@ -198,14 +194,13 @@ def inverse_spectrum(spectra: DataFrame) -> DataFrame:
 
 
 @pandas_udf(T.StructType([T.StructField("re", _DOUBLES), T.StructField("im", _DOUBLES)]))
-def _segment_fft(values: pd.Series) -> pd.DataFrame:
-    """Windowed, mean-free spectrum of one segment given as (offset, value) entries."""
+def _segment_fft(offsets: pd.Series, values: pd.Series) -> pd.DataFrame:
+    """Windowed, mean-free spectrum of one segment given as offsets and values."""
     re, im = [], []
-    for entries in values:
-        n = len(entries)
+    for o, v in zip(offsets, values):
+        n = len(v)
         x = np.zeros(n)
-        for e in entries:
-            x[e["o"]] = e["v"]
+        x[o] = v
         window = 0.5 - 0.5 * np.cos(2 * math.pi * np.arange(n) / n)
         f = np.fft.rfft((x - x.mean()) * window)
         re.append(f.real)
@@ -216,7 +211,8 @@ def _segment_fft(values: pd.Series) -> pd.DataFrame:
 def segment_spectra(series: DataFrame, length: int) -> DataFrame:
     """Spectra of half-overlapping segments: (series, segment, k, re, im).
 
-    Every step belongs to at most two segments, and a segment has a fixed length.
+    Every step belongs to at most two segments, and a segment has a fixed length.  Steps after the last whole
+    segment (fewer than length - length // 2) belong to none.
     """
     hop = length - length // 2
     last = F.floor(F.col("step") / hop)
@@ -224,7 +220,7 @@ def segment_spectra(series: DataFrame, length: int) -> DataFrame:
     rows = series.withColumn("segment", F.explode(F.sequence(first, last)))
     entry = F.struct((F.col("step") - F.col("segment") * hop).cast("int").alias("o"), F.col("value").alias("v"))
     segments = rows.groupBy("series", "segment").agg(F.collect_list(entry).alias("e")).where(F.size("e") == length)
-    spectra = segments.select("series", "segment", _segment_fft("e").alias("s"))
+    spectra = segments.select("series", "segment", _segment_fft("e.o", "e.v").alias("s"))
     return spectra.select("series", "segment", F.posexplode(F.arrays_zip("s.re", "s.im")).alias("k", "z")).select(
         "series", "segment", "k", F.col("z.re").alias("re"), F.col("z.im").alias("im"))
 
@@ -254,7 +250,3 @@ def coherence(series: DataFrame, length: int, dt: float = 1.0) -> DataFrame:
         F.when(power > 0, cross / power).otherwise(0.0).alias("coherence"),
         (F.col("cr") * scale / (F.col("pa") * scale + TRANSFER_EPSILON)).alias("transfer_re"),
         (F.col("ci") * scale / (F.col("pa") * scale + TRANSFER_EPSILON)).alias("transfer_im"))
-
-
-def segment_length(n: int) -> int:
-    return min(MAX_SEGMENT, n // 4)

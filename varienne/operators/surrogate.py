@@ -66,7 +66,8 @@ def local_sensitivity(points: DataFrame, coefs: DataFrame, basis: PolynomialBasi
     rows = rows.withColumn("phi", diff)
     out = predict(rows, coefs, groups, n_terms=basis.n_terms)
     slope = F.abs(F.col("yhat")) / (2.0 * F.col("_d") + SENSITIVITY_EPSILON)
-    return out.select(*keep, *[g for g in groups if g not in keep], "output_id", "param_id", "param", slope.alias("sensitivity"))
+    labels = [c for c in dict.fromkeys([*groups, "output_id"]) if c not in keep]
+    return out.select(*keep, *labels, "param_id", "param", slope.alias("sensitivity"))
 
 
 def midpoint(spark, bounds: Bounds) -> DataFrame:
@@ -120,8 +121,7 @@ def suggest_point(candidates: DataFrame, coefs: DataFrame, basis: PolynomialBasi
 
 def _slopes_at(best: DataFrame, coefs: DataFrame, basis: PolynomialBasis, bounds: Bounds) -> DataFrame:
     """Local slopes of each output at its own best point."""
-    out = local_sensitivity(best.withColumnRenamed("output_id", "_own"), coefs, basis, bounds, SUGGEST_STEP)
-    return out.where(F.col("_own") == F.col("output_id"))
+    return local_sensitivity(best, coefs, basis, bounds, SUGGEST_STEP, ["output_id"])
 
 
 def search_targets(coefs: DataFrame, targets: DataFrame, basis: PolynomialBasis, bounds: Bounds, seed: int, n_candidates: int = 512, rounds: int = 4, shrink: float = 0.25) -> DataFrame:

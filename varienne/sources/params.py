@@ -18,9 +18,6 @@ DEFAULT_PARAMETERS = (
     ("cell_dry_mass_fraction", "mass.cell_dry_mass_fraction", 0.25, 0.35),
 )
 
-LONG_LIST = 200
-LONG_LIST_HEAD = 5
-
 
 def read_params(spark: SparkSession, path: str) -> DataFrame:
     """Parameter specifications from a JSON list: (param_id, name, attr_path, lo, hi, idx, description)."""
@@ -62,14 +59,7 @@ def _leaves(schema: T.DataType, path: tuple[str, ...], depth: int, max_depth: in
 
 
 def _text(c: Column, dtype: T.DataType) -> Column:
-    if isinstance(dtype, T.ArrayType):
-        full = F.to_json(c)
-        head = F.concat(
-            F.lit("["), F.size(c).cast("string"), F.lit(" elements] "),
-            F.to_json(F.slice(c, 1, LONG_LIST_HEAD)), F.lit("..."),
-        )
-        return F.when(F.size(c) > LONG_LIST, head).otherwise(full)
-    if isinstance(dtype, (T.StructType, T.MapType)):
+    if isinstance(dtype, (T.ArrayType, T.StructType, T.MapType)):
         return F.to_json(c)
     return F.coalesce(c.cast("string"), F.lit(""))
 
@@ -78,7 +68,8 @@ def flatten_params(df: DataFrame, column: str, keys: list[str] | None = None, ma
     """Nested parameter document to long rows (path, value, unit, dtype).
 
     The tree is walked in the schema; the rows come from one explode of a constant
-    number of structs, so the document table is read once and never shuffled.
+    number of structs, so the document table is read once and never shuffled.  Arrays are
+    kept whole, as JSON.
     """
     root = df.schema[column].dataType
     entries = []

@@ -64,12 +64,12 @@ def _aggregate_proteome(t):
 
 
 @query("aggregate_fluxes", A + f""", f AS ({FIELD_IDS_SQL})
-SELECT generation, x.idx, f.id, {sr('avg(value / (dry_mass / cell_mass * 1100))', 9)} AS mean,
-  {sr('stddev_samp(value / (dry_mass / cell_mass * 1100))', 9)} AS std, count(*) AS n
-FROM x JOIN f ON x.idx = f.idx AND contains(f.id, 'EX_') WHERE dry_mass > 0 GROUP BY ALL""")
+SELECT generation, x.idx, f.id, {sr('avg(value / nullif(dry_mass / nullif(cell_mass, 0) * 1100, 0))', 9)} AS mean,
+  {sr('stddev_samp(value / nullif(dry_mass / nullif(cell_mass, 0) * 1100, 0))', 9)} AS std, count(*) AS n
+FROM x JOIN f ON x.idx = f.idx AND contains(f.id, 'EX_') GROUP BY ALL""")
 def _aggregate_fluxes(t):
-    df = t.arrays.where(F.col(DRY_MASS) > 0).withColumn("flux", convert_fluxes(F.col(COUNTS), F.col(DRY_MASS), F.col(CELL_MASS)))
-    stats = aggregate.array_stats(df, "flux", ["generation"], method="vector")
+    df = t.arrays.withColumn("flux", convert_fluxes(F.col(COUNTS), F.col(DRY_MASS), F.col(CELL_MASS)))
+    stats = aggregate.array_stats(df, "flux", ["generation"], method="explode")
     return rounded(attach_feature_ids(stats, t.field_ids, exchange_only=True), 9)
 
 

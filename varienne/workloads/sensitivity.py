@@ -98,7 +98,7 @@ def _multi_indices(t):
 
 
 @query("choose_order", """
-SELECT l_suppkey, l_returnflag, count(*) AS n, CAST(greatest((SELECT count(*) FROM range(1, 65) r(p) WHERE 2 * ((p + 1) * (p + 2) * (p + 3) // 6) <= g.n), 1) AS INTEGER) AS polynomial_order
+SELECT l_suppkey, l_returnflag, count(*) AS n, CAST(greatest((SELECT count(*) FROM range(1, (SELECT CAST(ceil(sqrt(count(*))) AS BIGINT) + 10 FROM lineitem)) r(p) WHERE 2 * ((p + 1) * (p + 2) * (p + 3) // 6) <= g.n), 1) AS INTEGER) AS polynomial_order
 FROM (SELECT l_suppkey, l_returnflag, count(*) OVER (PARTITION BY l_suppkey, l_returnflag) AS n FROM lineitem) g GROUP BY l_suppkey, l_returnflag, g.n""")
 def _choose_order(t):
     counts = t.lineitem.groupBy("l_suppkey", "l_returnflag").agg(F.count(F.lit(1)).alias("n"))
@@ -116,6 +116,36 @@ def _design_join_outputs(t):
     return t.part.join(y, F.col("p_partkey") == F.col("l_partkey")).select("p_partkey", "p_size", "p_retailprice", rnd("y", 8).alias("y"))
 
 
+#: A third of one output missing as null or NaN, the other far from zero.
+MISSING_SQL = f"""
+SELECT l_returnflag, g0, g1, g2, output_id, CASE WHEN output_id = 'y1' THEN y + 1e9 WHEN (l_orderkey + l_linenumber) % 3 <> 0 THEN y END AS y FROM ({LONG_SQL})"""
+MISSING_FIT_SQL = fit_sql(f"SELECT * FROM ({MISSING_SQL}) WHERE y IS NOT NULL", BASIS2, GERM, ["l_returnflag", "output_id"])
+
+
+def missing_statistics(t):
+    gone = (F.col("l_orderkey") + F.col("l_linenumber")) % 6
+    y0 = F.when(gone == 0, F.lit(float("nan"))).when(gone != 3, F.col("y0"))
+    d = t.design.withColumns({"y0": y0, "y1": F.col("y1") + 1e9})
+    return fit.wide_statistics(d, BASIS2, design.germ_columns(LINEITEM_BOUNDS), OUTPUTS, FLAG)
+
+
+@query("fit_missing_shifted", f"""
+SELECT l_returnflag, output_id, n, {sr('c0', 3)} AS c0, {sr('c1', 3)} AS c1, {sr('c9', 3)} AS c9, {sr('e2 * n / (n - 10)', 1)} AS sigma2, {sr('1 - e2 / vy', 7)} AS r_squared FROM ({MISSING_FIT_SQL})""")
+def _fit_missing_shifted(t):
+    out = fit.fit_quality(fit.fit(missing_statistics(t), FLAG))
+    coefs = [F.col("coef")[i].alias(f"c{i}") for i in (0, 1, 9)]
+    return rounded(out.select("l_returnflag", "output_id", "n", *coefs, "sigma2", "r_squared"), 3, sigma2=1, r_squared=7)
+
+
+@query("variance_weighting_shifted", f"""
+WITH f AS ({MISSING_FIT_SQL}), s AS ({sobol_sql(MISSING_FIT_SQL, BASIS2, ['l_returnflag', 'output_id'])})
+SELECT s.l_returnflag, param, {sr('sum(s1 * vy) / sum(vy)', 7)} AS s1, {sr('sum(st * vy) / sum(vy)', 7)} AS st FROM s JOIN f USING (l_returnflag, output_id) GROUP BY ALL""")
+def _variance_weighting_shifted(t):
+    fits = fit.fit(missing_statistics(t), FLAG)
+    out = sobol.variance_weighting(sobol.sobol_indices(fits, BASIS2, FLAG), sobol.output_variances(fits, FLAG), FLAG)
+    return rounded(out.select("l_returnflag", "param", "s1", "st"), 7)
+
+
 TRI1 = [(i, j) for i in range(BASIS1.n_terms) for j in range(i + 1)]
 
 

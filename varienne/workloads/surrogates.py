@@ -165,17 +165,17 @@ def _find_target(t):
     return surrogate.search_targets(global_fit(t), targets, BASIS2, BOUNDS, seed=7, n_candidates=256)
 
 
-#: Three modes per supplier from its lines: frequency, damping and amplitude.
+#: Modes per supplier from its lines: frequency, damping and amplitude; the last one lacks an amplitude.
 SPECTRAL_SQL = f"""
 SELECT l_suppkey, CAST(output_id AS INTEGER) AS idx, ({predict_sql(BASIS1, GERM)}) / 10000 AS yhat
-FROM (SELECT l_suppkey, {germ_sql(PARAMS)} FROM ({POINTS_SQL})) p, ({fit_sql(STAGED_SQL, BASIS1, GERM, ['output_id'])}) f WHERE CAST(output_id AS INTEGER) < 12"""
+FROM (SELECT l_suppkey, {germ_sql(PARAMS)} FROM ({POINTS_SQL})) p, ({fit_sql(STAGED_SQL, BASIS1, GERM, ['output_id'])}) f"""
 MODES_SQL = f"""
 SELECT l_suppkey, CAST(idx // 3 AS INTEGER) AS mode, max(CASE WHEN idx % 3 = 0 THEN yhat END) AS omega,
   max(CASE WHEN idx % 3 = 1 THEN yhat END) AS sigma, max(CASE WHEN idx % 3 = 2 THEN yhat END) AS amplitude FROM ({SPECTRAL_SQL}) GROUP BY ALL"""
 
 
 def modes(t):
-    out = surrogate.predict_at(supplier_points(t), staged_fit(t).where(F.col("output_id").cast("int") < 12), BASIS1, BOUNDS)
+    out = surrogate.predict_at(supplier_points(t), staged_fit(t), BASIS1, BOUNDS)
     return surrogate.spectral_features(out.withColumn("yhat", F.col("yhat") / 10000), ["l_suppkey"])
 
 
@@ -194,6 +194,9 @@ def _resynthesize(t):
 
 # --- conditions ------------------------------------------------------------------------
 
+#: The order priorities.
+PRIORITIES = ("1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW")
+
 #: Conditions are order priorities; a noisy output gives every input some weight.
 CONDITION_DATA_SQL = """
 SELECT o_orderpriority AS condition, 'z' AS output_id, 2 * l_discount / 0.1 - 1 AS g0, 2 * l_tax / 0.08 - 1 AS g1, 2 * (l_quantity - 1) / 49.0 - 1 AS g2,
@@ -233,10 +236,10 @@ def _multi_condition_fit(t):
     return rounded(result.indices.select("condition", "output_id", "param", "s1", "st"), 7)
 
 
-@query("union_conditions", f"SELECT condition, param, {sr('st', 7)} AS st FROM ({CONDITION_SQL}) WHERE condition IN ('1-URGENT', '5-LOW')")
+@query("union_conditions", f"SELECT condition, param, {sr('st', 7)} AS st FROM ({CONDITION_SQL})")
 def _union_conditions(t):
     idx = condition_indices(t)
-    parts = {c: idx.where(F.col("condition") == c).select("param", "st") for c in ("1-URGENT", "5-LOW")}
+    parts = {c: idx.where(F.col("condition") == c).select("param", "st") for c in PRIORITIES}
     return rounded(conditions.union_conditions({**parts, "absent": None}), 7)
 
 
@@ -294,11 +297,13 @@ def _condition_pairs(t):
 
 @query("compare_runs", f"""
 SELECT param, {sr("coalesce(max(CASE WHEN l_returnflag = 'A' THEN st END), 0)", 8)} AS A, {sr("coalesce(max(CASE WHEN l_returnflag = 'R' THEN st END), 0)", 8)} AS R,
+  {sr("coalesce(max(CASE WHEN l_returnflag = 'N' THEN st END), 0)", 8)} AS N,
   {sr("coalesce(max(CASE WHEN l_returnflag = 'R' THEN st END), 0) - coalesce(max(CASE WHEN l_returnflag = 'A' THEN st END), 0)", 8)} AS delta
 FROM ({SOBOL2_SQL}) WHERE output_id = 'y1' GROUP BY param HAVING count(*) FILTER (WHERE l_returnflag = 'A') > 0""")
 def _compare_runs(t):
     st = indices(t).where("output_id = 'y1'").select("l_returnflag", "param", "st")
-    return rounded(conditions.compare_runs(st, ["A", "R"], run="l_returnflag"), 8)
+    two, three = (conditions.compare_runs(st, runs, run="l_returnflag") for runs in (["A", "R"], ["A", "N", "R"]))
+    return rounded(three.join(two.select("param", "delta"), "param"), 8)
 
 
 @query("key_findings", f"""
