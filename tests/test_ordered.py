@@ -131,3 +131,13 @@ def test_adaptive_replicates(spark):
     assert got.loc["few", "n_used"] == 2 and got.loc["few", "y"] == 5.0
     limited = replicates.adaptive_replicates(spark.createDataFrame(rows, "k string, i int, v double"), ["k"], "v", ["i"])
     assert "WindowGroupLimit" in limited._jdf.queryExecution().toString()
+
+
+def test_broadcasts_follow_rows_and_width(spark):
+    from varienne.session import hint_if_small, materialize, measure
+
+    wide = materialize(spark.range(100).selectExpr("id", "transform(sequence(1, 1000), x -> cast(x as double)) as a", "repeat('x', 50) as s"), "wide")
+    rows, size = measure(wide)
+    assert rows == 100 and 100 * (8000 + 50) < size < 100 * 8200
+    hinted = lambda df: "broadcast" in df._jdf.queryExecution().logical().toString().lower()
+    assert hinted(hint_if_small(wide)) and not hinted(hint_if_small(wide, max_rows=99)) and not hinted(hint_if_small(wide, max_bytes=size - 1))

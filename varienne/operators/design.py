@@ -13,6 +13,7 @@ from pyspark.sql import types as T
 from varienne.functions import rng
 from varienne.functions.numeric import add_all
 from varienne.operators.ordered import TARGET_ROWS, ordered
+from varienne.session import checked_broadcast
 
 Bounds = Mapping[str, tuple[float, float]]
 
@@ -39,8 +40,8 @@ def germ_columns(bounds: Bounds) -> list[Column]:
 
 
 def long_germ(design: DataFrame, params: DataFrame) -> DataFrame:
-    """Long design (..., name, x) with its germ; parameters are dozens of rows."""
-    bounds = F.broadcast(params.select("name", "lo", "hi"))
+    """Long design (..., name, x) with its germ."""
+    bounds = checked_broadcast(params.select("name", "lo", "hi"))
     return design.join(bounds, "name").withColumn("germ", to_germ(F.col("x"), F.col("lo"), F.col("hi"))).drop("lo", "hi")
 
 

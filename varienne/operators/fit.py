@@ -20,7 +20,7 @@ from pyspark.sql import types as T
 from pyspark.sql.functions import pandas_udf
 
 from varienne.functions.basis import PolynomialBasis
-from varienne.session import materialize
+from varienne.session import checked_broadcast, materialize, measure
 
 METHODS = ("lsq", "anl", "bcs")
 #: Up to this many sums per row generated code is faster; beyond, numpy blocks in Arrow tasks (measured).
@@ -35,7 +35,8 @@ EIGEN_CUTOFF = 1e-11
 CONDITION_LIMIT = 1e12
 USED_COEFFICIENT = 1e-10
 DEFAULT_TOLERANCE = 1e-3
-FITS_PER_SLICE = 20_000
+#: Bytes of fits that are unrolled at once.
+SLICE_BYTES = 32 << 20
 
 
 def sum_vectors(c: Column) -> Column:
@@ -418,7 +419,7 @@ def every_fit(points: DataFrame, coefs: DataFrame, columns: Sequence[str]) -> Da
     and unrolled in the row, slice by slice when there are very many of them.
     """
     fits = materialize(coefs.select(F.struct(*columns).alias("f"), F.pmod(F.xxhash64("output_id"), F.lit(2**31)).alias("h")), "fits")
-    slices = -(-fits.count() // FITS_PER_SLICE) or 1
+    slices = -(-measure(fits)[1] // SLICE_BYTES) or 1
     out = None
     for k in range(slices):
         part = fits.where(F.pmod("h", F.lit(slices)) == k).agg(F.array_sort(F.collect_list("f")).alias("fits"))
@@ -433,7 +434,7 @@ def predict(points: DataFrame, coefs: DataFrame, groups: Sequence[str] = (), phi
     With the number of terms given, a short product stays in generated code.
     """
     if groups:
-        joined = points.join(coefs.select(*groups, *[c for c in keep if c not in groups]), list(groups))
+        joined = points.join(checked_broadcast(coefs.select(*groups, *[c for c in keep if c not in groups])), list(groups))
     else:
         joined = every_fit(points, coefs, list(keep))
     return joined.withColumn("yhat", dot_terms(F.col(phi), F.col("coef"), n_terms) if n_terms else dot(F.col(phi), F.col("coef")))

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from varienne.functions.numeric import slider_step
 from varienne.operators.design import Bounds
+from varienne.session import checked_broadcast
 
 SCREEN_FRACTION = 0.1
 NEGLIGIBLE_BELOW = 0.1
@@ -64,7 +65,7 @@ def classify(indices: DataFrame) -> DataFrame:
 def parameter_config(screened: DataFrame, params: DataFrame, n_steps: int = 50) -> DataFrame:
     """Slider settings of the screened inputs: bounds, middle as default and a round step."""
     bounds = params.select(F.col("name").alias("param"), "lo", "hi")
-    return screened.join(F.broadcast(bounds), "param").withColumns({  # dozens of rows
+    return screened.join(checked_broadcast(bounds), "param").withColumns({
         "default": (F.col("lo") + F.col("hi")) / 2.0,
         "step": F.when(F.col("hi") > F.col("lo"), slider_step(F.col("lo"), F.col("hi"), n_steps)).otherwise(0.0),
     })

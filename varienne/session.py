@@ -8,9 +8,13 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-#: Rows up to which a narrow, pre-aggregated side may be broadcast once counted.
+#: Rows and bytes up to which a pre-aggregated side may be broadcast once measured.
 BROADCAST_ROWS = 1_000_000
+BROADCAST_BYTES = 64 << 20
+#: Bytes that a row of a hash table takes beside its values.
+ROW_OVERHEAD = 32
 
 
 def build_session(app: str = "varienne", master: str | None = None, **conf: str) -> SparkSession:
@@ -66,16 +70,34 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def hint_if_small(written: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Broadcast hint for a written table whose counted rows stay below the limit."""
-    return F.broadcast(written) if written.count() <= max_rows else written
+def measure(written: DataFrame) -> tuple[int, int]:
+    """Rows of a written table and the bytes they take in memory; reads only columns of varying width."""
+    fixed, varying = ROW_OVERHEAD, []
+    for field in written.schema:
+        c = F.col(f"`{field.name}`")
+        if isinstance(field.dataType, T.ArrayType) and isinstance(field.dataType.elementType, T.NumericType):
+            varying.append(8 * F.coalesce(F.size(c), F.lit(0)))
+        elif isinstance(field.dataType, (T.StringType, T.BinaryType)):
+            varying.append(F.coalesce(F.octet_length(c), F.lit(0)))
+        elif isinstance(field.dataType, (T.ArrayType, T.StructType, T.MapType)):
+            varying.append(F.coalesce(F.octet_length(F.to_json(F.struct(c))), F.lit(0)))
+        fixed += 8
+    width = sum((v.cast("bigint") for v in varying), F.lit(0).cast("bigint"))
+    n, b = written.agg(F.count(F.lit(1)), F.coalesce(F.sum(width), F.lit(0).cast("bigint"))).first()
+    return n, n * fixed + b
+
+
+def hint_if_small(written: DataFrame, max_rows: int = BROADCAST_ROWS, max_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """Broadcast hint for a written table whose rows and bytes stay below the limits."""
+    rows, size = measure(written)
+    return F.broadcast(written) if rows <= max_rows and size <= max_bytes else written
 
 
 def checked_broadcast(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Hint a broadcast only after counting the side; otherwise leave the join to AQE.
+    """Hint a broadcast only after measuring the side; otherwise leave the join to AQE.
 
-    The side is written to the shared folder first: counting it then reads footers only,
+    The side is written to the shared folder first: measuring it is then cheap,
     and a lost executor does not lead back to the history it was aggregated from.  Meant
-    for narrow aggregates such as one row per sample.
+    for aggregates such as one row per sample.
     """
     return hint_if_small(materialize(df, "side"), max_rows)

@@ -8,6 +8,7 @@ from varienne.functions.basis import PolynomialBasis, choose_order_column
 from varienne.operators import design, fit, sobol, strategies
 from varienne.operators.observables import DRY_MASS, VOLUME
 from varienne.plans import quantify
+from varienne.session import checked_broadcast
 from varienne.workloads.aggregates import STAGE_MEANS_SQL, first_last_theta, group_means_sql
 from varienne.workloads.fit_sql import fit_sql, predict_sql, share_sql, sobol_sql, term_sql
 from varienne.workloads.registry import query, rnd, rounded, sr
@@ -214,7 +215,7 @@ def _predict_std(t):
     germ = design.germ_columns(bounds)
     fits = fit.fit(fit.wide_statistics(t.design, BASIS_Q, germ, OUTPUTS, FLAG), FLAG, covariance=True)
     rows = fit.with_phi(t.design, BASIS_Q, germ)
-    out = rows.join(fits, FLAG)
+    out = rows.join(checked_broadcast(fits), FLAG)
     std = F.sqrt(fit.predict_variance(F.col("phi"), F.col("ginv"), F.col("sigma2"), BASIS_Q.n_terms))
     return out.select("l_orderkey", "l_linenumber", "output_id", rnd(std, 4).alias("std"))
 
