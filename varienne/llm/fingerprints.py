@@ -14,6 +14,8 @@ HASHES = 3
 LEAST_CELLS = 8
 #: Peelings of every part of a table before it counts as failed.
 ROUNDS = 8
+#: Digests per partition while tables are built and peeled, so that their cells fit in memory.
+PARTITION_DIGESTS = 60_000
 
 
 def paragraphs(text: Column, size: int = PARAGRAPH) -> Column:
@@ -152,7 +154,10 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     both = own.join(heads, KEY)
     edited = F.concat(F.expr("left(text, cast(n_chars - floor(n_chars / 2) as int))"), F.col("head"))
     sketch = both.withColumn("changed", edited).select(*KEY, "id", "copies", "n_chars", F.sha2("changed", 256).alias("edited_sha256"), paragraphs(F.col("text")).alias("own"), paragraphs(F.col("changed")).alias("edited"), "next")
-    sketch = materialize(sketch, "sketches").repartition(*KEY)
+    sketch = materialize(sketch, "sketches")
+    digests = sketch.agg(F.sum((F.size("own") + F.size("edited") + F.size("next")).cast("bigint"))).first()[0] or 0
+    parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), digests // PARTITION_DIGESTS + 1)
+    sketch = sketch.repartition(parts, *KEY)
     apart = recovered_differences(sketch.select(*KEY, "own", "edited", "next"), rounds)
     apart = apart.groupBy(*KEY).agg(*[F.max(F.when(F.col("pair") == p, F.col("recovered"))).alias(f"{p}_apart") for p in ("edited", "next")])
     strings = fingerprint_strings(sketch.select(*KEY, "own", "edited"), "f")
