@@ -172,3 +172,12 @@ def test_windowed_means_drop_closed_windows(spark):
 def test_basis_terms_table(spark):
     terms = PolynomialBasis(("a", "b"), 2).terms(spark).orderBy("term_id").collect()
     assert [t.alpha for t in terms][:3] == [[0, 0], [1, 0], [0, 1]] and terms[1].norm2 == pytest.approx(1 / 3)
+
+
+def test_columns_of_one_experiment_are_kept(spark, tmp_path):
+    from varienne.sources.history import scan_history
+
+    for name, column in (("e1", "a"), ("e2", "b")):
+        spark.createDataFrame([(1.0,)], f"{column} double").write.parquet(str(tmp_path / f"experiment_id={name}"))
+    rows = {r.experiment_id: (r.a, r.b) for r in scan_history(spark, str(tmp_path)).collect()}
+    assert rows == {"e1": (1.0, None), "e2": (None, 1.0)}

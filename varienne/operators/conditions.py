@@ -63,6 +63,13 @@ def condition_specific(st: DataFrame, threshold: float = DRIVER_THRESHOLD, low_f
     return high.where(F.col("_low.st") < threshold * low_factor).select(condition, "param", "st")
 
 
+def exists_lower(st: DataFrame, high: float, low: float, condition: str = "condition") -> DataFrame:
+    """Rows at or above one limit whose input lies below another limit in some other condition."""
+    other = st.where(F.col("st") < low).select("param", F.col(condition).alias("_other"))
+    match = (F.col("h.param") == F.col("l.param")) & (F.col(f"h.{condition}") != F.col("l._other"))
+    return st.where(F.col("st") >= high).alias("h").join(other.alias("l"), match, "left_semi")
+
+
 def differential_sobol(st: DataFrame, condition: str = "condition") -> DataFrame:
     """Difference of total indices for every ordered pair of conditions per input.
 

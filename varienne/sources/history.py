@@ -25,11 +25,12 @@ def scan_history(
     root: str,
     experiments: str | Sequence[str] | None = None,
     glob: str = "*.{pq,parquet}",
-    merge_schema: bool = False,
+    merge_schema: bool = True,
 ) -> DataFrame:
     """Scan a history tree; the ids come from partition discovery.
 
-    Restricting to experiments narrows the listed paths, so other experiments are
+    Columns that only some files have are null in the others; ``merge_schema=False`` saves the look
+    at every footer where all files are known to agree.  Restricting to experiments narrows the listed paths, so other experiments are
     never listed.  Id types are cast explicitly instead of trusting inference.
     """
     if isinstance(experiments, str):

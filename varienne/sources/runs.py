@@ -28,9 +28,11 @@ def missing_runs(trees: DataFrame, samples: DataFrame) -> DataFrame:
 
 
 def require_runs(trees: DataFrame, samples: DataFrame) -> None:
-    gone = [r.sample_id for r in missing_runs(trees, samples).select("sample_id").take(20)]
-    if gone:
-        raise FileNotFoundError(f"no history for samples {gone}")
+    """Raise an error with the number of samples without a tree; ``missing_runs`` lists them all."""
+    gone = missing_runs(trees, samples).select("sample_id")
+    first = [r.sample_id for r in gone.take(20)]
+    if first:
+        raise FileNotFoundError(f"no history for {gone.count()} samples, among them {first}")
 
 
 def count_completed(history: DataFrame, keys: tuple[str, ...] = ("variant",)) -> DataFrame:

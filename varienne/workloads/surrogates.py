@@ -263,21 +263,19 @@ def _universal_drivers(t):
 
 
 SPECIFIC_SQL = f"""
-WITH s AS ({CONDITION_SQL}) SELECT condition, param, {sr('st', 7)} AS st FROM s WHERE st >= 0.2
-  AND EXISTS (SELECT 1 FROM s o WHERE o.param = s.param AND o.condition <> s.condition AND o.st < 0.2 * 0.5)"""
+WITH s AS ({CONDITION_SQL}) SELECT condition, param, {sr('st', 7)} AS st FROM s WHERE st >= 0.01
+  AND EXISTS (SELECT 1 FROM s o WHERE o.param = s.param AND o.condition <> s.condition AND o.st < 0.01 * 0.5)"""
 
 
 @query("condition_specific", SPECIFIC_SQL)
 def _condition_specific(t):
-    return rounded(conditions.condition_specific(condition_indices(t), 0.2), 7)
+    return rounded(conditions.condition_specific(condition_indices(t), 0.01), 7)
 
 
-@query("exists_lower", SPECIFIC_SQL.replace("0.2", "0.3"))
+@query("exists_lower", SPECIFIC_SQL.replace("0.01", "0.012"))
 def _exists_lower(t):
     st = condition_indices(t).select("condition", "param", "st")
-    low = st.where(F.col("st") < 0.15).select("param", F.col("condition").alias("other"))
-    match = (F.col("h.param") == F.col("l.param")) & (F.col("h.condition") != F.col("l.other"))
-    return rounded(st.where(F.col("st") >= 0.3).alias("h").join(low.alias("l"), match, "left_semi"), 7)
+    return rounded(conditions.exists_lower(st, 0.012, 0.006), 7)
 
 
 @query("differential_sobol", f"""
