@@ -8,7 +8,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from varienne.functions.numeric import stage_bin
+from varienne.operators.fit import sum_vectors
+from varienne.operators.observables import DRY_MASS, PRESETS, derive_properties, normalize_by_mass, resolve_preset
 from varienne.session import checked_broadcast, materialize
+from varienne.sources.history import bounds_filter
 
 BASELINE_VARIANT = 0
 
@@ -111,31 +114,24 @@ def stage_means(df: DataFrame, columns: Sequence[str], n_bins: int, empty: str =
 STRATEGY_KEYS = {"uniform": None, "by_generation": "generation", "by_lineage_seed": "lineage_seed", "growth_stage": "stage"}
 
 
-def strategy_outputs(df: DataFrame, columns: Sequence[str], n_bins: int, empty: str = "zero") -> DataFrame:
-    """Outputs of all four strategies as one long table.
+def _grouping_means(fine: DataFrame, total, mean) -> DataFrame:
+    """Means of every (strategy, group, sample) from fine sums, in one shuffle, written out.
 
-    (strategy, group_value, sample_id, output_id, y) from rows with sample_id, generation,
-    lineage_seed and theta.  The history is read once and summed to the finest grain; the
-    four views are grouping sets over those sums, in one shuffle.  The means, one row per
-    (strategy, group, sample), are written out so that nothing later leads back to the history.
+    ``total`` adds the sums up and ``mean`` divides them by the rows, both as lists of columns.
     """
-    staged = df.withColumn("stage", stage_bin(F.col("theta"), n_bins))
     keys = [k for k in STRATEGY_KEYS.values() if k]
-    fine = fine_sums(staged, columns, ["sample_id", *keys])
     sets = [["sample_id"] if k is None else ["sample_id", k] for k in STRATEGY_KEYS.values()]
-    sums = fine.groupingSets(sets, "sample_id", *keys).agg(
-        *[F.grouping(k).alias(f"_no_{k}") for k in keys], F.sum("n").alias("_n"), *[F.sum(c).alias(c) for c in columns])
+    sums = fine.groupingSets(sets, "sample_id", *keys).agg(*[F.grouping(k).alias(f"_no_{k}") for k in keys], F.sum("n").alias("_n"), *total)
     strategy, group = F, F.lit(0).cast("bigint")
     for name, k in STRATEGY_KEYS.items():
         if k:
             strategy = strategy.when(F.col(f"_no_{k}") == 0, name)
             group = F.when(F.col(f"_no_{k}") == 0, F.col(k).cast("bigint")).otherwise(group)
-    means = materialize(sums.select(
-        strategy.otherwise("uniform").alias("strategy"), group.alias("group_value"), "sample_id",
-        *[(F.col(c) / F.col("_n")).alias(c) for c in columns],
-    ), "means")
+    return materialize(sums.select(strategy.otherwise("uniform").alias("strategy"), group.alias("group_value"), "sample_id", *mean), "means")
 
-    # Generations and seeds count only where every sample has them.
+
+def _complete(means: DataFrame, zeros: dict, n_bins: int, empty: str) -> DataFrame:
+    """Keep groups that every sample has, and give every sample every stage."""
     samples = means.where("strategy = 'uniform'")
     total = samples.agg(F.count(F.lit(1)).alias("t")).select("t").scalar()
     shared = ["by_generation", "by_lineage_seed"]
@@ -147,12 +143,86 @@ def strategy_outputs(df: DataFrame, columns: Sequence[str], n_bins: int, empty:
         grid = samples.select(
             F.lit("growth_stage").alias("strategy"), "sample_id",
             F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(n_bins - 1).cast("bigint"))).alias("group_value"))
-        stages = grid.join(stages, ["strategy", "group_value", "sample_id"], "left").withColumns({c: F.coalesce(c, F.lit(0.0)) for c in columns})
-    wide = samples.unionByName(common).unionByName(stages)
+        stages = grid.join(stages, ["strategy", "group_value", "sample_id"], "left").withColumns({c: F.coalesce(c, z) for c, z in zeros.items()})
+    return samples.unionByName(common).unionByName(stages)
+
+
+def strategy_outputs(df: DataFrame, columns: Sequence[str], n_bins: int, empty: str = "zero") -> DataFrame:
+    """Outputs of all four strategies as one long table.
+
+    (strategy, group_value, sample_id, output_id, y) from rows with sample_id, generation,
+    lineage_seed and theta.  The history is read once and summed to the finest grain; the
+    four views are grouping sets over those sums, in one shuffle.  The means, one row per
+    (strategy, group, sample), are written out so that nothing later leads back to the history.
+    """
+    staged = df.withColumn("stage", stage_bin(F.col("theta"), n_bins))
+    fine = fine_sums(staged, columns, ["sample_id", *[k for k in STRATEGY_KEYS.values() if k]])
+    means = _grouping_means(fine, [F.sum(c).alias(c) for c in columns], [(F.col(c) / F.col("_n")).alias(c) for c in columns])
+    wide = _complete(means, {c: F.lit(0.0) for c in columns}, n_bins, empty)
     pairs = F.array(*[F.struct(F.lit(c).alias("output_id"), F.col(c).alias("y")) for c in columns])
     return wide.select("strategy", "group_value", "sample_id", F.inline(pairs))
 
 
+def strategy_vectors(df: DataFrame, arrays: Sequence[str], n_bins: int, empty: str = "zero") -> DataFrame:
+    """The same outputs for every position of array columns, named tail_<position> (0-based).
+
+    All arrays of a row form one vector, and whole vectors are summed map-side, so elements become rows
+    only after the aggregation.  Rows may differ in length: the longest sets the width, and a
+    missing or null element counts as 0, like a null scalar.  Two columns with one tail name share
+    outputs and are refused.
+    """
+    tails = [a.split("__")[-1] for a in arrays]
+    if len(set(tails)) < len(tails):
+        raise ValueError(f"array columns share a name: {tails}")
+    found = df.agg(*[F.coalesce(F.max(F.greatest(F.size(F.col(a)), F.lit(0))), F.lit(0)).alias(f"w{i}") for i, a in enumerate(arrays)]).first()
+    widths = list(found)
+    zero = lambda n: F.array_repeat(F.lit(0.0), n)
+
+    def padded(a: str, width: int):
+        values = F.transform(F.coalesce(F.col(a).cast("array<double>"), zero(F.lit(0))), lambda v: F.coalesce(v, F.lit(0.0)))
+        return F.concat(values, zero(F.greatest(F.lit(width) - F.size(values), F.lit(0))))
+
+    keys = [k for k in STRATEGY_KEYS.values() if k]
+    rows = df.withColumn("stage", stage_bin(F.col("theta"), n_bins)).select("sample_id", *keys, F.concat(*[padded(a, w) for a, w in zip(arrays, widths)]).alias("v"))
+    fine = rows.groupBy("sample_id", *keys).agg(F.count(F.lit(1)).alias("n"), sum_vectors(F.col("v")).alias("v"))
+    means = _grouping_means(fine, [sum_vectors(F.col("v")).alias("v")], [F.transform("v", lambda x: x / F.col("_n")).alias("v")])
+    wide = _complete(means, {"v": zero(F.lit(sum(widths)))}, n_bins, empty)
+    long = wide.select("strategy", "group_value", "sample_id", F.posexplode("v").alias("_p", "y"))
+    name, start = F, 0
+    for t, w in zip(tails, widths):
+        name, start = name.when(F.col("_p") < start + w, F.concat(F.lit(f"{t}_"), (F.col("_p") - start).cast("string"))), start + w
+    return long.select("strategy", "group_value", "sample_id", name.alias("output_id"), "y")
+
+
+def collect_outputs(history: DataFrame, presets: Sequence[str], n_bins: int, n_samples: int | None = None, generation_lower_bound: int | None = None,
+                    time_lower_bound: float | None = None, empty: str = "zero") -> DataFrame:
+    """Outputs of several presets under all four strategies, from rows that carry ``theta``.
+
+    Early rows may be dropped and rows dealt to samples first.  Scalar and derived presets go through
+    ``strategy_outputs``, arrays (normalised by dry mass where the preset says so) through ``strategy_vectors``.
+    """
+    rows = bounds_filter(history, generation_lower_bound, time_lower_bound)
+    rows = rows if n_samples is None else assign_samples(rows, n_samples)
+    scalars, arrays = [], []
+    for name in presets:
+        preset, columns = PRESETS[name], resolve_preset(rows, name)
+        if preset.kind == "derived":
+            known = set(rows.columns)
+            rows = derive_properties(rows)
+            columns = [c for c in rows.columns if c not in known]
+        elif preset.kind != "scalar":
+            if preset.normalize_by_dry_mass and DRY_MASS in rows.columns:
+                rows = rows.withColumns({c: normalize_by_mass(F.col(c), F.col(DRY_MASS)) for c in columns})
+            arrays += [c for c in columns if c not in arrays]
+            continue
+        scalars += [c for c in columns if c not in scalars]
+    parts = [strategy_outputs(rows, scalars, n_bins, empty)] if scalars else []
+    parts += [strategy_vectors(rows, arrays, n_bins, empty)] if arrays else []
+    if not parts:
+        raise ValueError(f"no column of {list(presets)} in the history")
+    return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+
+
 def train_test(train: DataFrame, test: DataFrame) -> DataFrame:
     """Stack training and held-out designs with a ``split`` column."""
     return train.withColumn("split", F.lit("train")).unionByName(test.withColumn("split", F.lit("test")))

@@ -382,6 +382,39 @@ def _strategy_outputs(t):
     return rounded(strategies.strategy_outputs(first_last_theta(t), OUT, BINS))
 
 
+#: Whole arrays under the four strategies; every eleventh row is shorter.
+WIDTH = 64
+ARRAY_ROWS_SQL = f"""r AS (SELECT variant AS sample_id, generation, lineage_seed, {bin_sql('(vec_id % 97 / 96.0::DOUBLE)')} AS stage, dry_mass, cell_mass, v, vec_id FROM a WHERE time >= 5),
+e AS (SELECT sample_id, generation, lineage_seed, stage, 'monomer_counts_' || (i - 1) AS output_id, CASE WHEN vec_id % 11 = 0 AND i > 60 THEN 0 ELSE coalesce(v[i], 0) END AS y FROM r, range(1, {WIDTH + 1}) t(i)
+  UNION ALL SELECT sample_id, generation, lineage_seed, stage, '{DRY_MASS}', dry_mass FROM r UNION ALL SELECT sample_id, generation, lineage_seed, stage, '{CELL_MASS}', cell_mass FROM r),
+n AS (SELECT count(DISTINCT sample_id) AS n FROM r)"""
+
+
+def shared_sql(strategy: str, key: str) -> str:
+    return f"""SELECT '{strategy}' AS strategy, CAST({key} AS BIGINT) AS group_value, sample_id, output_id, avg(y) AS y FROM e
+  WHERE {key} IN (SELECT {key} FROM r GROUP BY 1 HAVING count(DISTINCT sample_id) = (SELECT n FROM n)) GROUP BY ALL"""
+
+
+ARRAY_OUTPUTS_SQL = f"""
+WITH a AS ({ARRAYS_SQL}), {ARRAY_ROWS_SQL}, o AS (
+  SELECT 'uniform' AS strategy, CAST(0 AS BIGINT) AS group_value, sample_id, output_id, avg(y) AS y FROM e GROUP BY ALL
+  UNION ALL {shared_sql('by_generation', 'generation')} UNION ALL {shared_sql('by_lineage_seed', 'lineage_seed')}
+  UNION ALL SELECT 'growth_stage', CAST(s.i AS BIGINT), p.sample_id, p.output_id, coalesce(m.y, 0.0) FROM (SELECT DISTINCT sample_id, output_id FROM e) p CROSS JOIN range({BINS}) s(i)
+    LEFT JOIN (SELECT sample_id, output_id, stage, avg(y) AS y FROM e GROUP BY ALL) m ON m.sample_id = p.sample_id AND m.output_id = p.output_id AND m.stage = s.i)
+SELECT strategy, group_value, sample_id, output_id, y FROM o"""
+
+
+def array_outputs(t):
+    vid = F.col("vec_id")
+    rows = t.arrays.withColumns({"theta": vid % 97 / 96.0, "sample_id": F.col("variant"), COUNTS: F.when(vid % 11 == 0, F.slice(COUNTS, 1, 60)).otherwise(F.col(COUNTS))})
+    return strategies.collect_outputs(rows, ["mass", "proteome"], BINS, time_lower_bound=5.0)
+
+
+@query("array_strategies", f"SELECT strategy, group_value, sample_id, output_id, {sr('y', 8)} AS y FROM ({ARRAY_OUTPUTS_SQL})")
+def _array_strategies(t):
+    return rounded(array_outputs(t), 8)
+
+
 @query("stage_labels", H + f"""
 SELECT stage, CASE WHEN stage / 10 < 0.2 THEN 'Early growth (recently divided, small cell)' WHEN stage / 10 < 0.4 THEN 'Early-mid growth (active biosynthesis ramp-up)'
   WHEN stage / 10 < 0.6 THEN 'Mid growth (steady-state biosynthesis)' WHEN stage / 10 < 0.8 THEN 'Late-mid growth (approaching critical mass for division)'

@@ -9,7 +9,7 @@ from varienne.operators import design, fit, sobol, strategies
 from varienne.operators.observables import DRY_MASS, VOLUME
 from varienne.plans import quantify
 from varienne.session import checked_broadcast
-from varienne.workloads.aggregates import STAGE_MEANS_SQL, first_last_theta, group_means_sql
+from varienne.workloads.aggregates import ARRAY_OUTPUTS_SQL, STAGE_MEANS_SQL, array_outputs, first_last_theta, group_means_sql
 from varienne.workloads.fit_sql import fit_sql, predict_sql, share_sql, sobol_sql, term_sql
 from varienne.workloads.registry import query, rnd, rounded, sr
 from varienne.workloads.tables import DESIGN_SQL, GROWTH_SQL, LINEITEM_BOUNDS
@@ -369,3 +369,20 @@ FROM ({STRATEGY_SOBOL_SQL}) GROUP BY 1, 2""")
 def _top_table(t):
     order = ("uniform", "by_generation", "by_lineage_seed", "growth_stage")
     return rounded(sobol.top_table(strategy_result(t).indices, order, "uniform", 5))
+
+
+#: Every array position under every strategy, fitted at once over two inputs of the samples.
+ARRAY_BASIS = PolynomialBasis(("a", "b"), 1)
+ARRAY_FIT_SQL = fit_sql(
+    f"SELECT strategy, group_value, output_id, y, 2 * (sample_id * 7 % 11) / 10.0::DOUBLE - 1 AS g0, 2 * (sample_id * 5 % 13) / 12.0::DOUBLE - 1 AS g1 FROM ({ARRAY_OUTPUTS_SQL})",
+    ARRAY_BASIS, ["g0", "g1"], ["strategy", "group_value", "output_id"])
+
+
+@query("array_strategy_fit", f"""
+SELECT strategy, group_value, output_id, CAST(t AS INTEGER) AS term_id, {sr('c', 6)} AS coef FROM (
+  SELECT strategy, group_value, output_id, unnest(range(3)) AS t, unnest([c0, c1, c2]) AS c FROM ({ARRAY_FIT_SQL}))""")
+def _array_strategy_fit(t):
+    inputs = t.arrays.select(F.col("variant").alias("sample_id")).distinct()
+    inputs = inputs.withColumns({"a": F.col("sample_id") * 7 % 11 / 10.0, "b": F.col("sample_id") * 5 % 13 / 12.0})
+    result = quantify.fit_strategies(inputs, {"a": (0.0, 1.0), "b": (0.0, 1.0)}, array_outputs(t), order=1)
+    return rounded(result.coefs.select("strategy", "group_value", "output_id", F.posexplode("coef").alias("term_id", "coef")), 6)
