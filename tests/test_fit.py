@@ -165,7 +165,7 @@ def test_find_target(spark):
 
 
 def test_every_fit_in_slices(spark, monkeypatch):
-    monkeypatch.setattr(fit, "FITS_PER_SLICE", 2)
+    monkeypatch.setattr(fit, "SLICE_BYTES", 300)
     coefs = spark.createDataFrame([(f"o{i}", [float(i)]) for i in range(7)], "output_id string, coef array<double>")
     out = fit.every_fit(spark.range(3), coefs, ["output_id", "coef"])
     assert out.count() == 21 and out.select("id", "output_id").distinct().count() == 21
