@@ -18,7 +18,7 @@ ANCHOR = 26
 #: Window starts that one string may carry; longer runs are cut.
 RUN = 4096
 #: Bytes of strings that a task gathers before it removes copies and ships them.
-FLUSH_BYTES = 8 << 20
+FLUSH_BYTES = 12 << 20
 #: Symbols that are merged at once.
 MERGE_SYMBOLS = 1 << 20
 
@@ -162,9 +162,10 @@ def later_windows(strings: Strings, length: int) -> tuple[np.ndarray, np.ndarray
     return doc, strings.start[row[at]] + place[at]
 
 
-PACKED = "bucket int, final boolean, docs binary, counts binary, keys binary, anchors binary, owners binary, starts binary, windows binary, sizes binary, bytes binary"
-_COLUMNS = ("anchors", "owners", "starts", "windows", "sizes", "bytes")
-_TYPES = (np.uint64, np.int64, np.int64, np.int64, np.int64, np.uint8)
+PACKED = "bucket int, final boolean, docs binary, counts binary, keys binary, anchors binary, owners binary, starts binary, windows binary, bytes binary"
+_COLUMNS = ("anchors", "owners", "starts", "windows", "bytes")
+#: Half an anchor is enough inside its bucket: strings of two anchors may then merge together, which finds nothing more.
+_TYPES = (np.uint32, np.int64, np.int64, np.uint16, np.uint8)
 
 
 def ship(length: int, anchor: int, buckets: int, flush: int):
@@ -173,22 +174,25 @@ def ship(length: int, anchor: int, buckets: int, flush: int):
     def rows(held):
         strings = Strings(held)
         first, later = strings.distinct()
-        out = [(b, True, d, n, k, *([b""] * 6)) for b, d, n, k in _routed(*spans_of(strings.doc[later], strings.start[later], strings.count[later]), buckets)]
+        out = [(b, True, d, n, k, *([b""] * 5)) for b, d, n, k in _routed(*spans_of(strings.doc[later], strings.start[later], strings.count[later]), buckets)]
         bucket = bucket_of(strings.anchor[first], buckets)
         order = np.argsort(bucket, kind="stable")
         first, bucket = first[order], bucket[order]
         edges = _runs(bucket)
         none = np.zeros(0, np.int64)
         for lo, hi in zip(edges, np.append(edges[1:], len(bucket))):
-            part = strings.take(first[lo:hi])
-            out.append((int(bucket[lo]), False, none, none, none, *(x.tobytes() for x in part)))
+            # Owners ascend and travel as differences, which compress well; sizes follow from the windows.
+            rows_ = first[lo:hi]
+            anchors_, owners, starts, windows, _, text = strings.take(rows_[np.argsort(strings.doc[rows_], kind="stable")])
+            part = (anchors_ >> np.uint64(8), np.diff(owners, prepend=0), starts, windows, text)
+            out.append((int(bucket[lo]), False, none, none, none, *(x.astype(t).tobytes() for x, t in zip(part, _TYPES))))
         return pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int32()), pa.array([x[1] for x in out], pa.bool_()), *_blobs([x[2:5] for x in out]),
-                                           *[pa.array([x[5 + i] for x in out], pa.binary()) for i in range(6)]], names=["bucket", "final", "docs", "counts", "keys", *_COLUMNS])
+                                           *[pa.array([x[5 + i] for x in out], pa.binary()) for i in range(5)]], names=["bucket", "final", "docs", "counts", "keys", *_COLUMNS])
 
     def run(batches):
         held, size = [], 0
         for batch in batches:
-            ids = batch.column(0).to_numpy(zero_copy_only=False)
+            ids = batch.column(0).fill_null(0).to_numpy(zero_copy_only=False)  # null ids have no shared anchors
             for row, data, offsets in slices(batch.column(1)):
                 shared = [key_set(batch.column(2)[row + d]) for d in range(len(offsets) - 1)]
                 if not any(len(s) for s in shared):
@@ -229,7 +233,9 @@ def merged(length: int, buckets: int, symbols: int):
                 d, k = _opened(*(group.column(c)[i] for c in ("docs", "counts", "keys")))
                 done.append((bucket, *_grouped(d, k)))
             else:
-                parts.append(tuple(np.frombuffer(group.column(c)[i].as_buffer(), t) for c, t in zip(_COLUMNS, _TYPES)))
+                anchors_, owners, starts, windows, text = (np.frombuffer(group.column(c)[i].as_buffer(), t) for c, t in zip(_COLUMNS, _TYPES))
+                windows = windows.astype(np.int64)
+                parts.append((anchors_.astype(np.uint64), np.cumsum(owners), starts, windows, windows + length - 1, text))
         strings = Strings(parts)
         docs, spans = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
         if len(strings.size):
@@ -312,7 +318,8 @@ def remove_repeated_strings(docs: DataFrame, id_col: str = "doc_id", text_col: s
     shared = repeated_keys(source, anchor_keys(length, anchor), bucket_count(spark, size * 16 // (length - anchor + 2)), owners_too=True)
     placed = source.join(shared, "id", "left").select("id", "text", "keys")
     buckets = bucket_count(spark, size)
-    strings = placed.where("id is not null and keys is not null").mapInArrow(ship(length, anchor, buckets, FLUSH_BYTES), PACKED)
+    # No filter here: the texts are dealt once, for this join and for the last one.
+    strings = placed.mapInArrow(ship(length, anchor, buckets, FLUSH_BYTES), PACKED)
     found = strings.groupBy("bucket").applyInArrow(merged(length, buckets, MERGE_SYMBOLS), ROUTED).groupBy("bucket").applyInArrow(by_document, "id bigint, keys binary")
     out = source.join(found, "id", "left").select("id", "text", "keys").mapInArrow(cut(length), "id bigint, n_bytes bigint, n_removed bigint, removed array<struct<start:bigint,end:bigint>>, kept binary")
     return out.withColumnRenamed("id", id_col)
