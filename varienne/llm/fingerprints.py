@@ -147,11 +147,12 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     counted = source.groupBy(*order).agg(F.count("*").alias("copies"), F.first(F.length("text")).cast("bigint").alias("n_chars"))
     linked = materialize(in_order(counted, order), "order")
     before = linked.select(F.col("n_r1").alias("r1"), F.col("n_r2").alias("r2"), F.col("r1").alias("p1"), F.col("r2").alias("p2"), F.floor(F.col("n_chars") / 2).alias("p_half"))
-    placed = linked.select(*KEY, "copies", "n_chars").join(before, KEY)
+    placed = linked.select(*KEY, "copies", "n_chars", "n_id").join(before, KEY)
     texts = source.join(placed, KEY).dropDuplicates(KEY)
-    own = texts.select(*KEY, "id", "copies", "n_chars", "text")
-    heads = texts.select(F.col("p1").alias("r1"), F.col("p2").alias("r2"), F.expr("left(text, cast(p_half as int))").alias("head"), paragraphs(F.col("text")).alias("next"))
-    both = own.join(heads, KEY)
+    # Both sides carry the id, so that one shuffle of the texts serves both.
+    own = texts.select(*KEY, "id", "copies", "n_chars", "n_id", "text")
+    heads = texts.select(F.col("p1").alias("r1"), F.col("p2").alias("r2"), F.col("id").alias("next_id"), F.expr("left(text, cast(p_half as int))").alias("head"), paragraphs(F.col("text")).alias("next"))
+    both = own.join(heads, KEY).where(F.col("n_id").eqNullSafe(F.col("next_id")))
     edited = F.concat(F.expr("left(text, cast(n_chars - floor(n_chars / 2) as int))"), F.col("head"))
     sketch = both.withColumn("changed", edited).select(*KEY, "id", "copies", "n_chars", F.sha2("changed", 256).alias("edited_sha256"), paragraphs(F.col("text")).alias("own"), paragraphs(F.col("changed")).alias("edited"), "next")
     sketch = materialize(sketch, "sketches")
