@@ -18,7 +18,7 @@ ANCHOR = 26
 #: Window starts that one string may carry; longer runs are cut.
 RUN = 4096
 #: Bytes of strings that a task gathers before it removes copies and ships them.
-FLUSH_BYTES = 12 << 20
+FLUSH_BYTES = 4 << 20
 #: Symbols that are merged at once.
 MERGE_SYMBOLS = 1 << 20
 
