@@ -123,6 +123,23 @@ def test_small_merges_agree(spark, monkeypatch):
     assert sorted(((r.doc_id, r.n_bytes, r.n_removed, len(r.removed), bytes(r.kept)) for r in got), key=str) == byte_strings(rows, 50)
 
 
+def test_repeats_inside_the_first_owner(spark, monkeypatch):
+    # Every document is a flush of its own, so 5 is the first owner of what it holds several times.
+    monkeypatch.setattr(suffixes, "FLUSH_BYTES", 1)
+    rng = random.Random(11)
+    passage, other, own = ("".join(rng.choice("abcdefghij ") for _ in range(n)) for n in (150, 90, 120))
+    twice = f"{passage}\n1{own}\n{passage}\n2{own}{other}!\n{passage}\n3"
+    rows = [(5, twice), (3, f"x{passage}y"), (9, f"{passage}{passage}{other}"), (4, f"q{passage[20:130]}r"), (7, f"{other[:70]}?{other[:70]}!")]
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "1")
+    try:
+        got = suffixes.remove_repeated_strings(frame(spark, rows)).collect()
+    finally:
+        spark.conf.set(name, before)
+    assert sorted(((r.doc_id, r.n_bytes, r.n_removed, len(r.removed), bytes(r.kept)) for r in got), key=str) == byte_strings(rows, 50)
+
+
 def test_merge_orders_suffixes():
     rng = np.random.default_rng(1)
     texts = [np.append(rng.integers(1, 4, n), 0).astype(np.uint16) for n in (40, 25, 60)]

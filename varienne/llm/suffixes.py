@@ -55,18 +55,21 @@ def anchor_keys(length: int, anchor: int):
 
 
 class Strings:
-    """Runs of windows with one anchor: anchor, owner, first window, windows, and their bytes."""
+    """Runs of windows with one anchor: anchor, owner, windows, bytes, and every place where it begins in its owner."""
 
     def __init__(self, parts: list[tuple]):
         cat = lambda i, t: np.concatenate([p[i] for p in parts]) if parts else np.zeros(0, t)
-        self.anchor, self.doc, self.start, self.count, self.size = (cat(i, t) for i, t in enumerate((np.uint64, np.int64, np.int64, np.int64, np.int64)))
-        self.data = cat(5, np.uint8)
-        self.first = np.concatenate([[0], np.cumsum(self.size)])
+        self.anchor, self.doc, self.count, self.size, self.copies = (cat(i, t) for i, t in enumerate((np.uint64, np.int64, np.int64, np.int64, np.int64)))
+        self.starts, self.data = cat(5, np.int64), cat(6, np.uint8)
+        self.first, self.place = (np.concatenate([[0], np.cumsum(n)]) for n in (self.size, self.copies))
 
     def take(self, rows: np.ndarray) -> tuple:
-        n = self.size[rows]
-        at = np.repeat(self.first[rows] - (np.cumsum(n) - n), n) + np.arange(n.sum())
-        return self.anchor[rows], self.doc[rows], self.start[rows], self.count[rows], n, self.data[at]
+        return self.anchor[rows], self.doc[rows], self.count[rows], self.size[rows], self.copies[rows], self.starts[_ragged(self.place[rows], self.copies[rows])], self.data[_ragged(self.first[rows], self.size[rows])]
+
+    def spans(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Documents and packed windows of every place of the rows."""
+        n = self.copies[rows]
+        return spans_of(np.repeat(self.doc[rows], n), self.starts[_ragged(self.place[rows], n)], np.repeat(self.count[rows], n))
 
     def hashes(self) -> np.ndarray:
         """64-bit hash of every string, some megabytes at a time."""
@@ -82,11 +85,30 @@ class Strings:
         return mix(out + self.size.astype(np.uint64), 5) ^ self.anchor
 
     def distinct(self) -> tuple[np.ndarray, np.ndarray]:
-        """Rows of the first owner of every string, and rows of later owners, all of whose windows repeat."""
-        order = np.lexsort((self.start, self.doc, keys := self.hashes()))
+        """One row of the first owner of every string, and rows of later owners, all of whose windows repeat.
+
+        Whatever else the first owner has of a string moves to that one row: its places are all kept.
+        """
+        order = np.lexsort((self.doc, keys := self.hashes()))
         at = _runs(keys[order])
         first = np.repeat(order[at], np.diff(np.append(at, len(order))))
-        return order[at], order[self.doc[order] > self.doc[first]]
+        own = self.doc[order] == self.doc[first]
+        later, owned = order[~own], order[own]
+        # Places by string, then those of later owners, whose rows stay as they are.
+        rows = np.concatenate([owned, later])
+        starts = self.starts[_ragged(self.place[rows], self.copies[rows])]
+        held = np.bincount(first[own], weights=self.copies[owned], minlength=len(self.doc)).astype(np.int64)
+        held[later] = self.copies[later]
+        self.place = np.zeros(len(held) + 1, np.int64)
+        rows = np.concatenate([order[at], later])
+        self.place[rows] = np.cumsum(held[rows]) - held[rows]
+        self.copies, self.starts = held, starts
+        return order[at], later
+
+
+def _ragged(first: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Places first, first + 1, ... of so many elements each."""
+    return np.repeat(first - (np.cumsum(n) - n), n) + np.arange(n.sum())
 
 
 def spans_of(doc: np.ndarray, start: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -159,13 +181,14 @@ def later_windows(strings: Strings, length: int) -> tuple[np.ndarray, np.ndarray
     starts = _runs(interval)
     least = np.repeat(np.minimum.reduceat(doc, starts), np.diff(np.append(starts, len(doc))))
     at, doc = at[doc > least], doc[doc > least]
-    return doc, strings.start[row[at]] + place[at]
+    n = strings.copies[row[at]]
+    return np.repeat(doc, n), strings.starts[_ragged(strings.place[row[at]], n)] + np.repeat(place[at], n)
 
 
-PACKED = "bucket int, final boolean, docs binary, counts binary, keys binary, anchors binary, owners binary, starts binary, windows binary, bytes binary"
-_COLUMNS = ("anchors", "owners", "starts", "windows", "bytes")
+PACKED = "bucket int, final boolean, docs binary, counts binary, keys binary, anchors binary, owners binary, windows binary, copies binary, starts binary, bytes binary"
+_COLUMNS = ("anchors", "owners", "windows", "copies", "starts", "bytes")
 #: Half an anchor is enough inside its bucket: strings of two anchors may then merge together, which finds nothing more.
-_TYPES = (np.uint32, np.int64, np.int64, np.uint16, np.uint8)
+_TYPES = (np.uint32, np.int64, np.uint16, np.uint32, np.int64, np.uint8)
 
 
 def ship(length: int, anchor: int, buckets: int, flush: int):
@@ -174,7 +197,7 @@ def ship(length: int, anchor: int, buckets: int, flush: int):
     def rows(held):
         strings = Strings(held)
         first, later = strings.distinct()
-        out = [(b, True, d, n, k, *([b""] * 5)) for b, d, n, k in _routed(*spans_of(strings.doc[later], strings.start[later], strings.count[later]), buckets)]
+        out = [(b, True, d, n, k, *([b""] * len(_COLUMNS))) for b, d, n, k in _routed(*strings.spans(later), buckets)]
         bucket = bucket_of(strings.anchor[first], buckets)
         order = np.argsort(bucket, kind="stable")
         first, bucket = first[order], bucket[order]
@@ -183,11 +206,11 @@ def ship(length: int, anchor: int, buckets: int, flush: int):
         for lo, hi in zip(edges, np.append(edges[1:], len(bucket))):
             # Owners ascend and travel as differences, which compress well; sizes follow from the windows.
             rows_ = first[lo:hi]
-            anchors_, owners, starts, windows, _, text = strings.take(rows_[np.argsort(strings.doc[rows_], kind="stable")])
-            part = (anchors_ >> np.uint64(8), np.diff(owners, prepend=0), starts, windows, text)
+            anchors_, owners, windows, _, copies, starts, text = strings.take(rows_[np.argsort(strings.doc[rows_], kind="stable")])
+            part = (anchors_ >> np.uint64(8), np.diff(owners, prepend=0), windows, copies, starts, text)
             out.append((int(bucket[lo]), False, none, none, none, *(x.astype(t).tobytes() for x, t in zip(part, _TYPES))))
         return pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int32()), pa.array([x[1] for x in out], pa.bool_()), *_blobs([x[2:5] for x in out]),
-                                           *[pa.array([x[5 + i] for x in out], pa.binary()) for i in range(5)]], names=["bucket", "final", "docs", "counts", "keys", *_COLUMNS])
+                                           *[pa.array([x[5 + i] for x in out], pa.binary()) for i in range(len(_COLUMNS))]], names=["bucket", "final", "docs", "counts", "keys", *_COLUMNS])
 
     def run(batches):
         held, size = [], 0
@@ -210,8 +233,8 @@ def ship(length: int, anchor: int, buckets: int, flush: int):
                     start = np.repeat(first, pieces) + order * RUN
                     count = np.minimum(np.repeat(first + count, pieces) - start, RUN)
                     n = count + length - 1
-                    at = np.repeat(offsets[d] + start - (np.cumsum(n) - n), n) + np.arange(n.sum())
-                    held.append((b[start], np.full(len(start), ids[row + d], np.int64), start, count, n, data[at]))
+                    at = _ragged(offsets[d] + start, n)
+                    held.append((b[start], np.full(len(start), ids[row + d], np.int64), count, n, np.ones(len(start), np.int64), start, data[at]))
                     size += int(n.sum())
                 if size >= flush:
                     yield rows(held)
@@ -233,14 +256,14 @@ def merged(length: int, buckets: int, symbols: int):
                 d, k = _opened(*(group.column(c)[i] for c in ("docs", "counts", "keys")))
                 done.append((bucket, *_grouped(d, k)))
             else:
-                anchors_, owners, starts, windows, text = (np.frombuffer(group.column(c)[i].as_buffer(), t) for c, t in zip(_COLUMNS, _TYPES))
+                anchors_, owners, windows, copies, starts, text = (np.frombuffer(group.column(c)[i].as_buffer(), t) for c, t in zip(_COLUMNS, _TYPES))
                 windows = windows.astype(np.int64)
-                parts.append((anchors_.astype(np.uint64), np.cumsum(owners), starts, windows, windows + length - 1, text))
+                parts.append((anchors_.astype(np.uint64), np.cumsum(owners), windows, windows + length - 1, copies.astype(np.int64), starts, text))
         strings = Strings(parts)
         docs, spans = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
         if len(strings.size):
             first, later = strings.distinct()
-            d, s = spans_of(strings.doc[later], strings.start[later], strings.count[later])
+            d, s = strings.spans(later)
             docs.append(d)
             spans.append(s)
             # Strings that are alone under their anchor have nothing to be merged with.
@@ -303,7 +326,7 @@ def remove_repeated_strings(docs: DataFrame, id_col: str = "doc_id", text_col: s
        hash; equal windows have equal anchors.  Anchors of more than one document are found in packed buckets.
     2. Runs of windows with such an anchor become strings and go to the anchor's bucket, copies only once
        per task.
-    3. In a bucket equal strings have one first owner; all windows of the others repeat.  The distinct
+    3. In a bucket equal strings have one first owner, which keeps all its places; all windows of the others repeat.  The distinct
        strings of an anchor form shards with one Burrows-Wheeler transform each, and the transforms are merged by
        refining their interleave symbol by symbol.  Intervals of ``length`` common symbols are repeats; windows
        whose owner is not the smallest in the interval are removed.
