@@ -213,6 +213,30 @@ def test_licenses_and_their_wording(spark):
     assert licenses.find_licenses(frame(spark, [])).count() == 0
 
 
+@pytest.mark.parametrize("size", [500, 5_000, 20_000, 100_000])
+def test_notices_in_blocks_of_any_length(size):
+    # Cue words all along keep the stretches together.
+    rng = random.Random(size)
+    words = ["license", *("".join(rng.choice("abcdefghijklmnoprstuvw") for _ in range(rng.randrange(2, 10))) for _ in range(400))]
+    half = lambda: " ".join(w for i in range(size // 14) for w in [rng.choice(words), *["copyright"] * (i % 30 == 0)])[:size // 2]
+    scanner, reach = licenses.Scanner(licenses.TEMPLATES), licenses.reach_of(licenses.TEMPLATES)
+    for name, t in licenses.TEMPLATES.items():
+        before = half()
+        text = f"{before} . {t} . {half()}"
+        got = [(x[0], x[1], x[5]) for x in scanner.scan(text, reach, licenses.MOST_DIFFERENCES)]
+        assert (name, len(before) + 3, 0) in got, name
+
+
+def test_stretches_lose_no_passage():
+    rng = random.Random(1)
+    for _ in range(300):
+        wanted, found = [[rng.choice("uvwxyz") for _ in range(n)] for n in (rng.randrange(1, 7), rng.randrange(1, 30))]
+        held = licenses.stretches(np.array([w in wanted for w in found]), len(wanted), 0.4)
+        n, a, b = licenses.align(wanted, found)
+        if n <= 0.4 * len(wanted) and b > a:
+            assert any(x <= a and b <= y and licenses.align(wanted, found[x:y])[0] == n for x, y in held)
+
+
 def test_alignment():
     rng = random.Random(0)
     for _ in range(200):
