@@ -227,6 +227,18 @@ def test_notices_in_blocks_of_any_length(size):
         assert (name, len(before) + 3, 0) in got, name
 
 
+@pytest.mark.parametrize("name,text", [
+    ("BSD-2-Clause", "Redistribution and use in source and binary forms, with or without\nmodification, are permitted provided that the following conditions are met:"),
+    ("BSD-3-Clause", "Neither the name of the copyright holder nor the names of its\ncontributors may be used to endorse or promote products"), ("GPL-2.0-or-later", "either version 2 of the License"),
+    ("LGPL-2.1-or-later", "GNU Lesser General Public\nLicense"), ("AGPL-3.0-or-later", "GNU Affero General Public License"), ("CC0-1.0-notice", "waived all copyright"), ("Unlicense", "free and unencumbered software"),
+    ("BSL-1.0", "machine-executable object code"), ("EPL-2.0", "Eclipse Public License 2.0")])
+def test_usual_licenses_have_templates(name, text):
+    t = licenses.TEMPLATES[name]
+    assert " ".join(text.split()) in t
+    got = licenses.Scanner(licenses.TEMPLATES).scan(f"some text before\n{t}\nand after", licenses.reach_of(licenses.TEMPLATES), licenses.MOST_DIFFERENCES)
+    assert [(x[0], x[5]) for x in got] == [(name, 0)]
+
+
 def test_stretches_lose_no_passage():
     rng = random.Random(1)
     for _ in range(300):
