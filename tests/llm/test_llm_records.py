@@ -341,6 +341,22 @@ def test_weak_parts_need_complements(spark):
     assert re.fullmatch(r"access:0:20,weak:21:43", line[2]) and line[8] == ""
 
 
+def test_long_weak_parts_on_either_side(spark):
+    rng = random.Random(2)
+    random_ = "".join(rng.choice("ABCDEFGHJKLMNPQRSTUVWXYZ23456789") for _ in range(900))
+    url, account, secret, access, gap = f"https://db.example.com/x?sig={random_}", "user: alice", "password=correcthorsebattery", "AKIA" + "Q7" * 8, " lorem ipsum" * 15
+    pairs = [(url, secret, "endpoint"), (random_, account, "weak"), (random_, access, "weak"), (f"user: {random_}", secret, "identifier"), (url, access, "endpoint")]
+    docs, want = [], {}
+    for i, (a, b, kind) in enumerate(pairs):
+        for j, (space, linked) in enumerate(((" ", True), (f"{gap} ", True), (f"{gap}{gap} ", False))):
+            for k, t in enumerate((f"é {a}{space}{b}", f"é {b}{space}{a}")):
+                docs.append((100 * i + 10 * j + k, t))
+                want[docs[-1][0]] = [(kind, t.index(a), t.index(a) + len(a))] if linked else []
+    got = {r.doc_id: [(credentials.KINDS[s.kind], s.start, s.end) for s in r.spans if s.end - s.start > 500] for r in credentials.linked_secrets(frame(spark, docs)).collect()}
+    assert got == want
+    assert not any(random_ in r.text for r in credentials.masked(frame(spark, docs)).collect() if want[r.doc_id])
+
+
 def test_masking(spark):
     docs = frame(spark, secret_texts())
     out = credentials.masked(docs)

@@ -114,7 +114,8 @@ def linked_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     Texts are searched inside tasks, after a linear-time hint has ruled most of them out; parts then
     become rows, and an interval join on (text, stretch of ``scope`` code points) keeps a weak part if
-    any complementary part reaches its start.  It is a semi join, so no pairs are made.
+    the scope of any complementary part meets any of it.  It is a semi join, so no pairs are made; a long part
+    is asked about in each of its stretches and kept once.
 
     Null or empty text: no spans.  Null ids and repeated rows: judged by their own text.  Other columns
     are ignored.
@@ -127,15 +128,15 @@ def linked_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     role = {k: i for i, k in enumerate(KINDS)}
     reach = rows.select("row", F.col("kind").alias("other"), (F.col("start") - scope).alias("lo"), (F.col("end") + scope).alias("hi"))
     reach = reach.withColumn("bin", F.explode(F.sequence(F.floor(F.col("lo") / scope), F.floor((F.col("hi") - 1) / scope))))
-    weak = rows.where(F.col("kind") >= len(BASE)).withColumn("bin", F.floor(F.col("start") / scope)).alias("w")
+    weak = rows.where(F.col("kind") >= len(BASE)).withColumn("bin", F.explode(F.sequence(F.floor(F.col("start") / scope), F.floor((F.col("end") - 1) / scope)))).alias("w")
     secret = F.col("other").isin(role["assign"], role["hex"])
     complement = (
         ((F.col("w.kind") == role["identifier"]) & (secret | (F.col("other") == role["weak"])))
         | ((F.col("w.kind") == role["endpoint"]) & (secret | F.col("other").isin(role["access"], role["weak"])))
         | ((F.col("w.kind") == role["weak"]) & F.col("other").isin(role["access"], role["identifier"], role["endpoint"])))
-    near = (F.col("w.start") >= F.col("r.lo")) & (F.col("w.start") < F.col("r.hi"))
+    near = (F.col("w.end") > F.col("r.lo")) & (F.col("w.start") < F.col("r.hi"))
     kept = weak.join(reach.alias("r"), (F.col("w.row") == F.col("r.row")) & (F.col("w.bin") == F.col("r.bin")) & near & complement, "left_semi")
-    linked = kept.groupBy("row").agg(F.collect_list(F.struct("start", "kind", "end")).alias("linked"))
+    linked = kept.groupBy("row").agg(F.collect_set(F.struct("start", "kind", "end")).alias("linked"))
     base = F.filter("spans", lambda x: x["kind"] < len(BASE))
     out = found.join(linked, "row", "left").select("id", *["row"] * with_row, base.alias("base"), F.array_sort(F.concat(base, F.coalesce("linked", F.array().cast("array<struct<start:bigint,kind:int,end:bigint>>")))).alias("spans"))
     return out.withColumnRenamed("id", id_col)
