@@ -182,6 +182,25 @@ def test_decontamination(spark, passes):
     assert decontaminate.contaminated(frame(spark, docs), df.where("false")).count() == 0
 
 
+def test_documents_shorter_than_an_item(spark):
+    rng = random.Random(8)
+    items = [(i, " ".join(f"w{rng.randrange(400)}" for _ in range(n))) for i, n in enumerate((50, 50, 44, 30, 59))]
+    docs, want = [], []
+    for i, t in items:
+        w = t.split()
+        h = len(w) // 2
+        cut = [w[1:], w[:-2], w[:h] + w[h + 1:], w[:h] + w[h + 2:], w[2:h] + w[h + 1:], w[:-len(w) // 4], w[1:] + ["other"]]
+        for j, c in enumerate(cut):
+            docs.append((10 * i + j, " ".join(c)))
+            have, asked = (Counter(tuple(x[p:p + 5]) for p in range(len(x) - 4)) for x in (c, w))
+            common, total = sum((have & asked).values()), sum((have | asked).values())
+            if 100 * common >= 80 * total:
+                want.append((10 * i + j, i, 0, len(c), common, total))
+    assert (2, 0, 0, 49, 41, 50) in want and not any(x[0] % 10 == 5 for x in want)
+    df = spark.createDataFrame(items, "item_id long, text string")
+    assert sorted(tuple(r) for r in decontaminate.contaminated(frame(spark, docs), df).collect()) == sorted(want)
+
+
 def test_blocks_reach_the_radius():
     values = np.array(decontaminate.near_values(4))
     rng = np.random.default_rng(0)

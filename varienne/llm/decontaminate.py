@@ -19,7 +19,8 @@ BLOCK_BITS = 16
 #: Benchmark items that one pass over the documents looks for.
 ITEMS_PER_PASS = 20_000
 
-WINDOW = "id bigint, start bigint, size int, simhash bigint, shingles array<bigint>"
+#: ``size`` is the number of words of the items that a window may match, ``words`` that of its own.
+WINDOW = "id bigint, start bigint, size int, words int, simhash bigint, shingles array<bigint>"
 
 
 def simhash(shingles: np.ndarray) -> np.ndarray:
@@ -45,23 +46,23 @@ def item_windows(words: int):
                         k = min(words, int(n))
                         _, h, b = tokens.windows(k, seed=3)
                         h = h[b[d]:b[d + 1]]
-                        rows.append((ids[row + d], 0, int(n), int(simhash(h[None])[0].astype(np.int64)), h.view(np.int64)))
+                        rows.append((ids[row + d], 0, int(n), int(n), int(simhash(h[None])[0].astype(np.int64)), h.view(np.int64)))
             yield _windows(rows)
 
     return run
 
 
 def _windows(rows) -> pa.RecordBatch:
-    kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.list_(pa.int64()))
-    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names=["id", "start", "size", "simhash", "shingles"])
+    kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.list_(pa.int64()))
+    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names=["id", "start", "size", "words", "simhash", "shingles"])
 
 
 def document_windows(index: dict[int, tuple[np.ndarray, np.ndarray]], words: int, percent: int):
-    """Function for ``mapInArrow``: id and text to windows of the size of an item.
+    """Function for ``mapInArrow``: id and text to windows of the size of an item, or the whole of a shorter document.
 
     ``index`` has, per number of words in a shingle, the shingles of items of every size.  A window
     of n shingles reaches the similarity only if ``percent`` of them belong to items of its own size,
-    so only such windows get a SimHash.
+    so only such windows get a SimHash.  A document of fewer words must hold ``percent`` of n such shingles too.
     """
 
     def run(batches):
@@ -92,7 +93,11 @@ def document_windows(index: dict[int, tuple[np.ndarray, np.ndarray]], words: int
                             shingles = hashes[b[:, None] + np.arange(m)]
                             doc = np.searchsorted(bounds, b, "right") - 1
                             for x, d, s, f in zip(b, doc, shingles, simhash(shingles)):
-                                rows.append((ids[row + d], int(at[x] - tokens.bounds[d]), int(length), int(f.astype(np.int64)), s.view(np.int64)))
+                                rows.append((ids[row + d], int(at[x] - tokens.bounds[d]), int(length), int(length), int(f.astype(np.int64)), s.view(np.int64)))
+                        have = np.diff(bounds)
+                        for d in np.flatnonzero((have < m) & ((sums[bounds[1:]] - sums[bounds[:-1]]) * 100 >= m * percent)):
+                            s = hashes[bounds[d]:bounds[d + 1]]
+                            rows.append((ids[row + d], 0, int(length), int(have[d]) + k - 1, int(simhash(s[None])[0].astype(np.int64)), s.view(np.int64)))
                 if rows:
                     yield _windows(rows)
 
@@ -127,7 +132,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     """Best window of every document for every benchmark item that it nearly contains.
 
     Returns id_col, item_col, start and size (in words), common and total: the window has as many words
-    as the item, and 100 * common >= percent * total for the sums of minima and maxima of their shingle
+    as the item, or is the whole document if that has fewer, and 100 * common >= percent * total for the sums of minima and maxima of their shingle
     counts.  Of equally similar windows the first counts.  Words fold A-Z and are split at ASCII white
     space; an item of fewer than ``words`` words is one shingle.
 
@@ -160,9 +165,9 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
         probes = windows.select("id", "start", "size", F.col("simhash").alias("f"), keys).select("id", "start", "size", "f", "k.i", "k.v")
         # The index has thousands of rows per item, which no size estimate knows of: no broadcast.
         close = probes.join(indexed.hint("merge"), ["size", "i", "v"]).where(F.bit_count(F.col("f").bitwiseXOR(F.col("g"))) <= radius).select("id", "start", "item").distinct()
-        both = close.join(windows.select("id", "start", "size", F.col("shingles").alias("x")), ["id", "start"]).join(
+        both = close.join(windows.select("id", "start", "size", "words", F.col("shingles").alias("x")), ["id", "start"]).join(
             part.select(F.col("id").alias("item"), F.col("size").alias("item_size"), F.col("shingles").alias("y")), "item").where("size = item_size")
-        checked = both.select("id", "item", "start", "size", "x", "y").mapInArrow(weighted_similarity, "id bigint, item bigint, start bigint, size int, common bigint, total bigint")
+        checked = both.select("id", "item", "start", F.col("words").alias("size"), "x", "y").mapInArrow(weighted_similarity, "id bigint, item bigint, start bigint, size int, common bigint, total bigint")
         checked = checked.where(F.col("common") * 100 >= F.col("total") * percent)
         found = checked if found is None else found.unionByName(checked)
     best = found.groupBy("id", "item").agg(F.max_by(F.struct("start", "size", "common", "total"), F.struct(F.col("common") / F.col("total"), -F.col("start"))).alias("b"))
