@@ -10,12 +10,15 @@ from pyspark.sql import functions as F
 from varienne.llm.credentials import count_of, joined, linked_secrets
 from varienne.llm.decontaminate import contaminated
 from varienne.llm.fingerprints import fingerprints
+from varienne.llm.languages import fit_languages, identify_languages
 from varienne.llm.licenses import find_licenses
 from varienne.llm.near import near_duplicates
 from varienne.llm.packing import pack_sequences
+from varienne.llm.phrases import collocations
 from varienne.llm.quality import quality_scores
 from varienne.llm.substrings import remove_repeated_windows
 from varienne.llm.suffixes import remove_repeated_strings
+from varienne.llm.trie import numbered_turns, prefix_trie, rebuilt
 from varienne.llm.warc import field, round_trip
 from varienne.session import scratch_path
 
@@ -159,3 +162,57 @@ def _op4(spark, sf_dir):
 def _op8(spark, sf_dir):
     out = remove_repeated_strings(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_bytes", "n_removed", F.size("removed").cast("bigint").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
+# CRC-32 of a decimal id, bit by bit, and the turns of every rebuilt conversation as a list of digests.
+OP11_SQL = r"""
+WITH t AS (SELECT conv_id, sha256(concat(CAST(strlen(coalesce(role, '')) AS VARCHAR), ':', coalesce(role, ''), coalesce(text, ''))) AS digest, turn, strlen(coalesce(text, '')) AS bytes
+  FROM conversations WHERE conv_id IS NOT NULL),
+p AS (SELECT conv_id, digest, bytes, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, digest) AS pos FROM t),
+h AS (SELECT conv_id, conv_id - conv_id % 5 AS base, xor(list_reduce(list_prepend(4294967295, flatten(list_transform(str_split(CAST(conv_id AS VARCHAR), ''), lambda c: [CAST(ascii(c) AS BIGINT), 0, 0, 0, 0, 0, 0, 0]))),
+  lambda a, e: xor(xor(a, e) >> 1, 3988292384 * (xor(a, e) & 1))), 4294967295) % 9 AS h FROM (SELECT DISTINCT conv_id FROM p)),
+r AS (SELECT h.conv_id, pos, 0 AS own, digest, bytes FROM h JOIN p ON p.conv_id = h.base WHERE pos <= h UNION ALL SELECT conv_id, pos, 1, digest, bytes FROM h JOIN p USING (conv_id) WHERE pos > h),
+q AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY own, pos) AS d, bytes, string_agg(digest, ' ') OVER (PARTITION BY conv_id ORDER BY own, pos) AS key FROM r),
+m AS (SELECT conv_id, d, key, bytes FROM q UNION ALL SELECT conv_id, 0, '', 0 FROM h),
+n AS (SELECT key, CAST(max(d) AS BIGINT) AS depth, min(conv_id) AS conv_id, count(*) AS n_convs, max(bytes) AS bytes FROM m GROUP BY key),
+u AS (SELECT n.*, x.conv_id AS parent_conv_id FROM n LEFT JOIN m y ON y.conv_id = n.conv_id AND y.d = n.depth - 1 LEFT JOIN n x ON x.key = y.key),
+c AS (SELECT parent_conv_id AS conv_id, depth - 1 AS depth, count(*) AS n_children FROM u WHERE depth > 0 GROUP BY ALL),
+s AS (SELECT m.key, CAST(sum((n_convs - 1) * u.bytes) AS BIGINT) AS saved_tokens, count(*) FILTER (WHERE c.n_children IS NULL) AS n_leaves
+  FROM u LEFT JOIN c ON c.conv_id = u.conv_id AND c.depth = u.depth JOIN m ON m.conv_id = u.conv_id AND m.d <= u.depth GROUP BY m.key),
+l AS (SELECT conv_id, max(d) AS d FROM m GROUP BY conv_id),
+e AS (SELECT key, sha256(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id)) AS ends FROM m JOIN l USING (conv_id, d) GROUP BY key)
+SELECT u.conv_id, u.depth, u.parent_conv_id, n_convs, coalesce(n_children, 0) AS n_children, n_leaves, saved_tokens, coalesce(ends, sha256('')) AS ends_sha256
+FROM u JOIN s USING (key) LEFT JOIN c ON c.conv_id = u.conv_id AND c.depth = u.depth LEFT JOIN e ON e.key = u.key"""
+
+
+@query("op11_prefix_trie", OP11_SQL)
+def _op11(spark, sf_dir):
+    return prefix_trie(*rebuilt(numbered_turns(table(spark, sf_dir, "conversations"))))
+
+
+OP12_SQL = r"""
+WITH d AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS p FROM documents),
+w AS (SELECT lang, list_filter(regexp_split_to_array(p, '[\x20\x09]+'), lambda x: x <> '') AS ws FROM d),
+g AS (SELECT lang, k, unnest(list_transform(range(1, len(ws) - k + 2), lambda i: array_to_string(ws[i:i + k - 1], ' '))) AS g FROM w, (VALUES (1), (2), (3)) v(k) WHERE len(ws) >= k),
+f AS (SELECT lang, k, g, count(*) AS f FROM g GROUP BY ALL),
+n AS (SELECT lang, CAST(sum(f) AS BIGINT) AS n FROM f WHERE k = 1 GROUP BY lang),
+c AS (SELECT lang, k, g, f AS a, str_split(g, ' ') AS ws FROM f WHERE k > 1 AND f >= 10),
+t AS (SELECT lang, k, g, a, i, array_to_string(ws[1:i], ' ') AS x, array_to_string(ws[i + 1:k], ' ') AS y FROM c, (VALUES (1), (2)) v(i) WHERE i < k),
+s AS (SELECT t.*, l.f AS l, r.f AS r, CAST((CAST(1000000 AS HUGEINT) * a * a) // (CAST(l.f AS HUGEINT) * r.f) AS BIGINT) AS score
+  FROM t JOIN f l ON l.lang = t.lang AND l.k = i AND l.g = x JOIN f r ON r.lang = t.lang AND r.k = t.k - i AND r.g = y QUALIFY row_number() OVER (PARTITION BY t.lang, t.g ORDER BY score, i) = 1),
+o AS (SELECT lang, g, max(a) AS a FROM (SELECT lang, unnest([array_to_string(ws[1:2], ' '), array_to_string(ws[2:3], ' ')]) AS g, a FROM c WHERE k = 3) GROUP BY ALL)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, s.a DESC, g) AS rank, g AS phrase, s.a, l, r, n, score
+FROM s JOIN n USING (lang) LEFT JOIN o USING (lang, g) WHERE o.a IS NULL OR 100 * o.a < 50 * s.a QUALIFY rank <= 2000"""
+
+
+@query("op12_collocations", OP12_SQL)
+def _op12(spark, sf_dir):
+    return collocations(table(spark, sf_dir, "documents"))
+
+
+@query("op13_language_id")
+def _op13(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    held = F.crc32(F.col("doc_id").cast("string")) % 4 == 2
+    model = fit_languages(docs.where(~held))
+    return identify_languages(docs, model).select("doc_id", held.alias("held_out"), "lang_pred", "score")
