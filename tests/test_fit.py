@@ -4,7 +4,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from varienne.functions.basis import PolynomialBasis
-from varienne.operators import design, fit, sobol, surrogate
+from varienne.operators import design, fit, multifit, qr, sobol, surrogate
+from varienne.operators.sparse import sparse_bayes
 from varienne.plans import quantify, sampling
 
 BOX = {"x0": (0.0, 1.0), "x1": (0.0, 1.0)}
@@ -68,7 +69,7 @@ def test_lsq_matches_numpy(spark):
     quality = fit.fit_quality(fits).first()
     assert quality.r_squared == pytest.approx(1 - res[0] / ((pdf.y - pdf.y.mean()) ** 2).sum())
     phi = fit.with_phi(spark.createDataFrame(pdf), basis, design.germ_columns(CUBE))
-    var = phi.join(fits).select("sample_id", fit.predict_variance(F.col("phi"), F.col("ginv"), F.col("sigma2"), 10).alias("v")).orderBy("sample_id").toPandas().v
+    var = phi.join(fits).select("sample_id", fit.predict_variance(F.col("phi"), F.col("ginv"), F.col("sigma2")).alias("v")).orderBy("sample_id").toPandas().v
     want = row.sigma2 * np.einsum("ij,jk,ik->i", a, np.linalg.inv(a.T @ a), a)
     assert np.allclose(var, want)
 
@@ -216,7 +217,127 @@ def test_missing_and_shifted_outputs(spark, monkeypatch, terms):
     check(fit.fit(fit.wide_statistics(df, basis, germ, ["y", "z", "w"], ["g"]), ["g"]).collect())
     long_ = df.select("g", "sample_id", F.expr("stack(3, 'y', y, 'z', z, 'w', w) as (output_id, y)"))
     long_ = long_.withColumn("g", F.coalesce("g", F.lit("none")))
-    stats = fit.long_statistics(long_, fit.with_phi(df, basis, germ).select("sample_id", "phi"), basis, ["g"])
-    check(fit.fit(stats, ["g"]).collect())
-    quality = {(r.g, r.output_id): r.r_squared for r in fit.fit_quality(fit.fit(stats, ["g"])).collect()}
+    sums = multifit.output_sums(long_, fit.with_phi(df, basis, germ).select("sample_id", "phi"), basis, ["g"])
+    fits = multifit.fit_outputs(sums)
+    check(fits.collect())
+    quality = {(r.g, r.output_id): r.r_squared for r in fit.fit_quality(fits).collect()}
     assert all(q > 0.9 for q in quality.values())
+
+
+def long_frame(spark, n, bounds, order, m, missing=(), seed=3):
+    """Design with basis rows, m random outputs in long form, and both as arrays."""
+    rng = np.random.default_rng(seed)
+    pdf = frame(n, bounds, lambda x, r: {})
+    basis = PolynomialBasis(tuple(bounds), order)
+    phi = basis.matrix(2 * pdf[list(bounds)].to_numpy() - 1)
+    y = phi @ rng.normal(size=(basis.n_terms, m)) + 0.1 * rng.normal(size=(n, m)) + 50 * rng.random(m)
+    for s, o in missing:
+        y[s, o] = np.nan
+    df = spark.createDataFrame(pdf)
+    rows = spark.createDataFrame(pd.DataFrame({"sample_id": np.repeat(np.arange(n), m), "output_id": np.tile([f"o{j:04}" for j in range(m)], n), "y": y.ravel()}))
+    return basis, fit.with_phi(df, basis, design.germ_columns(bounds)).select("sample_id", "phi"), rows.withColumn("g", F.lit("g")), phi, y
+
+
+def test_a_thousand_outputs_share_one_factor(spark, monkeypatch):
+    monkeypatch.setattr(multifit, "BLOCK_VALUES", 286 * 300)
+    bounds = {f"x{i}": (0.0, 1.0) for i in range(10)}
+    basis, phi, rows, x, y = long_frame(spark, 400, bounds, 3, 1000, missing=[(7, 3), (7, 4), (9, 5)])
+    sums = multifit.output_sums(rows, phi, basis, ["g"])
+    assert basis.n_terms == 286 and sums.outputs.columns == ["g", "output_id", "folds", "_set"]
+    assert sums.sets.count() == 3 and sums.grams.count() == 3  # all samples, without 7, without 9
+    fits = {r.output_id: r for r in multifit.fit_outputs(sums).collect()}
+    assert len(fits) == 1000
+    for j in (0, 3, 4, 5, 999):
+        use = ~np.isnan(y[:, j])
+        want = np.linalg.lstsq(x[use], y[use, j], rcond=None)[0]
+        assert np.allclose(fits[f"o{j:04}"].coef, want, atol=1e-7) and fits[f"o{j:04}"].n == use.sum()
+
+
+def test_errors_of_folds_equal_separate_fits(spark):
+    basis, phi, rows, x, y = long_frame(spark, 60, BOX, 2, 3, missing=[(4, 1), (11, 1)])
+    fold = F.col("sample_id") % 4
+    got = multifit.errors(multifit.fit_outputs(multifit.output_sums(rows, phi, basis, ["g"], fold=fold, folds=4), test_fold=0, cross=True), ["g"]).orderBy("output_id").collect()
+    of = np.arange(60) % 4
+    norm = np.linalg.norm
+    for j, r in enumerate(got):
+        use = ~np.isnan(y[:, j])
+        solve = lambda rows: np.linalg.lstsq(x[rows], y[rows, j], rcond=None)[0]  # noqa: B023, E731
+        train, test = use & (of != 0), use & (of == 0)
+        e = y[:, j] - x @ solve(train)
+        assert r.train_error == pytest.approx(norm(e[train]) / norm(y[train, j]), rel=1e-6)
+        assert r.test_error == pytest.approx(norm(e[test]) / norm(y[test, j]), rel=1e-6)
+        cross = np.concatenate([(y[:, j] - x @ solve(train & (of != f)))[train & (of == f)] for f in (1, 2, 3)])
+        assert r.cross_error == pytest.approx(norm(cross) / norm(y[train, j]), rel=1e-6) and r.n == train.sum() and r.test_n == test.sum()
+
+
+@pytest.mark.parametrize("method", ["anl", "bcs"])
+def test_other_methods_of_many_outputs(spark, method):
+    basis, phi, rows, x, y = long_frame(spark, 80, BOX, 2, 2)
+    sums = multifit.output_sums(rows, phi, basis, ["g"])
+    for j, r in enumerate(multifit.fit_outputs(sums, method).orderBy("output_id").collect()):
+        want = np.linalg.lstsq(x, y[:, j], rcond=None)[0]
+        assert r.converged and np.allclose(r.coef, want, atol=0.1) and r.sse == pytest.approx(((y[:, j] - x @ np.array(r.coef)) ** 2).sum(), rel=1e-6)
+
+
+def test_qr_keeps_small_residuals_and_narrow_inputs(spark, monkeypatch):
+    monkeypatch.setattr(qr, "FAN_IN", 3)
+    pdf = frame(200, CUBE, lambda x, r: {"y": 1e3 + x.x0**3 - 2 * x.x0 * x.x1 * x.x2 + x.x2**2})
+    pdf["g"] = np.where(pdf.sample_id % 3 == 0, "a", None)
+    # The second half of the test: inputs that fill a hundredth of their range, so that the normal equations lose all digits.
+    for width in (1.0, 0.01):
+        narrow = pdf.copy()
+        narrow[list(CUBE)] *= width
+        narrow["y"] = 1e3 + narrow.x0**3 - 2 * narrow.x0 * narrow.x1 * narrow.x2 + narrow.x2**2
+        df, basis = spark.createDataFrame(narrow).repartition(11), PolynomialBasis(tuple(CUBE), 3)
+        factors = qr.qr_factors(df, basis, design.germ_columns(CUBE), ["y"], ["g"])
+        rows = qr.fit_qr(factors, ["g"]).collect()
+        x = basis.matrix(2 * narrow[list(CUBE)].to_numpy() - 1)
+        assert len(rows) == 2
+        for r in rows:
+            use = ((narrow.g == "a") if r.g == "a" else narrow.g.isna()).to_numpy()
+            e = narrow.y.to_numpy()[use] - x[use] @ np.array(r.coef)
+            assert np.linalg.norm(e) < 1e-10 * np.linalg.norm(narrow.y[use]) and np.sqrt(r.sse) < 1e-10 * np.linalg.norm(narrow.y[use])
+            assert r.n == use.sum() and r.mean == pytest.approx(narrow.y[use].mean()) and r.syy / r.n == pytest.approx(narrow.y[use].to_numpy().var(), rel=1e-6)
+
+
+def test_qr_without_enough_samples_has_least_norm(spark):
+    pdf = frame(6, BOX, linear_pair)
+    df, basis = spark.createDataFrame(pdf).repartition(4), PolynomialBasis(tuple(BOX), 2)
+    df = df.withColumn("z", F.when(F.col("sample_id") > 1, F.col("z")))
+    rows = {r.output_id: r for r in qr.fit_qr(qr.qr_factors(df, basis, design.germ_columns(BOX), ["y", "z"])).collect()}
+    x = basis.matrix(2 * pdf[list(BOX)].to_numpy() - 1)
+    assert np.allclose(rows["y"].coef, np.linalg.lstsq(x, pdf.y, rcond=None)[0], atol=1e-8)
+    assert np.allclose(rows["z"].coef, np.linalg.lstsq(x[2:], pdf.z[2:], rcond=None)[0], atol=1e-8) and rows["z"].n == 4
+
+
+def linear_pair(x, rng):
+    return {"y": x.x0 + 3 * x.x1, "z": x.x0 * x.x1 + rng.random(len(x))}
+
+
+def test_leverages_give_leave_one_out(spark):
+    pdf = frame(40, BOX, linear_pair)
+    df, basis, germ = spark.createDataFrame(pdf), PolynomialBasis(tuple(BOX), 2), design.germ_columns(BOX)
+    scores = qr.scored(df, qr.qr_factors(df, basis, germ, ["z"]), basis, germ, keep=["sample_id", "z"], block_rows=9)
+    got = qr.leave_one_out(scores, y="z").first()
+    x, z = basis.matrix(2 * pdf[list(BOX)].to_numpy() - 1), pdf.z.to_numpy()
+    errors = [z[i] - x[i] @ np.linalg.lstsq(np.delete(x, i, 0), np.delete(z, i), rcond=None)[0] for i in range(40)]
+    assert got.loo_error == pytest.approx(np.linalg.norm(errors) / np.linalg.norm(z), rel=1e-9) and got.n == 40 and got.undetermined == 0
+
+
+@pytest.mark.parametrize("noise", [0.0, 0.1])
+def test_sparse_bayes_follows_the_noise(noise):
+    rng = np.random.default_rng(1)
+    basis = PolynomialBasis(tuple("abcde"), 3)
+    x = basis.matrix(rng.uniform(-1, 1, (300, 5)))
+    true = np.zeros(56)
+    true[[0, 3, 20, 41]] = [900, 5, -4, 3]
+    y = x @ true + noise * rng.normal(size=300)
+    c = y - y.mean()
+    out = sparse_bayes(x.T @ x, x.T @ c, c @ c, 300, y.mean(), 1e-3)
+    assert out.converged and 3 <= out.steps < 60 and out.used[[0, 3, 20, 41]].all()
+    assert np.abs(out.coef - true).max() < (0.1 if noise else 1e-7) and out.sigma2 == pytest.approx(noise**2, rel=0.3, abs=1e-12)
+    assert noise or out.used.sum() == 4
+    stopped = sparse_bayes(x.T @ x, x.T @ c, c @ c, 300, y.mean(), 1e-3, steps_per_term=0)
+    assert not stopped.converged and stopped.steps == 0
+    flat = sparse_bayes(x.T @ x, np.zeros(56), 0.0, 300, 4.0, 1e-3)
+    assert flat.coef[0] == 4 and flat.used.sum() == 1 and flat.converged

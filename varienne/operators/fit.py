@@ -20,6 +20,7 @@ from pyspark.sql import types as T
 from pyspark.sql.functions import pandas_udf
 
 from varienne.functions.basis import PolynomialBasis
+from varienne.operators.sparse import sparse_bayes
 from varienne.session import checked_broadcast, materialize, measure
 
 METHODS = ("lsq", "anl", "bcs")
@@ -27,7 +28,7 @@ METHODS = ("lsq", "anl", "bcs")
 GENERATED_SUMS = 32
 #: Up to this many terms a basis row is multiplied out in generated code.
 GENERATED_TERMS = 16
-#: Up to this many terms the right-hand sides of long outputs are plain sums.
+#: Up to this many terms the right-hand sides of long outputs are plain sums (``multifit``).
 PLAIN_RHS_TERMS = 64
 #: Numbers a task may hold in partial sums before it hands them on.
 BUFFERED_VALUES = 4_000_000
@@ -190,7 +191,7 @@ def _block_sums(df, basis, germ, outputs, groups):
     return summed.select(*groups, "n", F.concat(F.slice("sums", 1, g), *tail).alias("sums"))
 
 
-def _gram_sums(samples: DataFrame, p: int, groups: Sequence[str]) -> DataFrame:
+def gram_sums(samples: DataFrame, p: int, groups: Sequence[str]) -> DataFrame:
     """Gram matrix and number of samples per group from rows that carry ``phi``."""
     if p * (p + 1) // 2 <= GENERATED_SUMS:
         entries = gram_entries(F.col("phi"), p)
@@ -229,41 +230,6 @@ def raw_squares(syy: Column, mean: Column, n: Column) -> Column:
     return syy + n * mean * mean
 
 
-def long_statistics(y: DataFrame, phi: DataFrame, basis: PolynomialBasis, groups: Sequence[str], key: Sequence[str] = ("sample_id",)) -> DataFrame:
-    """Statistics of a long output table (groups..., key..., output_id, y) and (key..., phi).
-
-    The Gram matrix is summed over the distinct samples of a group, the right-hand sides over the rows with
-    a value; null and NaN count as missing, like an absent row.  Outputs that miss samples of their group get
-    a Gram matrix over their own samples.  All are sums combined map-side, about the mean of the output.
-    """
-    p = basis.n_terms
-    key, columns = list(key), list(dict.fromkeys([*groups, *key]))
-    rows = y.where(present("y")).join(phi, key)
-    value = F.col("y").cast("double")
-    by_output, count = rows.groupBy(*groups, "output_id"), F.count(F.lit(1))
-    if p <= PLAIN_RHS_TERMS:
-        # Very many (group, output) keys: plain sums use the hash aggregate with its compact rows.
-        sums = by_output.agg(
-            count.alias("n"), *[(F.covar_pop(F.col("phi")[t], value) * count).alias(f"_r{t}") for t in range(p)],
-            (F.var_pop(value) * count).alias("syy"), F.avg(value).alias("mean"))
-        rhs = sums.select(*groups, "output_id", "n", F.array(*[F.col(f"_r{t}") for t in range(p)]).alias("rhs"), "syy", "mean")
-    else:
-        means = by_output.agg(F.avg(value).alias("mean"))
-        centred = rows.join(means, [*groups, "output_id"]).withColumn("_d", value - F.col("mean"))
-        rhs = centred.groupBy(*groups, "output_id").agg(
-            count.alias("n"), sum_vectors(F.transform("phi", lambda f: f * F.col("_d"))).alias("rhs"),
-            F.sum(F.col("_d") * F.col("_d")).alias("syy"), F.first("mean").alias("mean"))
-    rhs = materialize(rhs, "rhs")
-    gram = materialize(_gram_sums(y.select(*columns).distinct().join(phi, key), p, groups), "gram")
-    both = rhs.join(gram, list(groups)) if groups else rhs.withColumns({c: gram.select(c).scalar() for c in ("samples", "gram")})
-    short = both.where("n < samples").select(*groups, "output_id")
-    if short.isEmpty():
-        return both.drop("samples")
-    own = _gram_sums(rows.join(short, [*groups, "output_id"], "left_semi"), p, [*groups, "output_id"])
-    kept = rhs.join(own, [*groups, "output_id"]).drop("samples")
-    return both.where("n >= samples").drop("samples").unionByName(kept)
-
-
 # --- solvers on P-sized systems -----------------------------------------------------
 
 
@@ -285,63 +251,7 @@ def solve_normal(gram: np.ndarray, rhs: np.ndarray, inverse: np.ndarray) -> np.n
     return coef + inverse @ (rhs - gram @ coef)
 
 
-def sparse_bayes(gram: np.ndarray, centred: np.ndarray, syy: float, n: int, mean_y: float, tolerance: float) -> tuple[np.ndarray, np.ndarray, float]:
-    """Sparse Bayesian regression by sequential marginal-likelihood steps.
-
-    Fast marginal likelihood maximisation (Tipping and Faul 2003, as used for Bayesian
-    compressive sensing by Ji et al. 2008), written on the sufficient statistics.
-    Returns coefficients, the used terms and the noise variance.
-    """
-    rhs = centred + mean_y * gram[:, 0]
-    p = len(rhs)
-    noise = max(syy / n, 1e-300) * 1e-2
-    alpha = np.full(p, np.inf)
-    first = int(np.argmax(rhs**2 / np.clip(np.diag(gram), 1e-300, None)))
-    alpha[first] = gram[first, first] / max(rhs[first] ** 2 / gram[first, first] - noise, 1e-12)
-    gains: list[float] = []
-    for _ in range(50 * p):
-        active = np.flatnonzero(np.isfinite(alpha))
-        cov = np.linalg.inv(np.diag(alpha[active]) + gram[np.ix_(active, active)] / noise)
-        mean = cov @ rhs[active] / noise
-        cross = gram[:, active]
-        s_all = np.diag(gram) / noise - np.einsum("ij,jk,ik->i", cross, cov, cross) / noise**2
-        q_all = rhs / noise - cross @ (cov @ rhs[active]) / noise**2
-        s, q = s_all.copy(), q_all.copy()
-        a = alpha[active]
-        s[active] = a * s_all[active] / (a - s_all[active])
-        q[active] = a * q_all[active] / (a - s_all[active])
-        theta = q**2 - s
-        gain = np.full(p, -np.inf)
-        wanted = np.full(p, np.inf)
-        up = theta > 1e-12
-        wanted[up] = s[up] ** 2 / theta[up]
-        for m in range(p):
-            if up[m] and np.isfinite(alpha[m]):
-                d = 1 / wanted[m] - 1 / alpha[m]
-                gain[m] = q_all[m] ** 2 / (s_all[m] + 1 / d) - np.log1p(s_all[m] * d) if abs(d) > 1e-300 else 0.0
-            elif up[m]:
-                gain[m] = (q_all[m] ** 2 - s_all[m]) / s_all[m] + np.log(s_all[m] / q_all[m] ** 2)
-            elif np.isfinite(alpha[m]) and len(active) > 1:
-                gain[m] = q_all[m] ** 2 / (s_all[m] - alpha[m]) - np.log(1 - s_all[m] / alpha[m])
-        best = int(np.argmax(gain))
-        if not np.isfinite(gain[best]) or gain[best] <= 0:
-            break
-        gains.append(gain[best] / 2)
-        alpha[best] = wanted[best]
-        if len(gains) > 1 and gains[-1] < tolerance * max(gains):
-            break
-    active = np.flatnonzero(np.isfinite(alpha))
-    cov = np.linalg.inv(np.diag(alpha[active]) + gram[np.ix_(active, active)] / noise)
-    coef = np.zeros(p)
-    coef[active] = cov @ rhs[active] / noise
-    used = np.isfinite(alpha)
-    about = coef.copy()
-    about[0] -= mean_y
-    residual = max(syy - 2 * about @ centred + about @ gram @ about, 0.0)
-    return coef, used, residual / max(n - used.sum(), 1)
-
-
-FIT_TYPE = "coef array<double>, used array<boolean>, sigma2 double"
+FIT_TYPE = "coef array<double>, used array<boolean>, sigma2 double, converged boolean, steps int"
 
 
 def _solver(method: str, tolerance: float, underdetermined: str, covariance: bool) -> Callable:
@@ -359,9 +269,9 @@ def _solver(method: str, tolerance: float, underdetermined: str, covariance: boo
                 inverses[key] = (matrix, pseudo_inverse(matrix))
             matrix, inverse = inverses[key]
             if method == "bcs":
-                coef, used, sigma2 = sparse_bayes(matrix, b, spread, count, centre, tolerance)
+                coef, used, sigma2, converged, steps = sparse_bayes(matrix, b, spread, count, centre, tolerance)
             else:
-                used = np.ones(p, dtype=bool)
+                used, converged, steps = np.ones(p, dtype=bool), True, 0
                 if count < p:  # the minimum norm counts the constant too
                     coef = solve_normal(matrix, b + centre * matrix[:, 0], inverse)
                     sse = 0.0
@@ -371,20 +281,20 @@ def _solver(method: str, tolerance: float, underdetermined: str, covariance: boo
                     coef[0] += centre
                 freedom = count - p - (2 if method == "anl" else 0)
                 sigma2 = sse / freedom if freedom > 0 else 0.0
-            row = (coef.tolist(), used.tolist(), float(sigma2))
+            row = (coef.tolist(), used.tolist(), float(sigma2), converged, steps)
             rows.append((*row, inverse[np.tril_indices(p)].tolist()) if covariance else row)
-        return pd.DataFrame(rows, columns=["coef", "used", "sigma2", *(["ginv"] if covariance else [])])
+        return pd.DataFrame(rows, columns=["coef", "used", "sigma2", "converged", "steps", *(["ginv"] if covariance else [])])
 
     return solve
 
 
 def fit(statistics: DataFrame, groups: Sequence[str], method: str = "lsq", tolerance: float = DEFAULT_TOLERANCE, underdetermined: str = "min_norm", covariance: bool = False) -> DataFrame:
-    """Coefficients per (group, output): coef, used and sigma2 beside the sums.
+    """Coefficients per (group, output): coef, used, sigma2, converged and steps beside the sums.
 
     ``covariance`` adds the lower triangle of the inverse Gram matrix for prediction variances.
 
     ``lsq`` and ``anl`` share the coefficients; ``anl`` takes the noise variance as the
-    posterior mean SSE/(n-P-2).  ``bcs`` keeps a sparse set of terms.  With fewer samples
+    posterior mean SSE/(n-P-2).  ``bcs`` keeps a sparse set of terms and tells whether and after how many steps it converged.  With fewer samples
     than terms the minimum-norm solution is returned, or an error on request.
     """
     if method not in METHODS:
@@ -440,19 +350,21 @@ def predict(points: DataFrame, coefs: DataFrame, groups: Sequence[str] = (), phi
     return joined.withColumn("yhat", dot_terms(F.col(phi), F.col("coef"), n_terms) if n_terms else dot(F.col(phi), F.col("coef")))
 
 
-def predict_variance(phi: Column, ginv: Column, sigma2: Column, n_terms: int, noise: bool = False) -> Column:
-    """σ²(φᵀG⁻¹φ), plus σ² itself when the observation noise is included."""
-    quadratic = dot(_quadratic_entries(phi, n_terms), ginv)
-    return sigma2 * (quadratic + (1.0 if noise else 0.0))
+def predict_variance(phi: Column, ginv: Column, sigma2: Column, noise: bool = False) -> Column:
+    """σ²(φᵀG⁻¹φ), plus σ² itself when the observation noise is included, in numpy blocks.
 
+    For rows that already carry the lower triangle of the inverse, such as one point per fit; many points
+    per fit meet it once per block in ``qr.scored``.
+    """
 
-def _quadratic_entries(phi: Column, n_terms: int) -> Column:
-    entries = []
-    for i in range(n_terms):
-        for j in range(i + 1):
-            e = phi[i] * phi[j]
-            entries.append(e if i == j else 2.0 * e)
-    return F.array(*entries)
+    @pandas_udf(T.DoubleType())
+    def quadratic(phi: pd.Series, ginv: pd.Series) -> pd.Series:
+        rows = np.stack(phi.to_numpy()) if len(phi) else np.zeros((0, 1))
+        lower = np.tril_indices(rows.shape[1])
+        weight = np.where(lower[0] == lower[1], 1.0, 2.0)
+        return pd.Series([float((row[lower[0]] * row[lower[1]] * weight) @ np.asarray(g)) for row, g in zip(rows, ginv)])
+
+    return sigma2 * (quadratic(phi, ginv) + (1.0 if noise else 0.0))
 
 
 def surrogate_std(coef: Column) -> Column:

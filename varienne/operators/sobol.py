@@ -69,11 +69,10 @@ def output_variances(statistics: DataFrame, groups: Sequence[str] = ()) -> DataF
     return statistics.select(*groups, "output_id", (F.col("syy") / F.col("n")).alias("output_variance"))
 
 
-def variance_weighting(indices: DataFrame, variances: DataFrame, groups: Sequence[str] = ()) -> DataFrame:
-    """Combine outputs into one index per input, weighted by output variance.
+def output_weights(variances: DataFrame, groups: Sequence[str] = (), unit: Sequence[str] = ("output_id",)) -> DataFrame:
+    """Share of every unit in the output variance of its group; all-zero variances weight equally.
 
-    All-zero variances weight equally.  The total is an aggregate joined back, not a
-    window, and the inputs are one row per fit and input.
+    The total is an aggregate joined back, not a window.
     """
     totals = variances.groupBy(*groups).agg(F.sum("output_variance").alias("_sum"), F.count(F.lit(1)).alias("_k"))
     if groups:
@@ -81,12 +80,25 @@ def variance_weighting(indices: DataFrame, variances: DataFrame, groups: Sequenc
     else:
         weights = variances.withColumns({c: totals.select(c).scalar() for c in ("_sum", "_k")})
     weight = F.when(F.col("_sum") > 0, F.col("output_variance") / F.col("_sum")).otherwise(1.0 / F.col("_k"))
-    weights = weights.select(*groups, "output_id", weight.alias("_weight"))
-    joined = indices.join(weights, [*groups, "output_id"])
+    return weights.select(*groups, *unit, weight.alias("_weight"))
+
+
+def variance_weighting(indices: DataFrame, variances: DataFrame, groups: Sequence[str] = (), unit: Sequence[str] = ("output_id",)) -> DataFrame:
+    """Combine outputs into one index per input, weighted by output variance.
+
+    ``unit`` names what is combined: the output, or (stage, output) for one index over all stages.
+    """
+    joined = indices.join(output_weights(variances, groups, unit), [*groups, *unit])
     return joined.groupBy(*groups, "param_id", "param").agg(
         F.sum(F.col("_weight") * F.col("s1")).alias("s1"), F.sum(F.col("_weight") * F.col("st")).alias("st"))
 
 
+def joint_weighting(joint: DataFrame, variances: DataFrame, groups: Sequence[str] = (), unit: Sequence[str] = ("output_id",)) -> DataFrame:
+    """The matrix of joint indices combined in the same way, one row per pair of inputs."""
+    joined = joint.join(output_weights(variances, groups, unit), [*groups, *unit])
+    return joined.groupBy(*groups, "param_i", "param_j").agg(F.sum(F.col("_weight") * F.col("s_ij")).alias("s_ij"))
+
+
 def per_stage_sobol(indices: DataFrame, stage: str = "stage") -> DataFrame:
     """Mean of the per-output indices in every growth stage."""
     return indices.groupBy(stage, "param_id", "param").agg(F.avg("s1").alias("s1"), F.avg("st").alias("st"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from varienne.functions.basis import PolynomialBasis, choose_order_column
-from varienne.operators import design, fit, sobol, strategies
+from varienne.operators import design, fit, qr, sobol, strategies
 from varienne.operators.observables import DRY_MASS, VOLUME
 from varienne.plans import quantify
 from varienne.session import checked_broadcast
@@ -185,11 +185,47 @@ def _fit_anl(t):
     return fitted(t, method="anl").select("l_returnflag", "output_id", "n", rnd(F.sqrt("sigma2"), 4).alias("noise_std"))
 
 
-@query("fit_bcs")
+#: Cubic and sparse responses of the inputs: what a fit must return exactly.
+CUBIC = "7 + 3 * g0 - 2 * g2 * g2 + 0.5::DOUBLE * g0 * g1 * g2 + g1 * g1 * g1"
+SPARSE = "1000 + 200 * g2 - 50 * g0 * g1"
+RESPONSE_SQL = f"SELECT l_returnflag, unnest(['cubic', 'sparse']) AS output_id, unnest([{CUBIC}, {SPARSE}]) AS y, g0, g1, g2, l_orderkey, l_linenumber FROM ({DESIGN_SQL})"
+
+
+def responses(t):
+    """The design with both responses as columns."""
+    g = dict(zip(GERM, design.germ_columns(LINEITEM_BOUNDS)))
+    spark_sql = lambda text: F.expr(text.replace("0.5::DOUBLE", "0.5D"))
+    return t.design.withColumns(g).withColumns({"cubic": spark_sql(CUBIC), "sparse": spark_sql(SPARSE)}).drop(*GERM)
+
+
+@query("fit_bcs", f"""
+SELECT l_returnflag, output_id, term_id, {sr('coef', 4)} AS coef, abs(coef) > 1e-6 AS used, true AS converged FROM (
+  SELECT l_returnflag, output_id, CAST(unnest(range({BASIS2.n_terms})) AS INTEGER) AS term_id, unnest([{', '.join(f'c{i}' for i in range(BASIS2.n_terms))}]) AS coef
+  FROM ({fit_sql(f"SELECT * FROM ({RESPONSE_SQL}) WHERE output_id = 'sparse'", BASIS2, GERM, ['l_returnflag', 'output_id'])}))""")
 def _fit_bcs(t):
-    out = fitted(t, method="bcs")
-    return out.select("l_returnflag", "output_id", F.posexplode(F.arrays_zip("coef", "used")).alias("term_id", "e")).select(
-        "l_returnflag", "output_id", "term_id", F.col("e.coef").alias("coef"), F.col("e.used").alias("used"))
+    """Of a response with two of ten terms the sparse fit keeps those two and the constant."""
+    fits = fit.fit(fit.wide_statistics(responses(t), BASIS2, design.germ_columns(LINEITEM_BOUNDS), ["sparse"], FLAG), FLAG, "bcs")
+    return fits.select("l_returnflag", "output_id", "converged", F.posexplode(F.arrays_zip("coef", "used")).alias("term_id", "e")).select(
+        "l_returnflag", "output_id", "term_id", rnd("e.coef", 4).alias("coef"), F.col("e.used").alias("used"), "converged")
+
+
+def qr_factors(t, basis=BASIS2):
+    return qr.qr_factors(t.design, basis, design.germ_columns(LINEITEM_BOUNDS), OUTPUTS, FLAG)
+
+
+@query("fit_qr", coef_sql(FIT2_SQL, BASIS2))
+def _fit_qr(t):
+    return coef_rows(qr.fit_qr(qr_factors(t), FLAG), BASIS2)
+
+
+@query("fit_qr_exact", f"""
+SELECT l_returnflag, output_id, n, {', '.join(f"{sr(f'c{i}', 6)} AS c{i}" for i in range(BASIS3.n_terms))}, true AS exact FROM ({fit_sql(RESPONSE_SQL, BASIS3, GERM, ['l_returnflag', 'output_id'])})""")
+def _fit_qr_exact(t):
+    """Noiseless responses of order 3: coefficients, and whether the residual stays below 1e-10 of the values."""
+    factors = qr.qr_factors(responses(t), BASIS3, design.germ_columns(LINEITEM_BOUNDS), ["cubic", "sparse"], FLAG)
+    fits = qr.fit_qr(factors, FLAG)
+    return fits.select("l_returnflag", "output_id", "n", *[rnd(F.col("coef")[i], 6).alias(f"c{i}") for i in range(BASIS3.n_terms)],
+                       (F.sqrt("sse") < 1e-10 * F.sqrt(F.col("syy") + F.col("n") * F.col("mean") * F.col("mean"))).alias("exact"))
 
 
 @query("predict", f"""
@@ -211,13 +247,41 @@ SELECT l.l_orderkey, l.l_linenumber, l.output_id, {sr('sqrt(e2 * n / (n - 2) * (
 FROM ({LONG_SQL}) l JOIN ({FITQ_SQL}) f USING (l_returnflag, output_id)
 JOIN (SELECT l_returnflag, avg(g2) AS mg, var_pop(g2) AS vg FROM ({DESIGN_SQL}) GROUP BY 1) USING (l_returnflag)""")
 def _predict_std(t):
-    bounds = {"l_quantity": LINEITEM_BOUNDS["l_quantity"]}
-    germ = design.germ_columns(bounds)
-    fits = fit.fit(fit.wide_statistics(t.design, BASIS_Q, germ, OUTPUTS, FLAG), FLAG, covariance=True)
-    rows = fit.with_phi(t.design, BASIS_Q, germ)
-    out = rows.join(checked_broadcast(fits), FLAG)
-    std = F.sqrt(fit.predict_variance(F.col("phi"), F.col("ginv"), F.col("sigma2"), BASIS_Q.n_terms))
-    return out.select("l_orderkey", "l_linenumber", "output_id", rnd(std, 4).alias("std"))
+    out = quantity_scores(t)
+    return out.select("l_orderkey", "l_linenumber", "output_id", rnd(F.sqrt(F.col("sigma2") * F.col("leverage")), 4).alias("std"))
+
+
+def quantity_scores(t):
+    """Predictions of the fits to one input, with the leverage of every row."""
+    germ = design.germ_columns({"l_quantity": LINEITEM_BOUNDS["l_quantity"]})
+    factors = qr.qr_factors(t.design, BASIS_Q, germ, OUTPUTS, FLAG)
+    return qr.scored(t.design, factors, BASIS_Q, germ, FLAG, ["l_orderkey", "l_linenumber", "y0", "y1"])
+
+
+MOMENTS_SQL = f"SELECT l_returnflag, avg(g2) AS mg, var_pop(g2) AS vg FROM ({DESIGN_SQL}) GROUP BY 1"
+
+
+@query("leave_one_out", f"""
+SELECT l_returnflag, output_id, count(*) AS n, {sr('sqrt(sum((e / (1 - h)) ** 2)) / sqrt(sum(y * y))', 8)} AS loo_error, CAST(0 AS BIGINT) AS undetermined FROM (
+  SELECT l_returnflag, l.output_id, l.y, l.y - ({predict_sql(BASIS_Q, ['g2'])}) AS e, 1.0::DOUBLE / n + (g2 - mg) ** 2 / (n * vg) AS h
+  FROM ({LONG_SQL}) l JOIN ({FITQ_SQL}) f USING (l_returnflag, output_id) JOIN ({MOMENTS_SQL}) USING (l_returnflag)) GROUP BY 1, 2""")
+def _leave_one_out(t):
+    scores = quantity_scores(t).withColumn("y", F.when(F.col("output_id") == "y0", F.col("y0")).otherwise(F.col("y1")))
+    return rounded(qr.leave_one_out(scores, FLAG), 8)
+
+
+@query("anl_posterior", f"""
+SELECT l_returnflag, output_id, {sr('sqrt(s2)', 4)} AS noise_std, {sr('sqrt(s2 * (1.0 / n + mg * mg / (n * vg)))', 6)} AS std0, {sr('sqrt(s2 / (n * vg))', 6)} AS std1,
+  {sr('-s2 * mg / (n * vg)', 4)} AS cov01, {sr('sqrt(s2 * (1 + 1.0 / n + (0.5 - mg) ** 2 / (n * vg)))', 4)} AS predictive_std
+FROM (SELECT l_returnflag, output_id, n, mg, vg, e2 * n / (n - 4) AS s2 FROM ({FITQ_SQL}) JOIN ({MOMENTS_SQL}) USING (l_returnflag))""")
+def _anl_posterior(t):
+    """Posterior of the coefficients (deviations and covariance) and the predictive deviation at germ 0.5."""
+    germ = design.germ_columns({"l_quantity": LINEITEM_BOUNDS["l_quantity"]})
+    fits = fit.fit(fit.wide_statistics(t.design, BASIS_Q, germ, OUTPUTS, FLAG), FLAG, "anl", covariance=True)
+    cov = lambda i: F.col("sigma2") * F.col("ginv")[i]
+    variance = fit.predict_variance(F.array(F.lit(1.0), F.lit(0.5)), F.col("ginv"), F.col("sigma2"), noise=True)
+    return fits.select("l_returnflag", "output_id", rnd(F.sqrt("sigma2"), 4).alias("noise_std"), rnd(F.sqrt(cov(0)), 6).alias("std0"), rnd(F.sqrt(cov(2)), 6).alias("std1"),
+                       rnd(cov(1), 4).alias("cov01"), rnd(F.sqrt(variance), 4).alias("predictive_std"))
 
 
 @query("surrogate_std", f"""
@@ -275,6 +339,15 @@ def _variance_weighting(t):
     return rounded(sobol.variance_weighting(sobol.sobol_indices(fits, BASIS2, FLAG), sobol.output_variances(fits, FLAG), FLAG), 8)
 
 
+@query("joint_weighting", f"""
+WITH f AS (SELECT *, vy / sum(vy) OVER (PARTITION BY l_returnflag) AS w FROM ({FIT2_SQL})) """ + " UNION ALL ".join(
+    f"SELECT l_returnflag, '{PARAMS[i]}' AS param_i, '{PARAMS[j]}' AS param_j, {sr(f'sum(w * ({share_sql(BASIS2, lambda a: a[i] and a[j])}))', 8)} AS s_ij FROM f GROUP BY 1"
+    for i, j in PAIRS))
+def _joint_weighting(t):
+    fits = fitted(t)
+    return rounded(sobol.joint_weighting(sobol.sobol_joint(fits, BASIS2, FLAG), sobol.output_variances(fits, FLAG), FLAG), 8)
+
+
 @query("interaction_gap", f"SELECT l_returnflag, output_id, param, {sr('st - s1', 8)} AS interaction FROM ({SOBOL2_SQL})")
 def _interaction_gap(t):
     return rounded(sobol.interaction_gap(indices(t)).select("l_returnflag", "output_id", "param", "interaction"), 8)
@@ -339,6 +412,45 @@ def _strategy_fit(t):
     return rounded(strategy_result(t).indices.select(*STRATEGY_KEYS, "output_id", "param_id", "param", "s1", "st"))
 
 
+@query("combined_stage_sobol", f"""
+WITH g AS ({GROWTH_SQL}), f AS ({STRATEGY_FIT_SQL}), w AS (SELECT *, vy / sum(vy) OVER () AS w FROM f WHERE strategy = 'growth_stage')
+""" + " UNION ALL ".join(
+    f"SELECT CAST({i} AS INTEGER) AS param_id, '{name}' AS param, {sr(f'sum(w * ({share_sql(SAMPLE_BASIS, lambda a: a[i])}))')} AS s1, {sr(f'sum(w * ({share_sql(SAMPLE_BASIS, lambda a: a[i])}))')} AS st FROM w"
+    for i, name in enumerate(SAMPLE_BOUNDS)))
+def _combined_stage_sobol(t):
+    """One index per input over all stages and observables together."""
+    indices, _ = strategy_result(t).combined()
+    return rounded(indices.select("param_id", "param", "s1", "st"))
+
+
+FOLDS = 4
+POINTS_SQL = f"SELECT *, 2 * sample_id / 19.0 - 1 AS g0, 2 * ((sample_id * 7) % 20) / 19.0 - 1 AS g1 FROM ({STRATEGY_Y_SQL})"
+_UNIT = [*STRATEGY_KEYS, "output_id"]
+_ERROR = "sqrt(sum((y - yhat) ** 2)) / sqrt(sum(y * y))"
+
+
+def _errors_sql(name, trained, tested):
+    fits = fit_sql(f"SELECT * FROM p WHERE sample_id % 5 <> 0 AND {trained}", SAMPLE_BASIS, ["g0", "g1"], _UNIT)
+    return f"SELECT strategy, group_value, output_id, '{name}' AS split, y, {predict_sql(SAMPLE_BASIS, ['g0', 'g1'])} AS yhat FROM p JOIN ({fits}) f USING (strategy, group_value, output_id) WHERE {tested}"
+
+
+ERRORS_SQL = " UNION ALL ".join([
+    _errors_sql("train", "true", "sample_id % 5 <> 0"), _errors_sql("test", "true", "sample_id % 5 = 0"),
+    *[_errors_sql("cross", f"sample_id % {FOLDS} <> {k}", f"sample_id % 5 <> 0 AND sample_id % {FOLDS} = {k}") for k in range(FOLDS)]])
+
+
+@query("strategy_errors", f"""
+WITH g AS ({GROWTH_SQL}), p AS ({POINTS_SQL}), e AS (SELECT strategy, group_value, output_id, split, {_ERROR} AS error FROM ({ERRORS_SQL}) GROUP BY ALL)
+SELECT strategy, CAST(group_value AS BIGINT) AS group_value, output_id, {', '.join(sr(f"max(CASE WHEN split = '{s}' THEN error END)") + f' AS {s}_error' for s in ('train', 'test', 'cross'))}
+FROM e GROUP BY 1, 2, 3""")
+def _strategy_errors(t):
+    """Errors on the samples of the fit, on every fifth sample that is held out, and by cross-validation in four folds."""
+    y = strategies.strategy_outputs(first_last_theta(t), COLUMNS, 10)
+    sample = F.col("sample_id")
+    result = quantify.fit_strategies(sample_design(t), SAMPLE_BOUNDS, y, order=1, held_out=sample % 5 == 0, folds=FOLDS, fold=sample % FOLDS)
+    return rounded(result.errors.select(*STRATEGY_KEYS, "output_id", "train_error", "test_error", "cross_error"))
+
+
 STAGE_SOBOL_SQL = f"SELECT CAST(group_value AS BIGINT) AS stage, param_id, param, avg(s1) AS s1, avg(st) AS st FROM ({STRATEGY_SOBOL_SQL}) WHERE strategy = 'growth_stage' GROUP BY ALL"
 
 
