@@ -20,7 +20,7 @@ KEEP = 2000
 #: One word pair in so many begins a chunk.
 TRIGGER = 32
 #: Bytes of text that one dictionary segment may stem from.
-SEGMENT_BYTES = 8 << 20
+SEGMENT_BYTES = 4 << 20
 UNKNOWN = "und"
 
 # ASCII characters that end a piece, and those that part words inside one.
@@ -260,7 +260,7 @@ def frequent_ngrams(docs: DataFrame, text_col: str = "text", lang_col: str = "la
     source = renamed(docs, lang_col, text_col, to=("lang", "text")).select(F.coalesce(F.col("lang").cast("string"), F.lit(UNKNOWN)).alias("lang"), "text")
     size = total_bytes(docs, text_col)
     shuffled = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    segments, buckets = max(shuffled, size // SEGMENT_BYTES + 1), bucket_count(spark, 3 * size)
+    segments, buckets = max(shuffled, size // SEGMENT_BYTES + 1), bucket_count(spark, 6 * size)
     chunks = source.where("text is not null").mapInArrow(parsed(overlap, trigger), CHUNKS)
     dictionary = chunks.groupBy("lang", "tail", "chunk").agg(F.max("words").alias("words"), F.sum("n").alias("n"))
     dictionary = materialize(dictionary.withColumn("segment", F.pmod(F.xxhash64("chunk", "lang", "tail"), F.lit(segments))), "dictionary")
