@@ -135,7 +135,7 @@ def test_chunks_own_every_word_once():
     batch = pa.RecordBatch.from_arrays([pa.array(["en"] * len(texts)), pa.array(texts)], names=["lang", "text"])
     words = sum(len(re.findall(r"[^ \t.,;:!?\n-\r]+", t)) for t in texts)
     for trigger in (1, 3, 32):
-        chunks = [r for b in phrases.parsed(2, trigger)([batch]) for r in b.to_pylist()]
+        chunks = [r for b in phrases.parsed(2, trigger, 3)([batch]) for r in b.to_pylist()]
         assert sum(c["n"] * c["words"] for c in chunks) == words
         assert sum(c["n"] for c in chunks if c["tail"]) == sum(bool(re.search(r"[^ \t.,;:!?\n-\r]", t)) for t in texts)
 

@@ -6,6 +6,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -20,7 +21,9 @@ KEEP = 2000
 #: One word pair in so many begins a chunk.
 TRIGGER = 32
 #: Bytes of text that one dictionary segment may stem from.
-SEGMENT_BYTES = 4 << 20
+SEGMENT_BYTES = 8 << 20
+#: Bytes of chunks that a task gathers before it adds equal ones up and sends them.
+GATHERED_BYTES = 16 << 20
 UNKNOWN = "und"
 
 # ASCII characters that end a piece, and those that part words inside one.
@@ -34,7 +37,7 @@ _GAP[list(WORD_ENDS)] = True
 _FOLD = np.arange(256, dtype=np.uint8)
 _FOLD[65:91] += 32
 
-CHUNKS = "lang string, tail boolean, chunk binary, words bigint, n bigint"
+CHUNKS = "segment bigint, lang string, tail boolean, chunk binary, words bigint, n bigint"
 COUNTED = "bucket int, segment bigint, keys binary, counts binary"
 ASKED = "segment bigint, keys binary, counts binary"
 FOUND = "lang string, key bigint, size int, f bigint, phrase string, cuts array<struct<l:bigint,r:bigint>>, inside array<bigint>"
@@ -91,16 +94,25 @@ def _codes(column) -> tuple[list[str], np.ndarray]:
     return encoded.dictionary.to_pylist(), encoded.indices.to_numpy(zero_copy_only=False)
 
 
-def parsed(overlap: int, trigger: int):
+def parsed(overlap: int, trigger: int, segments: int):
     """Function for ``mapInArrow``: (lang, text) to chunks with counts.
 
     A chunk begins where the hash of ``overlap`` words falls into one class of ``trigger``, and reaches
     through the words that begin the next one; ``tail`` marks the last chunk of a text, which owns all its words.
     """
 
+    def rows(held):
+        keys, langs, tails, texts, owned = (np.concatenate(x) for x in zip(*held))
+        _, one, count = np.unique(keys, return_index=True, return_counts=True)
+        return pa.RecordBatch.from_arrays([
+            pa.array(((keys[one] >> np.uint64(16)) % np.uint64(segments)).astype(np.int64)), pa.array(langs[one], pa.string()), pa.array(tails[one]), pa.array(texts[one], pa.binary()),
+            pa.array(owned[one], pa.int64()), pa.array(count, pa.int64())], names=["segment", "lang", "tail", "chunk", "words", "n"])
+
     def run(batches):
+        held, size = [], 0
         for batch in batches:
             names, codes = _codes(batch.column(0))
+            named, seeds = np.array(names, object), _language_keys(names)
             for row, data, offsets in slices(batch.column(1)):
                 data = _FOLD[data]
                 words = Pieces(data, offsets)
@@ -118,13 +130,17 @@ def parsed(overlap: int, trigger: int):
                 own_end = np.append(start[1:], n)
                 lo, hi = words.starts[start], words.ends[np.where(tail, own_end, own_end + overlap) - 1]
                 code = codes[row + text]
-                key = mix(words.span(lo, hi) + (code * 2 + tail).astype(np.uint64) * np.uint64(0xD1342543DE82EF95), 5)
-                _, one, count = np.unique(key, return_index=True, return_counts=True)
+                key = mix(words.span(lo, hi) + (seeds[code] ^ mix(tail.astype(np.uint64), 5)), 5)
                 raw = data.tobytes()
-                yield pa.RecordBatch.from_arrays([
-                    pa.array([names[c] for c in code[one]], pa.string()), pa.array(tail[one]),
-                    pa.array([raw[a:b] for a, b in zip(lo[one].tolist(), hi[one].tolist())], pa.binary()),
-                    pa.array((own_end - start)[one], pa.int64()), pa.array(count, pa.int64())], names=["lang", "tail", "chunk", "words", "n"])
+                chunks = np.empty(len(start), object)
+                chunks[:] = [raw[a:b] for a, b in zip(lo.tolist(), hi.tolist())]
+                held.append((key, named[code], tail, chunks, own_end - start))
+                size += len(raw)
+                if size >= GATHERED_BYTES:
+                    yield rows(held)
+                    held, size = [], 0
+        if held:
+            yield rows(held)
 
     return run
 
@@ -146,19 +162,21 @@ def _grams(group: pa.Table, longest: int):
         row += len(part)
 
 
-def _planes(keys: np.ndarray) -> bytes:
-    """Sorted keys by byte place, highest first: the high bytes repeat and compress."""
-    return keys.astype(">u8").view(np.uint8).reshape(-1, 8).T.tobytes()
+def _packed(keys: np.ndarray) -> bytes:
+    """Sorted keys as compressed differences, highest bytes first."""
+    steps = np.diff(keys, prepend=np.uint64(0))
+    return zstandard.ZstdCompressor(level=1).compress(steps.astype(">u8").view(np.uint8).reshape(-1, 8).T.tobytes())
 
 
-def _from_planes(blob) -> np.ndarray:
-    return np.frombuffer(blob.as_buffer(), np.uint8).reshape(8, -1).T.copy().view(">u8").reshape(-1).astype(np.uint64)
+def _unpacked(blob) -> np.ndarray:
+    raw = zstandard.ZstdDecompressor().decompress(blob.as_buffer())
+    return np.cumsum(np.frombuffer(raw, np.uint8).reshape(8, -1).T.copy().view(">u8").reshape(-1).astype(np.uint64), dtype=np.uint64)
 
 
 def counted(longest: int, buckets: int):
-    """Function for ``applyInArrow`` on a dictionary segment: its distinct n-grams with weighted counts, by bucket."""
+    """Function for ``mapInArrow`` on a dictionary sorted by segment: distinct n-grams of every segment with weighted counts, by bucket."""
 
-    def run(group: pa.Table) -> pa.Table:
+    def packed(group: pa.Table) -> pa.RecordBatch:
         segment, weight = group.column("segment")[0].as_py(), group.column("n").to_numpy()
         keys, counts = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
         for words, _, rows, _, _, key, sizes in _grams(group, longest):
@@ -169,10 +187,24 @@ def counted(longest: int, buckets: int):
         bucket = bucket_of(keys, buckets)  # rises with the key
         at = np.flatnonzero(np.diff(bucket, prepend=-1))
         ends = np.append(at[1:], len(keys))
-        return pa.table({
-            "bucket": pa.array(bucket[at], pa.int32()), "segment": pa.array(np.full(len(at), segment), pa.int64()),
-            "keys": pa.array([_planes(keys[a:b]) for a, b in zip(at, ends)], pa.binary()),
-            "counts": pa.array([counts[a:b].tobytes() for a, b in zip(at, ends)], pa.binary())})
+        return pa.RecordBatch.from_arrays([
+            pa.array(bucket[at], pa.int32()), pa.array(np.full(len(at), segment), pa.int64()), pa.array([_packed(keys[a:b]) for a, b in zip(at, ends)], pa.binary()),
+            pa.array([counts[a:b].tobytes() for a, b in zip(at, ends)], pa.binary())], names=["bucket", "segment", "keys", "counts"])
+
+    def run(batches):
+        held: list[pa.Table] = []
+        for batch in batches:
+            if not len(batch):
+                continue
+            table, segment = pa.Table.from_batches([batch]), batch.column(0).to_numpy()
+            at = np.concatenate([[0], np.flatnonzero(np.diff(segment)) + 1, [len(segment)]])
+            for lo, hi in zip(at, at[1:]):
+                if held and held[0].column("segment")[0].as_py() != segment[lo]:
+                    yield packed(pa.concat_tables(held))
+                    held = []
+                held.append(table.slice(lo, hi - lo))
+        if held:
+            yield packed(pa.concat_tables(held))
 
     return run
 
@@ -191,7 +223,7 @@ def frequent(least: int):
     """Function for ``applyInArrow`` on a bucket: n-grams with enough occurrences, to the smallest segment that holds them."""
 
     def run(group: pa.Table) -> pa.Table:
-        keys = [_from_planes(b) for b in group.column("keys")]
+        keys = [_unpacked(b) for b in group.column("keys")]
         counts = [np.frombuffer(b.as_buffer(), np.int64) for b in group.column("counts")]
         segment = np.repeat(group.column("segment").to_numpy(), [len(k) for k in keys])
         keys, counts = np.concatenate(keys), np.concatenate(counts)
@@ -261,11 +293,12 @@ def frequent_ngrams(docs: DataFrame, text_col: str = "text", lang_col: str = "la
     size = total_bytes(docs, text_col)
     shuffled = int(spark.conf.get("spark.sql.shuffle.partitions"))
     segments, buckets = max(shuffled, size // SEGMENT_BYTES + 1), bucket_count(spark, 6 * size)
-    chunks = source.where("text is not null").mapInArrow(parsed(overlap, trigger), CHUNKS)
-    dictionary = chunks.groupBy("lang", "tail", "chunk").agg(F.max("words").alias("words"), F.sum("n").alias("n"))
-    dictionary = materialize(dictionary.withColumn("segment", F.pmod(F.xxhash64("chunk", "lang", "tail"), F.lit(segments))), "dictionary")
+    chunks = source.where("text is not null").mapInArrow(parsed(overlap, trigger, segments), CHUNKS)
+    # Equal chunks have equal segments, so one shuffle by segment serves both the counts and the order in which segments are written.
+    dictionary = chunks.repartition("segment").groupBy("segment", "lang", "tail", "chunk").agg(F.max("words").alias("words"), F.sum("n").alias("n"))
+    dictionary = materialize(dictionary.sortWithinPartitions("segment"), "dictionary")
     words = materialize(dictionary.groupBy("lang").agg(F.sum(F.col("words") * F.col("n")).alias("n")), "words")
-    grams = dictionary.groupBy("segment").applyInArrow(counted(longest, buckets), COUNTED)
+    grams = dictionary.mapInArrow(counted(longest, buckets), COUNTED)
     asked = grams.groupBy("bucket").applyInArrow(frequent(least), ASKED)
     found = dictionary.groupBy("segment").cogroup(asked.groupBy("segment")).applyInArrow(spelled(longest), FOUND)
     return materialize(found, "ngrams"), words
@@ -280,7 +313,7 @@ def collocations(
     Prefix-free parsing: a text is cut into chunks that begin where the hash of ``longest - 1`` words meets a trigger and overlap
     by those words, so equal passages give equal chunks wherever they stand.  Spark counts the chunks; their distinct texts are the
     dictionary.  N-grams are counted inside distinct chunks, weighted by the chunk's frequency; one that lies in an overlap belongs
-    to the chunk that owns its first word, so every occurrence counts once.  Counts of a segment of the dictionary travel packed, about nine
+    to the chunk that owns its first word, so every occurrence counts once.  Counts of a segment of the dictionary travel packed, about six
     bytes per distinct n-gram, to buckets of hashes; frequent ones are spelled out by one segment that holds them.
 
     a is the number of occurrences (overlaps included), l and r those of the parts at the cut with the lowest floor(1000000 a a / (l r)),
