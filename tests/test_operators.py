@@ -281,6 +281,32 @@ def test_spectrum_matches_fft(spark, n):
     assert np.allclose(back, values)
 
 
+@pytest.mark.parametrize("n", [211, 2 * 127, 60])
+def test_long_prime_series_go_through_a_chirp(spark, monkeypatch, n):
+    """No part of a transform holds more points than the limit, whatever the length."""
+    monkeypatch.setattr(signals, "PART_POINTS", 32)
+    seen = []
+    two_pass = signals._two_pass
+    monkeypatch.setattr(signals, "_two_pass", lambda rows, sign: seen.append(rows) or two_pass(rows, sign))
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(2, n))
+    df = spark.createDataFrame([(f"s{i}", k, float(x[i, k])) for i in range(2) for k in range(n)], "series string, step bigint, value double")
+    out = signals.spectrum(df).orderBy("series", "k").toPandas()
+    got = (out.re + 1j * out.im).to_numpy().reshape(2, n)
+    assert np.allclose(got, np.fft.fft(x), atol=1e-9)
+    assert all((r.select(F.max(F.greatest("n1", F.expr("n div n1")))).first()[0] or 0) <= 32 for r in seen)
+    back = signals.inverse_spectrum(signals.spectrum(df)).orderBy("series", "step").toPandas()["value"].to_numpy().reshape(2, n)
+    assert np.allclose(back, x)
+
+
+def test_every_block_is_transformed_once(spark):
+    df = spark.createDataFrame([(f"s{i}", k, float(i + k % 7)) for i in range(5) for k in range(100)], "series string, step bigint, value double")
+    spectra = signals.block_spectra(df, 16)
+    assert spectra.count() == 5 * 7
+    sums = signals.summed_products(spectra, 2)
+    assert sums.count() == 10 * 5  # pairs of series times block offsets, whatever the number of blocks
+
+
 @pytest.mark.parametrize("block", [8, 64, 4096])
 def test_lag_products_match_correlate(spark, block):
     values, df = waves(spark, 50)

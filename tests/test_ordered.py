@@ -54,6 +54,33 @@ def test_uneven_times_give_even_chunks(spark):
     assert sorted(got) == list(range(1, 2021))
 
 
+@pytest.mark.parametrize("ties", [[], ["id"]])
+def test_a_tied_group_is_cut_too(spark, monkeypatch, ties):
+    """Twenty times the target at one time, repeated rows and null times among them."""
+    monkeypatch.setattr("varienne.operators.ordered.SCAN_BLOCK", 7)
+    rows = pd.DataFrame({"k": ["hot"] * 2000 + ["x"] * 30, "t": 5.0, "id": [i % 900 for i in range(2000)] + list(range(30)), "v": 1.0})
+    df = spark.createDataFrame(rows).withColumns({"t": F.when(F.col("id") % 50 > 0, F.col("t")), "k": F.when(F.col("k") == "x", F.col("k"))}).repartition(5)
+    chunks = add_chunks(df, ["k"], "t", 100, ties).groupBy("k", "_chunk").count().toPandas()
+    assert len(chunks[chunks.k.isna()]) >= 20 and chunks["count"].max() <= 100
+    got = ordered(df, ["k"], "t", ties=ties, row_number="rn", running_sums={"cum": "v"}, lags={"prev": "id"}, target_rows=100)
+    got = got.toPandas().sort_values(["k", "rn"]).reset_index(drop=True)
+    hot = got[got.k.isna()]
+    assert sorted(hot.rn) == list(range(1, 2001)) and np.allclose(hot.sort_values("rn").cum, range(1, 2001))
+    assert hot.sort_values("rn").t.isna().to_numpy()[: (hot.t.isna()).sum()].all()
+    in_order = hot.sort_values("rn")
+    assert in_order.prev.iloc[1:].tolist() == in_order.id.iloc[:-1].tolist() and np.isnan(in_order.prev.iloc[0])
+    if ties:
+        want = df.where("k is null").toPandas().assign(n=lambda d: d.t.notna()).sort_values(["n", "id"], kind="stable")
+        assert in_order.id.tolist() == want.id.tolist()
+    assert sorted(got[got.k == "x"].rn) == list(range(1, 31))
+
+
+def test_order_by_text_and_prefix_without_keys(spark):
+    rows = pd.DataFrame({"p": [i % 3 for i in range(500)], "t": [f"t{i * 7 % 500:03}" for i in range(500)]})
+    got = ordered(spark.createDataFrame(rows), [], "t", prefix=["p"], row_number="rn", target_rows=20).toPandas().sort_values("rn")
+    assert got[["p", "t"]].values.tolist() == rows.sort_values(["p", "t"])[["p", "t"]].values.tolist()
+
+
 def test_global_order(spark, skewed):
     got = ordered(spark.createDataFrame(skewed), [], "t", ties=["id"], row_number="rn", target_rows=30).toPandas()
     want = skewed.sort_values(["t", "id"]).reset_index(drop=True)

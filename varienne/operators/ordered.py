@@ -2,58 +2,69 @@
 
 ``lag``, ``row_number`` and running sums need a window per group.  A group that holds
 a third of all rows would then sort in one task.  Groups are counted first: when all of
-them are below ``target_rows`` a plain window is used.  Otherwise the large ones are cut
-into chunks along their order column; windows run per chunk and what a chunk hands on to
-the next comes from a per-chunk summary.
+them are below ``target_rows`` a plain window is used.  Otherwise the rows of the large ones are dealt by
+range of (group, order, ties, row) into chunks, whatever the types of these columns and however many rows tie; windows run
+per chunk, and what a chunk hands on to the next comes from a two-level scan over one summary row per chunk.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from varienne.session import BROADCAST_ROWS, checked_broadcast, hint_if_small, materialize
+from varienne.session import checked_broadcast, hint_if_small, materialize
 
 TARGET_ROWS = 2_000_000
 CHUNK = "_chunk"
-#: Quantiles of the order column along which a hot group is cut before even splits inside.
-QUANTILES = 64
+#: Chunks whose summaries are scanned together; blocks of them are scanned once more.
+SCAN_BLOCK = 1000
 
 
 def hot_groups(df: DataFrame, keys: Sequence[str], target_rows: int = TARGET_ROWS) -> DataFrame:
-    """Groups with more rows than the target: at most rows / target_rows of them."""
+    """Groups with more rows than the target, numbered in ``_g``: at most rows / target_rows of them."""
     counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > target_rows)
-    return materialize(counts, "hot")
+    return materialize(counts.withColumn("_g", F.monotonically_increasing_id()), "hot")
 
 
-def add_chunks(df: DataFrame, keys: Sequence[str], order: str, target_rows: int = TARGET_ROWS, hot: DataFrame | None = None) -> DataFrame:
-    """Add a chunk number that grows with the order column; 0 everywhere outside hot groups.
+def _same(hot: DataFrame, keys: Sequence[str]) -> tuple[DataFrame, Column]:
+    """Hot groups under other names, and the condition that a row belongs to one; null is a key like others."""
+    side = hint_if_small(hot).select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], "_g")
+    condition = F.lit(True)
+    for i, k in enumerate(keys):
+        condition = condition & F.col(k).eqNullSafe(F.col(f"_k{i}"))
+    return side, condition
 
-    A hot group is cut at approximate quantiles of its order column and evenly in between,
-    so uneven times still give even chunks.  The cuts are written before they are used:
-    every reader sees the same ones.
+
+def _hot_chunks(df: DataFrame, keys: Sequence[str], order: Sequence[str], target_rows: int, hot: DataFrame) -> DataFrame:
+    """Rows of hot groups with a chunk number that grows with the order; two chunks per ``target_rows`` rows.
+
+    The rows are written with a number of their own, which breaks the last ties, before the range boundaries are drawn from a
+    sample: every later reader and every retried task sees the same chunks.
     """
-    keys, o = list(keys), F.col(order).cast("double")
-    hot = hot_groups(df, keys, target_rows) if hot is None else hot
+    if keys:
+        side, condition = _same(hot, keys)
+        rows = df.join(side, condition).drop(*[f"_k{i}" for i in range(len(keys))])
+    else:
+        rows = df.withColumn("_g", F.lit(0).cast("bigint"))
+    rows = materialize(rows.withColumn("_row", F.monotonically_increasing_id()), "hot-rows")
+    chunks = -(-2 * (hot.agg(F.sum("_n")).first()[0]) // target_rows)
+    ranged = rows.repartitionByRange(chunks, "_g", *order, "_row").withColumn(CHUNK, F.spark_partition_id())
+    return materialize(ranged, "chunks")
+
+
+def add_chunks(df: DataFrame, keys: Sequence[str], order: str, target_rows: int = TARGET_ROWS, ties: Sequence[str] = ()) -> DataFrame:
+    """Add a chunk number that grows with (order, ties) inside hot groups and is 0 everywhere else."""
+    keys = list(keys)
+    hot = hot_groups(df, keys, target_rows)
     if hot.isEmpty():
-        return df.withColumn(CHUNK, F.lit(0)).withColumn("_hot", F.lit(False))
-    shares = [i / QUANTILES for i in range(1, QUANTILES)]
-    n = F.max("_n") / F.lit(target_rows)
-    cuts = df.select(*keys, o.alias("_o")).join(hint_if_small(hot), keys).groupBy(*keys).agg(
-        F.percentile_approx("_o", shares, 10 * QUANTILES).alias("_edges"), F.min("_o").alias("_lo"), F.max("_o").alias("_hi"),
-        F.least(F.ceil(2 * n), F.lit(QUANTILES)).cast("int").alias("_m"), F.ceil(n / F.lit(QUANTILES)).cast("int").alias("_k"))
-    # One row per hot group, each with its quantiles.
-    joined = df.join(checked_broadcast(cuts, BROADCAST_ROWS // QUANTILES), keys, "left")
-    cell = F.size(F.filter("_edges", lambda e: e < o))
-    low = F.coalesce(F.get("_edges", cell - 1), F.col("_lo"))
-    high = F.coalesce(F.get("_edges", cell), F.col("_hi"))
-    inside = F.when(high > low, F.least(F.floor((o - low) / (high - low) * F.col("_k")), F.col("_k") - 1)).otherwise(0)
-    # Moderately hot groups merge neighbouring cells, so chunks stay in proportion to rows.
-    merged = F.floor(cell * F.col("_m") / F.lit(QUANTILES))
-    chunk = F.when(F.col("_k").isNull() | o.isNull(), 0).otherwise(merged * F.col("_k") + inside)
-    return joined.withColumn(CHUNK, chunk.cast("int")).withColumn("_hot", F.col("_k").isNotNull()).drop("_edges", "_lo", "_hi", "_m", "_k")
+        return df.withColumn(CHUNK, F.lit(0))
+    chunked = _hot_chunks(df, keys, [order, *ties], target_rows, hot).drop("_g", "_row")
+    if not keys:
+        return chunked
+    side, condition = _same(hot, keys)
+    return chunked.unionByName(df.join(side, condition, "left_anti").withColumn(CHUNK, F.lit(0)))
 
 
 def ordered(
@@ -70,21 +81,20 @@ def ordered(
 ) -> DataFrame:
     """Add lags (new name -> column), running sums and a row number per key group.
 
-    Rows of a group are ordered by (*prefix, order, *ties).  Prefix columns split a large
-    group into sub-groups before it is cut, e.g. generations inside a sample.
+    Rows of a group are ordered by (*prefix, order, *ties), nulls first; rows that tie on all of them stand in any order.
+    Without keys all rows are one group.
     """
     lags, running_sums = lags or {}, running_sums or {}
-    keys, prefix, ties = list(keys), list(prefix), list(ties)
-    if keys:
-        hot = hot_groups(df, keys, target_rows)
-        if hot.isEmpty():
-            return _plain(df, Window.partitionBy(*keys).orderBy(*prefix, order, *ties), lags, running_sums, row_number)
-        chunked = add_chunks(df, [*keys, *prefix], order, target_rows, None if prefix else hot)
-    else:
-        df = df.withColumn("_all", F.lit(0))
-        keys = ["_all"]
-        chunked = add_chunks(df, [*keys, *prefix], order, target_rows)
-    return _chunked(chunked, keys, prefix, order, ties, lags, running_sums, row_number).drop("_all")
+    keys, position = list(keys), [*prefix, order, *ties]
+    hot = hot_groups(df, keys, target_rows)
+    plain = lambda rows: _plain(rows, Window.partitionBy(*keys).orderBy(*position), lags, running_sums, row_number)
+    if hot.isEmpty():
+        return plain(df)
+    out = _chunked(_hot_chunks(df, keys, position, target_rows, hot), position, lags, running_sums, row_number)
+    if not keys:
+        return out
+    side, condition = _same(hot, keys)
+    return out.unionByName(plain(df.join(side, condition, "left_anti")))
 
 
 def _plain(df, window, lags, running_sums, row_number) -> DataFrame:
@@ -96,29 +106,36 @@ def _plain(df, window, lags, running_sums, row_number) -> DataFrame:
     return df.withColumns(columns)
 
 
-def _chunked(chunked, keys, prefix, order, ties, lags, running_sums, row_number) -> DataFrame:
-    segment = [*keys, *prefix, CHUNK]
-    window = Window.partitionBy(*segment).orderBy(order, *ties)
-    out = _plain(chunked, window, lags, running_sums, "_rn")
+def _handed_on(summaries: DataFrame, lags, running_sums) -> DataFrame:
+    """What the chunks before each one hand to it: rows, sums and last values, by a scan inside blocks of chunks and one over blocks."""
+    block = F.floor(F.col(CHUNK) / SCAN_BLOCK)
+    summaries = summaries.withColumn("_b", block)
+    sums = {"_n0": "_seg_n", **{f"_s_{name}": f"_sum_{name}" for name in running_sums}}
+    last = {f"_l_{name}": f"_last_{name}" for name in lags}
+    blocks = summaries.groupBy("_g", "_b").agg(*[F.sum(c).alias(c) for c in sums.values()], *[F.max_by(c, CHUNK).alias(c) for c in last.values()])
+
+    def scanned(df, window, suffix):
+        before = window.rowsBetween(Window.unboundedPreceding, -1)
+        return df.withColumns({**{o + suffix: F.sum(c).over(before) for o, c in sums.items()}, **{o + suffix: F.lag(c).over(window) for o, c in last.items()}})
+
+    inner = scanned(summaries, Window.partitionBy("_g", "_b").orderBy(CHUNK), "").withColumn("_first", F.row_number().over(Window.partitionBy("_g", "_b").orderBy(CHUNK)) == 1)
+    outer = scanned(blocks, Window.partitionBy("_g").orderBy("_b"), "_o").select("_g", "_b", *[f"{o}_o" for o in (*sums, *last)])
+    both = inner.join(outer, ["_g", "_b"])
+    added = {o: F.when(F.col(o).isNull(), F.col(f"{o}_o")).otherwise(F.col(o) + F.coalesce(F.col(f"{o}_o"), F.lit(0))) for o in sums}
+    return both.select("_g", CHUNK, *[c.alias(o) for o, c in added.items()], *[F.when(F.col("_first"), F.col(f"{o}_o")).otherwise(F.col(o)).alias(o) for o in last])
 
-    # What every segment hands to the next one: its size, last values and sums.
-    position = F.struct(order, *ties)
-    source = chunked if prefix else chunked.where("_hot")
-    carried = source.groupBy(*segment).agg(
+
+def _chunked(chunked, position, lags, running_sums, row_number) -> DataFrame:
+    window = Window.partitionBy("_g", CHUNK).orderBy(*position, "_row")
+    out = _plain(chunked, window, lags, running_sums, "_rn")
+    place = F.struct(*position, "_row")
+    summaries = chunked.groupBy("_g", CHUNK).agg(
         F.count(F.lit(1)).alias("_seg_n"),
-        *[F.max_by(c, position).alias(f"_last_{name}") for name, c in lags.items()],
+        *[F.max_by(c, place).alias(f"_last_{name}") for name, c in lags.items()],
         *[F.sum(c).alias(f"_sum_{name}") for name, c in running_sums.items()],
     )
-    by_segment = Window.partitionBy(*keys).orderBy(*prefix, CHUNK)
-    before = by_segment.rowsBetween(Window.unboundedPreceding, -1)
-    carried = carried.select(
-        *segment,
-        F.coalesce(F.sum("_seg_n").over(before), F.lit(0)).alias("_n0"),
-        *[F.lag(f"_last_{name}").over(by_segment).alias(f"_l_{name}") for name in lags],
-        *[F.sum(f"_sum_{name}").over(before).alias(f"_s_{name}") for name in running_sums],
-    )
-    # Without a prefix only hot groups have segments, at most 3 * rows / target_rows of them.
-    out = out.join(carried if prefix else checked_broadcast(carried), segment, "left")
+    # At most 2 * rows / target_rows chunks, and one more per hot group.
+    out = out.join(checked_broadcast(_handed_on(materialize(summaries, "summaries"), lags, running_sums)), ["_g", CHUNK], "left")
     fixed = {name: F.when(F.col("_rn") == 1, F.col(f"_l_{name}")).otherwise(F.col(name)) for name in lags}
     fixed |= {
         name: F.when(F.col(name).isNull(), F.col(f"_s_{name}")).otherwise(F.col(name) + F.coalesce(F.col(f"_s_{name}"), F.lit(0)))
@@ -126,7 +143,7 @@ def _chunked(chunked, keys, prefix, order, ties, lags, running_sums, row_number)
     }
     if row_number:
         fixed[row_number] = (F.col("_rn") + F.coalesce(F.col("_n0"), F.lit(0))).cast("bigint")
-    helpers = [CHUNK, "_hot", "_rn", "_n0", *[f"_l_{n}" for n in lags], *[f"_s_{n}" for n in running_sums]]
+    helpers = [CHUNK, "_g", "_row", "_rn", "_n0", *[f"_l_{n}" for n in lags], *[f"_s_{n}" for n in running_sums]]
     return out.withColumns(fixed).drop(*helpers)
 
 

@@ -10,18 +10,21 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.functions import pandas_udf
 
+from varienne.operators.fit import sum_vectors
 from varienne.operators.ordered import with_group_stats
-from varienne.session import materialize
+from varienne.session import hint_if_small, materialize
 
 STD_EPSILON = 1e-10
 DB_EPSILON = 1e-10
 TRANSFER_EPSILON = 1e-10
 DEFAULT_BLOCK = 4096
+#: Points of a series that one part of a transform may hold.
+PART_POINTS = 1 << 16
 _DOUBLES = T.ArrayType(T.DoubleType())
 
 # Sample rate of the frequency axis and the band limits in Hz.
@@ -37,47 +40,66 @@ def normalize_series(series: DataFrame) -> DataFrame:
     return df.withColumn("value", (F.col("value") - F.col("_m")) / (F.col("_s") + STD_EPSILON)).drop("_m", "_s")
 
 
-@pandas_udf(_DOUBLES)
-def _block_correlation(xo: pd.Series, xv: pd.Series, yo: pd.Series, yv: pd.Series, block: pd.Series) -> pd.Series:
-    """Full correlation of two sparse blocks given as offsets and values."""
+@pandas_udf(T.StructType([T.StructField("re", _DOUBLES), T.StructField("im", _DOUBLES)]))
+def _block_spectrum(offsets: pd.Series, values: pd.Series, block: pd.Series) -> pd.DataFrame:
+    """Spectrum of a sparse block, padded to twice its length so that products do not wrap around."""
+    re, im = [], []
+    for o, v, b in zip(offsets, values, block):
+        data = np.zeros(2 * b)
+        data[o] = v
+        f = np.fft.rfft(data)
+        re.append(f.real)
+        im.append(f.imag)
+    return pd.DataFrame({"re": re, "im": im})
 
-    def dense(offsets, values, b):
-        out = np.zeros(b)
-        out[offsets] = values
-        return out
 
+@pandas_udf(_DOUBLES)
+def _block_lags(z: pd.Series, block: pd.Series) -> pd.Series:
+    """Correlations from 1 - block to block - 1 of a summed product of spectra (real parts, then imaginary ones)."""
     out = []
-    for ao, av, co, cv, b in zip(xo, xv, yo, yv, block):
-        size = 1 << (2 * b - 1).bit_length()
-        spectrum = np.fft.rfft(dense(ao, av, b), size) * np.conj(np.fft.rfft(dense(co, cv, b), size))
-        raw = np.fft.irfft(spectrum, size)
-        out.append(np.concatenate([raw[size - b + 1:], raw[:b]]))
+    for v, b in zip(z, block):
+        raw = np.fft.irfft(v[:b + 1] + 1j * v[b + 1:], 2 * b)
+        out.append(np.concatenate([raw[b + 1:], raw[:b]]))
     return pd.Series(out)
 
 
+def block_spectra(series: DataFrame, block: int) -> DataFrame:
+    """(series, b, re, im): the spectrum of every block of steps, transformed once and written."""
+    entry = F.struct((F.col("step") % block).cast("int").alias("o"), F.col("value").alias("v"))
+    blocks = series.groupBy("series", F.floor(F.col("step") / block).cast("int").alias("b")).agg(F.collect_list(entry).alias("x"))
+    return materialize(blocks.select("series", "b", _block_spectrum("x.o", "x.v", F.lit(block)).alias("f")).select("series", "b", "f.re", "f.im"), "spectra")
+
+
+def summed_products(spectra: DataFrame, reach: int) -> DataFrame:
+    """(series_i, series_j, offset, z): products of spectra of blocks that lie ``offset`` blocks apart, summed over the blocks."""
+    left = spectra.select(F.col("series").alias("series_i"), "b", F.col("re").alias("ar"), F.col("im").alias("ai"), F.explode(F.sequence(F.lit(-reach), F.lit(reach))).alias("offset"))
+    right = spectra.select(F.col("series").alias("series_j"), F.col("b").alias("q"), F.col("re").alias("br"), F.col("im").alias("bi"))
+    pairs = left.withColumn("q", F.col("b") - F.col("offset")).join(right, "q").where(F.col("series_i") < F.col("series_j"))
+    times = lambda a, b: F.zip_with(a, b, lambda x, y: x * y)
+    real = F.zip_with(times("ar", "br"), times("ai", "bi"), lambda x, y: x + y)
+    imaginary = F.zip_with(times("ai", "br"), times("ar", "bi"), lambda x, y: x - y)
+    return pairs.groupBy("series_i", "series_j", "offset").agg(sum_vectors(F.concat(real, imaginary)).alias("z"))
+
+
 def lag_products(series: DataFrame, max_lag: int, block: int = DEFAULT_BLOCK) -> DataFrame:
     """Σ_t x_i[t]·x_j[t-lag] for every pair i<j of series and every lag up to the limit.
 
-    Steps are grouped into blocks of fixed length.  Pairs of blocks within reach of the lag
-    limit meet in an equi-join on the block number, are correlated by FFT and add up per
-    lag, so the work per task is bounded by the block length.
+    Steps are grouped into blocks of fixed length, each transformed once.  Spectra of blocks within reach of the lag
+    limit meet in an equi-join on the block number; their products add up per pair and block offset, map-side
+    first, and only these sums are transformed back.  So transforms grow with blocks, not with pairs of blocks.
     """
-    entry = F.struct((F.col("step") % block).cast("int").alias("o"), F.col("value").alias("v"))
-    blocks = series.groupBy("series", F.floor(F.col("step") / block).cast("int").alias("b")).agg(F.collect_list(entry).alias("x"))
-    blocks = materialize(blocks, "blocks")
     reach = math.ceil(max_lag / block) + 1
-    top = blocks.agg(F.max("b").alias("m")).select("m").scalar()
-    left = blocks.withColumnRenamed("series", "series_i").withColumnRenamed("x", "xi").withColumn("_top", top)
-    first, last = F.greatest(F.col("b") - reach, F.lit(0)), F.least(F.col("b") + reach, F.col("_top"))
-    left = left.withColumn("q", F.explode(F.sequence(first, last))).drop("_top")
-    right = blocks.select(F.col("series").alias("series_j"), F.col("b").alias("q"), F.col("x").alias("xj"))
-    pairs = left.join(right, "q").where(F.col("series_i") < F.col("series_j"))
-    products = pairs.select(
-        "series_i", "series_j", ((F.col("b") - F.col("q")) * block - (block - 1)).alias("_start"),
-        F.posexplode(_block_correlation("xi.o", "xi.v", "xj.o", "xj.v", F.lit(block))).alias("p", "c"))
+    sums = materialize(summed_products(block_spectra(series, block), reach), "products")
+    products = sums.select(
+        "series_i", "series_j", (F.col("offset") * block - (block - 1)).alias("_start"), F.posexplode(_block_lags("z", F.lit(block))).alias("p", "c"))
     lagged = products.withColumn("lag", (F.col("_start") + F.col("p")).cast("int"))
     lagged = lagged.where(F.abs("lag") <= max_lag)
-    return lagged.groupBy("series_i", "series_j", "lag").agg(F.sum("c").alias("c"))
+    # Lags beyond the reach of any two steps of the series are no pairs at all.
+    steps = series.groupBy("series").agg(F.min("step").alias("lo"), F.max("step").alias("hi"))
+    side = lambda x: steps.select(F.col("series").alias(f"series_{x}"), F.col("lo").alias(f"lo_{x}"), F.col("hi").alias(f"hi_{x}"))
+    lagged = lagged.groupBy("series_i", "series_j", "lag").agg(F.sum("c").alias("c"))
+    lagged = lagged.join(side("i"), "series_i").join(side("j"), "series_j")
+    return lagged.where((F.col("lag") >= F.col("lo_i") - F.col("hi_j")) & (F.col("lag") <= F.col("hi_i") - F.col("lo_j"))).select("series_i", "series_j", "lag", "c")
 
 
 def lag_correlation(series: DataFrame, max_lag: int, dt: float = 1.0, block: int = DEFAULT_BLOCK) -> DataFrame:
@@ -120,7 +142,7 @@ def _stride_count(n: pd.Series) -> pd.Series:
     return pd.Series(np.array([_near_root_divisor(int(v)) for v in lengths])[position])
 
 
-_PART = "series string, n bigint, n1 bigint, a bigint, b bigint, re double, im double"
+_PART = "series string, n bigint, n1 bigint, origin bigint, a bigint, b bigint, re double, im double"
 
 
 def _part_fft(index: str, length: str, sign: float, twiddle: bool):
@@ -136,26 +158,68 @@ def _part_fft(index: str, length: str, sign: float, twiddle: bool):
         other = "b" if index == "a" else "a"
         fixed = int(part[other].iloc[0])
         if twiddle:
-            out = out * np.exp(sign * 2j * math.pi * k * fixed / n)
-        frame = pd.DataFrame({"series": part["series"].iloc[0], "n": n, "n1": n1, index: k, other: fixed, "re": out.real, "im": out.imag})
-        return frame[["series", "n", "n1", "a", "b", "re", "im"]]
+            out = out * np.exp(sign * 2j * math.pi * (k * fixed % n) / n)
+        frame = pd.DataFrame({"series": part["series"].iloc[0], "n": n, "n1": n1, "origin": part["origin"].iloc[0], index: k, other: fixed, "re": out.real, "im": out.imag})
+        return frame[["series", "n", "n1", "origin", "a", "b", "re", "im"]]
 
     return run
 
 
-def _fft(rows: DataFrame, sign: float) -> DataFrame:
-    """Discrete Fourier transform of (series, n, step, re, im) in two passes of about √n points.
+def _two_pass(rows: DataFrame, sign: float) -> DataFrame:
+    """Transform of (series, n, n1, origin, step, re, im) in two passes over parts of n1 and n / n1 points; absent steps are zero.
 
     With n = n1·n2 and step = n2·a + b, the inner transforms run over a for each b, the
-    outer ones over b for each output residue.  A part holds about √n points when n has a
-    divisor near its root, and the whole series only when n is prime.
+    outer ones over b for each output residue.
     """
-    rows = rows.withColumn("n1", _stride_count("n"))
     n2 = F.expr("n div n1")
-    parts = rows.select("series", "n", "n1", F.expr("step div (n div n1)").alias("a"), (F.col("step") % n2).alias("b"), "re", "im")
+    parts = rows.select("series", "n", "n1", "origin", F.expr("step div (n div n1)").alias("a"), (F.col("step") % n2).alias("b"), "re", "im")
     inner = parts.groupBy("series", "b").applyInPandas(_part_fft("a", "n1", sign, True), _PART)
     outer = inner.groupBy("series", "a").applyInPandas(_part_fft("b", "n2", sign, False), _PART)
-    return outer.select("series", "n", (F.col("a") + F.col("n1") * F.col("b")).alias("k"), "re", "im")
+    return outer.select("series", "n", "origin", (F.col("a") + F.col("n1") * F.col("b")).alias("k"), "re", "im")
+
+
+def _turned(re: Column, im: Column, step: str, n: str, sign: float) -> list[Column]:
+    """A number times exp(sign·πi·step²/n); the square is reduced before it becomes an angle."""
+    angle = F.pmod(F.col(step) * F.col(step), 2 * F.col(n)) * math.pi / F.col(n)
+    c, s = F.cos(angle), F.sin(angle) * sign
+    return [(re * c - im * s).alias("re"), (re * s + im * c).alias("im")]
+
+
+def _chirp(rows: DataFrame, sign: float) -> DataFrame:
+    """Transform of any length as a convolution with a chirp, carried out on transforms of a power of two.
+
+    k·step = (k² + step² - (k - step)²) / 2 turns the sum into a convolution of length 2n - 1, which fits a power of two with a divisor
+    at its root.  The chirp is transformed once per distinct length.  Lengths up to 3·10**9, where the square of a step fits 64 bits.
+    """
+    padded = F.pow(F.lit(2.0), F.ceil(F.log2(2 * F.col("origin") - 1))).cast("bigint")
+    root = F.pow(F.lit(2.0), F.floor(F.round(F.log2("n")) / 2)).cast("bigint")
+    sized = lambda df: df.withColumn("n", padded).withColumn("n1", root)
+    data = rows.select("series", F.col("n").alias("origin"), "step", *_turned(F.col("re"), F.col("im"), "step", "n", sign))
+    forward = _two_pass(sized(data), -1.0)
+    starts = rows.select(F.col("n").alias("origin")).distinct().select("origin", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("origin") - 1, F.lit(PART_POINTS).cast("bigint"))).alias("start"))
+    steps = starts.repartition("origin", "start").select("origin", F.explode(F.sequence("start", F.least(F.col("start") + PART_POINTS, F.col("origin")) - 1)).alias("step"))
+    kernel = sized(steps.select("origin", "step", *_turned(F.lit(1.0), F.lit(0.0), "step", "origin", -sign)))
+    kernel = kernel.unionByName(kernel.where("step > 0").withColumn("step", F.col("n") - F.col("step"))).withColumn("series", F.col("origin").cast("string"))
+    kernel = _two_pass(kernel, -1.0).select("origin", "k", F.col("re").alias("cr"), F.col("im").alias("ci"))
+    product = forward.join(kernel, ["origin", "k"]).select(
+        "series", "origin", F.col("k").alias("step"), (F.col("re") * F.col("cr") - F.col("im") * F.col("ci")).alias("re"), (F.col("re") * F.col("ci") + F.col("im") * F.col("cr")).alias("im"))
+    back = _two_pass(sized(product), 1.0).where(F.col("k") < F.col("origin"))
+    return back.select("series", F.col("origin").alias("n"), "k", *_turned(F.col("re") / F.col("n"), F.col("im") / F.col("n"), "k", "origin", sign))
+
+
+def _fft(rows: DataFrame, sign: float) -> DataFrame:
+    """Discrete Fourier transform of (series, n, step, re, im).
+
+    Two passes over parts of about √n points where n has a divisor near its root.  Lengths whose parts would hold more than
+    ``PART_POINTS`` points, such as large primes, go through a chirp instead, so no part grows with the series.
+    """
+    lengths = materialize(rows.select("n").distinct().withColumn("n1", _stride_count("n")), "lengths")
+    rows = rows.join(hint_if_small(lengths), "n")
+    wide = F.greatest(F.col("n1"), F.expr("n div n1")) > PART_POINTS
+    out = _two_pass(rows.where(~wide).withColumn("origin", F.col("n")), sign).drop("origin")
+    if lengths.where(wide & (F.col("n") > PART_POINTS)).isEmpty():
+        return out
+    return out.unionByName(_chirp(rows.where(wide).drop("n1"), sign))
 
 
 def spectrum(series: DataFrame) -> DataFrame:
