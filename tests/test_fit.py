@@ -160,9 +160,44 @@ def test_fit_strategies_equals_separate_fits(spark):
 
 def test_find_target(spark):
     _, basis, _, fits = fitted(spark, frame(60, BOX, quadratic), BOX, 2)
-    targets = spark.createDataFrame([("y", 1.0), ("y", 2.5)], "output_id string, target double")
-    out = surrogate.search_targets(fits, targets, basis, BOX, seed=1).toPandas()
-    assert (abs(out.yhat - out.target) < 1e-2).all() and out[["x0", "x1"]].stack().between(0, 1).all()
+    targets = spark.createDataFrame([("y", 1.0, "a"), ("y", 2.5, "b"), ("y", 1.0, "c"), ("y", 90.0, "far"), ("y", -5.0, "low"), ("y", None, "none"), ("z", 1.0, "lost")], "output_id string, target double, tag string")
+    out = {r.tag: r for r in surrogate.search_targets(fits, targets, basis, BOX, seed=1).collect()}
+    assert set(out) == {"a", "b", "c", "far", "low", "none"}
+    for tag in "abc":
+        assert out[tag].reached and out[tag].converged and abs(out[tag].yhat - out[tag].target) < 1e-6 and 0 <= out[tag].x0 <= 1 and 0 <= out[tag].x1 <= 1
+    # The largest value of 3 x0² + x1 - x0 x1 / 2 in the box is 3.5 at (1, 1), the smallest 0 at (0, 0).
+    far, low = out["far"], out["low"]
+    assert not far.reached and far.converged and (far.x0, far.x1) == pytest.approx((1, 1)) and far.yhat == pytest.approx(3.5)
+    assert not low.reached and low.converged and (low.x0, low.x1) == pytest.approx((0, 0), abs=1e-6) and low.loss == pytest.approx(25)
+    assert out["none"].x0 is None and out["none"].reached is None
+
+
+def test_basis_gradient():
+    for family in ("legendre", "hermite"):
+        basis = PolynomialBasis(("a", "b", "c"), 3, family)
+        x = np.random.default_rng(0).uniform(-0.9, 0.9, (5, 3))
+        for i in range(3):
+            step = np.zeros(3)
+            step[i] = 1e-6
+            assert np.allclose(basis.gradient(x)[:, i], (basis.matrix(x + step) - basis.matrix(x - step)) / 2e-6, atol=1e-7)
+
+
+def test_adaptive_fit_stops_midway(spark):
+    pdf = frame(3000, BOX, lambda x, r: {"y": np.exp(x.x0) + x.x1, "z": x.x0 + 0.01 * r.standard_normal(3000)})
+    df, basis, germ = spark.createDataFrame(pdf), PolynomialBasis(tuple(BOX), 2), design.germ_columns(BOX)
+    position = sampling.sample_position(["sample_id"])
+    fits, rounds = sampling.adaptive_fit(df, basis, germ, ["y", "z"], position, 0.0118)
+    rows = rounds.orderBy("round").collect()
+    assert 0 < len(rows) < 9 and rows[-1].held_out_error <= 0.0118 and all(r.held_out_error > 0.0118 for r in rows[:-1])
+    place = df.select("sample_id", position.alias("p")).toPandas().set_index("sample_id").p.reindex(range(3000)).to_numpy()
+    x = basis.matrix(2 * pdf[list(BOX)].to_numpy() - 1)
+    got = {r.output_id: r for r in fits.collect()}
+    for o in ("y", "z"):
+        use = place < rows[-1].share
+        want = np.linalg.lstsq(x[use], pdf[o].to_numpy()[use], rcond=None)[0]
+        assert np.allclose(got[o].coef, want, atol=1e-8) and got[o].n == use.sum() == rows[-1].n_samples
+    everything = sampling.adaptive_fit(df, basis, germ, ["y", "z"], position, 0.0)[1].orderBy("round").collect()
+    assert everything[-1].n_samples == 3000 and everything[-1].held_out_error is None
 
 
 def test_every_fit_in_slices(spark, monkeypatch):

@@ -58,13 +58,14 @@ def test_variance_fractions(spark):
     assert out.generation_fraction == pytest.approx(out.between_generation_variance / out.total_variance)
 
 
-@pytest.mark.parametrize("widths", [(5, 4, 5), (430, 428, 430)])
+@pytest.mark.parametrize("widths", [(5, 4, 5), (17, 90, 33, 17)])
 def test_align_dimensions(spark, widths):
     df = spark.createDataFrame([(i, [float(j) for j in range(w)]) for i, w in enumerate(widths)], "i int, v array<double>")
     with pytest.raises(ValueError, match=f"min={min(widths)}, max={max(widths)}"):
         aggregate.align_dimensions(df, "v")
     out = aggregate.align_dimensions(df, "v", strict=False).toPandas()
     assert all(list(v) == list(range(min(widths))) for v in out["v"])
+    assert out.sort_values("i")["dropped"].tolist() == [w - min(widths) for w in widths]
 
 
 def test_stage_profile_fills_empty_stages(spark):

@@ -150,13 +150,26 @@ def test_replicate_median(spark, skewed, target):
     assert np.allclose(got.sort_index(), want.sort_index())
 
 
+def test_medians_by_counting(spark):
+    """Groups far above the limit: mixed signs, tiny and huge values, repeats, infinities, null keys, and bits that need every pass."""
+    rng = np.random.default_rng(0)
+    groups = {
+        "normal": rng.normal(size=501), "wide": np.exp(rng.normal(scale=200, size=400)) * rng.choice([-1, 1], 400), "same": np.full(300, 7.25), "zeros": np.array([0.0, -0.0] * 100 + [1.0]),
+        "close": 1.0 + np.arange(320) * 2.0**-52, "infinite": np.array([np.inf] * 60 + [-np.inf] * 60 + [3.0]), "two": np.array([-1.0] * 50 + [1.0] * 50), "few": np.array([4.0, 2.0])}
+    rows = [(k if k != "same" else None, float(v)) for k, vs in groups.items() for v in vs] + [("few", None)]
+    got = {r.k or "same": r.y for r in replicates.replicate_median(spark.createDataFrame(rows, "k string, v double").repartition(5), ["k"], "v", gathered=10).collect()}
+    assert got == {k: float(np.median(v)) for k, v in groups.items()}
+    assert replicates.replicate_median(spark.createDataFrame([], "k string, v double"), ["k"], "v").count() == 0
+
+
 def test_adaptive_replicates(spark):
     rows = [("calm", i, 10.0 + 0.01 * i) for i in range(30)] + [("wild", i, float((-1) ** i * (i + 1))) for i in range(30)] + [("few", 0, 1.0), ("few", 1, 9.0)]
-    got = replicates.adaptive_replicates(spark.createDataFrame(rows, "k string, i int, v double"), ["k"], "v", ["i"]).toPandas().set_index("k")
+    got = replicates.adaptive_replicates(spark.createDataFrame(rows, "k string, i int, v double"), ["k"], "v", ["i"], max_reps=20).toPandas().set_index("k")
+    assert got["stopped"].to_dict() == {"calm": "target", "wild": "budget", "few": "replicates"}
     assert got.loc["calm", "n_used"] == 3 and got.loc["calm", "y"] == pytest.approx(10.01)
     assert got.loc["wild", "n_used"] == 20
     assert got.loc["few", "n_used"] == 2 and got.loc["few", "y"] == 5.0
-    limited = replicates.adaptive_replicates(spark.createDataFrame(rows, "k string, i int, v double"), ["k"], "v", ["i"])
+    limited = replicates.adaptive_replicates(spark.createDataFrame(rows, "k string, i int, v double"), ["k"], "v", ["i"], max_reps=20)
     assert "WindowGroupLimit" in limited._jdf.queryExecution().toString()
 
 

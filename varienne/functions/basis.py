@@ -133,6 +133,18 @@ class PolynomialBasis:
                     out[:, t] *= power[i][degree]
         return out
 
+    def gradient(self, germ: np.ndarray) -> np.ndarray:
+        """Derivatives of the basis by every germ input: (points, inputs, terms)."""
+        coefs = [poly_coefficients(self.family, n) for n in range(self.order + 1)]
+        value = [[np.polynomial.polynomial.polyval(germ[:, i], c) for c in coefs] for i in range(len(self.params))]
+        slope = [[np.polynomial.polynomial.polyval(germ[:, i], np.polynomial.polynomial.polyder(c)) for c in coefs] for i in range(len(self.params))]
+        out = np.ones((germ.shape[0], len(self.params), self.n_terms))
+        for t, alpha in enumerate(self.indices):
+            for i in range(len(self.params)):
+                for j, degree in enumerate(alpha):
+                    out[:, i, t] *= slope[j][degree] if i == j else value[j][degree]
+        return out
+
     def terms(self, spark: SparkSession) -> DataFrame:
         """Dimension table of terms: (term_id, alpha, norm2)."""
         rows = [(t, list(a), float(n)) for t, (a, n) in enumerate(zip(self.indices, self.norms))]

@@ -183,15 +183,19 @@ def design_from_groups(df: DataFrame, key: str, params: Sequence[str], outputs:
     )
 
 
-def align_dimensions(df: DataFrame, array: str, strict: bool = True) -> DataFrame:
-    """Make arrays equally wide: an error when strict, else the first min-width entries."""
+def align_dimensions(df: DataFrame, array: str, strict: bool = True, dropped: str = "dropped") -> DataFrame:
+    """Make arrays equally wide: an error when strict, else the first min-width entries.
+
+    ``dropped`` names a column with the number of entries that each row lost.
+    """
     widths = df.agg(F.min(F.size(array)).alias("lo"), F.max(F.size(array)).alias("hi"))
     if strict:
         row = widths.first()
         if row.lo != row.hi:
             raise ValueError(f"feature counts differ: min={row.lo}, max={row.hi}")
-        return df
-    return df.withColumn(array, F.slice(array, F.lit(1), widths.select("lo").scalar()))
+        return df.withColumn(dropped, F.lit(0))
+    least = widths.select("lo").scalar()
+    return df.withColumn(dropped, F.size(array) - least).withColumn(array, F.slice(array, F.lit(1), least))
 
 
 def flatten_outputs(stats: DataFrame, run: Sequence[str]) -> DataFrame:

@@ -101,9 +101,9 @@ def key_findings(st: DataFrame, stages: DataFrame | None = None, n_stages: int =
         F.min_by("param", F.struct("st", "param_id")).alias("bottom_param"), (F.min("st") * 100.0).alias("bottom_percent"),
     )
     advice = (
-        F.when(F.col("top_percent") > DOMINANT_ABOVE, F.concat("top_param", F.lit(" dominates output variance")))
-        .when(F.col("top_percent") > LEADING_ABOVE, F.concat("top_param", F.lit(" is the leading driver")))
-        .otherwise("No single parameter dominates")
+        F.when(F.col("top_percent") > DOMINANT_ABOVE, F.concat(F.lit("measure "), "top_param", F.lit(" first: more than half of the spread comes from it")))
+        .when(F.col("top_percent") > LEADING_ABOVE, F.concat("top_param", F.lit(" matters most, but the others together matter more")))
+        .otherwise("the spread is shared by many inputs")
     )
     out = out.withColumn("recommendation", advice)
     if stages is not None:

@@ -381,6 +381,17 @@ def relative_error(df: DataFrame, groups: Sequence[str], y: str = "y", yhat: str
     return sums.select(*groups, (F.sqrt("_e") / norm).alias("relative_error"))
 
 
+@pandas_udf(T.DoubleType())
+def squared_error(coef: pd.Series, gram: pd.Series, rhs: pd.Series, syy: pd.Series, mean: pd.Series) -> pd.Series:
+    """Sum of squared residuals of a fit on other samples, from the sums of those."""
+    out = []
+    for c, tri, b, spread, centre in zip(coef, gram, rhs, syy, mean):
+        about = np.array(c)
+        about[0] -= centre
+        out.append(max(spread - 2 * about @ b + about @ unpack_gram(np.asarray(tri), len(about)) @ about, 0.0))
+    return pd.Series(out, dtype=float)
+
+
 def fit_quality(coefs: DataFrame, statistics: DataFrame | None = None) -> DataFrame:
     """R² and sparsity from the statistics alone, without another pass over the samples."""
     n = F.col("n")

@@ -6,10 +6,12 @@ import math
 from collections.abc import Sequence
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.functions import pandas_udf
 
-from varienne.functions import rng
 from varienne.functions.basis import PolynomialBasis
 from varienne.operators.design import Bounds, germ_columns, to_germ
 from varienne.operators.fit import predict, with_phi
@@ -124,33 +126,77 @@ def _slopes_at(best: DataFrame, coefs: DataFrame, basis: PolynomialBasis, bounds
     return local_sensitivity(best, coefs, basis, bounds, SUGGEST_STEP, ["output_id"])
 
 
-def search_targets(coefs: DataFrame, targets: DataFrame, basis: PolynomialBasis, bounds: Bounds, seed: int, n_candidates: int = 512, rounds: int = 4, shrink: float = 0.25) -> DataFrame:
-    """Inputs whose prediction comes closest to each target value.
+def _start_germs(seed: int, starts: int, d: int) -> np.ndarray:
+    """The middle of the box and seeded random points in it; the same for every row."""
+    draws = np.random.default_rng(seed).uniform(-1.0, 1.0, (max(starts - 1, 0), d))
+    return np.vstack([np.zeros((1, d)), draws])
 
-    ``targets`` has (output_id, target).  Every round draws seeded candidates around the
-    incumbent of each target inside a box that shrinks by a factor, and keeps the best;
-    one Spark job per round over targets × candidates, no driver data.
+
+def nearest_point(basis: PolynomialBasis, coef: np.ndarray, target: float, germs: np.ndarray, tolerance: float, max_steps: int) -> tuple[np.ndarray, float, int, bool]:
+    """Germ point in the box whose value is nearest to the target, by projected Gauss-Newton steps from all starts at once.
+
+    A step goes along the gradient of the inputs that are free to move, as far as the linear model asks, clipped to the box, and is halved until the
+    distance falls.  Returns the point, its value, the steps taken and whether the search ended by itself: target met, or no free direction reduces
+    the distance.
+    """
+    scale = max(abs(target), float(np.abs(coef).max(initial=0.0)), 1e-300)
+    x, value = germs.copy(), basis.matrix(germs) @ coef
+    live, steps = np.ones(len(x), bool), 0
+    while steps < max_steps and live.any():
+        if (np.abs(value - target) <= tolerance * scale).any():
+            break
+        steps += 1
+        at = np.flatnonzero(live)
+        residual = value[at] - target
+        slope = basis.gradient(x[at]) @ coef
+        move = -residual[:, None] * slope
+        free = ~(((x[at] >= 1) & (move > 0)) | ((x[at] <= -1) & (move < 0)))
+        slope = np.where(free, slope, 0.0)
+        power = (slope**2).sum(1)
+        stuck = power <= (1e-12 * scale) ** 2
+        step = np.where(stuck[:, None], 0.0, -residual[:, None] * slope / np.where(stuck, 1, power)[:, None])
+        better = np.zeros(len(at), bool)
+        for half in range(30):
+            todo = ~better & ~stuck
+            if not todo.any():
+                break
+            trial = np.clip(x[at[todo]] + step[todo] * 0.5**half, -1, 1)
+            tried = basis.matrix(trial) @ coef
+            good = np.abs(tried - target) < np.abs(residual[todo]) * (1 - 1e-9)
+            which = np.flatnonzero(todo)[good]
+            x[at[which]], value[at[which]] = trial[good], tried[good]
+            better[which] = True
+        live[at[~better]] = False
+    best = int(np.argmin(np.abs(value - target)))
+    met = bool(abs(value[best] - target) <= tolerance * scale)
+    return x[best], float(value[best]), steps, met or not live.any()
+
+
+def search_targets(
+    coefs: DataFrame, targets: DataFrame, basis: PolynomialBasis, bounds: Bounds, seed: int = 0, starts: int = 12, tolerance: float = 1e-8, max_steps: int = 200,
+) -> DataFrame:
+    """Inputs whose prediction comes closest to each target value, with yhat, loss, reached, converged and steps.
+
+    ``targets`` has (output_id, target) and keeps its other columns.  The search runs inside the row, by Gauss-Newton steps with the derivatives of the basis from
+    several starts, so targets are shared out over tasks and nothing else moves.  loss is the squared distance; reached tells whether it is within
+    ``tolerance`` of the larger of target and coefficients, converged whether the search ended before ``max_steps``.  A target beyond
+    what the box allows ends at the nearest point that was found.  Targets of outputs without a fit give no row; a null target gives nulls.
     """
     names = list(bounds)
-    state = targets.join(coefs.select("output_id", "coef"), "output_id").withColumns({n: F.lit((lo + hi) / 2.0) for n, (lo, hi) in bounds.items()})
-    width = 1.0
-    for r in range(rounds):
-        tries = state.withColumn("cand", F.explode(F.sequence(F.lit(0), F.lit(n_candidates))))
-        moves = {}
-        for n, (lo, hi) in bounds.items():
-            half = (hi - lo) * width / 2.0
-            draw = 2.0 * rng.uniform(seed + r, F.lit(n), "cand", "output_id", "target") - 1.0
-            proposal = F.least(F.greatest(F.col(n) + draw * half, F.lit(float(lo))), F.lit(float(hi)))
-            moves[n] = F.when(F.col("cand") == 0, F.col(n)).otherwise(proposal)  # candidate 0 is the incumbent
-        tries = points_phi(tries.withColumns(moves), basis, bounds)
-        yhat = F.aggregate(F.zip_with("phi", "coef", lambda p, c: p * c), F.lit(0.0), lambda a, v: a + v)
-        tries = tries.withColumn("yhat", yhat).withColumn("loss", (F.col("yhat") - F.col("target")) * (F.col("yhat") - F.col("target")))
-        best = F.min_by(F.struct(*names, "coef", "yhat", "loss"), F.struct("loss", "cand"))
-        state = tries.groupBy("output_id", "target").agg(best.alias("b")).select("output_id", "target", "b.*")
-        width *= shrink
-        if r + 1 < rounds:
-            state = state.drop("yhat", "loss")
-    return state.drop("coef")
+    germs = _start_germs(seed, starts, len(names))
+    kind = T.StructType([T.StructField("x", T.ArrayType(T.DoubleType())), T.StructField("yhat", T.DoubleType()), T.StructField("steps", T.IntegerType()), T.StructField("converged", T.BooleanType())])
+
+    @pandas_udf(kind)
+    def solve(coef: pd.Series, target: pd.Series) -> pd.DataFrame:
+        rows = [(None, None, None, None) if t is None or np.isnan(t) else nearest_point(basis, np.asarray(c), float(t), germs, tolerance, max_steps) for c, t in zip(coef, target)]
+        return pd.DataFrame([(None if x is None else list(x), y, s, ok) for x, y, s, ok in rows], columns=["x", "yhat", "steps", "converged"])
+
+    found = targets.join(coefs.select("output_id", "coef"), "output_id").withColumn("_s", solve("coef", F.col("target").cast("double")))
+    physical = {n: F.lit(float(lo)) + (F.col("_s.x")[i] + 1.0) / 2.0 * (hi - lo) for i, (n, (lo, hi)) in enumerate(bounds.items())}
+    loss = (F.col("_s.yhat") - F.col("target")) * (F.col("_s.yhat") - F.col("target"))
+    scale = F.greatest(F.abs("target"), F.array_max(F.transform("coef", lambda c: F.abs(c))))
+    return found.select(*targets.columns, *[c.alias(n) for n, c in physical.items()], F.col("_s.yhat").alias("yhat"), loss.alias("loss"),
+                        (F.sqrt(loss) <= tolerance * scale).alias("reached"), F.col("_s.converged").alias("converged"), F.col("_s.steps").alias("steps"))
 
 
 # --- spectral outputs: (ω, σ, amplitude) triples per mode -------------------------------

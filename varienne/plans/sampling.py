@@ -71,6 +71,52 @@ def adaptive_sampling(
     return fits, spark.createDataFrame(history, "round int, n_samples bigint, mean_error double")
 
 
+def sample_position(key: Sequence[str]) -> Column:
+    """A place in [0, 1) per row from a hash of its key."""
+    return F.pmod(F.xxhash64(*key), F.lit(1 << 40)) / F.lit(float(1 << 40))
+
+
+def adaptive_fit(
+    table: DataFrame, basis: PolynomialBasis, germ: Sequence[Column], outputs: Sequence[str], position: Column, tolerance: float,
+    first_share: float = 1 / 256, growth: float = 2.0, error: str = "held_out_error",
+) -> tuple[DataFrame, DataFrame]:
+    """Fit a growing sample of a table until the error is small enough or the table is used up.
+
+    Samples are nested: those with ``position`` (a place in [0, 1) that hashes the key) below a share that starts at
+    ``first_share`` and grows by ``growth``.  Every round sums only the rows between two shares and adds them to the sums so far; before that the
+    current fit is tried on them, so held_out_error costs nothing more.  Returns the fits and one row per round: round, share,
+    n_samples, train_error and held_out_error (means of the relative errors over the outputs; none is held out in a last round that uses all rows).
+
+    ``error`` names which of both must reach ``tolerance``.  The result of a round does not depend on how rows are dealt to tasks.
+    """
+    if error not in ("held_out_error", "train_error"):
+        raise ValueError(f"unknown error {error!r}, expected 'held_out_error' or 'train_error'")
+    table = table.withColumn("_position", position)
+    schema = "round int, share double, n_samples bigint, train_error double, held_out_error double"
+    sums, low, share, history = None, 0.0, min(first_share, 1.0), []
+
+    def part(lo: float, hi: float) -> DataFrame:
+        inside = F.col("_position") >= lo if hi >= 1 else (F.col("_position") >= lo) & (F.col("_position") < hi)
+        return materialize(fit.wide_statistics(table.where(inside), basis, germ, outputs), "statistics")
+
+    fresh = part(low, share)
+    while True:
+        sums = fresh if sums is None else materialize(merge_statistics([sums, fresh]), "statistics")
+        fits = materialize(fit.fit(sums, []), "fits")
+        train = training_error(fits, sums).agg(F.max("n").alias("n"), F.avg("training_error").alias("e")).first()
+        low, share = share, min(share * growth, 1.0)
+        held = None
+        if low < 1:
+            fresh = part(low, share)
+            tried = fits.select("output_id", "coef").join(fresh, "output_id").select(
+                fit.squared_error("coef", "gram", "rhs", "syy", "mean").alias("sse"), fit.raw_squares(F.col("syy"), F.col("mean"), F.col("n")).alias("yy"))
+            held = tried.agg(F.avg(F.sqrt("sse") / F.when(F.col("yy") > 0, F.sqrt("yy")).otherwise(1.0))).first()[0]
+        history.append((len(history), low, train.n, train.e, held))
+        reached = train.e if error == "train_error" else held
+        if low >= 1 or (reached is not None and reached <= tolerance):
+            return fits, table.sparkSession.createDataFrame(history, schema)
+
+
 @dataclass
 class ScreenedSurrogate:
     screening: DataFrame

@@ -447,13 +447,20 @@ SELECT user_id, value, rn, stddev_pop(value) OVER w / (abs(avg(value) OVER w) +
 WINDOW w AS (PARTITION BY user_id ORDER BY rn ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"""
 
 
+@query("flag_median", "SELECT l_returnflag, median(l_extendedprice) AS y FROM lineitem GROUP BY 1")
+def _flag_median(t):
+    """Three groups that hold all rows: selected by counting."""
+    return replicates.replicate_median(t.lineitem, ["l_returnflag"], "l_extendedprice", gathered=256)
+
+
 @query("adaptive_replicates", f"""
 WITH c AS ({REPLICATE_SQL}), stop AS (SELECT user_id, coalesce(min(rn) FILTER (WHERE rn >= 3 AND cv < 0.5), 20) AS last FROM c WHERE rn <= 20 GROUP BY 1)
-SELECT user_id, median(value) AS y, count(*) AS n_used FROM c JOIN stop USING (user_id) WHERE rn <= last GROUP BY 1""")
+SELECT user_id, median(value) AS y, count(*) AS n_used, CASE WHEN bool_or(rn >= 3 AND cv < 0.5) THEN 'target' WHEN count(*) >= 20 THEN 'budget' ELSE 'replicates' END AS stopped
+FROM c JOIN stop USING (user_id) WHERE rn <= last GROUP BY 1""")
 def _adaptive_replicates(t):
     micros = F.expr("timestampdiff(MICROSECOND, TIMESTAMP_NTZ '1970-01-01 00:00:00', ts)")
     df = t.events.select("user_id", "value", "event_id", micros.alias("at"))
-    return replicates.adaptive_replicates(df, ["user_id"], "value", ["at", "event_id"], target_cv=0.5)
+    return replicates.adaptive_replicates(df, ["user_id"], "value", ["at", "event_id"], max_reps=20, target_cv=0.5)
 
 
 @query("running_cv", f"SELECT user_id, rn, {sr('cv', 7)} AS cv FROM ({REPLICATE_SQL})")

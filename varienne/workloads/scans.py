@@ -201,12 +201,13 @@ def _order_history(t):
 
 
 @query("align_dimensions", A + f"""
-SELECT idx, count(*) AS n, {sr('avg(value)', 9)} AS mean FROM (
+SELECT idx, count(*) AS n, {sr('avg(value)', 9)} AS mean, (SELECT CAST(sum(vec_id % 4) AS BIGINT) FROM a) AS dropped FROM (
   SELECT CAST(i AS INTEGER) AS idx, v[i] AS value FROM (SELECT *, unnest(range(1, 61)) AS i FROM a)) GROUP BY idx""")
 def _align_dimensions(t):
     ragged = t.arrays.withColumn("v", F.slice(COUNTS, F.lit(1), (60 + F.col("vec_id") % 4).cast("int")))
-    long = obs.explode_with_index(aggregate.align_dimensions(ragged, "v", strict=False), "v", [])
-    return long.groupBy("idx").agg(F.count(F.lit(1)).alias("n"), rnd(F.avg("value"), 9).alias("mean"))
+    aligned = aggregate.align_dimensions(ragged, "v", strict=False)
+    means = obs.explode_with_index(aligned, "v", []).groupBy("idx").agg(F.count(F.lit(1)).alias("n"), rnd(F.avg("value"), 9).alias("mean"))
+    return means.withColumn("dropped", aligned.agg(F.sum("dropped").alias("s")).select("s").scalar())
 
 
 @query("idx_join_feature_id", A + f""", f AS ({FIELD_IDS_SQL})

@@ -10,7 +10,7 @@ from varienne.functions.basis import PolynomialBasis
 from varienne.operators import design, morris, sobol
 from varienne.plans import sampling
 from varienne.sources import synthetic
-from varienne.workloads.fit_sql import fit_sql
+from varienne.workloads.fit_sql import fit_sql, predict_sql
 from varienne.workloads.registry import query, rnd, rounded, sr
 from varienne.workloads.surrogates import drawn_sql, uniform_sql
 from varienne.workloads.tables import LINEITEM_BOUNDS
@@ -242,3 +242,29 @@ def _adaptive_sampling(t):
     budget = t.orders.count()
     _, rounds = sampling.adaptive_sampling(t.spark, BOUNDS, model, ["y"], budget, order=2, tolerance=UNREACHED)
     return rounded(rounds, 8)
+
+
+#: Shares of the lineitem table in nested samples, the response that is learned, and the error at which to stop.
+SHARES = [min(2.0**k / 256, 1.0) for k in range(9)]
+ENOUGH = 0.02
+POSITION_SQL = "CAST('0x' || substr(md5(CAST(l_orderkey AS VARCHAR) || '/' || CAST(l_linenumber AS VARCHAR)), 1, 8) AS BIGINT) / 4294967296.0::DOUBLE"
+NESTED_SQL = f"""
+SELECT {POSITION_SQL} AS position, {', '.join(f'2 * ({n} - {lo!r}::DOUBLE) / {hi - lo!r}::DOUBLE - 1 AS g{i}' for i, (n, (lo, hi)) in enumerate(BOUNDS.items()))},
+  exp(l_quantity / 20) + 0.02::DOUBLE * l_quantity * l_quantity + 400 * l_tax + 30 * l_tax * l_quantity + 0.5::DOUBLE * l_discount AS y FROM lineitem"""
+NESTED_ROUNDS_SQL = f"SELECT CAST(unnest(range({len(SHARES)})) AS INTEGER) AS round, unnest({SHARES!r})::DOUBLE AS share, unnest({[*SHARES[1:], 2.0]!r})::DOUBLE AS next"
+NESTED_FIT_SQL = fit_sql("SELECT round, g0, g1, g2, y FROM n JOIN k ON share = 1 OR position < share", ADAPTIVE_BASIS, ["g0", "g1", "g2"], ["round"])
+
+
+@query("adaptive_table", f"""
+WITH n AS ({NESTED_SQL}), k AS ({NESTED_ROUNDS_SQL}), f AS ({NESTED_FIT_SQL}),
+h AS (SELECT round, sqrt(sum((y - yhat) ** 2)) / sqrt(sum(y * y)) AS held FROM (
+  SELECT round, y, {predict_sql(ADAPTIVE_BASIS, ['g0', 'g1', 'g2'])} AS yhat FROM f JOIN k USING (round) JOIN n ON position >= share AND (next >= 1 OR position < next) WHERE share < 1) GROUP BY 1),
+e AS (SELECT round, share, CAST(n AS BIGINT) AS n_samples, sqrt(greatest(e2, 0) * n / yy) AS train, held FROM f JOIN k USING (round) LEFT JOIN h USING (round))
+SELECT round, share, n_samples, {sr('train', 6)} AS train_error, {sr('held', 6)} AS held_out_error FROM e
+WHERE round <= coalesce((SELECT min(round) FROM e WHERE held <= {ENOUGH}), {len(SHARES)})""")
+def _adaptive_table(t):
+    """Nested samples of the lineitem table until a held-out error of two percent."""
+    position = F.conv(F.substring(F.md5(F.concat(F.col("l_orderkey").cast("string"), F.lit("/"), F.col("l_linenumber").cast("string"))), 1, 8), 16, 10).cast("double") / 4294967296.0
+    table = t.lineitem.withColumn("y", F.exp(F.col("l_quantity") / 20.0) + model_column())
+    _, rounds = sampling.adaptive_fit(table, ADAPTIVE_BASIS, design.germ_columns(BOUNDS), ["y"], position, ENOUGH)
+    return rounded(rounds, 6, share=12)

@@ -154,15 +154,25 @@ def _argmax_point(t):
     return surrogate.argmax_point(t.lineitem.withColumnRenamed("l_returnflag", "output_id"), "l_extendedprice", ["l_orderkey"], "l_orderkey")
 
 
-@query("find_target")
+@query("find_target", f"""
+WITH f AS ({ALL_FIT_SQL}), r AS (SELECT output_id, min(yhat) AS lo, max(yhat) AS hi FROM (SELECT output_id, {predict_sql(BASIS2, GERM)} AS yhat FROM ({DESIGN_SQL}), f) GROUP BY 1),
+m AS (SELECT p_type, avg(l_extendedprice) AS y0, avg(l_extendedprice * (1 - l_discount) * (1 + l_tax)) AS y1 FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY 1)
+SELECT p_type, output_id, {sr('target', 4)} AS target, target BETWEEN lo AND hi AS reached, true AS inside, true AS converged
+FROM (SELECT p_type, unnest(['y0', 'y1']) AS output_id, unnest([y0, y1]) AS target FROM m) JOIN r USING (output_id)""")
 def _find_target(t):
-    """Inputs that reach the mean price of each part type."""
+    """Inputs that reach the mean price of each part type; predictions below and above it in the box say that there are some."""
     price = F.col("l_extendedprice")
     priced = t.lineitem.select("l_partkey", price.alias("y0"), (price * (1 - F.col("l_discount")) * (1 + F.col("l_tax"))).alias("y1"))
     means = priced.join(t.part, F.col("l_partkey") == F.col("p_partkey")).groupBy("p_type").agg(F.avg("y0").alias("y0"), F.avg("y1").alias("y1"))
     pairs = F.array(*[F.struct(F.lit(o).alias("output_id"), F.col(o).alias("target")) for o in ("y0", "y1")])
-    targets = means.select(F.inline(pairs)).distinct()
-    return surrogate.search_targets(global_fit(t), targets, BASIS2, BOUNDS, seed=7, n_candidates=256)
+    fits = global_fit(t)
+    found = surrogate.search_targets(fits, means.select("p_type", F.inline(pairs)), BASIS2, BOUNDS, seed=7).drop("yhat", "reached")
+    again = fit.predict(surrogate.points_phi(found, BASIS2, BOUNDS), fits, ["output_id"])
+    inside = F.lit(True)
+    for n, (lo, hi) in BOUNDS.items():
+        inside = inside & F.col(n).between(lo - 1e-9, hi + 1e-9)
+    return again.select("p_type", "output_id", rnd("target", 4).alias("target"), (F.abs(F.col("yhat") - F.col("target")) < 1e-6 * F.abs("target")).alias("reached"),
+                        inside.alias("inside"), "converged")
 
 
 #: Modes per supplier from its lines: frequency, damping and amplitude; the last one lacks an amplitude.
@@ -309,8 +319,8 @@ WITH s AS (SELECT param_id, param, avg(st) AS st FROM ({STRATEGY_SOBOL_SQL}) WHE
   p AS (SELECT CAST(group_value AS BIGINT) AS stage, round(sum(st), 9) AS total FROM ({STRATEGY_SOBOL_SQL}) WHERE strategy = 'growth_stage' GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 1),
   b AS (SELECT arg_max(param, (st, -param_id)) AS top_param, max(st) * 100 AS top_percent, arg_min(param, (st, param_id)) AS bottom_param, min(st) * 100 AS bottom_percent FROM s)
 SELECT top_param, {sr('top_percent', 5)} AS top_percent, bottom_param, {sr('bottom_percent', 5)} AS bottom_percent,
-  CASE WHEN top_percent > 50 THEN top_param || ' dominates output variance' WHEN top_percent > 20 THEN top_param || ' is the leading driver'
-    ELSE 'No single parameter dominates' END AS recommendation, stage AS peak_stage, stage * 10 AS peak_from_percent, (stage + 1) * 10 AS peak_to_percent FROM b, p""")
+  CASE WHEN top_percent > 50 THEN 'measure ' || top_param || ' first: more than half of the spread comes from it'
+    WHEN top_percent > 20 THEN top_param || ' matters most, but the others together matter more' ELSE 'the spread is shared by many inputs' END AS recommendation, stage AS peak_stage, stage * 10 AS peak_from_percent, (stage + 1) * 10 AS peak_to_percent FROM b, p""")
 def _key_findings(t):
     result = strategy_result(t).indices
     uniform = result.where("strategy = 'uniform'").groupBy("param_id", "param").agg(F.avg("st").alias("st"))
