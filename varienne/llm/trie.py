@@ -56,7 +56,7 @@ class Forest:
     """Nodes of a trie and, for every turn of a conversation, the node of the prefix that ends there.
 
     A node is named by its smallest member and its depth.  ``nodes`` has m, depth, pm (the parent's m), n_convs, w (turns that
-    the subtree stands for: n_convs of its nodes), leaf and save; ``path`` has conv_id, pos, m; ``convs`` conv_id and len.
+    the subtree stands for: n_convs of its nodes), leaf, save and the component to begin with; ``path`` has conv_id, pos, m; ``convs`` conv_id and len.
     """
 
     def __init__(self, turns: DataFrame, convs: DataFrame):
@@ -79,7 +79,9 @@ class Forest:
         above = self.path.select(F.col("conv_id").alias("m"), (F.col("pos") + 1).alias("depth"), F.col("m").alias("above"))
         named = grouped.join(above, ["m", "depth"], "left").select(
             "m", "depth", F.coalesce("above", F.lit(self.root.m)).alias("pm"), "n_convs", "w", "leaf", ((F.col("n_convs") - 1) * F.col("bytes")).alias("save"))
-        self.nodes = materialize(named.unionByName(root), "forest")
+        # One component at first, named by its top; written, so that joins on it do not fold into products.
+        whole = {"cm": F.lit(self.root.m).cast("bigint"), "cd": zero, "total": F.lit(self.root.w).cast("bigint"), "leaves": zero, "saved": zero}
+        self.nodes = materialize(named.unionByName(root).withColumns(whole), "forest")
 
     def rolled(self, part_turns: int = PART_TURNS) -> DataFrame:
         """(m, depth, leaves, saved): sums of leaf and save over every subtree.
@@ -89,9 +91,7 @@ class Forest:
         on the total of what is cut off below the centroid.  Components above ``part_turns`` are split by jobs over all of
         them at once; the others are finished inside tasks, many to one.
         """
-        zero = F.lit(0).cast("bigint")
-        active = self.nodes.select("m", "depth", "pm", "w", "leaf", "save", zero.alias("leaves"), zero.alias("saved"),
-                                   F.lit(self.root.m).cast("bigint").alias("cm"), zero.alias("cd"), F.lit(self.root.w).cast("bigint").alias("total"))
+        active = self.nodes.select("m", "depth", "pm", "w", "leaf", "save", "leaves", "saved", "cm", "cd", "total")
         small, done = [], []
         while True:
             small.append(active.where(F.col("total") <= part_turns))
@@ -250,7 +250,7 @@ def prefix_trie(turns: DataFrame, convs: DataFrame, part_turns: int = PART_TURNS
     forest = Forest(turns, convs)
     sums = forest.rolled(part_turns)
     children = forest.nodes.where("pm is not null").groupBy(F.col("pm").alias("m"), (F.col("depth") - 1).alias("depth")).agg(F.count(F.lit(1)).alias("n_children"))
-    out = forest.nodes.join(sums, ["m", "depth"]).join(children, ["m", "depth"], "left").join(end_hashes(forest), ["m", "depth"], "left")
+    out = forest.nodes.drop("leaves", "saved").join(sums, ["m", "depth"]).join(children, ["m", "depth"], "left").join(end_hashes(forest), ["m", "depth"], "left")
     return out.select(F.col("m").alias("conv_id"), "depth", F.col("pm").alias("parent_conv_id"), "n_convs", F.coalesce("n_children", F.lit(0).cast("bigint")).alias("n_children"),
                       F.col("leaves").alias("n_leaves"), F.col("saved").alias("saved_tokens"), F.coalesce("ends_sha256", F.lit(hashlib.sha256().hexdigest())).alias("ends_sha256"))
 
