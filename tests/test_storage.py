@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from varienne.functions.basis import PolynomialBasis
 from varienne.operators.observables import DRY_MASS
 from varienne.session import scratch_path
+from varienne.sinks import designs
 from varienne.sinks import tables as sinks
 from varienne.sources import history, params, runs, summaries, synthetic
 from varienne.streaming import jobs
@@ -105,14 +106,43 @@ def test_runs_must_exist(spark, tmp_path):
     assert {r.sample_id: r.v for r in runs.collect_runs(trees, samples, ["v"]).collect()} == {0: 2.0, 2: 4.0}
     with pytest.raises(FileNotFoundError, match=r"\[1\]"):
         runs.require_runs(trees, samples)
-
-
-def test_design_round_trip_and_absent_tables(spark):
-    path = scratch_path(spark, "design")
-    d = spark.createDataFrame([(0, 0.5, "train"), (1, 0.6, "test")], "sample_id bigint, x double, split string")
-    sinks.save_design(path, d, spark.createDataFrame([(0, "y", 1.0)], "sample_id bigint, output_id string, y double"))
-    back = sinks.load_design(spark, path)
-    assert back["design"].count() == 2 and back["y"].count() == 1 and back["meta"].count() == 0
+    spark.createDataFrame([(4, 1.0), (11, 5.0)], "uq_sample int, v double").write.partitionBy("uq_sample").parquet(str(tmp_path / "at_once"))
+    assert {r.sample_id: r.v for r in runs.scan_run_trees(spark, str(tmp_path / "at_once")).collect()} == {4: 1.0, 11: 5.0}
+
+
+def test_saved_design_comes_back_by_value(spark):
+    root = scratch_path(spark, "design")
+    rows = lambda *r: spark.createDataFrame(list(r), "sample_id bigint, x double")
+    series = spark.createDataFrame([(i, t, float(i * t)) for i in range(40) for t in range(3)], "sample_id bigint, time bigint, mass double")
+    labels = spark.createDataFrame([(0, "g1", None), (1, "g2", 7)], "sample_id bigint, generation string, seed int")
+    tables = {"design": rows(*[(i, i / 3) for i in range(40)]), "germ": rows((0, -1.0), (1, None)), "y": rows((0, 5.0)), "series": series, "labels": labels, "test_design": rows((90, 0.5)), "test_y": rows((90, 1.5))}
+    assert designs.save_design(spark, root, tables, parameters=["x"], buckets=4) == 1
+    saved = designs.load_design(spark, root)
+    assert saved.version == 1 and saved.parameters == ["x"] and set(saved.tables) == set(tables) and saved.changed() == []
+    for name, df in tables.items():
+        assert saved.tables[name].schema == df.schema
+        assert sorted(map(str, saved.tables[name].collect())) == sorted(map(str, df.collect()))
+    plan = saved.tables["series"].hint("merge").join(saved.tables["design"], "sample_id")
+    assert plan.count() == 120 and "Exchange" not in plan._jdf.queryExecution().executedPlan().toString()
+
+
+def test_a_version_counts_once_its_manifest_is_written(spark):
+    root = scratch_path(spark, "design")
+    one = spark.createDataFrame([(1, 2.0)], "sample_id bigint, x double")
+    with pytest.raises(FileNotFoundError):
+        designs.load_design(spark, root)
+    assert designs.save_design(spark, root, {"design": one}, buckets=2) == 1
+    # A writer that broke off before its manifest.
+    one.write.parquet(f"{root}/v000002/design")
+    assert designs.load_design(spark, root).version == 1 and designs.latest_version(spark, root) == 1
+    assert designs.save_design(spark, root, {"design": one.withColumn("x", F.lit(3.0))}, buckets=2) == 3
+    assert designs.load_design(spark, root).tables["design"].first().x == 3.0 and designs.load_design(spark, root, 1).tables["design"].first().x == 2.0
+    with pytest.raises(FileNotFoundError, match="version 2"):
+        designs.load_design(spark, root, 2)
+    with pytest.raises(ValueError, match="wrong"):
+        designs.save_design(spark, root, {"wrong": one})
+    one.write.mode("append").parquet(f"{root}/v000003/design")
+    assert designs.load_design(spark, root).changed() == ["design"]
 
 
 def test_manifest_ignores_order(spark):
@@ -159,6 +189,28 @@ def test_preliminary_waits_for_samples(spark):
     assert row.n_completed == 8 and row.st == pytest.approx(1.0)
 
 
+def test_preliminary_batches_hold_changed_samples_only(spark):
+    source, out, state = (scratch_path(spark, n) for n in ("source", "preliminary", "state"))
+    make = lambda rows: spark.createDataFrame(rows, "sample_id int, v double").coalesce(1).write.mode("append").parquet(source)
+    design = spark.createDataFrame([(i, float(i)) for i in range(8)], "sample_id int, x double")
+    batches = [[(i, float(i)) for i in range(8)], [(2, 4.0)], [(2, 0.0), (5, 9.0)], [(7, 7.0)], [(0, 1.0)]]
+    make(batches[0])
+    schema = spark.read.parquet(source).schema
+    for i, rows in enumerate(batches):
+        if i:
+            make(rows)
+        jobs.run_preliminary_sobol(jobs.stream_history(spark, source, schema), design, {"x": (0.0, 7.0)}, ["v"], out, state, order=1, compact_every=2).awaitTermination()
+    sizes = {r.batch_id: r["count"] for r in spark.read.parquet(f"{out}/samples").groupBy("batch_id").count().collect()}
+    assert [sizes[i] for i in range(5)] == [8, 1, 2, 1, 1]
+    assert [r.upto for r in spark.read.parquet(f"{out}/merged").select("upto").distinct().orderBy("upto").collect()] == [1, 3]
+    values = {}
+    for rows in batches:
+        for k, v in rows:
+            values.setdefault(k, []).append(v)
+    assert {r.sample_id: r.v for r in jobs.current_samples(spark, out).collect()} == {k: sum(v) / len(v) for k, v in values.items()}
+    assert jobs.read_preliminary(spark, out).first().n_completed == 8
+
+
 def test_windowed_means_drop_closed_windows(spark):
     source, state = scratch_path(spark, "source"), scratch_path(spark, "state")
     spark.sql("select timestamp '2024-01-01 00:00:10' ts, 'a' k, 1.0d v union all select timestamp '2024-01-01 00:03:00', 'a', 3.0d").coalesce(1).write.parquet(source)

@@ -1,4 +1,4 @@
-"""Saved designs, results and manifests as Parquet tables and nested JSON."""
+"""Saved results and manifests as Parquet tables and nested JSON."""
 
 from __future__ import annotations
 
@@ -7,35 +7,6 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-DESIGN_TABLES = ("design", "y", "meta")
-
-
-def save_design(root: str, design: DataFrame, y: DataFrame, meta: DataFrame | None = None) -> None:
-    """Write a design (inputs, germ and split), its outputs and row labels below a directory.
-
-    The split is a partition, so reading only the training part prunes files.
-    """
-    writer = design.write.partitionBy("split") if "split" in design.columns else design.write
-    writer.parquet(f"{root}/design")
-    y.write.parquet(f"{root}/y")
-    if meta is not None:
-        meta.write.parquet(f"{root}/meta")
-
-
-def load_design(spark: SparkSession, root: str, schemas: dict[str, str] | None = None) -> dict[str, DataFrame]:
-    """Read the tables back; one that was never written is empty."""
-    schemas = schemas or {}
-    out = {}
-    for name in DESIGN_TABLES:
-        try:
-            out[name] = spark.read.parquet(f"{root}/{name}")
-        except Exception as err:
-            if "PATH_NOT_FOUND" not in str(err):
-                raise
-            out[name] = spark.createDataFrame([], schemas.get(name, "sample_id bigint"))
-    return out
-
-
 def export_results(root: str, indices: DataFrame, coefs: DataFrame, summary: DataFrame | None = None, partitions: Sequence[str] = ("strategy", "group_value")) -> None:
     """Indices and surrogates partitioned by strategy and group, and the nested summary as JSON.
 

@@ -5,14 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# Fixed value: directory of one sample's tree.
-SAMPLE_DIRECTORY = r"uq_sample_(\d{4,})/history"
+# Fixed value: directory of one sample's tree, as single runs write it or as one partitioned write does.
+SAMPLE_DIRECTORY = r"(?:uq_sample_(\d{4,})/history|uq_sample=(\d+))/"
 
 
 def scan_run_trees(spark: SparkSession, root: str) -> DataFrame:
     """All sample trees in one scan; the sample id is read from the path."""
     df = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.{pq,parquet}").parquet(root)
-    sample = F.regexp_extract(F.col("_metadata.file_path"), SAMPLE_DIRECTORY, 1)
+    sample = F.concat(*[F.regexp_extract(F.col("_metadata.file_path"), SAMPLE_DIRECTORY, i) for i in (1, 2)])
     return df.select(sample.try_cast("int").alias("sample_id"), "*").where(F.col("sample_id").isNotNull())
 
 

@@ -5,19 +5,20 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from varienne.functions.basis import PolynomialBasis
-from varienne.operators import sobol
+from varienne.operators import design, sobol
 from varienne.operators.observables import DRY_MASS, VOLUME
 from varienne.plans import quantify
 from varienne.session import scratch_path
+from varienne.sinks import designs
 from varienne.sinks import tables as sinks
 from varienne.sources import params, runs, summaries
 from varienne.streaming import jobs
 from varienne.workloads.fit_sql import fit_sql, sobol_sql
 from varienne.workloads.registry import query, rnd, rounded, sr
 from varienne.workloads.sensitivity import (
-    BASIS2, FIT2_SQL, FLAG, SOBOL2_SQL, STRATEGY_SOBOL_SQL, coef_rows, coef_sql, fitted, indices, strategy_result,
+    BASIS2, FIT2_SQL, FLAG, GERM, SOBOL2_SQL, STRATEGY_SOBOL_SQL, coef_rows, coef_sql, fitted, indices, strategy_result,
 )
-from varienne.workloads.tables import HISTORY_SQL, LINEITEM_BOUNDS
+from varienne.workloads.tables import DESIGN_SQL, HISTORY_SQL, LINEITEM_BOUNDS
 
 H = f"WITH h AS ({HISTORY_SQL}) "
 
@@ -160,14 +161,8 @@ def _index_runs(t):
 
 
 def run_trees(t) -> str:
-    """One history tree per line number, in per-sample directories."""
-
-    def write(path: str) -> None:
-        numbers = [r.l_linenumber for r in t.lineitem.select("l_linenumber").distinct().collect()]  # a handful of samples
-        for n in numbers:
-            t.lineitem.where(F.col("l_linenumber") == n).select("l_quantity", "l_extendedprice").write.parquet(f"{path}/uq_sample_{n:04d}/history")
-
-    return t.written("runs", write)
+    """One history tree per line number, all written at once."""
+    return t.written("runs", lambda path: t.lineitem.select(F.col("l_linenumber").alias("uq_sample"), "l_quantity", "l_extendedprice").write.partitionBy("uq_sample").parquet(path))
 
 
 def planned_samples(t):
@@ -194,31 +189,63 @@ def _missing_runs(t):
 # --- saved designs and results ---------------------------------------------------------------
 
 
-def saved_design(t) -> str:
+def saved_design(t):
+    """The lineitem design with germ, outputs, a series of three steps and labels; orders divisible by five are held out."""
+
     def write(path: str) -> None:
-        d = t.design.withColumn("split", F.when(F.col("l_orderkey") % 5 == 0, "test").otherwise("train"))
+        d = t.design.withColumns(dict(zip(GERM, design.germ_columns(LINEITEM_BOUNDS))))
         keys = ["l_orderkey", "l_linenumber"]
-        sinks.save_design(path, d.select(*keys, *LINEITEM_BOUNDS, "split"), d.select(*keys, "y0", "y1"))
-
-    return t.written("design", write)
-
+        tables = {}
+        for prefix, rows in (("", d.where("l_orderkey % 5 <> 0")), ("test_", d.where("l_orderkey % 5 = 0"))):
+            tables |= {
+                f"{prefix}design": rows.select(*keys, *LINEITEM_BOUNDS), f"{prefix}germ": rows.select(*keys, *GERM), f"{prefix}y": rows.select(*keys, "y0", "y1"),
+                f"{prefix}series": rows.select(*keys, F.posexplode(F.array("y0", "y1", F.col("y1") - F.col("y0"))).alias("step", "value")),
+                f"{prefix}labels": rows.select(*keys, "l_returnflag", "l_linestatus")}
+        designs.save_design(t.spark, path, tables, keys, list(LINEITEM_BOUNDS), buckets=8)
 
-@query("load_design", f"""
-SELECT CASE WHEN l_orderkey % 5 = 0 THEN 'test' ELSE 'train' END AS split, count(*) AS n, {sr('avg(l_discount)', 9)} AS mean_discount, {sr('avg(y0)', 4)} AS mean_y0
-FROM (SELECT l_orderkey, l_discount, l_extendedprice AS y0 FROM lineitem) GROUP BY 1""")
-def _load_design(t):
-    loaded = sinks.load_design(t.spark, saved_design(t))
-    # The outputs are positional per line; line keys repeat, so both sides are summarised before they meet.
-    d = loaded["design"].groupBy("split").agg(F.count(F.lit(1)).alias("n"), rnd(F.avg("l_discount"), 9).alias("mean_discount"))
-    split = F.when(F.col("l_orderkey") % 5 == 0, "test").otherwise("train")
-    y = loaded["y"].groupBy(split.alias("split")).agg(rnd(F.avg("y0"), 4).alias("mean_y0"))
-    return d.join(y, "split")
+    return designs.load_design(t.spark, t.written("design", write))
 
 
 @query("save_design", """
 SELECT l_orderkey, l_linenumber, l_discount, l_tax, l_quantity, CASE WHEN l_orderkey % 5 = 0 THEN 'test' ELSE 'train' END AS split FROM lineitem""")
 def _save_design(t):
-    return sinks.load_design(t.spark, saved_design(t))["design"]
+    saved = saved_design(t).tables
+    return saved["design"].withColumn("split", F.lit("train")).unionByName(saved["test_design"].withColumn("split", F.lit("test")))
+
+
+@query("load_design", f"""
+SELECT l_orderkey, l_linenumber, {sr('g0', 9)} AS g0, {sr('g1', 9)} AS g1, {sr('g2', 9)} AS g2, {sr('y0', 6)} AS y0, {sr('y1', 6)} AS y1, l_returnflag, l_linestatus, l_orderkey % 5 = 0 AS test FROM ({DESIGN_SQL})
+WHERE (l_orderkey, l_linenumber) IN (SELECT l_orderkey, l_linenumber FROM lineitem GROUP BY 1, 2 HAVING count(*) = 1)""")
+def _load_design(t):
+    """Germ, outputs and labels of every line that its key names, by value, joined bucket by bucket."""
+    saved, keys = saved_design(t), ["l_orderkey", "l_linenumber"]
+    out = None
+    for prefix in ("", "test_"):
+        part = {n: saved.tables[prefix + n] for n in ("germ", "y", "labels")}
+        once = part["y"].groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where("_n = 1").drop("_n")
+        rows = once.join(part["germ"], keys).join(part["y"], keys).join(part["labels"], keys).withColumn("test", F.lit(prefix == "test_"))
+        out = rows if out is None else out.unionByName(rows)
+    return rounded(out, 6, g0=9, g1=9, g2=9)
+
+
+@query("load_series", f"""
+SELECT l_orderkey, l_linenumber, CAST(step AS INTEGER) AS step, {sr('value', 6)} AS value, l_orderkey % 5 = 0 AS test FROM (
+  SELECT l_orderkey, l_linenumber, unnest([0, 1, 2]) AS step, unnest([y0, y1, y1 - y0]) AS value FROM ({DESIGN_SQL}))""")
+def _load_series(t):
+    saved = saved_design(t).tables
+    return rounded(saved["series"].withColumn("test", F.lit(False)).unionByName(saved["test_series"].withColumn("test", F.lit(True))))
+
+
+@query("design_manifest", """
+SELECT * FROM (SELECT CAST(1 AS BIGINT) AS version, CAST(8 AS INTEGER) AS buckets, 'l_discount,l_tax,l_quantity' AS parameters, prefix || name AS table_name, CASE WHEN name = 'series' THEN 3 * n ELSE n END AS n_rows
+FROM (SELECT unnest(['design', 'germ', 'y', 'series', 'labels']) AS name), (SELECT CASE WHEN l_orderkey % 5 = 0 THEN 'test_' ELSE '' END AS prefix, count(*) AS n FROM lineitem GROUP BY 1))""")
+def _design_manifest(t):
+    """What the manifest says of the tables; their rows have the digests that were saved."""
+    saved = saved_design(t)
+    if saved.changed():
+        raise ValueError(f"tables differ from what was saved: {saved.changed()}")
+    rows = [(saved.version, saved.buckets, ",".join(saved.parameters), name, n) for name, (n, _) in saved.hashes.items()]
+    return t.spark.createDataFrame(rows, "version bigint, buckets int, parameters string, table_name string, n_rows bigint")
 
 
 def exported(t) -> str:
