@@ -9,6 +9,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+import xxhash
 from plain import SPACE, awkward, folded, frame
 from pyspark.sql import functions as F
 
@@ -388,14 +389,18 @@ def test_masking(spark):
 # --- fingerprints ----------------------------------------------------------
 
 def paragraph_set(t):
-    return set(re.findall(r"[^\n]{1,256}", t or ""))
+    return set(re.findall(r"[^\n]{1,%d}" % (32 if len(t or "") < 1024 else 256), t or ""))
+
+
+def digest(paragraph):
+    return int(np.uint64(xxhash.xxh64(paragraph.encode(), seed=42).intdigest()).astype(np.int64))
 
 
 def jaccard(a, b):
     return len(a & b) / len(a | b) if a | b else 1.0
 
 
-@pytest.mark.parametrize("rounds", [8, 1])
+@pytest.mark.parametrize("rounds", [24, 1])
 def test_fingerprints(spark, rounds):
     rng = random.Random(2)
     rows = [(i, "\n".join(f"line {rng.randrange(60)}" for _ in range(rng.randrange(0, 40)))) for i in range(0, 90, 3)]
@@ -410,10 +415,29 @@ def test_fingerprints(spark, rounds):
         assert (r.n_chars, r.edited_sha256) == (len(t), hashlib.sha256(edited.encode()).hexdigest())
         assert r.near_edited == pytest.approx(jaccard(paragraph_set(t), paragraph_set(edited)))
         assert r.near_next == pytest.approx(jaccard(paragraph_set(t), paragraph_set(after)))
+        mine, other = ({digest(p) for p in paragraph_set(x)} for x in (t, edited))
+        assert set(r.lost) == mine - other and set(r.gained) == other - mine and len(r.lost) + len(r.gained) == len(mine ^ other)
     assert got[203].fingerprint == got[12].fingerprint and got[201].fingerprint == got[202].fingerprint
     assert len({r.fingerprint for r in got.values()}) > 25
 
 
+def test_tables_fold_and_subtract(spark):
+    df = spark.createDataFrame([([1, 2, 3, 4, 5, 6, 7, 8, 9], [1, 2, 3, 40])], "a array<bigint>, b array<bigint>")
+    size = lambda n: F.lit(n).cast("bigint")
+    small, large = (fingerprints.table(F.col("a"), size(n)) for n in (8, 64))
+    row = df.select(small.alias("small"), fingerprints.added_up(fingerprints.folded(large, size(64), size(8))).alias("folded"),
+                    fingerprints.peeled(fingerprints.added_up(F.concat(large, fingerprints.negative(fingerprints.table(F.col("b"), size(64))))), size(64)).alias("p")).first()
+    assert row.small == row.folded and sum(c.n for c in row.small) == 27
+    assert row.p.left == [] and sorted(row.p.plus) == [4, 5, 6, 7, 8, 9] and row.p.minus == [40]
+
+
+def test_short_texts_of_one_line_stay_near(spark):
+    rng = random.Random(0)
+    rows = [(i, " ".join("".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(n))) for i, n in enumerate((16, 20, 40, 100, 140))]
+    got = fingerprints.fingerprints(frame(spark, rows)).collect()
+    assert all(0.1 < r.near_edited < 0.7 and r.near_next < 0.1 for r in got)
+
+
 def test_fingerprints_of_awkward_rows(spark):
     rows = [(1, "a"), (1, "a"), (1, "b"), (None, "c"), (None, None)]
     got = fingerprints.fingerprints(frame(spark, rows)).collect()

@@ -1,26 +1,44 @@
-"""Document fingerprints: invertible Bloom lookup tables of paragraph digests, in DataFrame operations only."""
+"""Document fingerprints: invertible Bloom lookup tables of paragraph digests, in DataFrame operations only.
+
+A table is an array of its cells in use, (cell, n, k, c): how many digests lie in the cell, their exclusive or and that of their checks.
+Building, subtracting, folding and peeling are expressions on such arrays, so a table never leaves its row.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from varienne.llm.store import materialize, renamed
 
-#: A paragraph is a line; longer lines are cut after this many code points.
+#: A paragraph is a line; longer lines are cut after this many code points, in short texts after fewer.
 PARAGRAPH = 256
+SHORT_PARAGRAPH = 32
+#: Code points below which a text is short.
+SHORT_TEXT = 1024
 HASHES = 3
 LEAST_CELLS = 8
-#: Peelings of every part of a table before it counts as failed.
-ROUNDS = 8
-#: Digests per partition while tables are built and peeled, so that their cells fit in memory.
-PARTITION_DIGESTS = 60_000
+#: Peelings of a table before it counts as failed.
+ROUNDS = 24
+#: Tables tried for one difference, each twice as large as the one before.
+TRIES = 10
+
+CELLS = "array<struct<cell:bigint,n:bigint,k:bigint,c:bigint>>"
+
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value computed once."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
 
-def paragraphs(text: Column, size: int = PARAGRAPH) -> Column:
+
+def paragraphs(text: Column) -> Column:
     """Distinct 64-bit digests of the paragraphs of a text."""
-    return F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit("[^\\n]{1,%d}" % size), F.lit(0)), lambda p: F.xxhash64(p)))
+    cut = lambda n: F.regexp_extract_all(text, F.lit("[^\\n]{1,%d}" % n), F.lit(0))
+    pieces = F.when(F.length(text) < SHORT_TEXT, cut(SHORT_PARAGRAPH)).otherwise(cut(PARAGRAPH))
+    return F.array_distinct(F.transform(pieces, lambda p: F.xxhash64(p)))
 
 
 def part_size(elements: Column) -> Column:
@@ -28,42 +46,90 @@ def part_size(elements: Column) -> Column:
     return F.pow(F.lit(2.0), F.ceil(F.log2(F.greatest(elements, F.lit(LEAST_CELLS))))).cast("bigint")
 
 
-def place(key: Column, part: int, size: Column) -> Column:
-    """The cell of a key in one part."""
-    return size * part + F.pmod(F.xxhash64(key, F.lit(part)), size)
-
-
 def check(key: Column) -> Column:
     return F.xxhash64(key, F.lit(99)).bitwiseAND(F.lit(0xFFFFFFFF))
 
 
-def cells(elements: DataFrame, keys: list[str]) -> DataFrame:
-    """Tables from rows of (keys, size, sign, digest): count, key and check sums of every cell in use.
+def entries(digest: Column, n: Column, size: Column) -> Column:
+    """What a digest puts into its cell of every part."""
+    return F.array(*[F.struct((size * p + F.pmod(F.xxhash64(digest, F.lit(p)), size)).alias("cell"), n.cast("bigint").alias("n"), digest.alias("k"), check(digest).alias("c")) for p in range(HASHES)])
+
+
+def added_up(parts: Column) -> Column:
+    """One entry per cell of entries in any order; cells that hold nothing are left out."""
+
+    def runs(s: Column) -> Column:
+        first = F.filter(F.sequence(F.lit(0), F.size(s) - 1), lambda i: (i == 0) | (F.get(s, i)["cell"] != F.get(s, i - 1)["cell"]))
+        return let(first, lambda at: F.transform(at, lambda start, j: F.aggregate(
+            F.slice(s, start + 1, F.coalesce(F.get(at, j + 1), F.size(s)) - start),
+            F.struct(F.get(s, start)["cell"].alias("cell"), F.lit(0).cast("bigint").alias("n"), F.lit(0).cast("bigint").alias("k"), F.lit(0).cast("bigint").alias("c")),
+            lambda acc, e: F.struct(acc["cell"].alias("cell"), (acc["n"] + e["n"]).alias("n"), acc["k"].bitwiseXOR(e["k"]).alias("k"), acc["c"].bitwiseXOR(e["c"]).alias("c")))))
+
+    whole = F.when(F.size(parts) > 0, let(F.array_sort(parts), runs)).otherwise(F.array().cast(CELLS))
+    return F.filter(whole, lambda e: (e["n"] != 0) | (e["k"] != 0) | (e["c"] != 0))
+
+
+def table(digests: Column, size: Column) -> Column:
+    """Table of distinct digests with ``size`` cells in each part."""
+    return added_up(F.flatten(F.transform(digests, lambda d: entries(d, F.lit(1), size))))
+
+
+def folded(cells: Column, size: Column, to: Column) -> Column:
+    """Entries of a table at a smaller size, a power of two as well: cells that agree modulo that size meet."""
+    return F.transform(cells, lambda e: F.struct((F.floor(e["cell"] / size) * to + e["cell"] % size % to).alias("cell"), e["n"], e["k"], e["c"]))
 
-    Adding one side with sign 1 and the other with sign -1 gives the difference of their tables.
+
+def negative(cells: Column) -> Column:
+    return F.transform(cells, lambda e: F.struct(e["cell"], (-e["n"]).alias("n"), e["k"], e["c"]))
+
+
+def peeled(difference: Column, size: Column, rounds: int = ROUNDS) -> Column:
+    """Digests that a difference of two tables gives away: (left, plus, minus).
+
+    A cell that holds one digest names it, with its side; the digest then leaves its cells in all parts, which may bare others.
+    ``left`` is what could not be peeled: empty if the whole difference was recovered.
     """
-    places = F.explode(F.array(*[place(F.col("digest"), i, F.col("size")) for i in range(HASHES)])).alias("cell")
-    return elements.select(*keys, "size", "sign", "digest", places).groupBy(*keys, "size", "cell").agg(
-        F.sum("sign").alias("n"), F.bit_xor("digest").alias("k"), F.bit_xor(check(F.col("digest"))).alias("c"))
+    none = F.array().cast("array<bigint>")
 
+    def step(state: Column, _: Column) -> Column:
+        pure = F.filter(state["left"], lambda e: (F.abs(e["n"]) == 1) & (e["c"] == check(e["k"])))
+        found = F.array_distinct(F.transform(pure, lambda e: F.struct(e["k"], e["n"])))
+        side = lambda got, n: F.transform(F.filter(got, lambda e: e["n"] == n), lambda e: e["k"])
+        after = let(found, lambda got: F.struct(
+            F.when(F.size(got) > 0, added_up(F.concat(state["left"], F.flatten(F.transform(got, lambda e: entries(e["k"], -e["n"], size)))))).otherwise(state["left"]).alias("left"),
+            F.concat(state["plus"], side(got, 1)).alias("plus"), F.concat(state["minus"], side(got, -1)).alias("minus")))
+        return F.when(F.size(state["left"]) > 0, after).otherwise(state)
 
-def peel(table: DataFrame, keys: list[str], rounds: int = ROUNDS) -> DataFrame:
-    """Recover the digests of difference tables: (keys, size, recovered, left).
+    return F.aggregate(F.sequence(F.lit(1), F.lit(rounds)), F.struct(difference.alias("left"), none.alias("plus"), none.alias("minus")), step)
 
-    A cell that holds one digest gives it away, and the digest leaves its cells in the other parts.  The
-    parts take turns, so a digest is found in one cell at a time.  ``left`` counts cells that still hold
-    something: none if the whole difference was recovered.  Cell -1 counts what was.  All steps group by
-    the keys a table belongs to, so tables that lie in one partition stay there.
+
+def difference(a: Column, b: Column, a_table: Column, b_table: Column, rounds: int = ROUNDS) -> Column:
+    """Digests of one text that another lacks and the other way round: (done, plus, minus), from the tables of both.
+
+    Both tables are folded to a small common size, subtracted and peeled; if that fails, to twice the size, and beyond the size of either table
+    a larger one is built from the digests.  After ``TRIES`` sizes, with a probability that no corpus meets, the digests are compared as they are.
     """
-    for i in range(rounds * HASHES):
-        part = i % HASHES
-        pure = (F.floor(F.col("cell") / F.col("size")) == part) & (F.abs("n") == 1) & (F.col("c") == check(F.col("k")))
-        gone = [F.struct(F.lit(-1).cast("bigint").alias("cell"), F.lit(1).cast("bigint").alias("n"), F.lit(0).cast("bigint").alias("k"), F.lit(0).cast("bigint").alias("c"))]
-        gone += [F.struct(place(F.col("k"), p, F.col("size")).alias("cell"), (-F.col("n")).alias("n"), F.col("k"), F.col("c")) for p in range(HASHES) if p != part]
-        moved = table.select(*keys, "size", F.explode(F.when(pure, F.array(*gone)).otherwise(F.array(F.struct("cell", "n", "k", "c")))).alias("m"))
-        table = moved.groupBy(*keys, "size", F.col("m.cell").alias("cell")).agg(F.sum("m.n").alias("n"), F.bit_xor("m.k").alias("k"), F.bit_xor("m.c").alias("c"))
-        table = table.where("n <> 0 or k <> 0 or c <> 0")
-    return table.groupBy(*keys, "size").agg(F.sum(F.when(F.col("cell") < 0, F.col("n")).otherwise(0)).alias("recovered"), F.sum((F.col("cell") >= 0).cast("bigint")).alias("left"))
+    own, other = part_size(F.size(a)), part_size(F.size(b))
+    least = part_size(F.abs(F.size(a) - F.size(b)) / 2)
+    both = lambda x, y: added_up(F.concat(x, negative(y)))
+
+    def attempt(state: Column, t: Column) -> Column:
+        def at(size: Column) -> Column:
+            fits = size <= F.least(own, other)
+            cells = F.when(fits, both(folded(a_table, own, size), folded(b_table, other, size))).otherwise(both(table(a, size), table(b, size)))
+            return let(peeled(cells, size, rounds), lambda p: F.struct((F.size(p["left"]) == 0).alias("done"), p["plus"].alias("plus"), p["minus"].alias("minus")))
+
+        return F.when(state["done"], state).otherwise(let(least * F.pow(F.lit(2.0), t).cast("bigint"), at))
+
+    none = F.array().cast("array<bigint>")
+    start = F.struct(F.lit(False).alias("done"), none.alias("plus"), none.alias("minus"))
+    tried = F.aggregate(F.sequence(F.lit(0), F.lit(TRIES - 1)), start, attempt)
+    return let(tried, lambda d: F.when(d["done"], d).otherwise(F.struct(F.lit(False).alias("done"), F.array_except(a, b).alias("plus"), F.array_except(b, a).alias("minus"))))
+
+
+def fingerprint(cells: Column, size: Column) -> Column:
+    """A table as text: cells per part, then every cell in use as place, count, key and check, in hex."""
+    return F.concat_ws(":", F.hex(size), F.concat_ws(",", F.transform(cells, lambda e: F.concat_ws(".", F.hex(e["cell"]), F.hex(e["n"]), F.hex(e["k"]), F.hex(e["c"])))))
 
 
 def in_order(docs: DataFrame, order: list[str]) -> DataFrame:
@@ -92,52 +158,21 @@ def likeness(a: Column, b: Column, apart: Column) -> Column:
 KEY = ["r1", "r2"]
 
 
-def recovered_differences(sketch: DataFrame, rounds: int = ROUNDS) -> DataFrame:
-    """Sizes of the differences between the tables of a text, its edited form and its successor.
-
-    ``sketch`` has KEY and the digest arrays own, edited and next.  Returns KEY, pair ("edited" or "next")
-    and recovered.  Tables that do not peel are made twice as large until they do.
-    """
-    pairs = sketch.select(*KEY, F.explode(F.array(*[
-        F.struct(F.lit(p).alias("pair"), F.col("own").alias("a"), F.col(p).alias("b"), part_size(F.greatest(F.size("own"), F.size(p))).alias("size")) for p in ("edited", "next")])).alias("p")).select(*KEY, "p.*")
-    done, failed = None, None
-    while True:
-        now = pairs if failed is None else pairs.drop("size").join(failed, [*KEY, "pair"])
-        signed = F.concat(F.transform("a", lambda d: F.struct(F.lit(1).cast("bigint").alias("sign"), d.alias("digest"))), F.transform("b", lambda d: F.struct(F.lit(-1).cast("bigint").alias("sign"), d.alias("digest"))))
-        rows = now.select(*KEY, "pair", "size", F.explode(signed).alias("e")).select(*KEY, "pair", "size", "e.sign", "e.digest")
-        result = materialize(peel(cells(rows, [*KEY, "pair"]).where("n <> 0 or k <> 0 or c <> 0"), [*KEY, "pair"], rounds), "peeled")
-        good = result.where("left = 0").select(*KEY, "pair", "recovered")
-        done = good if done is None else done.unionByName(good)
-        failed = result.where("left > 0").select(*KEY, "pair", (F.col("size") * 2).alias("size"))
-        if failed.isEmpty():
-            return done
-
-
-def fingerprint_strings(sketch: DataFrame, name: str) -> DataFrame:
-    """(KEY, version, fingerprint): size of a part, then every cell in use as place, count, key and check, in hex."""
-    rows = sketch.select(*KEY, F.explode(F.array(*[
-        F.struct(F.lit(v).alias("version"), part_size(F.size(v)).alias("size"), F.col(v).alias("d")) for v in ("own", "edited")])).alias("v")).select(*KEY, "v.*")
-    rows = rows.select(*KEY, "version", "size", F.lit(1).cast("bigint").alias("sign"), F.explode("d").alias("digest"))
-    used = cells(rows, [*KEY, "version"])
-    cell = F.concat_ws(".", F.hex("cell"), F.hex("n"), F.hex("k"), F.hex("c"))
-    text = F.concat_ws(",", F.transform(F.array_sort(F.collect_list(F.struct("cell", cell.alias("t")))), lambda x: x["t"]))
-    return used.groupBy(*KEY, "version", "size").agg(text.alias("t")).select(*KEY, "version", F.concat_ws(":", F.hex("size"), "t").alias(name))
-
-
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rounds: int = ROUNDS) -> DataFrame:
     """Fingerprint every text and an edited form of it, and compare them with each other and the next text.
 
-    Returns id_col, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next, one row
-    per input row.  The edited form has its last floor(n_chars / 2) code points replaced by the first as many
+    Returns id_col, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next, lost and gained (digests of the
+    paragraphs that only the text or only its edited form has), one row per input row.  The edited form has its last floor(n_chars / 2) code points replaced by the first as many
     of the next text in ascending order of id (after the last the first).
 
     A fingerprint is an invertible Bloom lookup table of the distinct paragraphs' 64-bit digests: three
-    parts with at least one cell per paragraph each.  Tables subtract cell by cell, and peeling recovers the
+    parts with at least one cell per paragraph each.  The tables of two fingerprints are folded to a small size and subtracted cell by cell, and peeling recovers the
     digests that only one side has; their number gives the likeness (shared share of all paragraphs).
-    Tables that do not peel are built anew with twice the cells.  Texts with the same paragraphs have equal fingerprints.
+    What does not peel is tried at twice the size, at last with larger tables.  Texts with the same paragraphs have equal fingerprints.  Paragraphs are
+    lines, cut after 256 code points, or 32 in texts below 1024, so that short texts of one line have several.
 
     Texts move twice, once to meet their successor's id and once, in part, to their predecessor.  After that
-    only digests move.  Order is found by ranges, never in one partition.  Null ids come first; null or empty
+    nothing moves: tables are built, subtracted and peeled inside the row, in time n log n of its paragraphs.  Order is found by ranges, never in one partition.  Null ids come first; null or empty
     texts have no paragraphs, and two such are alike (1).  Rows of one id follow each other by hash of their text;
     repeated rows are one document and give equal results.  Other columns are ignored.
     """
@@ -154,19 +189,13 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     heads = texts.select(F.col("p1").alias("r1"), F.col("p2").alias("r2"), F.col("id").alias("next_id"), F.expr("left(text, cast(p_half as int))").alias("head"), paragraphs(F.col("text")).alias("next"))
     both = own.join(heads, KEY).where(F.col("n_id").eqNullSafe(F.col("next_id")))
     edited = F.concat(F.expr("left(text, cast(n_chars - floor(n_chars / 2) as int))"), F.col("head"))
-    sketch = both.withColumn("changed", edited).select(*KEY, "id", "copies", "n_chars", F.sha2("changed", 256).alias("edited_sha256"), paragraphs(F.col("text")).alias("own"), paragraphs(F.col("changed")).alias("edited"), "next")
+    sketch = both.withColumn("changed", edited).select("id", "copies", "n_chars", F.sha2("changed", 256).alias("edited_sha256"), paragraphs(F.col("text")).alias("own"), paragraphs(F.col("changed")).alias("edited"), "next")
     sketch = materialize(sketch, "sketches")
-    digests = sketch.agg(F.sum((F.size("own") + F.size("edited") + F.size("next")).cast("bigint"))).first()[0] or 0
-    parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), digests // PARTITION_DIGESTS + 1)
-    sketch = sketch.repartition(parts, *KEY)
-    apart = recovered_differences(sketch.select(*KEY, "own", "edited", "next"), rounds)
-    apart = apart.groupBy(*KEY).agg(*[F.max(F.when(F.col("pair") == p, F.col("recovered"))).alias(f"{p}_apart") for p in ("edited", "next")])
-    strings = fingerprint_strings(sketch.select(*KEY, "own", "edited"), "f")
-    strings = strings.groupBy(*KEY).agg(*[F.max(F.when(F.col("version") == v, F.col("f"))).alias(f"{v}_f") for v in ("own", "edited")])
-    out = sketch.join(apart, KEY, "left").join(strings, KEY, "left")
-    empty = F.concat(F.hex(part_size(F.lit(0))), F.lit(":"))
-    out = out.select(
-        F.col("id").alias(id_col), "n_chars", "edited_sha256", F.coalesce("own_f", empty).alias("fingerprint"), F.coalesce("edited_f", empty).alias("edited_fingerprint"),
-        likeness(F.size("own"), F.size("edited"), F.coalesce("edited_apart", F.lit(0))).alias("near_edited"), likeness(F.size("own"), F.size("next"), F.coalesce("next_apart", F.lit(0))).alias("near_next"),
-        F.explode(F.sequence(F.lit(1), "copies")).alias("copy"))
-    return out.drop("copy")
+    # From here on every row stays where it is.
+    tables = sketch.withColumns({f"{v}_cells": table(F.col(v), part_size(F.size(v))) for v in ("own", "edited", "next")})
+    apart = tables.withColumns({f"to_{v}": difference(F.col("own"), F.col(v), F.col("own_cells"), F.col(f"{v}_cells"), rounds) for v in ("edited", "next")})
+    near = lambda v: likeness(F.size("own"), F.size(v), F.size(f"to_{v}.plus") + F.size(f"to_{v}.minus"))
+    out = apart.select(
+        F.col("id").alias(id_col), "n_chars", "edited_sha256", *[fingerprint(F.col(f"{v}_cells"), part_size(F.size(v))).alias(n) for v, n in (("own", "fingerprint"), ("edited", "edited_fingerprint"))],
+        near("edited").alias("near_edited"), near("next").alias("near_next"), F.col("to_edited.plus").alias("lost"), F.col("to_edited.minus").alias("gained"), "copies")
+    return out.select("*", F.explode(F.sequence(F.lit(1), "copies")).alias("copy")).drop("copies", "copy")
