@@ -8,6 +8,7 @@ from plain import SPACE, awkward, frame, near_components
 
 from varienne.llm import keys, near, substrings, suffixes, text
 from varienne.llm.components import components
+from varienne.operators.ordered import ordered
 
 
 @pytest.mark.parametrize("percent,seed", [(85, 0), (80, 1), (60, 2)])
@@ -140,6 +141,18 @@ def test_repeats_inside_the_first_owner(spark, monkeypatch):
     assert sorted(((r.doc_id, r.n_bytes, r.n_removed, len(r.removed), bytes(r.kept)) for r in got), key=str) == byte_strings(rows, 50)
 
 
+@pytest.mark.parametrize("target", [2_000_000, 3])
+def test_rows_of_one_id_lose_only_their_own_bytes(spark, monkeypatch, target):
+    rng = random.Random(5)
+    text = lambda n: "".join(rng.choice("abcdefghij ") for _ in range(n))
+    shared, second, own = text(80), text(70), text(90)
+    hot = [(8, text(60) + (shared if i % 2 else second)[:55 + i] + text(10)) for i in range(9)]
+    rows = [(3, text(10) + shared + text(5) + second), (5, text(10) + shared), (5, text(300)), (5, own + second), (5, own + second), (5, None), (5, ""), (6, own), *hot]
+    monkeypatch.setattr(suffixes, "ordered", lambda *a, **k: ordered(*a, **k, target_rows=target))
+    got = suffixes.remove_repeated_strings(frame(spark, rows).repartition(3)).collect()
+    assert sorted(((r.doc_id, r.n_bytes, r.n_removed, len(r.removed), bytes(r.kept)) for r in got), key=str) == byte_strings(rows, 50)
+
+
 def test_merge_orders_suffixes():
     rng = np.random.default_rng(1)
     texts = [np.append(rng.integers(1, 4, n), 0).astype(np.uint16) for n in (40, 25, 60)]

@@ -8,9 +8,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from varienne.llm.keys import _blobs, _grouped, _opened, _routed, _runs, among, bucket_count, bucket_of, by_document, key_set, repeated_keys, ROUTED
-from varienne.llm.store import renamed, total_bytes
+from varienne.llm.store import materialize, renamed, total_bytes
 from varienne.llm.substrings import interval_lists, runs_per_document
 from varienne.llm.text import SLICE_BYTES, byte_table, mix, powers, slices
+from varienne.operators.ordered import ordered
+from varienne.session import hint_if_small
 
 LENGTH = 50
 #: Bytes of the substring that stands for a window: the one with the smallest hash among those it holds.
@@ -192,7 +194,7 @@ _TYPES = (np.uint32, np.int64, np.uint16, np.uint32, np.int64, np.uint8)
 
 
 def ship(length: int, anchor: int, buckets: int, flush: int):
-    """Function for ``mapInArrow``: (id, text, shared anchors) to strings by bucket of their anchor."""
+    """Function for ``mapInArrow``: (id, text, shared anchors, base) to strings by bucket of their anchor; places count from the base."""
 
     def rows(held):
         strings = Strings(held)
@@ -216,6 +218,7 @@ def ship(length: int, anchor: int, buckets: int, flush: int):
         held, size = [], 0
         for batch in batches:
             ids = batch.column(0).fill_null(0).to_numpy(zero_copy_only=False)  # null ids have no shared anchors
+            base = batch.column(3).to_numpy(zero_copy_only=False)
             for row, data, offsets in slices(batch.column(1)):
                 shared = [key_set(batch.column(2)[row + d]) for d in range(len(offsets) - 1)]
                 if not any(len(s) for s in shared):
@@ -234,7 +237,7 @@ def ship(length: int, anchor: int, buckets: int, flush: int):
                     count = np.minimum(np.repeat(first + count, pieces) - start, RUN)
                     n = count + length - 1
                     at = _ragged(offsets[d] + start, n)
-                    held.append((b[start], np.full(len(start), ids[row + d], np.int64), count, n, np.ones(len(start), np.int64), start, data[at]))
+                    held.append((b[start], np.full(len(start), ids[row + d], np.int64), count, n, np.ones(len(start), np.int64), base[row + d] + start, data[at]))
                     size += int(n.sum())
                 if size >= flush:
                     yield rows(held)
@@ -293,7 +296,7 @@ def merged(length: int, buckets: int, symbols: int):
 def cut(length: int):
     def run(batches):
         for batch in batches:
-            found = batch.column(2)
+            found, base = batch.column(2), batch.column(3).to_numpy(zero_copy_only=False)
             for row, data, offsets in slices(batch.column(1)):
                 n = len(offsets) - 1
                 gone = np.zeros(len(data), bool)
@@ -302,7 +305,9 @@ def cut(length: int):
                         keys = np.frombuffer(found[row + d].as_buffer(), np.uint64)
                         size = int(offsets[d + 1] - offsets[d])
                         edge = np.zeros(size + 1, np.int64)
-                        start, count = (keys >> np.uint64(16)).astype(np.int64), (keys & np.uint64(0xFFFF)).astype(np.int64)
+                        start, count = (keys >> np.uint64(16)).astype(np.int64) - base[row + d], (keys & np.uint64(0xFFFF)).astype(np.int64)
+                        mine = (start >= 0) & (start < size)  # the others belong to further rows of the id
+                        start, count = start[mine], count[mine]
                         np.add.at(edge, start, 1)
                         np.add.at(edge, np.minimum(start + count + length - 1, size), -1)
                         gone[offsets[d]:offsets[d + 1]] = np.cumsum(edge)[:size] > 0
@@ -316,6 +321,22 @@ def cut(length: int):
     return run
 
 
+def with_bases(source: DataFrame) -> DataFrame:
+    """Rows (id, text) with a base: where the row's bytes begin among those of all different texts of its id.
+
+    It is 0 unless an id has several texts.
+    """
+    texts = source.where("id is not null").select("id", F.xxhash64("text").alias("h"), F.coalesce(F.octet_length("text"), F.lit(0)).cast("bigint").alias("size"))
+    several = materialize(texts.groupBy("id").agg(F.count("*").alias("n"), F.min("h").alias("lo"), F.max("h").alias("hi")).where("n > 1 and lo <> hi").select("id"), "several")
+    if several.isEmpty():
+        return source.withColumn("base", F.lit(0).cast("bigint"))
+    distinct = texts.join(hint_if_small(several), "id", "left_semi").groupBy("id", "h").agg(F.max("size").alias("size"))
+    summed = ordered(distinct, ["id"], "h", running_sums={"upto": "size"})
+    bases = materialize(summed.select(F.col("id").alias("of"), "h", (F.col("upto") - F.col("size")).alias("base")), "bases")
+    joined = source.join(hint_if_small(bases), (F.col("id") == F.col("of")) & (F.xxhash64("text") == F.col("h")), "left")
+    return joined.select("id", "text", F.coalesce("base", F.lit(0).cast("bigint")).alias("base"))
+
+
 def remove_repeated_strings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, anchor: int = ANCHOR) -> DataFrame:
     """Remove every byte that a string of ``length`` bytes covers which also begins in a smaller id.
 
@@ -333,16 +354,18 @@ def remove_repeated_strings(docs: DataFrame, id_col: str = "doc_id", text_col: s
     4. Removed windows go back to their documents and become intervals.
 
     No suffix is sorted across shards.  Null or empty text: no bytes.  Rows that repeat an id are one
-    document: what only they share stays.  Null id: neither removes nor loses anything.  Other columns are ignored.
+    document: what only they share stays, and each loses what it shares with smaller ids itself.  Null id: neither removes nor loses anything.
+    Other columns are ignored; an empty table gives no rows; texts of any length are read whole, about a megabyte of them at a time or one longer text.
     """
     spark = docs.sparkSession
-    source = renamed(docs, id_col, text_col, to=("id", "text")).withColumn("id", F.col("id").cast("bigint"))
+    source = with_bases(renamed(docs, id_col, text_col, to=("id", "text")).withColumn("id", F.col("id").cast("bigint")))
     size = total_bytes(docs, text_col)
-    shared = repeated_keys(source, anchor_keys(length, anchor), bucket_count(spark, size * 16 // (length - anchor + 2)), owners_too=True)
-    placed = source.join(shared, "id", "left").select("id", "text", "keys")
-    buckets = bucket_count(spark, size)
+    shared = repeated_keys(source.select("id", "text"), anchor_keys(length, anchor), bucket_count(spark, size * 16 // (length - anchor + 2)), owners_too=True)
+    placed = source.join(shared, "id", "left").select("id", "text", "keys", "base")
+    # A run of windows is shipped with length - 1 bytes more than it has windows, about half as many as an anchor can cover.
+    buckets = bucket_count(spark, size * (1 + 2 * (length - 1) // (length - anchor + 1)))
     # No filter here: the texts are dealt once, for this join and for the last one.
     strings = placed.mapInArrow(ship(length, anchor, buckets, FLUSH_BYTES), PACKED)
     found = strings.groupBy("bucket").applyInArrow(merged(length, buckets, MERGE_SYMBOLS), ROUTED).groupBy("bucket").applyInArrow(by_document, "id bigint, keys binary")
-    out = source.join(found, "id", "left").select("id", "text", "keys").mapInArrow(cut(length), "id bigint, n_bytes bigint, n_removed bigint, removed array<struct<start:bigint,end:bigint>>, kept binary")
+    out = source.join(found, "id", "left").select("id", "text", "keys", "base").mapInArrow(cut(length), "id bigint, n_bytes bigint, n_removed bigint, removed array<struct<start:bigint,end:bigint>>, kept binary")
     return out.withColumnRenamed("id", id_col)
