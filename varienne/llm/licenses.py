@@ -49,6 +49,10 @@ TEMPLATES = {
 }
 #: Words of which every template holds one; blocks lie around them.
 CUES = r"(?i)licen[sc]|copyright|permission|redistribut|warrant|public domain|all rights"
+#: Bytes by which sizes differ without telling anything: one literal or a code that is a bit longer.
+GRAIN = 4
+#: Bytes that zstandard takes as a dictionary at least.
+LEAST_DICTIONARY = 8
 #: Wording differences per word.
 MOST_DIFFERENCES = 0.2
 
@@ -127,46 +131,79 @@ def stretches(inside: np.ndarray, size: int, most: float) -> list[tuple[int, int
 
 
 class Scanner:
-    """Templates as raw zstandard dictionaries, with what each saves on itself, and their words."""
+    """Templates as text, as words and as raw zstandard dictionaries."""
 
     def __init__(self, templates: dict[str, str], level: int = 6):
         import zstandard as z
 
         # One set of parameters: those that a level implies depend on the sizes of input and dictionary.
-        same = z.ZstdCompressionParameters.from_level(level, source_size=1 << 17)
-        lower = [t.lower().encode() for t in templates.values()]
-        self.plain = z.ZstdCompressor(compression_params=same)
+        self.parameters = z.ZstdCompressionParameters.from_level(level, source_size=1 << 17)
+        self.plain = z.ZstdCompressor(compression_params=self.parameters)
         self.names = list(templates)
+        self.texts = [t.lower().encode() for t in templates.values()]
         self.words = [[w.lower() for w in _WORD.findall(t)] for t in templates.values()]
-        self.with_template = [z.ZstdCompressor(compression_params=same, dict_data=z.ZstdCompressionDict(t, dict_type=z.DICT_TYPE_RAWCONTENT)) for t in lower]
-        self.own = [max(1, len(self.plain.compress(t)) - len(c.compress(t))) for t, c in zip(lower, self.with_template)]
+        self.with_template = [self.given(t) for t in self.texts]
         self.numbers = {w: k for k, w in enumerate(sorted({w for t in self.words for w in t}))}
         self.holds = np.zeros((len(self.words), len(self.numbers) + 1), bool)
         for i, t in enumerate(self.words):
             self.holds[i, [self.numbers[w] for w in t]] = True
 
+    def given(self, content: bytes):
+        """A compressor with some bytes as raw dictionary."""
+        import zstandard as z
+
+        return z.ZstdCompressor(compression_params=self.parameters, dict_data=z.ZstdCompressionDict(content, dict_type=z.DICT_TYPE_RAWCONTENT))
+
+    def ranked(self, text: str, spans: list[tuple], most: float) -> list[tuple]:
+        """Candidate stretches of every template, best first: (score, template, first word, end word, gain, plain size).
+
+        A stretch is compressed plainly and with the template as dictionary, and the template with the stretch as dictionary.  What the template saves,
+        less what it has beyond the stretch, orders the candidates: a template that the stretch holds whole comes before its parts and
+        before others of which something is missing.
+        """
+        numbers = np.array([self.numbers.get(s[2], -1) for s in spans], np.int64)
+        out = []
+        for i, wanted in enumerate(self.words):
+            for first, last in stretches(self.holds[i][numbers], len(wanted), most):
+                part = text[spans[first][0]:spans[last - 1][1]].lower().encode()
+                plain = len(self.plain.compress(part))
+                gain = plain - len(self.with_template[i].compress(part))
+                beyond = len(self.given(part).compress(self.texts[i])) if len(part) >= LEAST_DICTIONARY else len(self.texts[i])
+                out.append((beyond - gain, -len(wanted), i, first, last, gain, plain))
+        return [(x[0], *x[2:]) for x in sorted(out)]
+
+    def confirmed(self, spans: list[tuple], taken: np.ndarray, candidate: tuple, most: float) -> tuple | None:
+        """The closest passage of a candidate among words that are not taken: (differences per word, -words, differences, first, end)."""
+        _, i, first, last, *_ = candidate
+        wanted, best = self.words[i], None
+        edges = np.flatnonzero(np.diff(np.concatenate([[True], taken[first:last], [True]]).astype(np.int8)))
+        for x, y in zip((first + edges[::2]).tolist(), (first + edges[1::2]).tolist()):
+            if y - x >= (1 - most) * len(wanted):
+                n, a, b = align(wanted, [s[2] for s in spans[x:y]])
+                if n <= most * len(wanted) and b > a and (best is None or n < best[2]):
+                    best = (n / len(wanted), -len(wanted), n, x + a, x + b)
+        return best
+
     def scan(self, text: str, reach: int, most: float) -> list[tuple]:
+        """Notices of a text.
+
+        The best ranked candidate and those at the same place whose scores differ from it by no more than the grain of the compressor are the winners; the one with the
+        closest wording is confirmed and takes its words.  Winners without a passage close enough leave the ranking.
+        """
         out = []
         for lo, hi in blocks(text, reach):
             spans = [(m.start() + lo, m.end() + lo, m[0].lower()) for m in _WORD.finditer(text[lo:hi])]
-            numbers = np.array([self.numbers.get(s[2], -1) for s in spans], np.int64)
-            found = []
-            for i, wanted in enumerate(self.words):
-                for first, last in stretches(self.holds[i][numbers], len(wanted), most):
-                    words, gain, plain = [s[2] for s in spans[first:last]], None, 0
-                    while True:
-                        n, a, b = align(wanted, words)
-                        if n > most * len(wanted) or b <= a:
-                            break
-                        if gain is None:
-                            part = text[spans[first][0]:spans[last - 1][1]].lower().encode()
-                            plain = len(self.plain.compress(part))
-                            gain = plain - len(self.with_template[i].compress(part))
-                        found.append((n / len(wanted), -len(wanted), -gain / self.own[i], i, first + a, first + b, gain, plain, n))
-                        words[a:b] = [""] * (b - a)
             taken = np.zeros(len(spans), bool)
-            for _, _, _, i, a, b, gain, plain, n in sorted(found):
-                if not taken[a:b].any():
+            pending = self.ranked(text, spans, most)
+            while pending:
+                score, _, first, last, gain, _ = pending[0]
+                limit = score + GRAIN + max(gain, 0) // 16
+                winners = [c for c in pending if c[0] <= limit and c[2] < last and c[3] > first]
+                passages = [(p, c) for c in winners if (p := self.confirmed(spans, taken, c, most))]
+                lost = {c for c in winners} - {c for _, c in passages}
+                pending = [c for c in pending if c not in lost]
+                if passages:
+                    (_, _, n, a, b), (_, i, _, _, gain, plain) = min(passages)
                     taken[a:b] = True
                     out.append((self.names[i], spans[a][0], spans[b - 1][1], gain, plain, n, len(self.words[i]), *differences(self.words[i], [s[2] for s in spans[a:b]])))
         return sorted(out, key=lambda x: (x[1], x[0]))
@@ -179,15 +216,17 @@ def find_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     Returns id_col, template, start and end (code points), gain and plain_size (bytes), differences (words
     inserted, deleted or replaced), template_words, missing and added.
 
-    Blocks lie around cue words.  Stretches of a block that have enough of a template's words are aligned
-    with it word by word, and every passage with at most ``most_differences`` of its words differing is a candidate.
-    Stretches with candidates are compressed plainly and with the template as raw zstandard dictionary, in lower case and
-    with equal parameters: plain_size, and gain, the bytes that the template saves.  No gain is asked for; it ranks.  Where
-    notices overlap the closest wording wins, then the longer template, then the larger share of its own gain.  A notice is found as often as it
+    Blocks lie around cue words.  Stretches of a block that have enough of a template's words are candidates; one that has fewer cannot hold a passage
+    with at most ``most_differences`` of the template's words differing.  Every candidate is compressed plainly and with the template
+    as raw zstandard dictionary, in lower case and with equal parameters: plain_size, and gain, the bytes that the template saves.  Candidates are ranked by
+    gain less the size of the template when it is compressed with the candidate as dictionary.  In this order winners are aligned word by word, and a passage close enough
+    is confirmed with its exact differences; of overlapping notices the one that compresses best wins, of those equal up to the grain of the compressor the
+    closest wording.  No gain is asked for, so nothing
+    that alignment of all templates would find is lost but to a better ranked notice at the same place.  A notice is found as often as it
     occurs.  Every template must hold a cue; a block with a cue is searched whole, however long.
 
     One pass without a shuffle.  Null or empty texts give no rows; null ids and repeated rows are reported
-    for themselves.  Other columns are ignored.
+    for themselves.  Ties go to the longer template, then to the better ranked one.  An empty table gives no rows.  Other columns are ignored.
     """
     templates = TEMPLATES if templates is None else templates
     for name, t in templates.items():
