@@ -6,13 +6,14 @@ Building, subtracting, folding and peeling are expressions on such arrays, so a
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from varienne.llm.store import materialize, renamed
+from varienne.llm.store import materialize, renamed, total_bytes
 
 #: A paragraph is a line; longer lines are cut after this many code points, in short texts after fewer.
 PARAGRAPH = 256
@@ -65,7 +66,7 @@ def added_up(parts: Column) -> Column:
             F.struct(F.get(s, start)["cell"].alias("cell"), F.lit(0).cast("bigint").alias("n"), F.lit(0).cast("bigint").alias("k"), F.lit(0).cast("bigint").alias("c")),
             lambda acc, e: F.struct(acc["cell"].alias("cell"), (acc["n"] + e["n"]).alias("n"), acc["k"].bitwiseXOR(e["k"]).alias("k"), acc["c"].bitwiseXOR(e["c"]).alias("c")))))
 
-    whole = F.when(F.size(parts) > 0, let(F.array_sort(parts), runs)).otherwise(F.array().cast(CELLS))
+    whole = let(F.array_sort(parts), lambda s: F.when(F.size(s) > 0, runs(s)).otherwise(F.array().cast(CELLS)))
     return F.filter(whole, lambda e: (e["n"] != 0) | (e["k"] != 0) | (e["c"] != 0))
 
 
@@ -95,12 +96,13 @@ def peeled(difference: Column, size: Column, rounds: int = ROUNDS) -> Column:
         pure = F.filter(state["left"], lambda e: (F.abs(e["n"]) == 1) & (e["c"] == check(e["k"])))
         found = F.array_distinct(F.transform(pure, lambda e: F.struct(e["k"], e["n"])))
         side = lambda got, n: F.transform(F.filter(got, lambda e: e["n"] == n), lambda e: e["k"])
-        after = let(found, lambda got: F.struct(
-            F.when(F.size(got) > 0, added_up(F.concat(state["left"], F.flatten(F.transform(got, lambda e: entries(e["k"], -e["n"], size)))))).otherwise(state["left"]).alias("left"),
-            F.concat(state["plus"], side(got, 1)).alias("plus"), F.concat(state["minus"], side(got, -1)).alias("minus")))
-        return F.when(F.size(state["left"]) > 0, after).otherwise(state)
+        after = let(found, lambda got: F.when(F.size(got) > 0, F.struct(
+            added_up(F.concat(state["left"], F.flatten(F.transform(got, lambda e: entries(e["k"], -e["n"], size))))).alias("left"),
+            F.concat(state["plus"], side(got, 1)).alias("plus"), F.concat(state["minus"], side(got, -1)).alias("minus"), F.lit(True).alias("going")))
+            .otherwise(F.struct(state["left"].alias("left"), state["plus"].alias("plus"), state["minus"].alias("minus"), F.lit(False).alias("going"))))
+        return F.when(state["going"] & (F.size(state["left"]) > 0), after).otherwise(state)
 
-    return F.aggregate(F.sequence(F.lit(1), F.lit(rounds)), F.struct(difference.alias("left"), none.alias("plus"), none.alias("minus")), step)
+    return F.aggregate(F.sequence(F.lit(1), F.lit(rounds)), F.struct(difference.alias("left"), none.alias("plus"), none.alias("minus"), F.lit(True).alias("going")), step)
 
 
 def difference(a: Column, b: Column, a_table: Column, b_table: Column, rounds: int = ROUNDS) -> Column:
@@ -110,20 +112,21 @@ def difference(a: Column, b: Column, a_table: Column, b_table: Column, rounds: i
     a larger one is built from the digests.  After ``TRIES`` sizes, with a probability that no corpus meets, the digests are compared as they are.
     """
     own, other = part_size(F.size(a)), part_size(F.size(b))
-    least = part_size(F.abs(F.size(a) - F.size(b)) / 2)
+    # Room for half of what two texts without a common paragraph differ in.
+    least = part_size((F.size(a) + F.size(b)) / 4)
     both = lambda x, y: added_up(F.concat(x, negative(y)))
 
-    def attempt(state: Column, t: Column) -> Column:
+    def attempt(tables: Column, state: Column, t: Column) -> Column:
         def at(size: Column) -> Column:
             fits = size <= F.least(own, other)
-            cells = F.when(fits, both(folded(a_table, own, size), folded(b_table, other, size))).otherwise(both(table(a, size), table(b, size)))
+            cells = F.when(fits, both(folded(tables["a"], own, size), folded(tables["b"], other, size))).otherwise(both(table(a, size), table(b, size)))
             return let(peeled(cells, size, rounds), lambda p: F.struct((F.size(p["left"]) == 0).alias("done"), p["plus"].alias("plus"), p["minus"].alias("minus")))
 
         return F.when(state["done"], state).otherwise(let(least * F.pow(F.lit(2.0), t).cast("bigint"), at))
 
     none = F.array().cast("array<bigint>")
     start = F.struct(F.lit(False).alias("done"), none.alias("plus"), none.alias("minus"))
-    tried = F.aggregate(F.sequence(F.lit(0), F.lit(TRIES - 1)), start, attempt)
+    tried = let(F.struct(a_table.alias("a"), b_table.alias("b")), lambda tables: F.aggregate(F.sequence(F.lit(0), F.lit(TRIES - 1)), start, lambda state, t: attempt(tables, state, t)))
     return let(tried, lambda d: F.when(d["done"], d).otherwise(F.struct(F.lit(False).alias("done"), F.array_except(a, b).alias("plus"), F.array_except(b, a).alias("minus"))))
 
 
@@ -132,21 +135,39 @@ def fingerprint(cells: Column, size: Column) -> Column:
     return F.concat_ws(":", F.hex(size), F.concat_ws(",", F.transform(cells, lambda e: F.concat_ws(".", F.hex(e["cell"]), F.hex(e["n"]), F.hex(e["k"]), F.hex(e["c"])))))
 
 
-def in_order(docs: DataFrame, order: list[str]) -> DataFrame:
-    """Rows with the next row's order columns (n_ prefix), the first row following the last.
+def range_of(bounds: Column, key: Column, ranges: int) -> Column:
+    """Number, from 1, of the range that a key lies in: how many of the sorted first keys are not above it, by bisection."""
 
-    Rows are dealt by ranges of the order; only the first row of every range is looked at across ranges.
+    def halve(state: Column, _: Column) -> Column:
+        middle = F.floor((state["lo"] + state["hi"]) / 2).cast("int")
+        above = F.get(bounds, middle) > key
+        return F.when(state["lo"] < state["hi"], F.struct(F.when(above, state["lo"]).otherwise(middle + 1).alias("lo"), F.when(above, middle).otherwise(state["hi"]).alias("hi"))).otherwise(state)
+
+    start = F.struct(F.lit(0).alias("lo"), F.size(bounds).alias("hi"))
+    return F.aggregate(F.sequence(F.lit(0), F.lit(ranges.bit_length())), start, halve)["lo"]
+
+
+def with_next(docs: DataFrame, order: list[str], text: str, ranges: int) -> DataFrame:
+    """Distinct rows (order, text) with copies and the next row's text in ``following``, the first row following the last.
+
+    Boundaries of ranges are drawn from the order columns alone; texts are dealt to ranges in one shuffle.  The first row of every range is
+    sent to the range before too, as a guest, so that each row finds its successor where it is.
     """
-    dealt = materialize(docs.repartitionByRange(*order).withColumn("range", F.spark_partition_id()), "ranges")
-    inner = Window.partitionBy("range").orderBy(*order)
-    here = F.struct(*order)
-    heads = dealt.groupBy("range").agg(F.min(here).alias("head"))
-    # One row per range: as many as shuffle partitions.
-    whole = Window.partitionBy(F.lit(0)).orderBy("range")
-    heads = heads.select("range", F.coalesce(F.lead("head").over(whole), F.first("head").over(whole)).alias("after"))
-    out = dealt.withColumn("following", F.lead(here).over(inner)).join(F.broadcast(heads), "range")
-    following = F.coalesce("following", "after")
-    return out.select(*docs.columns, *[following[c].alias(f"n_{c}") for c in order])
+    keys = materialize(docs.select(*order).distinct().repartitionByRange(ranges, *order).withColumn("range", F.spark_partition_id()), "ranges")
+    # One key per range, in order, as a constant of the plan.
+    heads = sorted((r.head.asDict() for r in keys.groupBy("range").agg(F.min(F.struct(*order)).alias("head")).collect()), key=lambda h: [(h[c] is not None, h[c]) for c in order])
+    kinds = {f.name: f.dataType.simpleString() for f in docs.select(*order).schema}
+    bounds = F.from_json(F.lit(json.dumps(heads)), "array<struct<" + ",".join(f"`{c}`:{kinds[c]}" for c in order) + ">>")
+    here, count = F.struct(*order), F.lit(len(heads))
+    dealt = docs.withColumn("at", range_of(bounds, here, ranges))
+    places = F.array(F.struct(F.col("at").alias("range"), F.lit(False).alias("guest")))
+    before = F.when(F.col("at") == 1, count).otherwise(F.col("at") - 1)
+    guest = F.array(F.struct(before.alias("range"), F.lit(True).alias("guest")))
+    places = F.when(F.get(bounds, F.col("at") - 1).eqNullSafe(here), F.concat(places, guest)).otherwise(places)
+    placed = dealt.select(*order, text, F.inline(places)).repartition(ranges, "range")
+    rows = placed.groupBy("range", "guest", *order).agg(F.count("*").alias("copies"), F.first(text).alias(text))
+    following = F.lead(text).over(Window.partitionBy("range").orderBy("guest", *order))
+    return rows.withColumn("following", following).where("not guest").select(*order, "copies", text, "following")
 
 
 def likeness(a: Column, b: Column, apart: Column) -> Column:
@@ -156,6 +177,8 @@ def likeness(a: Column, b: Column, apart: Column) -> Column:
 
 
 KEY = ["r1", "r2"]
+#: Bytes of texts in a range of the order.
+RANGE_BYTES = 32 << 20
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rounds: int = ROUNDS) -> DataFrame:
@@ -171,28 +194,21 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     What does not peel is tried at twice the size, at last with larger tables.  Texts with the same paragraphs have equal fingerprints.  Paragraphs are
     lines, cut after 256 code points, or 32 in texts below 1024, so that short texts of one line have several.
 
-    Texts move twice, once to meet their successor's id and once, in part, to their predecessor.  After that
-    nothing moves: tables are built, subtracted and peeled inside the row, in time n log n of its paragraphs.  Order is found by ranges, never in one partition.  Null ids come first; null or empty
+    Texts move once, to their place in the order of ids; order is found by ranges, never in one partition.  After that
+    nothing moves: tables are built, subtracted and peeled inside the row, in time n log n of its paragraphs.  Null ids come first; null or empty
     texts have no paragraphs, and two such are alike (1).  Rows of one id follow each other by hash of their text;
     repeated rows are one document and give equal results.  Other columns are ignored.
     """
     source = renamed(docs, id_col, text_col, to=("id", "text")).select("id", F.coalesce("text", F.lit("")).alias("text"))
     source = source.select("id", F.xxhash64("id", "text").alias("r1"), F.xxhash64("text", "id", F.lit(1)).alias("r2"), "text")
-    order = ["id", *KEY]
-    counted = source.groupBy(*order).agg(F.count("*").alias("copies"), F.first(F.length("text")).cast("bigint").alias("n_chars"))
-    linked = materialize(in_order(counted, order), "order")
-    before = linked.select(F.col("n_r1").alias("r1"), F.col("n_r2").alias("r2"), F.col("r1").alias("p1"), F.col("r2").alias("p2"), F.floor(F.col("n_chars") / 2).alias("p_half"))
-    placed = linked.select(*KEY, "copies", "n_chars", "n_id").join(before, KEY)
-    texts = source.join(placed, KEY).dropDuplicates(KEY)
-    # Both sides carry the id, so that one shuffle of the texts serves both.
-    own = texts.select(*KEY, "id", "copies", "n_chars", "n_id", "text")
-    heads = texts.select(F.col("p1").alias("r1"), F.col("p2").alias("r2"), F.col("id").alias("next_id"), F.expr("left(text, cast(p_half as int))").alias("head"), paragraphs(F.col("text")).alias("next"))
-    both = own.join(heads, KEY).where(F.col("n_id").eqNullSafe(F.col("next_id")))
-    edited = F.concat(F.expr("left(text, cast(n_chars - floor(n_chars / 2) as int))"), F.col("head"))
-    sketch = both.withColumn("changed", edited).select("id", "copies", "n_chars", F.sha2("changed", 256).alias("edited_sha256"), paragraphs(F.col("text")).alias("own"), paragraphs(F.col("changed")).alias("edited"), "next")
-    sketch = materialize(sketch, "sketches")
+    ranges = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), total_bytes(docs, text_col) // RANGE_BYTES + 1)
+    rows = with_next(source, ["id", *KEY], "text", ranges)
+    rows = rows.withColumn("n_chars", F.length("text").cast("bigint"))
+    edited = F.concat(F.expr("left(text, cast(n_chars - floor(n_chars / 2) as int))"), F.expr("left(following, cast(floor(n_chars / 2) as int))"))
+    rows = rows.withColumn("changed", edited).select("id", "copies", "n_chars", F.sha2("changed", 256).alias("edited_sha256"), paragraphs(F.col("text")).alias("own"),
+                                                     paragraphs(F.col("changed")).alias("edited"), paragraphs(F.col("following")).alias("next"))
     # From here on every row stays where it is.
-    tables = sketch.withColumns({f"{v}_cells": table(F.col(v), part_size(F.size(v))) for v in ("own", "edited", "next")})
+    tables = rows.withColumns({f"{v}_cells": table(F.col(v), part_size(F.size(v))) for v in ("own", "edited", "next")})
     apart = tables.withColumns({f"to_{v}": difference(F.col("own"), F.col(v), F.col("own_cells"), F.col(f"{v}_cells"), rounds) for v in ("edited", "next")})
     near = lambda v: likeness(F.size("own"), F.size(v), F.size(f"to_{v}.plus") + F.size(f"to_{v}.minus"))
     out = apart.select(
