@@ -117,8 +117,8 @@ def linked_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     the scope of any complementary part meets any of it.  It is a semi join, so no pairs are made; a long part
     is asked about in each of its stretches and kept once.
 
-    Null or empty text: no spans.  Null ids and repeated rows: judged by their own text.  Other columns
-    are ignored.
+    Null or empty text: no spans.  Null ids and repeated rows: judged by their own text.  An empty table gives no rows.  Texts of any
+    length are searched whole.  Other columns are ignored.
     """
     source = renamed(docs, id_col, text_col, to=("id", "text")).select(F.col("id").cast("bigint").alias("id"), "text", text_key(F.col("text")).alias("row"))
     found = materialize(source.mapInArrow(scan, FOUND), "parts")

@@ -144,7 +144,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     Items are looked for in passes of about ``items_per_pass``, whose shingle hashes travel with the
     tasks.  Documents are never shuffled, only windows that already hold ``percent`` of one size's shingles.
     Null or empty texts and items match nothing.  Null ids are ignored.  Rows that repeat an id count as
-    one document, the same for items.  Other columns are ignored.
+    one document, the same for items.  An empty table on either side gives no rows.  Of equally good places the first counts.  Texts
+    of any length are read whole, about a megabyte of them at a time or one longer text.  Other columns are ignored.
     """
     source = renamed(docs, id_col, text_col, to=("id", "text")).withColumn("id", F.col("id").cast("bigint")).where("id is not null")
     asked = renamed(benchmark, item_col, item_text, to=("id", "text")).withColumn("id", F.col("id").cast("bigint")).where("id is not null")

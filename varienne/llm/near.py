@@ -190,7 +190,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     With 24 bands of 4 rows a pair at similarity 0.8 misses every bucket with probability 3e-6.
     Null or empty text: no shingles, linked with nothing.  Null id: linked with nothing, component null,
-    kept.  Rows that repeat an id are one node, linked through any of their texts.  Other columns are ignored.
+    kept.  Rows that repeat an id are one node, linked through any of their texts.  An empty table gives no rows.  Texts of any length
+    are compared whole.  Other columns are ignored.
     """
     spark = docs.sparkSession
     source = renamed(docs, id_col, text_col, to=("id", "text"))

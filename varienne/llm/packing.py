@@ -206,7 +206,7 @@ def pack_sequences(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text
     task's number times 2**40 plus a counter; a task that runs again makes the same ids.
 
     Null or empty texts hold the end id alone.  Null ids are packed like others; rows that repeat an id
-    are examples of their own.  An empty table gives no pieces.  Other columns are ignored.
+    are examples of their own.  An empty table gives no pieces.  Texts of any length are cut into as many pieces as they need.  Other columns are ignored.
     """
     prompt = F.col(f"`{prompt_col}`") if prompt_col else F.lit(None).cast("string")
     source = renamed(docs.withColumn(" prompt", prompt), id_col, text_col, " prompt", to=("id", "text", "prompt")).withColumn("id", F.col("id").cast("bigint"))

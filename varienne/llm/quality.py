@@ -257,7 +257,8 @@ def fit_quality(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", tex
     features that brings a moment matrix to the driver.  The class prior is estimated unless given.
 
     Without positives or documents the model gives 0.5 everywhere.  Null and empty texts have the
-    features of a text without words.  Rows that repeat an id are samples of their own.
+    features of a text without words.  Rows that repeat an id are samples of their own; equal texts have equal scores, and a
+    score of exactly one half counts as good.  Texts of any length are read whole, about a megabyte of them at a time or one longer text.
     """
     features = _features(docs, trusted, id_col, text_col, F.lit(True) if unlabelled is None else unlabelled, max_labelled)
     return _fit(features, ridge, steps, prior), features

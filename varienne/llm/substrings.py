@@ -104,7 +104,8 @@ def remove_repeated_windows(docs: DataFrame, id_col: str = "doc_id", text_col: s
 
     Words are runs of characters other than ASCII white space, unchanged.  Null or empty text: no words,
     empty kept_text.  Rows that repeat an id are one document: what only they share stays.  Null id:
-    neither removes nor loses anything.  Other columns are ignored.
+    neither removes nor loses anything.  An empty table gives no rows.  Texts of any length are read whole, about a megabyte of them
+    at a time or one longer text.  Other columns are ignored.
     """
     source = renamed(docs, id_col, text_col, to=("id", "text")).withColumn("id", F.col("id").cast("bigint"))
     buckets = bucket_count(docs.sparkSession, total_bytes(docs, text_col) * 8 // 6)

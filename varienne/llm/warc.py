@@ -50,6 +50,8 @@ def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", url_col
     tie), the others revisits that refer to it; null ids come before all others.  Null payloads are empty.
     Line breaks in URLs are percent-encoded; a page without URL has no target header.  The files are
     written by Spark's text writer with blank lines as separator, so a lost task leaves no broken file.
+    An empty table gives archives without records; rows that repeat an id are captures of their own.  Payloads of any length are written whole; a
+    file is bounded by its number of captures, not by bytes, and a file that is read must fit a row.
     """
     row = F.monotonically_increasing_id()
     source = renamed(pages, id_col, url_col, payload_col, to=("id", "url", "payload")).select(
