@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 from pyspark.sql import functions as F
 
@@ -191,17 +193,30 @@ def _encode_variants(t):
     return design.encode_variants(parts, ["p_size", "price"], {"p_size": "process.size", "price": "mass.price"}, "p_partkey", {"price": 3})
 
 
+def _draw_sql(tag: str, i: int) -> str:
+    """The uniform draw of one array element."""
+    return f"CAST('0x' || substr(md5('1:{tag}:{i}:' || CAST(o_orderkey AS VARCHAR)), 1, 13) AS BIGINT) / 4503599627370496.0::DOUBLE"
+
+
+#: Cumulative probabilities of a Poisson count of mean 5, as far as the draws of this size can reach.
+POISSON_SQL = "[" + ", ".join(f"{math.fsum(math.exp(-5.0) * 5.0**j / math.factorial(j) for j in range(k + 1))!r}::DOUBLE" for k in range(30)) + "]"
+
+
 @query("synthetic_history", f"""
 SELECT o_orderkey, {sr('power(2, t)', 8)} AS growth_curve, {sr("CASE WHEN t <= 0.3 THEN 0.03 WHEN t >= 0.7 THEN 0.06 ELSE 0.03 + 0.03 * (t - 0.3) / 0.4 END", 9)} AS dna_mass,
-  {sr('0.01 * (1 + 0.2 * sin(2 * pi() * t))', 9)} AS growth FROM (SELECT o_orderkey, (o_orderkey % 20) / 20.0::DOUBLE AS t FROM orders)""")
+  {sr('0.01 * (1 + 0.2 * sin(2 * pi() * t))', 9)} AS growth,
+  [{', '.join(f"CAST(len(list_filter({POISSON_SQL}, lambda c: c <= {_draw_sql('count', i)})) AS DOUBLE)" for i in range(3))}] AS counts,
+  [{', '.join(sr(f"-ln(1 - {_draw_sql('flux', i)})", 9) for i in range(2))}] AS fluxes FROM (SELECT o_orderkey, (o_orderkey % 20) / 20.0::DOUBLE AS t FROM orders)""")
 def _synthetic_history(t):
     index = t.orders.select(
         "o_orderkey", F.col("o_orderkey").cast("string").alias("row_key"), (F.col("o_orderkey") % 20).alias("step"), F.lit(20).alias("n_steps"))
-    out = synthetic.synthesize(index, seed=1)
+    out = synthetic.synthesize(index, seed=1, n_counts=3, n_fluxes=2)
     noise = 1.0 + 0.05 * rng.normal(1, F.col("o_orderkey").cast("string"))
+    numbers = lambda c: F.from_json(c, "array<double>")
     return out.select(
         "o_orderkey", rnd(F.col("listeners__mass__dry_mass") / noise, 8).alias("growth_curve"),
-        rnd("listeners__mass__dna_mass", 9).alias("dna_mass"), rnd("listeners__fba_results__growth", 9).alias("growth"))
+        rnd("listeners__mass__dna_mass", 9).alias("dna_mass"), rnd("listeners__fba_results__growth", 9).alias("growth"),
+        numbers("listeners__rna_counts__mRNA_cistron_counts").alias("counts"), F.transform(numbers("listeners__fba_results__base_reaction_fluxes"), lambda v: rnd(v, 9) + 0.0).alias("fluxes"))
 
 
 KEPT = {n: BOUNDS[n] for n in ("l_tax", "l_quantity")}

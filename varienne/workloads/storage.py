@@ -13,12 +13,12 @@ from varienne.sinks import designs
 from varienne.sinks import tables as sinks
 from varienne.sources import params, runs, summaries
 from varienne.streaming import jobs
-from varienne.workloads.fit_sql import fit_sql, sobol_sql
+from varienne.workloads.fit_sql import fit_sql, share_sql, sobol_sql
 from varienne.workloads.registry import query, rnd, rounded, sr
 from varienne.workloads.sensitivity import (
-    BASIS2, FIT2_SQL, FLAG, GERM, SOBOL2_SQL, STRATEGY_SOBOL_SQL, coef_rows, coef_sql, fitted, indices, strategy_result,
+    BASIS2, FIT2_SQL, FLAG, GERM, SOBOL2_SQL, STRATEGY_FIT_SQL, SAMPLE_BASIS, SAMPLE_BOUNDS, coef_rows, coef_sql, fitted, indices, strategy_result,
 )
-from varienne.workloads.tables import DESIGN_SQL, HISTORY_SQL, LINEITEM_BOUNDS
+from varienne.workloads.tables import DESIGN_SQL, GROWTH_SQL, HISTORY_SQL, LINEITEM_BOUNDS
 
 H = f"WITH h AS ({HISTORY_SQL}) "
 
@@ -268,14 +268,18 @@ def _read_results(t):
 
 
 @query("summary_document", f"""
-SELECT strategy, CAST(count(DISTINCT group_value) AS BIGINT) AS n_groups, CAST(count(DISTINCT group_value || '/' || param) AS BIGINT) AS n_entries FROM ({STRATEGY_SOBOL_SQL}) GROUP BY 1""")
+WITH g AS ({GROWTH_SQL}), f AS ({STRATEGY_FIT_SQL}), w AS (SELECT *, vy / sum(vy) OVER (PARTITION BY strategy, group_value) AS w FROM f)
+""" + " UNION ALL ".join(
+    f"SELECT strategy, CAST(group_value AS BIGINT) AS group_value, '{name}' AS param, {sr(f'sum(w * ({share_sql(SAMPLE_BASIS, lambda a: a[i])}))', 5)} AS first_order, {sr(f'sum(w * ({share_sql(SAMPLE_BASIS, lambda a: a[i])}))', 5)} AS total_order FROM w GROUP BY 1, 2"
+    for i, name in enumerate(SAMPLE_BOUNDS)))
 def _summary_document(t):
-    doc = quantify.summary_document(strategy_result(t))
+    """The nested summary, written as JSON, read back and unrolled."""
+    doc = quantify.summary_document(strategy_result(t), digits=12)
     path = scratch_path(t.spark, "summary-json")
     doc.write.json(path)
     back = t.spark.read.schema(doc.schema).json(path)
-    entries = F.aggregate("groups", F.lit(0), lambda a, g: a + F.size(g["indices"]))
-    return back.select("strategy", F.size("groups").cast("bigint").alias("n_groups"), entries.cast("bigint").alias("n_entries"))
+    groups = back.select("strategy", F.inline("groups")).select("strategy", "group_value", F.inline("indices"))
+    return rounded(groups.select("strategy", F.col("group_value").cast("bigint").alias("group_value"), "param", "first_order", "total_order"), 5)
 
 
 MANIFEST = {"events": ["event_id", "user_id", "event_type", "props"], "nation": ["n_nationkey", "n_name"], "documents": ["doc_id", "text", "lang", "source"]}
