@@ -21,6 +21,8 @@ ANCHOR = 26
 RUN = 4096
 #: Bytes of strings that a task gathers before it removes copies and ships them.
 FLUSH_BYTES = 4 << 20
+#: Anchors that a task gathers before it ships them.
+FLUSH_KEYS = 1_000_000
 #: Symbols that are merged at once.
 MERGE_SYMBOLS = 1 << 20
 
@@ -360,7 +362,8 @@ def remove_repeated_strings(docs: DataFrame, id_col: str = "doc_id", text_col: s
     spark = docs.sparkSession
     source = with_bases(renamed(docs, id_col, text_col, to=("id", "text")).withColumn("id", F.col("id").cast("bigint")))
     size = total_bytes(docs, text_col)
-    shared = repeated_keys(source.select("id", "text"), anchor_keys(length, anchor), bucket_count(spark, size * 16 // (length - anchor + 2)), owners_too=True)
+    # Smaller buckets and flushes than elsewhere: the holders of an anchor come back too, so a bucket takes about four times its keys.
+    shared = repeated_keys(source.select("id", "text"), anchor_keys(length, anchor), bucket_count(spark, 4 * size * 16 // (length - anchor + 2)), owners_too=True, flush=FLUSH_KEYS)
     placed = source.join(shared, "id", "left").select("id", "text", "keys", "base")
     # A run of windows is shipped with length - 1 bytes more than it has windows, about half as many as an anchor can cover.
     buckets = bucket_count(spark, size * (1 + 2 * (length - 1) // (length - anchor + 1)))
