@@ -30,7 +30,8 @@ class OutputSums:
     """Sufficient statistics of a long output table.
 
     ``outputs``: groups, output_id, _set (which samples have a value) and folds, an array of (fold, n, rhs, syy, mean) with sums about the
-    mean of the fold.  ``grams``: groups, _set, _fold, samples, gram.  ``sets``: groups, _set and the number of its outputs.
+    mean of the fold.  ``grams``: groups, _set, _fold, samples, gram.  ``sets``: groups, _set and the number of its outputs, with a broadcast hint if
+    they are few.  Outputs and sets are written tables; Gram matrices are summed when they are used.
     """
 
     basis: PolynomialBasis
@@ -70,14 +71,14 @@ def output_sums(
     h = F.xxhash64(*key)
     rows = y.where(present("y")).join(phi, key).withColumn("_fold", F.lit(0) if fold is None else fold.cast("int"))
     hashes = [F.sum(h.bitwiseAND(F.lit((1 << 31) - 1))).alias("_h0"), F.sum(F.shiftrightunsigned(h, 33)).alias("_h1")]
-    part = materialize(rhs_sums(rows, basis.n_terms, [*groups, "output_id", "_fold"], hashes), "rhs")
+    part = rhs_sums(rows, basis.n_terms, [*groups, "output_id", "_fold"], hashes)
     entry = F.struct(F.col("_fold").alias("fold"), "n", "rhs", "syy", "mean")
     outputs = part.groupBy(*groups, "output_id").agg(F.collect_list(entry).alias("folds"), F.sum("n").alias("_n"), F.sum("_h0").alias("_h0"), F.sum("_h1").alias("_h1"))
     outputs = materialize(outputs.withColumn(SET, F.xxhash64("_n", "_h0", "_h1")).drop("_n", "_h0", "_h1"), "outputs")
     sets = materialize(outputs.groupBy(*groups, SET).agg(F.count(F.lit(1)).alias("_outputs"), F.min("output_id").alias("output_id")), "sets")
-    samples = rows.join(hint_if_small(sets.drop("_outputs")), [*groups, "output_id"])
-    grams = materialize(gram_sums(samples, basis.n_terms, [*groups, SET, "_fold"]), "grams")
-    return OutputSums(basis, groups, outputs, grams, sets.drop("output_id"), folds)
+    sets = hint_if_small(sets)
+    samples = rows.join(sets.drop("_outputs"), [*groups, "output_id"])
+    return OutputSums(basis, groups, outputs, gram_sums(samples, basis.n_terms, [*groups, SET, "_fold"]), sets.drop("output_id"), folds)
 
 
 def _moved(gram, n, rhs, syy, mean, common):
@@ -184,7 +185,7 @@ def fit_outputs(
         raise ValueError(f"unknown choice {underdetermined!r}, expected 'min_norm' or 'error'")
     p, groups = sums.basis.n_terms, sums.groups
     per_block = max(1, BLOCK_VALUES // (p * sums.folds))
-    blocks = hint_if_small(materialize(sums.sets.withColumn("_blocks", F.ceil(F.col("_outputs") / F.lit(per_block)).cast("int")).drop("_outputs"), "blocks"))
+    blocks = sums.sets.withColumn("_blocks", F.ceil(F.col("_outputs") / F.lit(per_block)).cast("int")).drop("_outputs")
     on = [*groups, SET]
     left = sums.outputs.join(blocks, on).withColumn("_block", F.pmod(F.xxhash64("output_id"), F.col("_blocks")).cast("int")).drop("_blocks")
     right = sums.grams.join(blocks, on).withColumn("_block", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1))).drop("_blocks")
