@@ -425,7 +425,7 @@ def paragraph_set(t):
     return set(re.findall(r"[^\n]{1,%d}" % (32 if len(t or "") < 1024 else 256), t or ""))
 
 
-def digest(paragraph):
+def paragraph_digest(paragraph):
     return int(np.uint64(xxhash.xxh64(paragraph.encode(), seed=42).intdigest()).astype(np.int64))
 
 
@@ -448,7 +448,7 @@ def test_fingerprints(spark, rounds):
         assert (r.n_chars, r.edited_sha256) == (len(t), hashlib.sha256(edited.encode()).hexdigest())
         assert r.near_edited == pytest.approx(jaccard(paragraph_set(t), paragraph_set(edited)))
         assert r.near_next == pytest.approx(jaccard(paragraph_set(t), paragraph_set(after)))
-        mine, other = ({digest(p) for p in paragraph_set(x)} for x in (t, edited))
+        mine, other = ({paragraph_digest(p) for p in paragraph_set(x)} for x in (t, edited))
         assert set(r.lost) == mine - other and set(r.gained) == other - mine and len(r.lost) + len(r.gained) == len(mine ^ other)
     assert got[203].fingerprint == got[12].fingerprint and got[201].fingerprint == got[202].fingerprint
     assert len({r.fingerprint for r in got.values()}) > 25
