@@ -119,6 +119,8 @@ def test_small_merges_agree(spark, monkeypatch):
     monkeypatch.setattr(suffixes, "MERGE_SYMBOLS", 300)
     monkeypatch.setattr(suffixes, "FLUSH_BYTES", 500)
     monkeypatch.setattr(suffixes, "RUN", 7)
+    monkeypatch.setattr(suffixes, "BLOCK_BYTES", 130)
+    monkeypatch.setattr(suffixes, "MOST_WINDOWS", 3)
     rows = awkward(7)
     got = suffixes.remove_repeated_strings(frame(spark, rows).repartition(4)).collect()
     assert sorted(((r.doc_id, r.n_bytes, r.n_removed, len(r.removed), bytes(r.kept)) for r in got), key=str) == byte_strings(rows, 50)
@@ -153,17 +155,46 @@ def test_rows_of_one_id_lose_only_their_own_bytes(spark, monkeypatch, target):
     assert sorted(((r.doc_id, r.n_bytes, r.n_removed, len(r.removed), bytes(r.kept)) for r in got), key=str) == byte_strings(rows, 50)
 
 
+def test_many_contexts_of_one_anchor(spark):
+    rng = random.Random(3)
+    name = "anchor of 26 bytes, or so."
+    context = lambda: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(30))
+    rows = [(i, context() + name + context()) for i in range(10_000)]
+    rows += [(20_000 + i, t[8:-8]) for i, t in rng.sample(rows, 300)]
+    got = suffixes.remove_repeated_strings(frame(spark, rows).repartition(5)).collect()
+    assert sorted(((r.doc_id, r.n_bytes, r.n_removed, len(r.removed), bytes(r.kept)) for r in got), key=str) == byte_strings(rows, 50)
+
+
+def test_runs_of_windows():
+    doc, start, count = (np.array(x) for x in ([4, 2, 4, 4, 2, 4], [10, 0, 0, 3, 200_000, 30], [5, 3, 4, 7, 70_000, 1]))
+    runs = suffixes.joined(doc, start, count)
+    assert [x.tolist() for x in runs] == [[2, 2, 4, 4], [0, 200_000, 0, 30], [3, 70_000, 15, 1]]
+    d, packed = suffixes.spans_of(*runs)
+    assert d.tolist() == [2, 2, 2, 4, 4] and ((packed >> np.uint64(16)) + (packed & np.uint64(0xFFFF))).tolist() == [3, 265_535, 270_000, 15, 31]
+
+
+def test_blocks_name_the_same_windows(monkeypatch):
+    rng = np.random.default_rng(2)
+    data = rng.integers(97, 100, 4000).astype(np.uint8)
+    offsets = np.array([0, 700, 700, 730, 2900, 4000])
+    names = lambda runs: {(int(r), int(s) + i): int(k) for s, c, k, r in zip(*runs) for i in range(c)}
+    whole = names(suffixes.anchor_runs(data, offsets, 50, 26))
+    monkeypatch.setattr(suffixes, "BLOCK_BYTES", 97)
+    assert names(suffixes.anchor_runs(data, offsets, 50, 26)) == whole
+    assert len(whole) == sum(max(b - a - 49, 0) for a, b in zip(offsets, offsets[1:]))
+
+
 def test_merge_orders_suffixes():
     rng = np.random.default_rng(1)
     texts = [np.append(rng.integers(1, 4, n), 0).astype(np.uint16) for n in (40, 25, 60)]
-    shard, place, interval = suffixes.merge_bwt(texts, 6)
-    padded = [t.tolist() + [0] * 0 for t in texts]
-    prefix = [tuple((padded[s] * 2)[p:p + 6]) for s, p in zip(shard, place)]
+    shard, place, common = suffixes.merge_bwt(texts, 6)
+    prefix = [tuple((texts[s].tolist() * 2)[p:p + 6]) for s, p in zip(shard, place)]
     inside = [p for p in prefix if 0 not in p[:-1]]
     assert inside == sorted(inside)
-    for a, b, x, y in zip(prefix, prefix[1:], interval, interval[1:]):
-        if 0 not in a[:-1] and 0 not in b[:-1]:
-            assert (a == b) == (x == y)
+    assert common[0] == 0
+    for x, y, n in zip(prefix, prefix[1:], common[1:]):
+        if 0 not in x[:-1] and 0 not in y[:-1]:
+            assert n == next((i for i in range(6) if x[i] != y[i]), 6)
     assert sorted(zip(shard.tolist(), place.tolist())) == [(s, p) for s, t in enumerate(texts) for p in range(len(t))]
 
 
