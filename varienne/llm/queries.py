@@ -135,10 +135,11 @@ WITH d AS (SELECT doc_id, {_WORDS_SQL} AS ws FROM documents), i AS (SELECT item_
 ds AS (SELECT doc_id, len(ws) AS words, unnest(range(0, len(ws) - 4)) AS pos, unnest(list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i + 4], ' '))) AS sh FROM d WHERE len(ws) >= 5),
 si AS (SELECT item_id, len(ws) AS size, unnest(list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i + 4], ' '))) AS sh FROM i WHERE len(ws) >= 5),
 ic AS (SELECT item_id, size, sh, count(*) AS c FROM si GROUP BY ALL),
-cand AS (SELECT DISTINCT doc_id, item_id, size, unnest(range(greatest(0, pos - size + 5), least(pos, words - size) + 1)) AS start FROM ds JOIN ic USING (sh)),
-w AS (SELECT c.doc_id, item_id, size, start, ds.sh, count(*) AS n FROM cand c JOIN ds ON ds.doc_id = c.doc_id AND ds.pos BETWEEN start AND start + size - 5 GROUP BY ALL),
-sim AS (SELECT w.doc_id, w.item_id, w.size, w.start, CAST(sum(least(n, c)) AS BIGINT) AS common, CAST(2 * (w.size - 4) - sum(least(n, c)) AS BIGINT) AS total
-  FROM w JOIN ic ON ic.item_id = w.item_id AND ic.sh = w.sh GROUP BY w.doc_id, w.item_id, w.size, w.start)
+pair AS (SELECT doc_id, item_id, size, least(size, words) AS wide, pos, words FROM ds JOIN ic USING (sh)),
+cand AS (SELECT DISTINCT doc_id, item_id, size, wide, unnest(range(greatest(0, pos - wide + 5), least(pos, words - wide) + 1)) AS start FROM pair),
+w AS (SELECT c.doc_id, item_id, size, wide, start, ds.sh, count(*) AS n FROM cand c JOIN ds ON ds.doc_id = c.doc_id AND ds.pos BETWEEN start AND start + wide - 5 GROUP BY ALL),
+sim AS (SELECT w.doc_id, w.item_id, w.wide AS size, w.start, CAST(sum(least(n, c)) AS BIGINT) AS common, CAST(w.wide + w.size - 8 - sum(least(n, c)) AS BIGINT) AS total
+  FROM w JOIN ic ON ic.item_id = w.item_id AND ic.sh = w.sh GROUP BY w.doc_id, w.item_id, w.wide, w.size, w.start)
 SELECT doc_id, item_id, start, CAST(size AS INTEGER) AS size, common, total FROM sim WHERE common * 100 >= total * 80
 QUALIFY row_number() OVER (PARTITION BY doc_id, item_id ORDER BY common * 1.0 / total DESC, start) = 1"""
 
