@@ -165,6 +165,21 @@ def test_many_contexts_of_one_anchor(spark):
     assert sorted(((r.doc_id, r.n_bytes, r.n_removed, len(r.removed), bytes(r.kept)) for r in got), key=str) == byte_strings(rows, 50)
 
 
+def test_strings_that_cannot_share_a_window():
+    rng = np.random.default_rng(4)
+    name = rng.integers(97, 123, 26).astype(np.uint8)
+    context = lambda n: rng.integers(97, 123, n).astype(np.uint8)
+    before, after = context(24), context(24)
+    texts = [np.concatenate(p) for p in ((context(24), name, context(24)), (before, name, after), (context(4), before[-12:], name, after[:12], context(9)), (before[:23], context(1), name, after),
+                                         (context(24), name, after[:11], context(12)), (context(13), before[-11:], name, context(24)))]
+    twice = np.concatenate([name, name, context(3)])
+    (key,) = suffixes._smallest(name, 26, 26)
+    strings = suffixes.Strings([(np.array([suffixes._low(key)], np.uint64), np.array([i]), np.array([len(t) - 49]), np.array([len(t)]), np.array([1]), np.array([0]), t) for i, t in enumerate(texts)])
+    assert suffixes.may_meet(strings, np.arange(len(texts)), 50, 26).tolist() == [False, True, True, True, False, False]
+    strings = suffixes.Strings([(np.array([suffixes._low(key)], np.uint64), np.array([i]), np.array([len(t) - 49]), np.array([len(t)]), np.array([1]), np.array([0]), t) for i, t in enumerate([*texts, twice])])
+    assert suffixes.may_meet(strings, np.arange(len(texts) + 1), 50, 26).all()
+
+
 def test_runs_of_windows():
     doc, start, count = (np.array(x) for x in ([4, 2, 4, 4, 2, 4], [10, 0, 0, 3, 200_000, 30], [5, 3, 4, 7, 70_000, 1]))
     runs = suffixes.joined(doc, start, count)

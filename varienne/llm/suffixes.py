@@ -196,6 +196,46 @@ def merge_bwt(texts: list[np.ndarray], depth: int) -> tuple[np.ndarray, np.ndarr
     return interleave, place, common
 
 
+def may_meet(strings: Strings, rows: np.ndarray, length: int, anchor: int) -> np.ndarray:
+    """Which strings can share a window with another one of their anchor; ``rows`` are sorted by anchor.
+
+    Around the anchor a window has ``length - anchor`` further symbols, at least half of them on one side.  So two strings
+    with a common window agree in the anchor and half of these symbols before it, or as many after it.  Strings of an
+    anchor that occurs several times in one of them all stay.
+    """
+    half, at = (length - anchor + 1) // 2, _runs(strings.anchor[rows])
+    group = np.repeat(np.arange(len(at)), np.diff(np.append(at, len(rows))))
+    sides, several = np.zeros((2, len(rows)), np.uint64), np.zeros(len(at), bool)
+    known = np.zeros((2, len(rows)), bool)
+    part = (np.cumsum(strings.size[rows]) - strings.size[rows]) // BLOCK_BYTES
+    table = byte_table(8, False)
+    for a, b in zip(_runs(part), np.append(_runs(part)[1:], len(rows))):
+        size = strings.size[rows[a:b]]
+        data = strings.data[_ragged(strings.first[rows[a:b]], size)]
+        ends = np.cumsum(size)
+        forward, back = powers(len(data) + 1)
+        sums = np.zeros(len(data) + 1, np.uint64)
+        np.cumsum(table[data] * forward[:-1], out=sums[1:])
+        names = _low(mix((sums[anchor:] - sums[:-anchor]) * back[:len(data) - anchor + 1], 8))
+        row = np.repeat(np.arange(b - a), size)[:len(names)]
+        place = np.arange(len(names))
+        hit = np.flatnonzero((names == strings.anchor[rows[a:b]].astype(np.uint32)[row]) & (place + anchor <= ends[row]))
+        several[group[a:b][np.bincount(row[hit], minlength=b - a) != 1]] = True
+        place, row = hit, row[hit]
+        for side, first, last in ((0, place - half, place + anchor), (1, place, place + anchor + half)):
+            inside = (first >= (ends - size)[row]) & (last <= ends[row])
+            first, last = first[inside], last[inside]
+            sides[side, a + row[inside]] = mix((sums[last] - sums[first]) * back[first], 9 + side)
+            known[side, a + row[inside]] = True
+    keep = several[group]
+    for values, there in zip(sides, known):
+        order = np.flatnonzero(there)
+        order = order[np.lexsort((values[order], group[order]))]
+        same = (values[order][1:] == values[order][:-1]) & (group[order][1:] == group[order][:-1])
+        keep[order[1:][same]] = keep[order[:-1][same]] = True
+    return keep
+
+
 def later_windows(strings: Strings, length: int) -> tuple[np.ndarray, np.ndarray]:
     """(document, window) of windows that a smaller document holds too, among distinct strings.
 
@@ -401,7 +441,7 @@ def ship(length: int, anchor: int, buckets: int, flush: int):
     return run
 
 
-def merged(length: int, buckets: int, symbols: int):
+def merged(length: int, anchor: int, buckets: int, symbols: int):
     """Function for ``applyInArrow`` on a bucket of strings: removed windows by bucket of documents."""
 
     def run(group: pa.Table) -> pa.Table:
@@ -420,11 +460,11 @@ def merged(length: int, buckets: int, symbols: int):
         if len(strings.size):
             first, later = strings.distinct()
             spans.append(joined(*strings.spans(later)))
-            # Strings that are alone under their anchor have nothing to be merged with.
             order = first[np.argsort(strings.anchor[first], kind="stable")]
+            # Most strings have nothing to be merged with.
+            order = order[may_meet(strings, order, length, anchor)]
             at = _runs(strings.anchor[order])
-            together = np.diff(np.append(at, len(order)))
-            order, group_of = order[np.repeat(together > 1, together)], np.repeat(np.arange(len(at)), together)[np.repeat(together > 1, together)]
+            group_of = np.repeat(np.arange(len(at)), np.diff(np.append(at, len(order))))
             weight = np.cumsum(strings.size[order] + 1)
             # Whole groups up to so many symbols at a time; owners ascend, so that shards are ranges of them.
             portion = np.zeros(len(order), np.int64)
@@ -521,6 +561,6 @@ def remove_repeated_strings(docs: DataFrame, id_col: str = "doc_id", text_col: s
     buckets = bucket_count(spark, size * (1 + 2 * (length - 1) // (length - anchor + 1)))
     # No filter here: the texts are dealt once, for this join and for the last one.
     strings = placed.mapInArrow(ship(length, anchor, buckets, FLUSH_BYTES), PACKED)
-    found = strings.groupBy("bucket").applyInArrow(merged(length, buckets, MERGE_SYMBOLS), SHARED).groupBy("bucket").applyInArrow(runs_by_document, "id bigint, runs binary")
+    found = strings.groupBy("bucket").applyInArrow(merged(length, anchor, buckets, MERGE_SYMBOLS), SHARED).groupBy("bucket").applyInArrow(runs_by_document, "id bigint, runs binary")
     out = source.join(found, "id", "left").select("id", "text", "runs", "base").mapInArrow(cut(length), "id bigint, n_bytes bigint, n_removed bigint, removed array<struct<start:bigint,end:bigint>>, kept binary")
     return out.withColumnRenamed("id", id_col)
