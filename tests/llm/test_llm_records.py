@@ -7,6 +7,7 @@ import re
 import zlib
 from collections import Counter
 
+import duckdb
 import numpy as np
 import pytest
 import xxhash
@@ -67,6 +68,38 @@ def test_too_large_a_prior_does_no_harm(spark):
     assert np.mean([(r.score >= 0.5) == (r.doc_id in set(good)) for r in scores]) > 0.9
 
 
+def test_weights_are_those_of_a_plain_descent(spark):
+    rows, good = corpus(400, 2)
+    docs, chosen, prior = frame(spark, rows), {i for i in good if i % 2 == 0}, 0.5
+    model, features = quality.fit_quality(docs, spark.createDataFrame([(i,) for i in chosen], "id long"), prior=prior, steps=100)
+    x = {r.id: np.array(r.x) for r in features.collect()}
+    every = np.array([x[i] for i, _ in rows])
+    scale = every.std(0)
+    scale[scale < 1e-9] = 1.0
+    z = np.hstack([(every - every.mean(0)) / scale, np.ones((len(rows), 1))])
+    p = z[[i in chosen for i, _ in rows]]
+    loss = lambda f: np.logaddexp(0, -f)
+    slope = lambda f: -1 / (1 + np.exp(f))
+
+    def rest(w):
+        return loss(-(z @ w)).mean() - prior * loss(-(p @ w)).mean()
+
+    def gradient(w):
+        assert rest(w) > 0  # so the risk is convex here and has one least point
+        return prior * (slope(p @ w) @ p) / len(p) - (slope(-(z @ w)) @ z) / len(z) + prior * (slope(-(p @ w)) @ p) / len(p) + quality.RIDGE * w
+
+    step = 1 / (np.linalg.eigvalsh(z.T @ z / len(z)).max() / 4 + quality.RIDGE)
+    w = ahead = np.zeros(z.shape[1])
+    for k in range(20_000):
+        to = ahead - step * gradient(ahead)
+        w, ahead = to, to + k / (k + 3) * (to - w)
+    risk = lambda v: prior * loss(p @ v).mean() + max(0.0, rest(v)) + quality.RIDGE / 2 * v @ v
+    assert abs(risk(model.weights) - risk(w)) < 1e-6
+    plain = 1 / (1 + np.exp(-(z @ w)))
+    scores = {r.doc_id: r.score for r in quality.add_score(docs, model).collect()}
+    assert max(abs(scores[i] - s) for (i, _), s in zip(rows, plain)) < 0.01
+
+
 def test_awkward_scores(spark):
     rows = awkward(8)
     trusted = spark.createDataFrame([(1,), (1,), (None,), (200,)], "doc_id long")
@@ -131,6 +164,20 @@ def test_transactions_of_foreign_archives(spark, tmp_path):
         warc.read_archives(spark, str(tmp_path)).count()
 
 
+def test_archives_that_are_read_twice(spark, tmp_path):
+    http = b"HTTP/1.1 200 OK\r\n\r\nbody"
+    records = [record("response", "<a>", http, Content_Type="application/http; msgtype=response"), record("request", "<aq>", b"GET /", WARC_Concurrent_To="<a>"),
+               *[record("revisit", f"<v{i}>", b"", WARC_Refers_To="<a>", WARC_Payload_Digest="sha1:X") for i in range(3)], record("metadata", "<m>", b"k: 1\r\n", Content_Type="application/warc-fields", WARC_Concurrent_To="<v1>"),
+               record("request", "<lost>", b"GET /"), record("resource", "<a>", b"another record of the same id")]
+    (tmp_path / "a.warc").write_bytes(b"".join(records))
+    unnamed = record("resource", "x", b"one").replace(b"WARC-Record-ID: x\r\n", b"")
+    (tmp_path / "b.warc").write_bytes(b"".join(records[:-1]) + 2 * unnamed)
+    got = warc.resolved(warc.transactions(warc.read_archives(spark, str(tmp_path)))).collect()
+    assert Counter((r.type, r.record_id, r.payload_bytes, len(r.requests or []), len(r.metadata or [])) for r in got) == Counter(
+        [("response", "<a>", 4, 1, 0), *[("revisit", f"<v{i}>", 4, 0, int(i == 1)) for i in range(3)], (None, None, None, 1, 0), *2 * [("resource", None, 3, 0, 0)]])
+    assert all(r.file.endswith("a.warc") for r in got if r.record_id)
+
+
 def test_no_pages(spark):
     assert warc.round_trip(spark.createDataFrame([], "page_id long, url string, html string"), scratch_path(spark, "warc")).count() == 0
 
@@ -202,6 +249,26 @@ def test_documents_shorter_than_an_item(spark):
     assert sorted(tuple(r) for r in decontaminate.contaminated(frame(spark, docs), df).collect()) == sorted(want)
 
 
+def test_the_query_and_its_sql_list_short_documents(spark, tmp_path):
+    rng = random.Random(12)
+    text = lambda n: " ".join(f"w{rng.randrange(500)}" for _ in range(n))
+    items = [(i, text(n)) for i, n in enumerate((50, 44, 30))]
+    docs = []
+    for i, t in items:
+        w = t.split()
+        docs += [(10 * i, t), (10 * i + 1, " ".join(w[1:])), (10 * i + 2, " ".join(w[:9] + w[10:])), (10 * i + 3, " ".join(w[:12])), (10 * i + 4, f"{text(40)} {t} {text(5)}")]
+    docs += [(100, None), (101, ""), (102, "w1 w2")]
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    got = queries.QUERIES["op3_decontamination"](spark, str(tmp_path))
+    db = duckdb.connect()
+    for name in ("documents", "benchmark"):
+        db.sql(f"CREATE VIEW {name} AS SELECT * FROM read_parquet('{tmp_path}/{name}.parquet/*.parquet')")
+    want = db.sql(queries.OP3_SQL)
+    seen = sorted(tuple(r) for r in got.select(want.columns).collect())
+    assert seen == sorted(want.fetchall()) and {r[0] for r in seen} == {0, 1, 2, 4, 10, 11, 14, 20, 21, 24}
+
+
 def test_blocks_reach_the_radius():
     values = np.array(decontaminate.near_values(4))
     rng = np.random.default_rng(0)

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from varienne.llm.store import materialize, renamed
+from varienne.session import hint_if_small
 
 #: Captures per file; a file is one row while it is read.
 CAPTURES_PER_FILE = 1500
@@ -154,6 +155,19 @@ def read_archives(spark: SparkSession, path: str, with_payload: bool = False) ->
     return files.mapInArrow(parse(with_payload), RECORDS)
 
 
+def without_repeats(records: DataFrame) -> DataFrame:
+    """The records, of those with one id only the first by file and place; records without an id all stay.
+
+    Only ids and places are shuffled to find what repeats, and usually nothing does.
+    """
+    first = records.where("record_id is not null").groupBy("record_id").agg(F.count("*").alias("n"), F.min(F.struct("file", "at")).alias("first")).where("n > 1")
+    first = materialize(first.select(F.col("record_id").alias("again"), "first"), "repeats")
+    if first.isEmpty():
+        return records
+    marked = records.join(hint_if_small(first), F.col("record_id") == F.col("again"), "left")
+    return marked.where(F.col("again").isNull() | ((F.col("file") == F.col("first.file")) & (F.col("at") == F.col("first.at")))).drop("again", "first")
+
+
 def transactions(records: DataFrame) -> DataFrame:
     """Join the records of every capture through their concurrent-to identifiers.
 
@@ -161,8 +175,10 @@ def transactions(records: DataFrame) -> DataFrame:
     structs, by record id).  The identifiers count in both directions, and a record that names only a
     sibling (metadata that names the request) follows it to the capture.  Records that lead to no
     capture come back as a row of their own with null type, so none is lost.  Records without an id are
-    captures without parts or such rows.  Hot captures are grouped after a join on ids alone.
+    captures without parts or such rows.  Of records with one id, as in an archive that is read twice, the
+    first by file and place counts.  Hot captures are grouped after a join on ids alone.
     """
+    records = without_repeats(records)
     own = F.col("type").isin(*RESPONSES)
     captures = records.where(own)
     parts = records.where(~own | F.col("type").isNull()).where("type is null or type <> 'warcinfo'")
