@@ -43,6 +43,17 @@ def guarded_divide(num: Column, den: Column, when_zero: Column | float = 0.0) ->
     return F.when(den != 0, num / den).otherwise(other)
 
 
+def ieee_divide(num: Column, den: Column) -> Column:
+    """num/den as IEEE 754 has it: infinity with the sign of num, or NaN for 0/0, where den is zero (never an ANSI error)."""
+    by_zero = F.when(F.isnan(num) | (num == 0), float("nan")).when(num > 0, float("inf")).when(num < 0, float("-inf"))
+    return F.when(den == 0, by_zero).otherwise(num / den)
+
+
+def ieee_log(c: Column) -> Column:
+    """Natural logarithm as IEEE 754 has it: -infinity at 0 and NaN below, where Spark has null."""
+    return F.when(c == 0, float("-inf")).when(c < 0, float("nan")).otherwise(F.log(c))
+
+
 def clip(c: Column, lo: float, hi: float) -> Column:
     return F.least(F.greatest(c, F.lit(lo)), F.lit(hi))
 
