@@ -29,3 +29,7 @@ def check(spark, zero_births, name):
 
 def test_mass_relative_to_a_birth_without_mass(spark, zero_births):
     assert check(spark, zero_births, "join_cell_stats") == ""
+
+
+def test_stage_profile_of_births_without_mass(spark, zero_births):
+    assert check(spark, zero_births, "stage_profile") == ""

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from varienne.functions.numeric import clip
+from varienne.functions.numeric import clip, ieee_log
 from varienne.operators.ordered import even_spacing, group_stats, with_group_stats
 
 MASS_FLOOR_FIRST_LAST = 1e-10
@@ -86,10 +86,14 @@ def theta_min_max(
 @register_theta("per_cell")
 def theta_per_cell(
     df: DataFrame, mass: str, keys: Sequence[str] = ("variant", "lineage_seed", "generation", "agent_id"), order: str = "time",
-    ties: Sequence[str] = (),
+    ties: Sequence[str] = (), floor: float | None = MASS_FLOOR_FIRST_LAST,
 ) -> DataFrame:
-    """θ between birth and division mass of each cell; a cell that does not grow divides by 1."""
-    m = F.log(F.greatest(F.col(mass), F.lit(MASS_FLOOR_FIRST_LAST)))
+    """θ between birth and division mass of each cell; a cell that does not grow divides by 1.
+
+    Masses below the floor count as the floor.  Without one, logarithms are those of IEEE 754: a cell born with mass 0
+    starts at -infinity, and all its rows have θ = 1.
+    """
+    m = ieee_log(F.col(mass)) if floor is None else F.log(F.greatest(F.col(mass), F.lit(floor)))
     position = F.struct(order, *ties)
     stats = group_stats(df, keys, [F.min_by(m, position).alias("_lo"), F.max_by(m, position).alias("_hi")])
     span = F.col("_hi") - F.col("_lo")
