@@ -5,6 +5,7 @@ import pytest
 
 import __spark_entry__ as entry
 from oracle_check import compare
+from varienne.operators import growth
 from varienne.session import scratch_path
 
 #: (user, value): born with nothing and growing, with nothing twice, with nothing only, one row of nothing, growing, one row.
@@ -33,3 +34,13 @@ def test_mass_relative_to_a_birth_without_mass(spark, zero_births):
 
 def test_stage_profile_of_births_without_mass(spark, zero_births):
     assert check(spark, zero_births, "stage_profile") == ""
+
+
+def test_theta_per_cell_of_births_without_mass(spark, zero_births):
+    assert check(spark, zero_births, "theta_per_cell") == ""
+
+
+def test_theta_per_cell_keeps_its_floor_by_default(spark):
+    df = spark.createDataFrame([("a", float(t), m) for t, m in enumerate((0.0, 1e-5, 1.0))], "k string, time double, m double")
+    theta = lambda **o: [r.theta for r in growth.theta("per_cell", df, mass="m", keys=["k"], **o).orderBy("time").collect()]
+    assert theta() == pytest.approx([0.0, 0.5, 1.0]) and theta(floor=None) == [1.0, 1.0, 1.0]
