@@ -43,7 +43,8 @@ def synthesize(index: DataFrame, seed: int = 42, n_counts: int = 10, n_fluxes: i
     ramp = F.when(t <= 0.3, 0.03).when(t >= 0.7, 0.06).otherwise(0.03 + 0.03 * (t - 0.3) / 0.4)
 
     def block(n: int, tag: str, draw) -> Column:
-        values = F.array(*[draw(rng.uniform(seed, F.lit(tag), F.lit(i), "row_key")) for i in range(n)])
+        # Drawn first, so that a draw is not digested again for every entry that it is compared with.
+        values = F.transform(F.array(*[rng.uniform(seed, F.lit(tag), F.lit(i), "row_key") for i in range(n)]), draw)
         return F.to_json(values) if as_json else values
 
     return (

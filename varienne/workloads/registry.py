@@ -28,8 +28,12 @@ def query(name: str, sql: str | None = None):
 
 
 def rnd(c: Column | str, digits: int = 6) -> Column:
-    """Rounding used on results that are compared across engines."""
-    return F.round(F.col(c) if isinstance(c, str) else c, digits)
+    """Rounding used on results that are compared across engines: of the double c * 10**digits, halves away from zero, as SQL's ``round`` has it.
+
+    ``F.round`` with digits goes by the shortest decimal text of the double, which next to a half may lie on its other side.
+    """
+    scale = 10.0**digits
+    return F.round((F.col(c) if isinstance(c, str) else c) * scale) / scale
 
 
 def rounded(df: DataFrame, digits: int = 6, **special: int) -> DataFrame:
