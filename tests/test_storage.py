@@ -126,6 +126,21 @@ def test_saved_design_comes_back_by_value(spark):
     assert plan.count() == 120 and "Exchange" not in plan._jdf.queryExecution().executedPlan().toString()
 
 
+def test_large_buckets_are_cut_into_pieces(spark):
+    """No file and no join task holds much more than ``piece_rows`` rows, and all tables share the pieces."""
+    root = scratch_path(spark, "design")
+    series = spark.range(1200).select((F.col("id") % 400).alias("sample_id"), F.floor(F.col("id") / 400).alias("time"), F.col("id").cast("double").alias("mass"))
+    y = spark.range(400).select(F.col("id").alias("sample_id"), (F.col("id") / 4).alias("mean"))
+    designs.save_design(spark, root, {"series": series, "y": y}, buckets=2, piece_rows=100)
+    saved = designs.load_design(spark, root)
+    assert (saved.buckets, saved.pieces, saved.changed()) == (2, 6, [])
+    sizes = [r["count"] for r in spark.read.parquet(f"{root}/v000001/series").groupBy(F.input_file_name()).count().collect()]
+    assert sum(sizes) == 1200 and max(sizes) < 200
+    joined = saved.tables["series"].hint("merge").join(saved.tables["y"], "sample_id")
+    assert "Exchange" not in joined._jdf.queryExecution().executedPlan().toString() and joined.rdd.getNumPartitions() == 12
+    assert sorted((r.sample_id, r.time, r.mass, r["mean"]) for r in joined.collect()) == [(i, t, float(400 * t + i), i / 4) for i in range(400) for t in range(3)]
+
+
 def test_a_version_counts_once_its_manifest_is_written(spark):
     root = scratch_path(spark, "design")
     one = spark.createDataFrame([(1, 2.0)], "sample_id bigint, x double")
