@@ -190,6 +190,16 @@ def test_progress_survives_new_files(spark):
     assert got == {1: (2, 2.0), 2: (2, 5.0), 3: (1, 1.0)}
 
 
+def test_chunks_of_the_stream_grow_in_number(spark):
+    """Four even chunks for a small history, more for a larger one, and every row in one of them."""
+    from varienne.workloads.storage import history_chunks
+
+    for n, chunks in ((1000, 4), (4000, 8)):
+        sizes = history_chunks(spark.range(n).withColumnRenamed("id", "event_id"), chunk_rows=500).groupBy(F.spark_partition_id().alias("p")).count().collect()
+        assert len(sizes) == chunks and sum(r["count"] for r in sizes) == n and max(r["count"] for r in sizes) < 650
+    assert history_chunks(spark.range(0).withColumnRenamed("id", "event_id")).rdd.getNumPartitions() == 4
+
+
 def test_preliminary_waits_for_samples(spark):
     source, out, state = (scratch_path(spark, n) for n in ("source", "preliminary", "state"))
     make = lambda ids: spark.createDataFrame([(i, float(i) * 2 + 1) for i in ids], "sample_id int, v double").coalesce(1).write.mode("append").parquet(source)

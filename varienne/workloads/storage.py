@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from varienne.functions.basis import PolynomialBasis
@@ -306,9 +307,19 @@ def _export_table(t):
 # --- streams -----------------------------------------------------------------------------------
 
 
+#: Rows of a history file in the stream, and the files of a small one.
+CHUNK_ROWS = 1_000_000
+MIN_CHUNKS = 4
+
+
+def history_chunks(rows: DataFrame, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
+    """Rows dealt by a hash of their id: as many chunks as keep each near ``chunk_rows`` rows, so that a task's share does not grow with the table."""
+    return rows.repartition(max(MIN_CHUNKS, -(-rows.count() // chunk_rows)), "event_id")
+
+
 def stream_source(t) -> str:
     """History files in chunks, as a growing directory would hold them."""
-    return t.written("stream", lambda path: t.samples.repartition(4, F.col("event_id") % 4).write.parquet(path))
+    return t.written("stream", lambda path: history_chunks(t.samples).write.parquet(path))
 
 
 @query("stream_progress", H + "SELECT variant, count(*) AS n_rows, max(time) AS last_time FROM h GROUP BY 1")
