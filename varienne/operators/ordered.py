@@ -5,6 +5,9 @@ a third of all rows would then sort in one task.  Groups are counted first: when
 them are below ``target_rows`` a plain window is used.  Otherwise the rows of the large ones are dealt by
 range of (group, order, ties, row) into chunks, whatever the types of these columns and however many rows tie; windows run
 per chunk, and what a chunk hands on to the next comes from a two-level scan over one summary row per chunk.
+
+Running sums of doubles may be compensated: what each addition rounds off is summed too and added at the end, so the error does
+not grow with the rows before.
 """
 
 from __future__ import annotations
@@ -14,6 +17,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from varienne.functions.numeric import nan_to_null
 from varienne.session import checked_broadcast, hint_if_small, materialize
 
 TARGET_ROWS = 2_000_000
@@ -77,65 +81,88 @@ def ordered(
     lags: dict[str, str] | None = None,
     running_sums: dict[str, str] | None = None,
     row_number: str | None = None,
+    compensated: bool = False,
     target_rows: int = TARGET_ROWS,
 ) -> DataFrame:
     """Add lags (new name -> column), running sums and a row number per key group.
 
     Rows of a group are ordered by (*prefix, order, *ties), nulls first; rows that tie on all of them stand in any order.
-    Without keys all rows are one group.
+    Without keys all rows are one group.  Sums skip nulls; compensated ones of doubles are exact to a few units in the last place of the largest sum so far.
     """
     lags, running_sums = lags or {}, running_sums or {}
     keys, position = list(keys), [*prefix, order, *ties]
     hot = hot_groups(df, keys, target_rows)
-    plain = lambda rows: _plain(rows, Window.partitionBy(*keys).orderBy(*position), lags, running_sums, row_number)
+    plain = lambda rows: _plain(rows, Window.partitionBy(*keys).orderBy(*position), lags, running_sums, row_number, compensated)
     if hot.isEmpty():
         return plain(df)
-    out = _chunked(_hot_chunks(df, keys, position, target_rows, hot), position, lags, running_sums, row_number)
+    out = _chunked(_hot_chunks(df, keys, position, target_rows, hot), position, lags, running_sums, row_number, compensated)
     if not keys:
         return out
     side, condition = _same(hot, keys)
     return out.unionByName(plain(df.join(side, condition, "left_anti")))
 
 
-def _plain(df, window, lags, running_sums, row_number) -> DataFrame:
+def _plain(df, window, lags, running_sums, row_number, compensated=False) -> DataFrame:
     upto = window.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    before = window.rowsBetween(Window.unboundedPreceding, -1)
     columns = {name: F.lag(c).over(window) for name, c in lags.items()}
-    columns |= {name: F.sum(c).over(upto) for name, c in running_sums.items()}
+    inexact = _inexact(df, running_sums) if compensated else {}
+    columns |= {name: F.sum(c).over(upto) for name, c in running_sums.items() if name not in inexact}
+    columns |= {f"_upto_{name}": F.sum(c).over(upto) for name, c in inexact.items()}
+    columns |= {f"_before_{name}": F.sum(c).over(before) for name, c in inexact.items()}
     if row_number:
         columns[row_number] = F.row_number().over(window).cast("bigint")
-    return df.withColumns(columns)
+    out = df.withColumns(columns)
+    lost = {name: _rounded_off(F.col(f"_before_{name}"), F.col(c), F.col(f"_upto_{name}")) for name, c in inexact.items()}
+    sums = {name: F.col(f"_upto_{name}") + F.coalesce(F.sum(e).over(upto), F.lit(0.0)) for name, e in lost.items()}
+    return out.withColumns(sums).drop(*[f"{side}_{name}" for name in inexact for side in ("_upto", "_before")])
+
+
+def _inexact(df: DataFrame, running_sums: dict[str, str]) -> dict[str, str]:
+    """The sums whose additions round."""
+    return {name: c for name, c in running_sums.items() if df.schema[c].dataType.simpleString() in ("double", "float")}
+
+
+def _rounded_off(before: Column, value: Column, total: Column) -> Column:
+    """What the addition before + value = total rounded off (Knuth's two-sum); null where a sum is infinite or NaN."""
+    before, value = F.coalesce(before, F.lit(0.0)), F.coalesce(value.cast("double"), F.lit(0.0))
+    added = total - before
+    return nan_to_null((before - (total - added)) + (value - added))
 
 
-def _handed_on(summaries: DataFrame, lags, running_sums) -> DataFrame:
+def _handed_on(summaries: DataFrame, lags, running_sums, compensated) -> DataFrame:
     """What the chunks before each one hand to it: rows, sums and last values, by a scan inside blocks of chunks and one over blocks."""
     block = F.floor(F.col(CHUNK) / SCAN_BLOCK)
     summaries = summaries.withColumn("_b", block)
     sums = {"_n0": "_seg_n", **{f"_s_{name}": f"_sum_{name}" for name in running_sums}}
     last = {f"_l_{name}": f"_last_{name}" for name in lags}
-    blocks = summaries.groupBy("_g", "_b").agg(*[F.sum(c).alias(c) for c in sums.values()], *[F.max_by(c, CHUNK).alias(c) for c in last.values()])
 
     def scanned(df, window, suffix):
-        before = window.rowsBetween(Window.unboundedPreceding, -1)
-        return df.withColumns({**{o + suffix: F.sum(c).over(before) for o, c in sums.items()}, **{o + suffix: F.lag(c).over(window) for o, c in last.items()}})
+        upto = _plain(df, window, {}, {o + suffix + "_upto": c for o, c in sums.items()}, None, compensated)
+        return upto.withColumns({**{o + suffix: F.lag(o + suffix + "_upto").over(window) for o in sums}, **{o + suffix: F.lag(c).over(window) for o, c in last.items()}})
 
     inner = scanned(summaries, Window.partitionBy("_g", "_b").orderBy(CHUNK), "").withColumn("_first", F.row_number().over(Window.partitionBy("_g", "_b").orderBy(CHUNK)) == 1)
+    blocks = inner.groupBy("_g", "_b").agg(*[F.max_by(o + "_upto", CHUNK).alias(c) for o, c in sums.items()], *[F.max_by(c, CHUNK).alias(c) for c in last.values()])
     outer = scanned(blocks, Window.partitionBy("_g").orderBy("_b"), "_o").select("_g", "_b", *[f"{o}_o" for o in (*sums, *last)])
     both = inner.join(outer, ["_g", "_b"])
     added = {o: F.when(F.col(o).isNull(), F.col(f"{o}_o")).otherwise(F.col(o) + F.coalesce(F.col(f"{o}_o"), F.lit(0))) for o in sums}
     return both.select("_g", CHUNK, *[c.alias(o) for o, c in added.items()], *[F.when(F.col("_first"), F.col(f"{o}_o")).otherwise(F.col(o)).alias(o) for o in last])
 
 
-def _chunked(chunked, position, lags, running_sums, row_number) -> DataFrame:
+def _chunked(chunked, position, lags, running_sums, row_number, compensated) -> DataFrame:
     window = Window.partitionBy("_g", CHUNK).orderBy(*position, "_row")
-    out = _plain(chunked, window, lags, running_sums, "_rn")
+    out = _plain(chunked, window, lags, running_sums, "_rn", compensated)
     place = F.struct(*position, "_row")
-    summaries = chunked.groupBy("_g", CHUNK).agg(
+    inexact = _inexact(chunked, running_sums) if compensated else {}
+    if inexact:  # their totals are the last compensated sums, so rows are read twice with them
+        out = materialize(out, "running-sums")
+    summaries = (out if inexact else chunked).groupBy("_g", CHUNK).agg(
         F.count(F.lit(1)).alias("_seg_n"),
         *[F.max_by(c, place).alias(f"_last_{name}") for name, c in lags.items()],
-        *[F.sum(c).alias(f"_sum_{name}") for name, c in running_sums.items()],
+        *[(F.max_by(name, place) if name in inexact else F.sum(c)).alias(f"_sum_{name}") for name, c in running_sums.items()],
     )
     # At most 2 * rows / target_rows chunks, and one more per hot group.
-    out = out.join(checked_broadcast(_handed_on(materialize(summaries, "summaries"), lags, running_sums)), ["_g", CHUNK], "left")
+    out = out.join(checked_broadcast(_handed_on(materialize(summaries, "summaries"), lags, running_sums, compensated)), ["_g", CHUNK], "left")
     fixed = {name: F.when(F.col("_rn") == 1, F.col(f"_l_{name}")).otherwise(F.col(name)) for name in lags}
     fixed |= {
         name: F.when(F.col(name).isNull(), F.col(f"_s_{name}")).otherwise(F.col(name) + F.coalesce(F.col(f"_s_{name}"), F.lit(0)))

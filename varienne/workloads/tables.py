@@ -99,6 +99,13 @@ class Tables:
             self.history, ["agent_id"], "time", ties=["event_id"], running_sums={"mass": DRY_MASS}).write.parquet(p))
         return self.spark.read.parquet(path)
 
+    @cached_property
+    def long_growth(self) -> DataFrame:
+        """The same with masses that do not drift over the rows of a long life, for what looks at small differences of them."""
+        path = self.written("long-growth", lambda p: ordered(
+            self.history, ["agent_id"], "time", ties=["event_id"], running_sums={"mass": DRY_MASS}, compensated=True).write.parquet(p))
+        return self.spark.read.parquet(path)
+
     @cached_property
     def samples(self) -> DataFrame:
         """Growing history with the variant as sample id."""
