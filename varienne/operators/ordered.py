@@ -7,7 +7,7 @@ range of (group, order, ties, row) into chunks, whatever the types of these colu
 per chunk, and what a chunk hands on to the next comes from a two-level scan over one summary row per chunk.
 
 Running sums of doubles may be compensated: what each addition rounds off is summed too and added at the end, so the error does
-not grow with the rows before.
+not grow with the rows before.  With ``slack`` a plain sum is left as it is until it is off by more than so many units in its last place.
 """
 
 from __future__ import annotations
@@ -82,17 +82,19 @@ def ordered(
     running_sums: dict[str, str] | None = None,
     row_number: str | None = None,
     compensated: bool = False,
+    slack: int = 0,
     target_rows: int = TARGET_ROWS,
 ) -> DataFrame:
     """Add lags (new name -> column), running sums and a row number per key group.
 
     Rows of a group are ordered by (*prefix, order, *ties), nulls first; rows that tie on all of them stand in any order.
     Without keys all rows are one group.  Sums skip nulls; compensated ones of doubles are exact to a few units in the last place of the largest sum so far.
+    With ``slack`` they equal the plain ones while these are no further off than that; groups that are cut into chunks are always compensated.
     """
     lags, running_sums = lags or {}, running_sums or {}
     keys, position = list(keys), [*prefix, order, *ties]
     hot = hot_groups(df, keys, target_rows)
-    plain = lambda rows: _plain(rows, Window.partitionBy(*keys).orderBy(*position), lags, running_sums, row_number, compensated)
+    plain = lambda rows: _plain(rows, Window.partitionBy(*keys).orderBy(*position), lags, running_sums, row_number, compensated, slack)
     if hot.isEmpty():
         return plain(df)
     out = _chunked(_hot_chunks(df, keys, position, target_rows, hot), position, lags, running_sums, row_number, compensated)
@@ -102,7 +104,7 @@ def ordered(
     return out.unionByName(plain(df.join(side, condition, "left_anti")))
 
 
-def _plain(df, window, lags, running_sums, row_number, compensated=False) -> DataFrame:
+def _plain(df, window, lags, running_sums, row_number, compensated=False, slack=0) -> DataFrame:
     upto = window.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     before = window.rowsBetween(Window.unboundedPreceding, -1)
     columns = {name: F.lag(c).over(window) for name, c in lags.items()}
@@ -114,8 +116,9 @@ def _plain(df, window, lags, running_sums, row_number, compensated=False) -> Dat
         columns[row_number] = F.row_number().over(window).cast("bigint")
     out = df.withColumns(columns)
     lost = {name: _rounded_off(F.col(f"_before_{name}"), F.col(c), F.col(f"_upto_{name}")) for name, c in inexact.items()}
-    sums = {name: F.col(f"_upto_{name}") + F.coalesce(F.sum(e).over(upto), F.lit(0.0)) for name, e in lost.items()}
-    return out.withColumns(sums).drop(*[f"{side}_{name}" for name in inexact for side in ("_upto", "_before")])
+    out = out.withColumns({f"_lost_{name}": F.coalesce(F.sum(e).over(upto), F.lit(0.0)) for name, e in lost.items()})
+    sums = {name: _corrected(F.col(f"_upto_{name}"), F.col(f"_lost_{name}"), slack) for name in inexact}
+    return out.withColumns(sums).drop(*[f"{side}_{name}" for name in inexact for side in ("_upto", "_before", "_lost")])
 
 
 def _inexact(df: DataFrame, running_sums: dict[str, str]) -> dict[str, str]:
@@ -130,6 +133,11 @@ def _rounded_off(before: Column, value: Column, total: Column) -> Column:
     return nan_to_null((before - (total - added)) + (value - added))
 
 
+def _corrected(total: Column, lost: Column, slack: int) -> Column:
+    """The sum with what was rounded off, or as it is while that is within ``slack`` units in its last place."""
+    return F.when(F.abs(lost) > F.abs(total) * (slack * 2.0**-52), total + lost).otherwise(total) if slack else total + lost
+
+
 def _handed_on(summaries: DataFrame, lags, running_sums, compensated) -> DataFrame:
     """What the chunks before each one hand to it: rows, sums and last values, by a scan inside blocks of chunks and one over blocks."""
     block = F.floor(F.col(CHUNK) / SCAN_BLOCK)
